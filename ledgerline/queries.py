@@ -1,0 +1,36 @@
+"""Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
+
+Every query reads the driver tables (through the derived usage table or the
+log lines built from ``events``) over their whole extent; the SQL statement
+of the same name in ``ledgerline.oracle`` computes the expected answer.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerline.plans.report import build_report
+from ledgerline.sources.eventlog import usage_table
+from ledgerline.sources.prices import read_price_list
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _report(by: str, **kw) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return build_report(usage_table(spark, sf_dir), read_price_list(spark), by=by, **kw)
+
+    run.__name__ = f"report_{by}"
+    return run
+
+
+def registry() -> dict[str, Query]:
+    return {
+        "report_tool": _report("tool"),
+        "report_model": _report("model"),
+        "report_day": _report("day"),
+        "report_project": _report("project"),
+        "report_session": _report("session"),
+    }
