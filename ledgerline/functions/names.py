@@ -74,4 +74,7 @@ def model_candidates(col: Column | str) -> Column:
         F.array(F.regexp_replace(m, DASH_VERSION, "$1.$2")),
     ).otherwise(F.array().cast("array<string>"))
     every = F.concat(F.array(m, F.lower(m)), suffixes, prefixed, dotted, dash_alt)
-    return F.array_distinct(F.filter(every, lambda x: x != F.lit("")))
+    # An empty name never matches anything: no candidates at all.
+    return F.when(_c(col) == F.lit(""), F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.filter(every, lambda x: x != F.lit("")))
+    )

@@ -123,12 +123,350 @@ SELECT CASE WHEN GROUPING(key) = 1 THEN 'TOTAL' ELSE key END AS key, {LINE_SELEC
 FROM pr GROUP BY ROLLUP (key)"""
 
 
+HUMANIZE = """CASE WHEN {n} >= 1000000000 THEN regexp_replace(printf('%.1f', {n} / 1e9), '\\.0$', '') || 'B'
+  WHEN {n} >= 1000000 THEN regexp_replace(printf('%.1f', {n} / 1e6), '\\.0$', '') || 'M'
+  WHEN {n} >= 1000 THEN regexp_replace(printf('%.1f', {n} / 1e3), '\\.0$', '') || 'K'
+  ELSE CAST({n} AS VARCHAR) END"""
+
+MONEY = """CASE WHEN {v} >= 100 THEN '$' || printf('%.0f', {v}) WHEN {v} >= 1 THEN '$' || printf('%.2f', {v})
+  WHEN {v} > 0 THEN '$' || printf('%.3f', {v}) ELSE '$0' END"""
+
+
+def humanize(n: str) -> str:
+    return HUMANIZE.format(n=n)
+
+
+def money(v: str) -> str:
+    return MONEY.format(v=v)
+
+
+def ts(text: str) -> str:
+    return f"TIMESTAMP '{text}'"
+
+
+def lines_cte(by: str, where: str = "TRUE") -> str:
+    """priced_rows(...) plus 'lines' (the report lines)."""
+    return f"""{priced_rows(by, where)},
+lines AS (SELECT key, {LINE_SELECT} FROM pr GROUP BY key)"""
+
+
+def model_grain_sql(by: str, where: str = "TRUE") -> str:
+    return f"""WITH {USAGE_CTE.strip()},
+km AS (SELECT {DIMS[by]} AS key, COALESCE(model, 'unknown') AS model, {MEASURES}
+       FROM usage WHERE {where} GROUP BY 1, 2)
+SELECT key, model, input, output, cache_read, cache_write, reasoning, events, ROUND(raw_cost, 6) AS raw_cost,
+       n_raw > 0 AS has_raw_cost, est_input, est_output, est_cache_read, est_cache_write, est_reasoning, est_events
+FROM km"""
+
+
+def session_rows_cte() -> str:
+    return f"""WITH {USAGE_CTE.strip()},
+{RATES_CTE.strip()},
+sm AS (
+  SELECT session_id, source, COALESCE(model, '') AS model, MAX(COALESCE(project, '')) AS project, {MEASURES},
+         MIN(ts) AS first_ts, MAX(ts) AS last_ts
+  FROM usage WHERE session_id IS NOT NULL AND session_id <> '' GROUP BY 1, 2, 3
+),
+pr AS (SELECT {PRICED_SELECT} FROM sm a LEFT JOIN rates r ON a.model = r.model),
+sess AS (
+  SELECT session_id, source, arg_min(project, model) AS project, COUNT(*) AS models,
+    CAST(SUM(input) AS BIGINT) AS input, CAST(SUM(output) AS BIGINT) AS output,
+    CAST(SUM(cache_read) AS BIGINT) AS cache_read, CAST(SUM(cache_write) AS BIGINT) AS cache_write,
+    CAST(SUM(reasoning) AS BIGINT) AS reasoning,
+    CAST(SUM(input) + SUM(output) + SUM(cache_read) + SUM(cache_write) + SUM(reasoning) AS BIGINT) AS total,
+    CAST(SUM(events) AS BIGINT) AS events, ROUND(SUM(cost), 6) AS cost,
+    CAST(SUM(CASE WHEN priced THEN 0 ELSE est_events END) AS BIGINT) AS unpriced_events,
+    MIN(first_ts) AS first_ts, MAX(last_ts) AS last_ts,
+    date_diff('second', MIN(first_ts), MAX(last_ts)) AS duration_s
+  FROM pr GROUP BY 1, 2
+)"""
+
+
+# Per-event cost (linear form of the pricing policy): the reported cost when
+# present, otherwise tokens x rates when the model has a price, otherwise 0.
+EVENT_COST_CTE = """
+ec AS (
+  SELECT u.ts, COALESCE(u.raw_cost, CASE WHEN r.price_key IS NOT NULL THEN
+      u.input * r.input_rate + u.output * r.output_rate + u.cache_read * r.cache_read_rate
+      + u.cache_write * r.cache_write_rate + u.reasoning * r.reasoning_rate ELSE 0.0 END) AS cost
+  FROM usage u LEFT JOIN rates r ON COALESCE(u.model, 'unknown') = r.model
+)"""
+
+
+def event_cost_cte() -> str:
+    return f"""WITH {USAGE_CTE.strip()},
+{RATES_CTE.strip()},
+{EVENT_COST_CTE.strip()}"""
+
+
+# Expected normalised form and candidate spellings of each
+# derived model name, written out by hand.
+NORM_VALUES = """
+  ('claude-sonnet-4-5', 'claude-sonnet-4-5'), ('claude-opus-4-1-20250805', 'claude-opus-4-1'),
+  ('gemini-2.5-pro', 'gemini-2.5-pro'), ('claude-3.5-haiku', 'claude-3.5-haiku'), ('gpt-4-1', 'gpt-4-1'),
+  ('gpt-4o-latest', 'gpt-4o'), ('GPT-5-Mini', 'gpt-5-mini'), ('gpt-5', 'gpt-5'),
+  ('openrouter/anthropic/claude-sonnet-4-5', 'openrouter/anthropic/claude-sonnet-4-5'), ('grok-4', 'grok-4'),
+  ('mystery-model-9', 'mystery-model-9'), ('', '')"""
+
+CANDIDATE_VALUES = """
+  ('claude-sonnet-4-5', 0, 'claude-sonnet-4-5'), ('claude-sonnet-4-5', 1, 'anthropic/claude-sonnet-4-5'),
+  ('claude-sonnet-4-5', 2, 'openai/claude-sonnet-4-5'), ('claude-sonnet-4-5', 3, 'gemini/claude-sonnet-4-5'),
+  ('claude-sonnet-4-5', 4, 'vertex_ai/claude-sonnet-4-5'), ('claude-sonnet-4-5', 5, 'openrouter/claude-sonnet-4-5'),
+  ('claude-sonnet-4-5', 6, 'claude-sonnet-4.5'),
+  ('claude-opus-4-1-20250805', 0, 'claude-opus-4-1-20250805'),
+  ('claude-opus-4-1-20250805', 1, 'anthropic/claude-opus-4-1-20250805'),
+  ('claude-opus-4-1-20250805', 2, 'openai/claude-opus-4-1-20250805'),
+  ('claude-opus-4-1-20250805', 3, 'gemini/claude-opus-4-1-20250805'),
+  ('claude-opus-4-1-20250805', 4, 'vertex_ai/claude-opus-4-1-20250805'),
+  ('claude-opus-4-1-20250805', 5, 'openrouter/claude-opus-4-1-20250805'),
+  ('claude-opus-4-1-20250805', 6, 'claude-opus-4-1.20250805'),
+  ('gemini-2.5-pro', 0, 'gemini-2.5-pro'), ('gemini-2.5-pro', 1, 'anthropic/gemini-2.5-pro'),
+  ('gemini-2.5-pro', 2, 'openai/gemini-2.5-pro'), ('gemini-2.5-pro', 3, 'gemini/gemini-2.5-pro'),
+  ('gemini-2.5-pro', 4, 'vertex_ai/gemini-2.5-pro'), ('gemini-2.5-pro', 5, 'openrouter/gemini-2.5-pro'),
+  ('gemini-2.5-pro', 6, 'gemini-2-5-pro'),
+  ('claude-3.5-haiku', 0, 'claude-3.5-haiku'), ('claude-3.5-haiku', 1, 'anthropic/claude-3.5-haiku'),
+  ('claude-3.5-haiku', 2, 'openai/claude-3.5-haiku'), ('claude-3.5-haiku', 3, 'gemini/claude-3.5-haiku'),
+  ('claude-3.5-haiku', 4, 'vertex_ai/claude-3.5-haiku'), ('claude-3.5-haiku', 5, 'openrouter/claude-3.5-haiku'),
+  ('claude-3.5-haiku', 6, 'claude-3-5-haiku'),
+  ('gpt-4-1', 0, 'gpt-4-1'), ('gpt-4-1', 1, 'anthropic/gpt-4-1'), ('gpt-4-1', 2, 'openai/gpt-4-1'),
+  ('gpt-4-1', 3, 'gemini/gpt-4-1'), ('gpt-4-1', 4, 'vertex_ai/gpt-4-1'), ('gpt-4-1', 5, 'openrouter/gpt-4-1'),
+  ('gpt-4-1', 6, 'gpt-4.1'),
+  ('gpt-4o-latest', 0, 'gpt-4o-latest'), ('gpt-4o-latest', 1, 'anthropic/gpt-4o-latest'),
+  ('gpt-4o-latest', 2, 'openai/gpt-4o-latest'), ('gpt-4o-latest', 3, 'gemini/gpt-4o-latest'),
+  ('gpt-4o-latest', 4, 'vertex_ai/gpt-4o-latest'), ('gpt-4o-latest', 5, 'openrouter/gpt-4o-latest'),
+  ('GPT-5-Mini', 0, 'GPT-5-Mini'), ('GPT-5-Mini', 1, 'gpt-5-mini'), ('GPT-5-Mini', 2, 'anthropic/GPT-5-Mini'),
+  ('GPT-5-Mini', 3, 'openai/GPT-5-Mini'), ('GPT-5-Mini', 4, 'gemini/GPT-5-Mini'),
+  ('GPT-5-Mini', 5, 'vertex_ai/GPT-5-Mini'), ('GPT-5-Mini', 6, 'openrouter/GPT-5-Mini'),
+  ('gpt-5', 0, 'gpt-5'), ('gpt-5', 1, 'anthropic/gpt-5'), ('gpt-5', 2, 'openai/gpt-5'), ('gpt-5', 3, 'gemini/gpt-5'),
+  ('gpt-5', 4, 'vertex_ai/gpt-5'), ('gpt-5', 5, 'openrouter/gpt-5'),
+  ('openrouter/anthropic/claude-sonnet-4-5', 0, 'openrouter/anthropic/claude-sonnet-4-5'),
+  ('openrouter/anthropic/claude-sonnet-4-5', 1, 'anthropic/claude-sonnet-4-5'),
+  ('openrouter/anthropic/claude-sonnet-4-5', 2, 'claude-sonnet-4-5'),
+  ('openrouter/anthropic/claude-sonnet-4-5', 3, 'openrouter/anthropic/claude-sonnet-4.5'),
+  ('grok-4', 0, 'grok-4'), ('grok-4', 1, 'anthropic/grok-4'), ('grok-4', 2, 'openai/grok-4'),
+  ('grok-4', 3, 'gemini/grok-4'), ('grok-4', 4, 'vertex_ai/grok-4'), ('grok-4', 5, 'openrouter/grok-4'),
+  ('mystery-model-9', 0, 'mystery-model-9'), ('mystery-model-9', 1, 'anthropic/mystery-model-9'),
+  ('mystery-model-9', 2, 'openai/mystery-model-9'), ('mystery-model-9', 3, 'gemini/mystery-model-9'),
+  ('mystery-model-9', 4, 'vertex_ai/mystery-model-9'), ('mystery-model-9', 5, 'openrouter/mystery-model-9')"""
+
+
+def day_series_cte(first_day: str, days: int) -> str:
+    return f"""cal AS (
+  SELECT CAST(i AS INTEGER) AS i, strftime(DATE '{first_day}' + CAST(i AS INTEGER), '%Y-%m-%d') AS day
+  FROM range({days}) t(i)
+),
+tot AS (
+  SELECT strftime(ts, '%Y-%m-%d') AS day, SUM(input + output + cache_read + cache_write + reasoning) AS total
+  FROM usage WHERE ts >= TIMESTAMP '{first_day} 00:00:00' GROUP BY 1
+),
+series AS (SELECT cal.i, cal.day, CAST(COALESCE(tot.total, 0) AS BIGINT) AS total FROM cal LEFT JOIN tot USING (day))"""
+
+
 def statements() -> dict[str, str]:
+    w7 = ts("2024-01-24 12:00:00")
     out = {
         "report_tool": report_sql("tool"),
         "report_model": report_sql("model"),
         "report_day": report_sql("day"),
         "report_project": report_sql("project"),
         "report_session": report_sql("session"),
+        "report_total": report_total_sql("tool"),
+        "report_model_by_cost": report_sql("model"),
+        "usage_window": report_sql("tool", f"ts >= {w7} AND ts < {ts('2024-01-30 12:00:00')}"),
+        "usage_by_model_one_source": report_sql("model", "source = 'codex'"),
+        "agg_tool_model": model_grain_sql("tool"),
+        "agg_day_model": model_grain_sql("day"),
+        "raw_est_split": model_grain_sql("model", "source = 'opencode'"),
+        "daily_from": report_sql("day", f"ts >= {ts('2024-01-20 00:00:00')}"),
     }
+    out["session_model"] = f"""{session_rows_cte()}
+SELECT session_id, source, model, project, input, output, cache_read, cache_write, reasoning, events,
+       ROUND(raw_cost, 6) AS raw_cost, est_events, ROUND(cost, 6) AS cost,
+       CAST(CASE WHEN priced THEN 0 ELSE est_events END AS BIGINT) AS unpriced_events, first_ts, last_ts
+FROM pr"""
+    out["sessions"] = f"""{session_rows_cte()}
+SELECT * FROM sess"""
+    out["sessions_total"] = f"""{session_rows_cte()}
+SELECT COUNT(*) AS sessions, CAST(COALESCE(SUM(total), 0) AS BIGINT) AS total,
+       CAST(COALESCE(SUM(events), 0) AS BIGINT) AS events, ROUND(COALESCE(SUM(cost), 0.0), 6) AS cost,
+       CAST(COALESCE(SUM(unpriced_events), 0) AS BIGINT) AS unpriced_events
+FROM sess"""
+    out["source_stats"] = f"""WITH {USAGE_CTE.strip()}
+SELECT source, COUNT(*) AS events, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM usage GROUP BY source"""
+    out["earliest_event"] = f"""WITH {USAGE_CTE.strip()}
+SELECT MIN(ts) AS earliest_ts FROM usage"""
+    out["unpriced_models"] = f"""{priced_rows("model")}
+SELECT DISTINCT model FROM pr WHERE NOT priced AND est_events > 0"""
+    out["price_resolve"] = f"""WITH {USAGE_CTE.strip()},
+{RATES_CTE.strip()},
+m AS (SELECT DISTINCT COALESCE(model, 'unknown') AS model FROM usage)
+SELECT m.model, r.price_key FROM m LEFT JOIN rates r ON m.model = r.model"""
+    out["price_norm_index"] = f"""WITH {USAGE_CTE.strip()},
+expected(model, norm) AS (VALUES {NORM_VALUES.strip()}),
+m AS (SELECT DISTINCT COALESCE(model, 'unknown') AS model FROM usage)
+SELECT m.model, e.norm FROM m JOIN expected e ON m.model = e.model"""
+    out["price_candidates"] = f"""WITH {USAGE_CTE.strip()},
+expected(model, ord, cand) AS (VALUES {CANDIDATE_VALUES.strip()}),
+m AS (SELECT DISTINCT COALESCE(model, 'unknown') AS model FROM usage)
+SELECT m.model, CAST(e.ord AS INTEGER) AS ord, e.cand FROM m JOIN expected e ON m.model = e.model"""
+    out["price_rows"] = f"""{priced_rows("tool")}
+SELECT key, model, events, est_events, n_raw, price_key, ROUND(cost, 6) AS cost, priced,
+       CAST(CASE WHEN priced THEN 0 ELSE est_events END AS BIGINT) AS unpriced_events
+FROM pr"""
+    out["statusline"] = f"""{lines_cte("tool", f"ts >= {ts('2024-01-28 12:00:00')}")},
+agg AS (
+  SELECT ROUND(COALESCE(SUM(cost), 0.0), 6) AS cost, COUNT(*) AS tools, CAST(COALESCE(SUM(total), 0) AS BIGINT) AS total,
+         CAST(COALESCE(SUM(events), 0) AS BIGINT) AS events, COALESCE(BOOL_OR(unpriced_events > 0), false) AS has_unpriced
+  FROM lines
+)
+SELECT cost, tools, total, events, has_unpriced,
+  CASE WHEN tools = 0 THEN 'no data' ELSE
+    printf('%s%s  ·  %d tools  ·  %s tok  ·  %d events', {money("cost")},
+           CASE WHEN has_unpriced THEN '*' ELSE '' END, tools, {humanize("total")}, events) END AS text
+FROM agg"""
+    out["efficiency"] = f"""{lines_cte("tool", f"ts >= {w7}")},
+agg AS (SELECT CAST(COALESCE(SUM(total), 0) AS BIGINT) AS total_tokens, COALESCE(SUM(cost), 0.0) AS cost,
+               CAST(COALESCE(SUM(cache_read), 0) AS BIGINT) AS cache_read FROM lines),
+r AS (SELECT *, CASE WHEN total_tokens > 0 THEN cache_read / CAST(total_tokens AS DOUBLE) ELSE 0.0 END AS rate FROM agg)
+SELECT total_tokens, ROUND(cost, 6) AS total_cost,
+  ROUND(CASE WHEN total_tokens > 0 THEN cost / CAST(total_tokens AS DOUBLE) * 1e6 ELSE 0.0 END, 6) AS cost_per_mtok,
+  ROUND(rate, 6) AS cache_hit_rate,
+  CASE WHEN rate > 0.1 THEN 'saving' WHEN rate > 0 THEN 'low' ELSE '' END AS verdict
+FROM r"""
+    for key, prev_cond in (("compare_periods", f"ts >= {ts('2024-01-17 12:00:00')}"),
+                           ("compare_disjoint", f"ts >= {ts('2024-01-17 12:00:00')} AND ts < {w7}")):
+        out[key] = f"""{event_cost_cte()},
+c AS (SELECT ROUND(COALESCE(SUM(CASE WHEN ts >= {w7} THEN cost END), 0.0), 6) AS cur,
+             ROUND(COALESCE(SUM(CASE WHEN {prev_cond} THEN cost END), 0.0), 6) AS prev FROM ec),
+d AS (SELECT *, CASE WHEN prev > 0 THEN (cur - prev) / prev * 100 ELSE 0.0 END AS change FROM c)
+SELECT cur AS current, prev AS previous, ROUND(change, 6) AS change_pct,
+  CASE WHEN change > 20 THEN 'increase' WHEN change < -20 THEN 'decrease' ELSE '' END AS band,
+  '2024-01-24' AS period, '2024-01-17' AS prev_text
+FROM d"""
+    cards = []
+    for name, start in (("today", "2024-01-31"), ("7d", "2024-01-24"), ("30d", "2024-01-01"), ("all", "0001-01-01")):
+        cards.append(f"""SELECT '{name}' AS card, '{start}' AS start_day,
+  CAST(COALESCE(SUM(CASE WHEN key >= '{start}' THEN total END), 0) AS BIGINT) AS total,
+  ROUND(COALESCE(SUM(CASE WHEN key >= '{start}' THEN cost END), 0.0), 6) AS cost,
+  COALESCE(BOOL_OR(CASE WHEN key >= '{start}' THEN unpriced_events > 0 END), false) AS unpriced
+FROM lines""")
+    out["summary_cards"] = lines_cte("day") + "\n" + "\nUNION ALL\n".join(cards)
+    out["insights"] = f"""{lines_cte("tool")},
+mods AS (
+  SELECT COUNT(DISTINCT a.model) AS n FROM (
+    SELECT COALESCE(model, 'unknown') AS model, COUNT(raw_cost) AS n_raw, COUNT(CASE WHEN raw_cost IS NULL THEN 1 END) AS est_events
+    FROM usage GROUP BY 1) a LEFT JOIN rates r ON a.model = r.model
+  WHERE r.price_key IS NULL AND a.est_events > 0
+),
+top AS (SELECT key, total FROM lines ORDER BY total DESC, key LIMIT 1),
+agg AS (SELECT SUM(total) AS all_total, SUM(cache_read) AS cache_read, COUNT(*) AS tools FROM lines)
+SELECT CASE WHEN top.total > 0 THEN top.key END AS top_tool, CAST(top.total AS BIGINT) AS top_total,
+  CASE WHEN agg.tools > 1 AND top.total > 0 THEN ROUND(CAST(top.total AS DOUBLE) / CAST(agg.all_total AS DOUBLE) * 100, 6) END AS share_pct,
+  CAST(mods.n AS BIGINT) AS unpriced_models,
+  CASE WHEN agg.all_total > 0 AND CAST(agg.cache_read AS DOUBLE) / CAST(agg.all_total AS DOUBLE) > 0.01
+       THEN ROUND(CAST(agg.cache_read AS DOUBLE) / CAST(agg.all_total AS DOUBLE) * 100, 6) END AS cache_pct
+FROM top, agg, mods"""
+    out["cost_hint"] = f"""{lines_cte("model")},
+top AS (SELECT key, cost FROM lines ORDER BY cost DESC, key LIMIT 1),
+agg AS (SELECT SUM(input) AS input FROM lines),
+h AS (
+  SELECT CASE WHEN top.cost > 0 THEN top.key END AS top_key, ROUND(top.cost, 6) AS top_cost, agg.input FROM top, agg
+),
+t AS (
+  SELECT top_key, top_cost, concat_ws('; ',
+    CASE WHEN contains(top_key, 'Pro') OR contains(top_key, 'Opus')
+         THEN 'consider ' || replace(top_key, 'Pro', 'Haiku') || ' for simpler tasks' END,
+    CASE WHEN input > 10000000 THEN 'batch requests or use smaller context windows' END) AS hint
+  FROM h
+)
+SELECT top_key, top_cost, NULLIF(hint, '') AS hint FROM t"""
+    out["run_rate"] = f"""{lines_cte("tool", f"ts >= {w7}")},
+agg AS (SELECT COALESCE(SUM(cost), 0.0) AS c FROM lines)
+SELECT ROUND(c, 6) AS cost, CAST(168.0 AS DOUBLE) AS hours,
+  ROUND(c / CAST(168.0 AS DOUBLE) * 24 * 30, 6) AS monthly, (c / CAST(168.0 AS DOUBLE) * 24 * 30) > c AS rising
+FROM agg"""
+    rows = []
+    for spec, bound, period, budget in (("today", "2024-01-31 00:00:00", "daily", "5.0"),
+                                        ("24h", "2024-01-30 12:00:00", "monthly", "100.0"),
+                                        ("7d", "2024-01-24 12:00:00", "monthly", "100.0"),
+                                        ("30d", "2024-01-01 12:00:00", "weekly", "25.0")):
+        rows.append(f"""SELECT '{spec}' AS spec, '{period}' AS period, COALESCE(SUM(CASE WHEN ts >= {ts(bound)} THEN cost END), 0.0) AS c,
+  CAST({budget} AS DOUBLE) AS budget FROM ec""")
+    out["budget_check"] = f"""{event_cost_cte()},
+b AS ({" UNION ALL ".join(rows)})
+SELECT spec, period, ROUND(c, 6) AS cost, budget, c > budget AS exceeded, ROUND(c / budget * 100, 6) AS pct FROM b"""
+    out["top_models"] = f"""{lines_cte("model")}
+SELECT (SELECT key FROM lines ORDER BY total DESC, key LIMIT 1) AS top_by_tokens,
+       (SELECT MAX(total) FROM lines) AS tokens,
+       (SELECT key FROM lines ORDER BY cost DESC, key LIMIT 1) AS top_by_cost,
+       (SELECT MAX(cost) FROM lines) AS cost"""
+    out["tool_status"] = f"""WITH {USAGE_CTE.strip()},
+known(tool) AS (VALUES ('antigravity'), ('claude-code'), ('codex'), ('opencode')),
+st AS (SELECT source, COUNT(*) AS events, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM usage GROUP BY source)
+SELECT k.tool, COALESCE(st.events, 0) > 0 AS detected, CAST(COALESCE(st.events, 0) AS BIGINT) AS events,
+       st.first_ts, st.last_ts
+FROM known k LEFT JOIN st ON k.tool = st.source"""
+    out["trend_30d"] = f"""WITH {USAGE_CTE.strip()},
+{day_series_cte("2024-01-02", 30)},
+m AS (SELECT MAX(total) AS peak FROM series)
+SELECT i, day, total, CAST(CASE WHEN peak = 0 THEN 0
+    WHEN total > 0 AND floor(CAST(total AS DOUBLE) / CAST(peak AS DOUBLE) * 56.0) = 0 THEN 1
+    ELSE floor(CAST(total AS DOUBLE) / CAST(peak AS DOUBLE) * 56.0) END AS INTEGER) AS level
+FROM series, m"""
+    out["streak_days"] = f"""WITH {USAGE_CTE.strip()},
+{day_series_cte("2023-10-05", 119)}
+SELECT i, day, total FROM series"""
+    out["streak_stats"] = f"""WITH {USAGE_CTE.strip()},
+{day_series_cte("2023-10-05", 119)},
+marked AS (
+  SELECT i, total, CASE WHEN total > 0 THEN 1 ELSE 0 END AS active,
+         SUM(CASE WHEN total > 0 THEN 0 ELSE 1 END) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS island
+  FROM series
+),
+runs AS (SELECT island, COUNT(*) AS run FROM marked WHERE active = 1 GROUP BY island),
+last AS (SELECT MAX(island) AS li FROM marked)
+SELECT COUNT(*) AS days, CAST(SUM(active) AS BIGINT) AS active_days,
+  CAST(floor(SUM(active) * 100 / COUNT(*)) AS BIGINT) AS active_pct,
+  CAST((SELECT COALESCE(MAX(run), 0) FROM runs) AS BIGINT) AS longest,
+  CAST((SELECT COALESCE(MAX(run), 0) FROM runs, last WHERE island = li) AS BIGINT) AS current,
+  MAX(total) AS peak
+FROM marked"""
+    out["heatmap_grid"] = f"""WITH {USAGE_CTE.strip()},
+{day_series_cte("2023-10-05", 119)},
+m AS (SELECT MAX(total) AS peak FROM series),
+p AS (SELECT isodow(DATE '2023-10-05') - 1 AS pad)
+SELECT day, total, CAST((i + pad) % 7 AS INTEGER) AS row, CAST(floor((i + pad) / 7) AS INTEGER) AS col,
+  CAST(CASE WHEN total = 0 THEN NULL ELSE LEAST(floor(CAST(total AS DOUBLE) / CAST(peak AS DOUBLE) * 3.0), 3) END
+       AS INTEGER) AS intensity
+FROM series, m, p"""
+    out["share_of_max"] = f"""{lines_cte("tool")},
+m AS (SELECT MAX(total) AS peak FROM lines)
+SELECT lines.*, CASE WHEN peak > 0 THEN ROUND(CAST(total AS DOUBLE) / CAST(peak AS DOUBLE), 6) ELSE 0.0 END AS share
+FROM lines, m"""
+    out["fmt_report"] = f"""{lines_cte("model")}
+SELECT key, {humanize("input")} AS input_text, {humanize("output")} AS output_text,
+  {humanize("cache_read")} AS cache_read_text, {humanize("cache_write")} AS cache_write_text,
+  {humanize("reasoning")} AS reasoning_text, {humanize("total")} AS total_text, events,
+  CASE WHEN cost = 0 AND unpriced_events > 0 THEN '-*'
+       WHEN unpriced_events > 0 THEN {money("cost")} || '*' ELSE {money("cost")} END AS cost_text
+FROM lines"""
+    out["short_project"] = f"""{lines_cte("project")}
+SELECT key, CASE WHEN key = '' THEN '(unknown)'
+  WHEN len(string_split(rtrim(key, '/'), '/')) <= 3 THEN key
+  ELSE '.../' || array_to_string(string_split(rtrim(key, '/'), '/')[-2:], '/') END AS label, total
+FROM lines"""
+    bounds = [("since", "today", "2024-01-31 00:00:00"), ("since", "36h", "2024-01-30 00:00:00"),
+              ("since", "2w", "2024-01-17 12:00:00"), ("since", "1m", "2023-12-31 12:00:00"),
+              ("since", "2024-01-15", "2024-01-15 00:00:00"), ("since", "all", None),
+              ("until", "2024-01-10", "2024-01-11 00:00:00"), ("until", "3d", "2024-01-28 12:00:00")]
+    parts = []
+    for kind, spec, b in bounds:
+        if b is None:
+            parts.append(f"SELECT '{kind}' AS kind, '{spec}' AS spec, CAST(NULL AS TIMESTAMP) AS bound, COUNT(*) AS events FROM usage")
+        else:
+            op = ">=" if kind == "since" else "<"
+            parts.append(f"SELECT '{kind}' AS kind, '{spec}' AS spec, {ts(b)} AS bound, "
+                         f"COUNT(CASE WHEN ts {op} {ts(b)} THEN 1 END) AS events FROM usage")
+    out["since_bounds"] = f"""WITH {USAGE_CTE.strip()}
+{" UNION ALL ".join(parts)}"""
     return out

@@ -3,29 +3,253 @@
 Every query reads the driver tables (through the derived usage table or the
 log lines built from ``events``) over their whole extent; the SQL statement
 of the same name in ``ledgerline.oracle`` computes the expected answer.
+Time-relative queries use the pinned clock ``NOW`` of the derived table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.plans.report import build_report
-from ledgerline.sources.eventlog import usage_table
+from ledgerline.functions import fmt
+from ledgerline.functions.bounds import parse_since, parse_until
+from ledgerline.functions.names import model_candidates, normalize_model
+from ledgerline.operators import aggregate as agg
+from ledgerline.operators import calendar as cal
+from ledgerline.operators.pricing import attach_rates, price_rows, resolve_models
+from ledgerline.plans import insights as ins
+from ledgerline.plans.report import build_report, report_by_cost, unpriced_models
+from ledgerline.plans.sessions import build_sessions, session_model_rows, sessions_total
+from ledgerline.schema import TOKEN_CLASSES
+from ledgerline.sources.eventlog import NOW, usage_table
 from ledgerline.sources.prices import read_price_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Fixed parameters of the registered queries.
+WINDOW_SINCE = NOW - timedelta(days=7)
+WINDOW_UNTIL = NOW - timedelta(days=1)
+PREV_SINCE = NOW - timedelta(days=14)
+DAY_CUT = datetime(2024, 1, 20, 15, 30, 0)
+STATUS_SINCE = NOW - timedelta(days=3)
+BUDGET_SPECS = ["today", "24h", "7d", "30d"]
+BOUND_SPECS = [("since", "today"), ("since", "36h"), ("since", "2w"), ("since", "1m"), ("since", "2024-01-15"),
+               ("since", "all"), ("until", "2024-01-10"), ("until", "3d")]
+
+
+def _inputs(spark: SparkSession, sf_dir: str):
+    return usage_table(spark, sf_dir), read_price_list(spark)
+
 
 def _report(by: str, **kw) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return build_report(usage_table(spark, sf_dir), read_price_list(spark), by=by, **kw)
+    def run(spark, sf_dir):
+        usage, prices = _inputs(spark, sf_dir)
+        return build_report(usage, prices, by=by, **kw)
+
+    return run
+
+
+def _model_grain(by: str, source: str | None = None) -> Query:
+    def run(spark, sf_dir):
+        usage = usage_table(spark, sf_dir)
+        rows = agg.usage_aggregate(agg.window(usage, source=source), by)
+        return rows.select(
+            "key", "model", *TOKEN_CLASSES, "events",
+            F.round("raw_cost", 6).alias("raw_cost"),
+            (F.col("n_raw") > 0).alias("has_raw_cost"),
+            *[f"est_{c}" for c in TOKEN_CLASSES], "est_events",
+        )
 
-    run.__name__ = f"report_{by}"
     return run
 
 
+def q_report_model_by_cost(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return report_by_cost(build_report(usage, prices, by="model"))
+
+
+def q_session_model(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    rows = session_model_rows(usage, prices)
+    return rows.select(
+        "session_id", "source", "model", "project", *TOKEN_CLASSES, "events",
+        F.round("raw_cost", 6).alias("raw_cost"), "est_events",
+        F.round("cost", 6).alias("cost"), F.col("unpriced_events").cast("bigint").alias("unpriced_events"),
+        "first_ts", "last_ts",
+    )
+
+
+def q_sessions(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return build_sessions(usage, prices)
+
+
+def q_sessions_total(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return sessions_total(build_sessions(usage, prices))
+
+
+def q_source_stats(spark, sf_dir):
+    return agg.source_stats(usage_table(spark, sf_dir))
+
+
+def q_earliest_event(spark, sf_dir):
+    return agg.earliest_event(usage_table(spark, sf_dir))
+
+
+def q_unpriced_models(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return unpriced_models(usage, prices, by="model")
+
+
+def _distinct_models(spark, sf_dir) -> DataFrame:
+    usage = usage_table(spark, sf_dir)
+    return usage.select(F.coalesce(F.col("model"), F.lit("unknown")).alias("model")).distinct()
+
+
+def q_price_resolve(spark, sf_dir):
+    models = _distinct_models(spark, sf_dir)
+    resolved = resolve_models(models, read_price_list(spark))
+    return models.join(resolved, "model", "left").select("model", "price_key")
+
+
+def q_price_norm_index(spark, sf_dir):
+    return _distinct_models(spark, sf_dir).select("model", normalize_model("model").alias("norm"))
+
+
+def q_price_candidates(spark, sf_dir):
+    return _distinct_models(spark, sf_dir).select("model", F.posexplode(model_candidates("model")).alias("ord", "cand"))
+
+
+def q_price_rows(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    rows = price_rows(attach_rates(agg.usage_aggregate(usage, "tool"), prices))
+    return rows.select(
+        "key", "model", "events", "est_events", "n_raw", "price_key",
+        F.round("cost", 6).alias("cost"), "priced", F.col("unpriced_events").cast("bigint").alias("unpriced_events"),
+    )
+
+
+def q_statusline(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return ins.statusline(usage, prices, NOW, since=STATUS_SINCE)
+
+
+def q_efficiency(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return ins.efficiency(build_report(usage, prices, by="tool", since=WINDOW_SINCE))
+
+
+def q_compare(disjoint: bool) -> Query:
+    def run(spark, sf_dir):
+        usage, prices = _inputs(spark, sf_dir)
+        return ins.compare_periods(usage, prices, WINDOW_SINCE, PREV_SINCE, disjoint=disjoint)
+
+    return run
+
+
+def q_summary_cards(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return ins.summary_cards(usage, prices, NOW)
+
+
+def q_insights(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return ins.insights(usage, prices)
+
+
+def q_cost_hint(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return ins.cost_hint(build_report(usage, prices, by="model"))
+
+
+def q_run_rate(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return ins.run_rate(build_report(usage, prices, by="tool", since=WINDOW_SINCE), WINDOW_SINCE, NOW)
+
+
+def q_budget_check(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return ins.budget_check(usage, prices, NOW, BUDGET_SPECS)
+
+
+def q_top_models(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return ins.top_models(build_report(usage, prices, by="model"))
+
+
+def q_tool_status(spark, sf_dir):
+    return ins.tool_status(usage_table(spark, sf_dir))
+
+
+def q_daily_from(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return ins.daily_from(usage, prices, DAY_CUT)
+
+
+def q_trend_30d(spark, sf_dir):
+    return cal.trend(usage_table(spark, sf_dir), NOW)
+
+
+def q_streak_days(spark, sf_dir):
+    return cal.day_series(usage_table(spark, sf_dir), NOW, cal.STREAK_WEEKS * 7)
+
+
+def q_streak_stats(spark, sf_dir):
+    return cal.streak_stats(usage_table(spark, sf_dir), NOW)
+
+
+def q_heatmap_grid(spark, sf_dir):
+    return cal.heatmap_grid(usage_table(spark, sf_dir), NOW)
+
+
+def q_share_of_max(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return cal.share_of_max(build_report(usage, prices, by="tool"))
+
+
+def q_fmt_report(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    lines = build_report(usage, prices, by="model")
+    return lines.select(
+        "key",
+        *[fmt.humanize(F.col(c)).alias(f"{c}_text") for c in TOKEN_CLASSES + ["total"]],
+        "events",
+        fmt.cost_cell("cost", "unpriced_events").alias("cost_text"),
+    )
+
+
+def q_short_project(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    lines = build_report(usage, prices, by="project")
+    return lines.select("key", fmt.short_project("key").alias("label"), "total")
+
+
+def q_since_bounds(spark, sf_dir):
+    """Events inside each parsed bound (one conditional-count pass)."""
+    usage = usage_table(spark, sf_dir)
+    bounds = [parse_since(spec, NOW) if kind == "since" else parse_until(spec, NOW) for kind, spec in BOUND_SPECS]
+    counts = []
+    for i, ((kind, _), bound) in enumerate(zip(BOUND_SPECS, bounds)):
+        if bound is None:
+            cond = F.lit(True)
+        else:
+            cond = (F.col("ts") >= F.lit(bound)) if kind == "since" else (F.col("ts") < F.lit(bound))
+        counts.append(F.count(F.when(cond, F.lit(1))).alias(f"n{i}"))
+    rows = ", ".join(
+        f"'{kind}', '{spec}', CAST({_ts_literal(b)} AS TIMESTAMP_NTZ), n{i}"
+        for i, ((kind, spec), b) in enumerate(zip(BOUND_SPECS, bounds))
+    )
+    return usage.agg(*counts).selectExpr(f"stack({len(BOUND_SPECS)}, {rows}) AS (kind, spec, bound, events)")
+
+
+def _ts_literal(t: datetime | None) -> str:
+    return "NULL" if t is None else f"TIMESTAMP_NTZ'{t:%Y-%m-%d %H:%M:%S}'"
+
+
 def registry() -> dict[str, Query]:
     return {
         "report_tool": _report("tool"),
@@ -33,4 +257,41 @@ def registry() -> dict[str, Query]:
         "report_day": _report("day"),
         "report_project": _report("project"),
         "report_session": _report("session"),
+        "report_total": _report("tool", with_total=True),
+        "report_model_by_cost": q_report_model_by_cost,
+        "usage_window": _report("tool", since=WINDOW_SINCE, until=WINDOW_UNTIL),
+        "usage_by_model_one_source": _report("model", source="codex"),
+        "agg_tool_model": _model_grain("tool"),
+        "agg_day_model": _model_grain("day"),
+        "raw_est_split": _model_grain("model", source="opencode"),
+        "session_model": q_session_model,
+        "sessions": q_sessions,
+        "sessions_total": q_sessions_total,
+        "source_stats": q_source_stats,
+        "earliest_event": q_earliest_event,
+        "unpriced_models": q_unpriced_models,
+        "price_resolve": q_price_resolve,
+        "price_norm_index": q_price_norm_index,
+        "price_candidates": q_price_candidates,
+        "price_rows": q_price_rows,
+        "statusline": q_statusline,
+        "efficiency": q_efficiency,
+        "compare_periods": q_compare(False),
+        "compare_disjoint": q_compare(True),
+        "summary_cards": q_summary_cards,
+        "insights": q_insights,
+        "cost_hint": q_cost_hint,
+        "run_rate": q_run_rate,
+        "budget_check": q_budget_check,
+        "top_models": q_top_models,
+        "tool_status": q_tool_status,
+        "daily_from": q_daily_from,
+        "trend_30d": q_trend_30d,
+        "streak_days": q_streak_days,
+        "streak_stats": q_streak_stats,
+        "heatmap_grid": q_heatmap_grid,
+        "share_of_max": q_share_of_max,
+        "fmt_report": q_fmt_report,
+        "short_project": q_short_project,
+        "since_bounds": q_since_bounds,
     }
