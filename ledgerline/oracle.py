@@ -33,7 +33,8 @@ usage AS (
     CAST(CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) * 10 AS BIGINT) AS cache_read,
     CAST(event_id % 50 AS BIGINT) AS cache_write,
     CAST(event_id % 20 AS BIGINT) AS reasoning,
-    CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN value / 100.0 END AS raw_cost
+    CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN value / 100.0 END AS raw_cost,
+    event_id, user_id, ts AS event_ts
   FROM events
 )"""
 
@@ -469,4 +470,87 @@ FROM lines"""
                          f"COUNT(CASE WHEN ts {op} {ts(b)} THEN 1 END) AS events FROM usage")
     out["since_bounds"] = f"""WITH {USAGE_CTE.strip()}
 {" UNION ALL ".join(parts)}"""
+    out.update(decoder_statements())
+    out["counter_diff"] = out["decode_codex"]
+    return out
+
+
+def decoder_statements() -> dict[str, str]:
+    u = f"WITH {USAGE_CTE.strip()}"
+    out = {}
+    out["decode_claude"] = f"""{u}
+SELECT 'claude-code' AS source,
+  CASE WHEN event_id % 10 = 0 THEN 'u' || CAST(event_id AS VARCHAR)
+       WHEN event_id % 9 = 0 THEN 'msg_' || CAST(event_id AS VARCHAR)
+       ELSE 'msg_' || CAST(event_id AS VARCHAR) || ':req_' || CAST(event_id AS VARCHAR) END AS dedup_key,
+  ts, model, session_id, project, input, output, cache_read, cache_write, CAST(0 AS BIGINT) AS reasoning,
+  CAST(NULL AS DOUBLE) AS raw_cost
+FROM usage, (VALUES (1), (2)) AS copies(c)
+WHERE model <> '' AND (c = 1 OR event_id % 7 = 0)"""
+    out["decode_codex"] = f"""{u},
+b AS (SELECT *, floor((dayofmonth(event_ts) - 1) / 7) AS week FROM usage),
+c AS (
+  SELECT *, MIN(week) OVER (PARTITION BY user_id) AS first_week,
+    SUM(input + cache_read + output + reasoning) OVER (PARTITION BY user_id, week ORDER BY event_ts, event_id
+                                                      ROWS UNBOUNDED PRECEDING) AS cum_total,
+    strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS ts_text
+  FROM b
+),
+d AS (
+  SELECT *, CASE WHEN user_id % 5 = 0 AND week > first_week THEN 'gpt-5' ELSE model END AS m,
+    CASE WHEN user_id % 4 = 0 AND week >= 2 THEN 'sid-b-' || CAST(user_id AS VARCHAR)
+         WHEN user_id % 3 = 0 THEN printf('%08d-0000-4000-8000-%012d', user_id, user_id)
+         ELSE 'sid-a-' || CAST(user_id AS VARCHAR) END AS sid
+  FROM c
+),
+ok AS (SELECT * FROM d WHERE m <> '' AND event_id % 19 <> 0),
+fb AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_ts, event_id) - 1 AS seq
+  FROM ok WHERE event_id % 23 = 0
+)
+SELECT 'codex' AS source, sid || ':' || ts_text || ':' || CAST(cum_total AS VARCHAR) AS dedup_key, ts, m AS model,
+  sid AS session_id, project, input, output, cache_read, CAST(0 AS BIGINT) AS cache_write, reasoning,
+  CAST(NULL AS DOUBLE) AS raw_cost
+FROM ok
+UNION ALL
+SELECT 'codex', sid || ':' || ts_text || ':' || CAST(cum_total + 12 AS VARCHAR) || ':' || CAST(seq AS VARCHAR), ts, m,
+  sid, project, CAST(5 AS BIGINT), CAST(4 AS BIGINT), CAST(2 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT),
+  CAST(NULL AS DOUBLE)
+FROM fb"""
+    out["decode_opencode"] = f"""{u}
+SELECT 'opencode' AS source, 'msg_' || CAST(event_id AS VARCHAR) AS dedup_key, ts, model, session_id, project,
+  input, output, cache_read, cache_write, reasoning,
+  COALESCE(raw_cost, CASE WHEN event_id % 3 = 0 THEN CAST(0.0 AS DOUBLE) END) AS raw_cost
+FROM usage WHERE model <> '' AND event_id % 11 <> 0 AND event_id % 13 <> 0"""
+    out["cursor_advance"] = f"""{u},
+r AS (
+  SELECT '/opencode/db' || CAST(user_id % 7 AS VARCHAR) || '.db' AS path, CAST(floor(epoch_us(event_ts) / 1000) AS BIGINT) AS tc,
+         event_id % 11 = 0 AS incomplete FROM usage
+  UNION ALL
+  SELECT '/opencode/db' || CAST(user_id % 7 AS VARCHAR) || '.db', CAST(floor(epoch_us(event_ts) / 1000) AS BIGINT) - 700, false
+  FROM usage WHERE event_id % 5 = 0
+),
+a AS (
+  SELECT path, MAX(tc) AS max_seen,
+    MIN(CASE WHEN incomplete AND tc >= epoch_ms(TIMESTAMP '2024-01-30 12:00:00') THEN tc END) AS pinned
+  FROM r GROUP BY path
+)
+SELECT path, CAST(0 AS BIGINT) AS cursor_ms, CAST(max_seen AS BIGINT) AS max_seen, CAST(pinned AS BIGINT) AS pinned,
+  CAST(CASE WHEN pinned IS NOT NULL AND pinned < max_seen THEN pinned ELSE max_seen END AS BIGINT) AS next_cursor
+FROM a"""
+    ranked = f"""{u},
+rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_ts, event_id) AS rn FROM usage)"""
+    out["decode_antigravity"] = f"""{ranked}
+SELECT 'antigravity' AS source,
+  CASE WHEN event_id % 10 = 0 THEN 'u' || CAST(user_id AS VARCHAR) || ':' || CAST(rn * 4 AS VARCHAR)
+       ELSE 'gen-' || CAST(event_id AS VARCHAR) END AS dedup_key,
+  ts, CASE WHEN user_id % 12 = 11 THEN 'antigravity-9999' ELSE model END AS model,
+  'u' || CAST(user_id AS VARCHAR) AS session_id, project, input, output, cache_read,
+  CAST(0 AS BIGINT) AS cache_write, CAST(0 AS BIGINT) AS reasoning, CAST(NULL AS DOUBLE) AS raw_cost
+FROM rk"""
+    out["cursor_idx"] = f"""{ranked}
+SELECT '/antigravity/conversations/u' || CAST(user_id AS VARCHAR) || '.db' AS path, CAST(0 AS BIGINT) AS last_idx,
+  CAST(MAX(rn * 4 + CASE WHEN event_id % 17 = 0 THEN 3 WHEN event_id % 11 = 0 THEN 2
+                         WHEN event_id % 13 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS next_idx
+FROM rk GROUP BY user_id"""
     return out

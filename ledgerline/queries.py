@@ -23,7 +23,8 @@ from ledgerline.operators.pricing import attach_rates, price_rows, resolve_model
 from ledgerline.plans import insights as ins
 from ledgerline.plans.report import build_report, report_by_cost, unpriced_models
 from ledgerline.plans.sessions import build_sessions, session_model_rows, sessions_total
-from ledgerline.schema import TOKEN_CLASSES
+from ledgerline.schema import TOKEN_CLASSES, USAGE_COLUMNS
+from ledgerline.sources import antigravity, claude, codex, fixtures, opencode
 from ledgerline.sources.eventlog import NOW, usage_table
 from ledgerline.sources.prices import read_price_list
 
@@ -250,6 +251,42 @@ def _ts_literal(t: datetime | None) -> str:
     return "NULL" if t is None else f"TIMESTAMP_NTZ'{t:%Y-%m-%d %H:%M:%S}'"
 
 
+def _events(spark, sf_dir):
+    from ledgerline.sources.eventlog import read_events
+
+    return read_events(spark, sf_dir)
+
+
+def _strip(decoded: DataFrame) -> DataFrame:
+    return decoded.select(*USAGE_COLUMNS)
+
+
+def q_decode_claude(spark, sf_dir):
+    return _strip(claude.decode(fixtures.claude_lines(_events(spark, sf_dir))))
+
+
+def q_decode_codex(spark, sf_dir):
+    return _strip(codex.decode(fixtures.codex_lines(_events(spark, sf_dir))))
+
+
+def q_decode_opencode(spark, sf_dir):
+    return _strip(opencode.decode(fixtures.opencode_messages(_events(spark, sf_dir))))
+
+
+def q_cursor_advance(spark, sf_dir):
+    return opencode.advance_cursor(fixtures.opencode_messages(_events(spark, sf_dir)), NOW)
+
+
+def q_decode_antigravity(spark, sf_dir):
+    steps, names, traj = fixtures.antigravity_tables(_events(spark, sf_dir))
+    return _strip(antigravity.decode(steps, names, traj))
+
+
+def q_cursor_idx(spark, sf_dir):
+    steps, _, _ = fixtures.antigravity_tables(_events(spark, sf_dir))
+    return antigravity.advance_idx(steps)
+
+
 def registry() -> dict[str, Query]:
     return {
         "report_tool": _report("tool"),
@@ -294,4 +331,11 @@ def registry() -> dict[str, Query]:
         "fmt_report": q_fmt_report,
         "short_project": q_short_project,
         "since_bounds": q_since_bounds,
+        "decode_claude": q_decode_claude,
+        "decode_codex": q_decode_codex,
+        "counter_diff": q_decode_codex,
+        "decode_opencode": q_decode_opencode,
+        "cursor_advance": q_cursor_advance,
+        "decode_antigravity": q_decode_antigravity,
+        "cursor_idx": q_cursor_idx,
     }

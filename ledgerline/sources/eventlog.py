@@ -52,7 +52,8 @@ def _case(col, mapping):
     return expr
 
 
-def usage_from_events(events: DataFrame) -> DataFrame:
+def usage_from_events(events: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Usage rows (USAGE columns); ``with_ids`` also keeps event_id, user_id and the raw ts."""
     user = F.col("user_id")
     eid = F.col("event_id")
     k = F.regexp_extract(F.col("props"), "[0-9]+", 0).cast("bigint")
@@ -78,7 +79,10 @@ def usage_from_events(events: DataFrame) -> DataFrame:
         (eid % 50).cast("bigint").alias("cache_write"),
         (eid % 20).cast("bigint").alias("reasoning"),
         raw_cost.alias("raw_cost"),
-    ).select(*USAGE_COLUMNS)
+        eid.alias("event_id"),
+        user.alias("user_id"),
+        F.col("ts").cast("timestamp_ntz").alias("event_ts"),
+    ).select(*USAGE_COLUMNS, *(["event_id", "user_id", "event_ts"] if with_ids else []))
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
