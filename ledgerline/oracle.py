@@ -472,6 +472,7 @@ FROM lines"""
 {" UNION ALL ".join(parts)}"""
     out.update(decoder_statements())
     out["counter_diff"] = out["decode_codex"]
+    out.update(load_statements(out))
     return out
 
 
@@ -554,3 +555,78 @@ SELECT '/antigravity/conversations/u' || CAST(user_id AS VARCHAR) || '.db' AS pa
                          WHEN event_id % 13 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS next_idx
 FROM rk GROUP BY user_id"""
     return out
+
+
+def load_statements(dec: dict[str, str]) -> dict[str, str]:
+    u = f"WITH {USAGE_CTE.strip()}"
+    cols = ("source, dedup_key, ts, model, session_id, project, input, output, cache_read, cache_write, "
+            "reasoning, raw_cost")
+    out = {}
+    out["dedup_first_wins"] = f"""{u}
+SELECT {cols} FROM usage"""
+    out["insert_ignore"] = f"""{u}
+SELECT source, COUNT(CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 1 END) AS first_load,
+  COUNT(CASE WHEN ts >= TIMESTAMP '2024-01-15 00:00:00' THEN 1 END) AS second_load, COUNT(*) AS total
+FROM usage GROUP BY source"""
+    files = f"""{u},
+pu AS (
+  SELECT '/logs/u' || CAST(user_id AS VARCHAR) AS path, user_id, COUNT(*) AS n, MAX(ts) AS mtime,
+    COUNT(CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 1 END) AS n_before,
+    MAX(CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN ts END) AS mtime_before
+  FROM usage GROUP BY user_id
+),
+plan AS (
+  SELECT path, 'claude-code' AS source, n * 100 AS size, mtime,
+    CASE WHEN n_before = 0 THEN 'new'
+         WHEN n = n_before AND mtime = mtime_before THEN 'skip'
+         WHEN user_id % 9 = 0 THEN 'reset' ELSE 'resume' END AS action,
+    n_before, user_id
+  FROM pu
+)"""
+    out["changed_files"] = f"""{files}
+SELECT path, source, CAST(size AS BIGINT) AS size, mtime, action,
+  CAST(CASE WHEN action = 'resume' THEN n_before * 100 ELSE 0 END AS BIGINT) AS offset,
+  CASE WHEN action = 'resume' THEN '{{"n":' || CAST(n_before AS VARCHAR) || '}}' END AS state
+FROM plan"""
+    out["manifest_upsert"] = f"""{files}
+SELECT path, source, CAST(size AS BIGINT) AS size, mtime, CAST(size AS BIGINT) AS offset,
+  '{{"n":' || CAST(CAST(size / 100 AS BIGINT) AS VARCHAR) || '}}' AS state, TIMESTAMP '2024-01-31 12:00:00' AS updated_at
+FROM plan WHERE action <> 'skip'
+UNION ALL
+SELECT path, source, CAST(n_before * 100 AS BIGINT), mtime_before,
+  CAST(CASE WHEN user_id % 9 = 0 THEN n * 100 + 100 ELSE n_before * 100 END AS BIGINT),
+  '{{"n":' || CAST(n_before AS VARCHAR) || '}}', TIMESTAMP '2024-01-15 00:00:00'
+FROM (SELECT p.*, pu.n, pu.mtime_before FROM plan p JOIN pu USING (path)) WHERE action = 'skip'"""
+    cut = "TIMESTAMP '2024-01-10 12:00:00'"
+    out["prune_keep"] = f"""{u}
+SELECT strftime(ts, '%Y-%m-%d') AS dt, source, COUNT(*) AS events, MIN(ts) AS first_ts
+FROM usage WHERE ts >= {cut} GROUP BY 1, 2"""
+    out["prune_deleted"] = f"""{u}
+SELECT COUNT(CASE WHEN ts < {cut} THEN 1 END) AS deleted, COUNT(CASE WHEN ts >= {cut} THEN 1 END) AS remaining,
+  MIN(CASE WHEN ts >= {cut} THEN ts END) AS earliest_ts
+FROM usage"""
+    union = f"""SELECT DISTINCT * FROM ({dec["decode_claude"]})
+UNION ALL SELECT * FROM ({dec["decode_codex"]})
+UNION ALL SELECT * FROM ({dec["decode_opencode"]})
+UNION ALL SELECT * FROM ({dec["decode_antigravity"]})"""
+    out["ingest_union"] = union
+    out["load_summary"] = f"""WITH ev AS (SELECT * FROM events),
+files AS (
+  SELECT 'claude-code' AS source, COUNT(DISTINCT user_id) AS files FROM ev
+  UNION ALL SELECT 'codex', COUNT(DISTINCT user_id) FROM ev
+  UNION ALL SELECT 'opencode', COUNT(DISTINCT user_id % 7) FROM ev
+  UNION ALL SELECT 'antigravity', COUNT(DISTINCT user_id) FROM ev
+),
+loaded AS (SELECT source, COUNT(*) AS n FROM ({union}) GROUP BY source)
+SELECT f.source, CAST(f.files AS BIGINT) AS files, CAST(COALESCE(l.n, 0) AS BIGINT) AS new_events,
+  CAST(0 AS BIGINT) AS errors
+FROM files f LEFT JOIN loaded l USING (source)"""
+    out["export_csv"] = f"""{lines_cte("tool")}
+SELECT key, CAST(input AS VARCHAR) AS input, CAST(output AS VARCHAR) AS output,
+  CAST(cache_read AS VARCHAR) AS cache_read, CAST(cache_write AS VARCHAR) AS cache_write,
+  CAST(reasoning AS VARCHAR) AS reasoning, CAST(total AS VARCHAR) AS total, CAST(events AS VARCHAR) AS events,
+  printf('%.6f', cost) AS cost, CAST(unpriced_events AS VARCHAR) AS unpriced_events
+FROM lines"""
+    out["source_listing"] = """SELECT 'claude-code' AS source, COUNT(*) > 0 AS detected, COUNT(DISTINCT user_id) AS files
+FROM events"""
+    return out

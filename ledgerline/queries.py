@@ -24,7 +24,10 @@ from ledgerline.plans import insights as ins
 from ledgerline.plans.report import build_report, report_by_cost, unpriced_models
 from ledgerline.plans.sessions import build_sessions, session_model_rows, sessions_total
 from ledgerline.schema import TOKEN_CLASSES, USAGE_COLUMNS
-from ledgerline.sources import antigravity, claude, codex, fixtures, opencode
+from ledgerline.operators import load
+from ledgerline.plans import export
+from ledgerline.session import scratch_path
+from ledgerline.sources import antigravity, claude, codex, fixtures, lines, listing, opencode
 from ledgerline.sources.eventlog import NOW, usage_table
 from ledgerline.sources.prices import read_price_list
 
@@ -287,6 +290,177 @@ def q_cursor_idx(spark, sf_dir):
     return antigravity.advance_idx(steps)
 
 
+LOAD_CUT = datetime(2024, 1, 15, 0, 0, 0)
+PRUNE_BEFORE = datetime(2024, 1, 10, 12, 0, 0)
+
+
+def _usage_ids(spark, sf_dir):
+    from ledgerline.sources.eventlog import usage_from_events
+
+    return usage_from_events(_events(spark, sf_dir), with_ids=True)
+
+
+def q_dedup_first_wins(spark, sf_dir):
+    """Three copies of every event; only the first by (path, ln) survives."""
+    u = _usage_ids(spark, sf_dir)
+    first = u.select(*USAGE_COLUMNS, F.lit("a").alias("path"), F.col("event_id").alias("ln"))
+    later_file = u.select(*[(F.col(c) + 1000).alias(c) if c == "input" else F.col(c) for c in USAGE_COLUMNS],
+                          F.lit("b").alias("path"), F.col("event_id").alias("ln"))
+    later_line = u.select(*[(F.col(c) + 2000).alias(c) if c == "input" else F.col(c) for c in USAGE_COLUMNS],
+                          F.lit("a").alias("path"), (F.col("event_id") + F.lit(10**12)).alias("ln"))
+    batch = later_line.unionByName(later_file).unionByName(first)
+    return load.first_wins(batch).select(*USAGE_COLUMNS)
+
+
+def q_insert_ignore(spark, sf_dir):
+    """Load events before the cut, then everything (plus repeats): only new keys go in."""
+    u = usage_table(spark, sf_dir)
+    table = scratch_path(spark, "usage-insert")
+    first = load.insert_events(spark, u.filter(F.col("ts") < F.lit(LOAD_CUT)), table)
+    second = load.insert_events(spark, u.unionByName(u), table)
+    total = spark.read.parquet(table).groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+    return (
+        total.join(first.withColumnRenamed("inserted", "first_load"), "source", "left")
+        .join(second.withColumnRenamed("inserted", "second_load"), "source", "left")
+        .select("source", F.coalesce("first_load", F.lit(0)).cast("bigint").alias("first_load"),
+                F.coalesce("second_load", F.lit(0)).cast("bigint").alias("second_load"), "total")
+    )
+
+
+def _file_listing(spark, sf_dir):
+    """(path, source, size, mtime) and the manifest saved at LOAD_CUT, one file per user."""
+    u = _usage_ids(spark, sf_dir)
+    path = F.concat(F.lit("/logs/u"), F.col("user_id").cast("string"))
+    before = F.col("ts") < F.lit(LOAD_CUT)
+    per_user = u.groupBy(path.alias("path"), "user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("ts").alias("mtime"),
+        F.count(F.when(before, F.lit(1))).alias("n_before"), F.max(F.when(before, F.col("ts"))).alias("mtime_before"),
+    )
+    listing = per_user.select("path", F.lit("claude-code").alias("source"), (F.col("n") * 100).alias("size"), "mtime")
+    old = per_user.filter(F.col("n_before") > 0).select(
+        "path", F.lit("claude-code").alias("source"), (F.col("n_before") * 100).alias("size"),
+        F.col("mtime_before").alias("mtime"),
+        F.when(F.col("user_id") % 9 == 0, F.col("n") * 100 + 100).otherwise(F.col("n_before") * 100).alias("offset"),
+        F.concat(F.lit('{"n":'), F.col("n_before").cast("string"), F.lit("}")).alias("state"),
+        F.lit(LOAD_CUT).cast("timestamp_ntz").alias("updated_at"),
+    )
+    return listing, old
+
+
+def q_changed_files(spark, sf_dir):
+    listing, old = _file_listing(spark, sf_dir)
+    return load.changed_files(listing, old)
+
+
+def q_manifest_upsert(spark, sf_dir):
+    listing, old = _file_listing(spark, sf_dir)
+    plan = load.changed_files(listing, old).filter(F.col("action") != "skip")
+    new = plan.select(
+        "path", "source", "size", "mtime", F.col("size").alias("offset"),
+        F.concat(F.lit('{"n":'), (F.col("size") / 100).cast("bigint").cast("string"), F.lit("}")).alias("state"),
+        F.lit(NOW).cast("timestamp_ntz").alias("updated_at"),
+    )
+    return load.manifest_upsert(old, new)
+
+
+def _pruned(spark, sf_dir):
+    u = usage_table(spark, sf_dir)
+    table = scratch_path(spark, "usage-prune")
+    u.withColumn("dt", F.to_date("ts")).write.partitionBy("dt").parquet(table)
+    deleted = load.prune(spark, table, PRUNE_BEFORE)
+    return spark.read.parquet(table), deleted
+
+
+def q_prune_keep(spark, sf_dir):
+    table, _ = _pruned(spark, sf_dir)
+    return table.groupBy(F.date_format("dt", "yyyy-MM-dd").alias("dt"), "source").agg(
+        F.count(F.lit(1)).alias("events"), F.min("ts").alias("first_ts"))
+
+
+def q_prune_deleted(spark, sf_dir):
+    table, deleted = _pruned(spark, sf_dir)
+    return table.agg(F.lit(deleted).cast("bigint").alias("deleted"), F.count(F.lit(1)).alias("remaining"),
+                     F.min("ts").alias("earliest_ts"))
+
+
+def _decoded_batches(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    c_lines, x_lines, msgs = fixtures.claude_lines(ev), fixtures.codex_lines(ev), fixtures.opencode_messages(ev)
+    steps, names, traj = fixtures.antigravity_tables(ev)
+    decoded = (
+        claude.decode(c_lines)
+        .unionByName(codex.decode(x_lines))
+        .unionByName(opencode.decode(msgs))
+        .unionByName(antigravity.decode(steps, names, traj))
+    )
+    files = (
+        c_lines.select("path", F.lit(claude.SOURCE).alias("source"))
+        .unionByName(x_lines.select("path", F.lit(codex.SOURCE).alias("source")))
+        .unionByName(msgs.select("path", F.lit(opencode.SOURCE).alias("source")))
+        .unionByName(steps.select("path", F.lit(antigravity.SOURCE).alias("source")))
+        .distinct()
+    )
+    return decoded, files
+
+
+def q_ingest_union(spark, sf_dir):
+    decoded, _ = _decoded_batches(spark, sf_dir)
+    return load.first_wins(decoded).select(*USAGE_COLUMNS)
+
+
+def q_load_summary(spark, sf_dir):
+    decoded, files = _decoded_batches(spark, sf_dir)
+    counts = load.insert_events(spark, decoded, scratch_path(spark, "usage-load"))
+    per_file = files.join(counts, ["source", "path"], "left")
+    return per_file.groupBy("source").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.coalesce(F.sum("inserted"), F.lit(0)).cast("bigint").alias("new_events"),
+        F.lit(0).cast("bigint").alias("errors"),
+    )
+
+
+def q_export_csv(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    out = scratch_path(spark, "report-csv")
+    export.write_csv(build_report(usage, prices, by="tool"), out)
+    return spark.read.option("header", True).schema(", ".join(f"{c} string" for c in export.CSV_COLUMNS)).csv(out)
+
+
+def q_export_json(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    out = scratch_path(spark, "report-json")
+    export.write_json(build_report(usage, prices, by="model"), out)
+    return spark.read.text(out)
+
+
+def q_tail_lines(spark, sf_dir):
+    """Resume every file at its middle line; the last line of odd users' files has no newline."""
+    from pyspark.sql import Window
+
+    ev = _events(spark, sf_dir)
+    raw = fixtures.claude_lines(ev)
+    user = F.regexp_extract("path", r"/u([0-9]+)\.jsonl$", 1).cast("bigint")
+    last = F.max("ln").over(Window.partitionBy("path"))
+    marked = raw.withColumn("is_last", F.col("ln") == last).withColumn(
+        "line", F.when(F.col("is_last") & (user % 4 == 3), F.substring("line", 1, 20)).otherwise(F.col("line"))
+    ).withColumn("terminated", ~(F.col("is_last") & (user % 2 == 1)))
+    with_off = lines.with_offsets(marked.select("path", "ln", "line", "terminated"))
+    mid = with_off.groupBy("path").agg(((F.min("ln") + F.max("ln")) / 2).alias("mid"))
+    offsets = with_off.join(mid, "path").filter(F.col("ln") >= F.col("mid")).groupBy("path").agg(
+        F.min("byte_off").alias("offset"))
+    kept, _files = lines.tail(with_off, offsets)
+    return kept
+
+
+def q_source_listing(spark, sf_dir):
+    raw = fixtures.claude_lines(_events(spark, sf_dir))
+    root = scratch_path(spark, "claude-logs")
+    (raw.repartition("path").sortWithinPartitions("path", "ln").select("path", "line")
+     .write.partitionBy("path").text(root))
+    found = listing.list_files(spark, root, "*.txt", source=claude.SOURCE)
+    return listing.detect(found).select("source", "detected", "files")
+
+
 def registry() -> dict[str, Query]:
     return {
         "report_tool": _report("tool"),
@@ -338,4 +512,16 @@ def registry() -> dict[str, Query]:
         "cursor_advance": q_cursor_advance,
         "decode_antigravity": q_decode_antigravity,
         "cursor_idx": q_cursor_idx,
+        "dedup_first_wins": q_dedup_first_wins,
+        "insert_ignore": q_insert_ignore,
+        "changed_files": q_changed_files,
+        "manifest_upsert": q_manifest_upsert,
+        "prune_keep": q_prune_keep,
+        "prune_deleted": q_prune_deleted,
+        "ingest_union": q_ingest_union,
+        "load_summary": q_load_summary,
+        "export_csv": q_export_csv,
+        "export_json": q_export_json,
+        "tail_lines": q_tail_lines,
+        "source_listing": q_source_listing,
     }
