@@ -627,6 +627,13 @@ SELECT key, CAST(input AS VARCHAR) AS input, CAST(output AS VARCHAR) AS output,
   CAST(reasoning AS VARCHAR) AS reasoning, CAST(total AS VARCHAR) AS total, CAST(events AS VARCHAR) AS events,
   printf('%.6f', cost) AS cost, CAST(unpriced_events AS VARCHAR) AS unpriced_events
 FROM lines"""
+    out["stream_ingest"] = f"SELECT DISTINCT * FROM ({dec['decode_claude']})"
+    out["stream_dedup"] = out["stream_ingest"]
+    out["stream_counter_diff"] = dec["decode_codex"]
+    out["stream_daily"] = f"""{u}
+SELECT strftime(ts, '%Y-%m-%d') AS day, source,
+  CAST(SUM(input + output + cache_read + cache_write + reasoning) AS BIGINT) AS total, COUNT(*) AS events
+FROM usage GROUP BY 1, 2"""
     out["source_listing"] = """SELECT 'claude-code' AS source, COUNT(*) > 0 AS detected, COUNT(DISTINCT user_id) AS files
 FROM events"""
     return out

@@ -461,6 +461,66 @@ def q_source_listing(spark, sf_dir):
     return listing.detect(found).select("source", "detected", "files")
 
 
+def _land_lines(raw: DataFrame, landing: str) -> None:
+    """Write (path, ln, line) rows as one text file per source path."""
+    (raw.repartition("path").sortWithinPartitions("path", "ln").select("path", "line")
+     .write.partitionBy("path").text(landing))
+
+
+def q_stream_ingest(spark, sf_dir):
+    from ledgerline.streaming.ingest import start_ingest
+
+    landing, table, ckpt = (scratch_path(spark, n) for n in ("landing-claude", "usage-stream", "ckpt-ingest"))
+    _land_lines(fixtures.claude_lines(_events(spark, sf_dir)), landing)
+    q = start_ingest(spark, landing, claude.decode, table, ckpt, glob="*.txt", available_now=True,
+                     files_per_trigger=64)
+    q.awaitTermination()
+    return spark.read.parquet(table).select(*USAGE_COLUMNS)
+
+
+def q_stream_dedup(spark, sf_dir):
+    from ledgerline.streaming.ingest import start_dedup
+
+    landing, out, ckpt = (scratch_path(spark, n) for n in ("landing-dedup", "dedup-out", "ckpt-dedup"))
+    _land_lines(fixtures.claude_lines(_events(spark, sf_dir)), landing)
+    start_dedup(spark, landing, claude.decode, out, ckpt, glob="*.txt").awaitTermination()
+    return spark.read.parquet(out).select(*USAGE_COLUMNS)
+
+
+def q_stream_counter_diff(spark, sf_dir):
+    """Counter files arrive in two chunks per file; per-file state carries across the runs."""
+    from pyspark.sql import Window
+
+    from ledgerline.streaming.counters import decode_stream
+
+    raw = fixtures.codex_lines(_events(spark, sf_dir))
+    half = F.max("ln").over(Window.partitionBy("path")) / 2
+    chunked = raw.withColumn("chunk", (F.col("ln") > half).cast("int"))
+    landing, out, ckpt = (scratch_path(spark, n) for n in ("landing-codex", "codex-out", "ckpt-codex"))
+    for chunk in (0, 1):
+        chunked.filter(F.col("chunk") == chunk).select("path", "ln", "line").write.parquet(f"{landing}/chunk={chunk}")
+        stream = (spark.readStream.schema("path string, ln long, line string")
+                  .option("recursiveFileLookup", "true").parquet(landing))
+        q = (decode_stream(stream).select(*USAGE_COLUMNS).writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", ckpt).outputMode("append")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(out).select(*USAGE_COLUMNS)
+
+
+def q_stream_daily(spark, sf_dir):
+    from ledgerline.streaming.rollup import current_rollup, start_daily
+
+    usage = usage_table(spark, sf_dir)
+    landing, changes, ckpt = (scratch_path(spark, n) for n in ("landing-usage", "daily-changes", "ckpt-daily"))
+    mid = F.lit(datetime(2024, 1, 16))
+    usage.filter(F.col("ts") < mid).write.parquet(f"{landing}/part=0")
+    start_daily(spark, landing, changes, ckpt).awaitTermination()
+    usage.filter(F.col("ts") >= mid).write.parquet(f"{landing}/part=1")
+    start_daily(spark, landing, changes, ckpt).awaitTermination()
+    return current_rollup(spark.read.parquet(changes))
+
+
 def registry() -> dict[str, Query]:
     return {
         "report_tool": _report("tool"),
@@ -524,4 +584,8 @@ def registry() -> dict[str, Query]:
         "export_json": q_export_json,
         "tail_lines": q_tail_lines,
         "source_listing": q_source_listing,
+        "stream_ingest": q_stream_ingest,
+        "stream_dedup": q_stream_dedup,
+        "stream_counter_diff": q_stream_counter_diff,
+        "stream_daily": q_stream_daily,
     }
