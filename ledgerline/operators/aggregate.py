@@ -56,16 +56,11 @@ def _second(t: datetime) -> datetime:
 
 def usage_measures() -> list[Column]:
     """Token sums, counts and the raw/estimated split of one group."""
-    est = F.col("raw_cost").isNull()
-    measures = [F.sum(c).alias(c) for c in TOKEN_CLASSES]
-    measures += [
-        F.count(F.lit(1)).alias("events"),
-        F.coalesce(F.sum("raw_cost"), F.lit(0.0)).alias("raw_cost"),
-        F.count("raw_cost").alias("n_raw"),
-    ]
-    measures += [F.sum(F.when(est, F.col(c)).otherwise(F.lit(0))).alias(f"est_{c}") for c in TOKEN_CLASSES]
-    measures.append(F.count(F.when(est, F.lit(1))).alias("est_events"))
-    return measures
+    sql = [f"sum({c}) AS {c}" for c in TOKEN_CLASSES]
+    sql += ["count(1) AS events", "coalesce(sum(raw_cost), 0.0D) AS raw_cost", "count(raw_cost) AS n_raw"]
+    sql += [f"sum(CASE WHEN raw_cost IS NULL THEN {c} ELSE 0 END) AS est_{c}" for c in TOKEN_CLASSES]
+    sql.append("count(CASE WHEN raw_cost IS NULL THEN 1 END) AS est_events")
+    return [F.expr(x) for x in sql]
 
 
 def usage_aggregate(usage: DataFrame, by: str = "tool", tz: str = "UTC") -> DataFrame:

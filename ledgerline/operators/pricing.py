@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.names import model_candidates, normalize_model
-from ledgerline.operators.joins import checked_broadcast
+from ledgerline.functions.names import model_candidates, normalize_model, strip_space
+from ledgerline.operators.joins import checked_broadcast, fits
 from ledgerline.schema import RATE_COLUMNS, TOKEN_CLASSES
 
 
@@ -29,12 +29,18 @@ def norm_index(prices: DataFrame) -> DataFrame:
     )
 
 
-def resolve_models(models: DataFrame, prices: DataFrame) -> DataFrame:
-    """(model, price_key) for every distinct ``model`` that resolves."""
-    cands = models.select("model", F.posexplode(model_candidates("model")).alias("ord", "cand"))
-    keys = checked_broadcast(prices.select(F.col("key").alias("cand")))
+def resolve_models(models: DataFrame, prices: DataFrame, small: bool | None = None) -> DataFrame:
+    """(model, price_key) for every distinct ``model`` that resolves.
+
+    ``small``: whether the price list was proven small (checked here when None);
+    the key list and the normalised index are derived from it and no larger.
+    """
+    small = fits(prices) if small is None else small
+    trimmed = models.select("model", strip_space("model").alias("_m"))
+    cands = trimmed.select("model", F.posexplode(model_candidates("model", "_m")).alias("ord", "cand"))
+    keys = checked_broadcast(prices.select(F.col("key").alias("cand")), proven=small)
     exact = cands.join(keys, "cand").select("model", F.lit(0).alias("phase"), "ord", F.col("cand").alias("key"))
-    index = checked_broadcast(norm_index(prices))
+    index = checked_broadcast(norm_index(prices), proven=small)
     fuzzy = (
         cands.withColumn("norm", normalize_model("cand"))
         .join(index, "norm")
@@ -52,8 +58,9 @@ def model_rates(models: DataFrame, prices: DataFrame) -> DataFrame:
 
     The reasoning rate falls back to the output rate when it is 0.
     """
-    resolved = resolve_models(models.select("model").distinct(), prices)
-    rates = checked_broadcast(prices).withColumnRenamed("key", "price_key")
+    small = fits(prices)
+    resolved = resolve_models(models.select("model").distinct(), prices, small)
+    rates = checked_broadcast(prices, proven=small).withColumnRenamed("key", "price_key")
     joined = resolved.join(rates, "price_key")
     return joined.select(
         "model",
@@ -65,13 +72,13 @@ def model_rates(models: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
+def token_cost_sql(prefix: str = "") -> str:
+    """SQL text: sum over the five token classes of tokens x rate (NULL when unpriced)."""
+    return " + ".join(f"`{prefix}{cls}` * {rate}" for cls, rate in zip(TOKEN_CLASSES, RATE_COLUMNS))
+
+
 def token_cost(prefix: str = "") -> Column:
-    """Sum over the five token classes of tokens x rate (NULL when unpriced)."""
-    terms = [F.col(f"{prefix}{cls}") * F.col(rate) for cls, rate in zip(TOKEN_CLASSES, RATE_COLUMNS)]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
+    return F.expr(token_cost_sql(prefix))
 
 
 def attach_rates(rows: DataFrame, prices: DataFrame) -> DataFrame:
@@ -92,17 +99,10 @@ def price_rows(rows: DataFrame) -> DataFrame:
     price exists; otherwise the estimate; 0 when neither) and ``priced`` /
     ``unpriced_events`` (estimated events left without a price).
     """
-    has_price = F.col("price_key").isNotNull()
-    has_raw = F.col("n_raw") > 0
-    est = token_cost("est_")
-    cost = (
-        F.when(has_raw, F.col("raw_cost") + F.when((F.col("est_events") > 0) & has_price, est).otherwise(F.lit(0.0)))
-        .when(has_price, est)
-        .otherwise(F.lit(0.0))
-    )
-    priced = F.when(has_raw, (F.col("est_events") == 0) | has_price).otherwise(has_price)
-    return (
-        rows.withColumn("cost", cost)
-        .withColumn("priced", priced)
-        .withColumn("unpriced_events", F.when(F.col("priced"), F.lit(0)).otherwise(F.col("est_events")))
-    )
+    est = token_cost_sql("est_")
+    cost = (f"CASE WHEN n_raw > 0 THEN raw_cost + CASE WHEN est_events > 0 AND price_key IS NOT NULL "
+            f"THEN {est} ELSE 0.0D END WHEN price_key IS NOT NULL THEN {est} ELSE 0.0D END AS cost")
+    priced = ("CASE WHEN n_raw > 0 THEN est_events = 0 OR price_key IS NOT NULL "
+              "ELSE price_key IS NOT NULL END AS priced")
+    return rows.selectExpr("*", cost, priced).selectExpr(
+        "*", "CASE WHEN priced THEN 0L ELSE est_events END AS unpriced_events")

@@ -29,26 +29,19 @@ def priced_model_rows(usage: DataFrame, prices: DataFrame, by: str = "tool", sin
 
 
 def _line_measures() -> list:
-    return [F.sum(c).alias(c) for c in TOKEN_CLASSES] + [
-        F.sum("events").alias("events"),
-        F.sum("raw_cost").alias("raw_cost"),
-        F.sum("cost").alias("cost"),
-        F.sum("unpriced_events").alias("unpriced_events"),
-    ]
+    cols = [*TOKEN_CLASSES, "events", "raw_cost", "cost", "unpriced_events"]
+    return [F.expr(f"sum({c}) AS {c}") for c in cols]
 
 
 def _finish(lines: DataFrame) -> DataFrame:
-    total = F.col(TOKEN_CLASSES[0])
-    for c in TOKEN_CLASSES[1:]:
-        total = total + F.col(c)
-    return lines.select(
+    return lines.selectExpr(
         "key",
         *TOKEN_CLASSES,
-        total.alias("total"),
+        " + ".join(TOKEN_CLASSES) + " AS total",
         "events",
-        F.round("raw_cost", COST_DIGITS).alias("raw_cost"),
-        F.round("cost", COST_DIGITS).alias("cost"),
-        F.col("unpriced_events").cast("bigint").alias("unpriced_events"),
+        f"round(raw_cost, {COST_DIGITS}) AS raw_cost",
+        f"round(cost, {COST_DIGITS}) AS cost",
+        "CAST(unpriced_events AS BIGINT) AS unpriced_events",
     )
 
 

@@ -11,10 +11,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ledgerline.functions.timecols import trunc_second
-from ledgerline.schema import USAGE_COLUMNS
 
 # Tool per event type, and one model name per user_id % 12
 # chosen to exercise every path of the price lookup (exact key, date stamp,
@@ -45,44 +42,38 @@ MODEL_BY_USER_MOD = [
 NOW = datetime(2024, 1, 31, 12, 0, 0)
 
 
-def _case(col, mapping):
-    expr = None
-    for k, v in mapping:
-        expr = F.when(col == F.lit(k), F.lit(v)) if expr is None else expr.when(col == F.lit(k), F.lit(v))
-    return expr
+def _lit(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _derivation_sql() -> list[str]:
+    """The derivation as SQL expressions (one JVM parse instead of many py4j calls)."""
+    tools = " ".join(f"WHEN {_lit(k)} THEN {_lit(v)}" for k, v in TOOL_BY_EVENT_TYPE.items())
+    models = " ".join(f"WHEN {i} THEN {_lit(m)}" for i, m in enumerate(MODEL_BY_USER_MOD))
+    epoch = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+    return [
+        f"CASE event_type {tools} ELSE event_type END AS source",
+        "CAST(event_id AS STRING) AS dedup_key",
+        f"timestampadd(SECOND, timestampdiff(SECOND, {epoch}, CAST(ts AS TIMESTAMP_NTZ)), {epoch}) AS ts",
+        f"CASE user_id % 12 {models} END AS model",
+        "CASE WHEN user_id % 17 = 0 THEN '' ELSE concat('s', CAST(user_id AS STRING)) END AS session_id",
+        "CASE WHEN user_id % 13 = 0 THEN '' WHEN user_id % 6 = 5 THEN '/tmp/scratch/' "
+        "ELSE concat('/home/u/org/p', CAST(user_id % 6 AS STRING)) END AS project",
+        "CAST(event_id % 1000 + 1 AS BIGINT) AS input",
+        "CAST(user_id * 3 AS BIGINT) AS output",
+        "CAST(CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) * 10 AS BIGINT) AS cache_read",
+        "CAST(event_id % 50 AS BIGINT) AS cache_write",
+        "CAST(event_id % 20 AS BIGINT) AS reasoning",
+        "CASE WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN value / 100.0D END AS raw_cost",
+    ]
+
+
+_IDS_SQL = ["event_id", "user_id", "CAST(ts AS TIMESTAMP_NTZ) AS event_ts"]
 
 
 def usage_from_events(events: DataFrame, with_ids: bool = False) -> DataFrame:
     """Usage rows (USAGE columns); ``with_ids`` also keeps event_id, user_id and the raw ts."""
-    user = F.col("user_id")
-    eid = F.col("event_id")
-    k = F.regexp_extract(F.col("props"), "[0-9]+", 0).cast("bigint")
-    source = _case(F.col("event_type"), TOOL_BY_EVENT_TYPE.items()).otherwise(F.col("event_type"))
-    model = _case(user % 12, list(enumerate(MODEL_BY_USER_MOD)))
-    session = F.when(user % 17 == 0, F.lit("")).otherwise(F.concat(F.lit("s"), user.cast("string")))
-    project = (
-        F.when(user % 13 == 0, F.lit(""))
-        .when(user % 6 == 5, F.lit("/tmp/scratch/"))
-        .otherwise(F.concat(F.lit("/home/u/org/p"), (user % 6).cast("string")))
-    )
-    raw_cost = F.when((F.col("event_type") == "purchase") & (eid % 2 == 0), F.col("value") / F.lit(100.0))
-    return events.select(
-        source.alias("source"),
-        eid.cast("string").alias("dedup_key"),
-        trunc_second(F.col("ts").cast("timestamp_ntz")).alias("ts"),
-        model.alias("model"),
-        session.alias("session_id"),
-        project.alias("project"),
-        (eid % 1000 + 1).cast("bigint").alias("input"),
-        (user * 3).cast("bigint").alias("output"),
-        (k * 10).cast("bigint").alias("cache_read"),
-        (eid % 50).cast("bigint").alias("cache_write"),
-        (eid % 20).cast("bigint").alias("reasoning"),
-        raw_cost.alias("raw_cost"),
-        eid.alias("event_id"),
-        user.alias("user_id"),
-        F.col("ts").cast("timestamp_ntz").alias("event_ts"),
-    ).select(*USAGE_COLUMNS, *(["event_id", "user_id", "event_ts"] if with_ids else []))
+    return events.selectExpr(*_derivation_sql(), *(_IDS_SQL if with_ids else []))
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
