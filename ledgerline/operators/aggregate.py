@@ -41,10 +41,15 @@ def window(usage: DataFrame, since: datetime | None = None, until: datetime | No
     partitioned by day, partition pruning apply.
     """
     out = usage
+    partitioned = "dt" in usage.columns  # stored table: prune day partitions too
     if since is not None:
         out = out.filter(F.col("ts") >= F.lit(_second(since)))
+        if partitioned:
+            out = out.filter(F.col("dt") >= F.lit(since.date()))
     if until is not None:
         out = out.filter(F.col("ts") < F.lit(_second(until)))
+        if partitioned:
+            out = out.filter(F.col("dt") <= F.lit(until.date()))
     if source:
         out = out.filter(F.col("source") == F.lit(source))
     return out
