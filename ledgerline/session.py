@@ -64,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     scratch = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
     spark.conf.set("spark.checkpoint.dir", scratch)
@@ -76,3 +78,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def checkpointed(df):
+    """Eagerly materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    Used where one expensive intermediate (e.g. parsed log lines) feeds several
+    branches of a plan: it is computed once, and a lost executor re-reads the
+    written files instead of recomputing the parse.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    return df.checkpoint(eager=True)

@@ -91,7 +91,8 @@ def claude_lines(events: DataFrame) -> DataFrame:
     ]
     path = F.concat(F.lit("/logs/claude/projects/-home-u-p"), (F.col("user_id") % 6).cast("string"), F.lit("/u"),
                     F.col("user_id").cast("string"), F.lit(".jsonl"))
-    return _lines(u, path, variants)
+    # Lines are distributed by file, as files spread over splits would be.
+    return _lines(u, path, variants).repartition("path")
 
 
 # ---------------------------------------------------------------- JSONL, cumulative counters
@@ -200,6 +201,7 @@ def opencode_messages(events: DataFrame) -> DataFrame:
         .filter(F.col("r").isNotNull())
         .select("path", F.col("r.id").alias("id"), "session_id", F.col("r.tc").alias("time_created"),
                 F.col("r.data").alias("data"))
+        .repartition("path", "session_id")
     )
 
 

@@ -37,8 +37,8 @@ OUT_SCHEMA = ("source string, dedup_key string, ts_text string, model string, se
 def typed_lines(lines: DataFrame) -> DataFrame:
     """Parse marker lines JVM-side into flat typed columns for the replay."""
     marked = lines.filter(F.greatest(*[F.col("line").contains(m) for m in codex.MARKERS]))
-    j = marked.select("path", "ln", F.from_json("line", codex.SCHEMA, _OPTS).alias("j")).filter(
-        F.col("j._corrupt_record").isNull())
+    j = marked.select("path", "ln", F.inline(F.array(F.struct(
+        F.from_json("line", codex.SCHEMA, _OPTS).alias("j"))))).filter(F.col("j._corrupt_record").isNull())
     p = F.col("j.payload")
     info = p.getField("info")
     cols = [
