@@ -59,3 +59,11 @@ def in_zone(ts: Column | str, tz: str) -> Column:
 def day_key(ts: Column | str, tz: str = "UTC") -> Column:
     """Local calendar day as ``yyyy-MM-dd`` text (the report's day key)."""
     return F.date_format(in_zone(ts, tz), "yyyy-MM-dd")
+
+
+def raw_file_path(uri: Column | str) -> Column:
+    """File path from ``_metadata.file_path`` (a URI: %-escaped) as the listing shows it.
+
+    A URI never uses '+' for a space, so '+' is protected before decoding.
+    """
+    return F.url_decode(F.replace(_c(uri), F.lit("+"), F.lit("%2B")))

@@ -634,6 +634,17 @@ FROM lines"""
 SELECT strftime(ts, '%Y-%m-%d') AS day, source,
   CAST(SUM(input + output + cache_read + cache_write + reasoning) AS BIGINT) AS total, COUNT(*) AS events
 FROM usage GROUP BY 1, 2"""
+    out["incremental_load"] = f"""{u}
+SELECT 'claude-code' AS source, 1 AS run, COUNT(DISTINCT user_id) AS files,
+  CAST(COUNT(CASE WHEN model <> '' THEN 1 END) AS BIGINT) AS new_events, CAST(0 AS BIGINT) AS errors
+FROM usage
+UNION ALL
+SELECT 'claude-code', 2, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)"""
+    out["price_list"] = f"""{u},
+{RATES_CTE.strip()}
+SELECT DISTINCT r.model, r.price_key, r.input_rate, r.output_rate, r.cache_read_rate, r.cache_write_rate,
+  r.reasoning_rate
+FROM usage u JOIN rates r ON COALESCE(u.model, 'unknown') = r.model"""
     out["source_listing"] = """SELECT 'claude-code' AS source, COUNT(*) > 0 AS detected, COUNT(DISTINCT user_id) AS files
 FROM events"""
     return out

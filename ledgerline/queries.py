@@ -521,6 +521,27 @@ def q_stream_daily(spark, sf_dir):
     return current_rollup(spark.read.parquet(changes))
 
 
+def q_incremental_load(spark, sf_dir):
+    """Land per-request logs as files, load them twice: the second run reads and inserts nothing."""
+    from ledgerline.plans.ingest import load_logs
+
+    root, table, manifest = (scratch_path(spark, n) for n in ("logs-claude", "usage-load", "manifest"))
+    _land_lines(fixtures.claude_lines(_events(spark, sf_dir)), root)
+    runs = []
+    for run in (1, 2):
+        summary, _ = load_logs(spark, {claude.SOURCE: root}, table, manifest, NOW, globs={claude.SOURCE: "*.txt"})
+        runs.append(summary.withColumn("run", F.lit(run)))
+    return runs[0].unionByName(runs[1]).select("source", "run", "files", "new_events", "errors")
+
+
+def q_price_list(spark, sf_dir):
+    """Effective rates of every model present in the usage table (price-list scan + lookup)."""
+    from ledgerline.operators.pricing import model_rates
+
+    return model_rates(_distinct_models(spark, sf_dir), read_price_list(spark)).select(
+        "model", "price_key", "input_rate", "output_rate", "cache_read_rate", "cache_write_rate", "reasoning_rate")
+
+
 def registry() -> dict[str, Query]:
     return {
         "report_tool": _report("tool"),
@@ -588,4 +609,6 @@ def registry() -> dict[str, Query]:
         "stream_dedup": q_stream_dedup,
         "stream_counter_diff": q_stream_counter_diff,
         "stream_daily": q_stream_daily,
+        "incremental_load": q_incremental_load,
+        "price_list": q_price_list,
     }

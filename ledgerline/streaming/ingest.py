@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerline.functions.timecols import raw_file_path
 from ledgerline.operators.load import insert_events
 from ledgerline.schema import USAGE_COLUMNS
 
@@ -36,7 +37,7 @@ def line_stream(spark: SparkSession, landing: str, glob: str = "*", files_per_tr
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.text(landing).select(
-        F.col("_metadata.file_path").alias("path"),
+        raw_file_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("line"),
     )

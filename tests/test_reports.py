@@ -165,3 +165,18 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "cost" in df.columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_read_lines_paths_match_the_listing(spark, scratch):
+    import os
+
+    from ledgerline.sources.lines import read_lines
+    from ledgerline.sources.listing import list_files
+
+    d = f"{scratch}/a b/p=%2Fx+y"
+    os.makedirs(d)
+    with open(f"{d}/f.jsonl", "w") as fh:
+        fh.write('{"x":1}\n')
+    listed = {r.path for r in list_files(spark, scratch, "*.jsonl").collect()}
+    read = {r.path for r in read_lines(spark, scratch + "/a b/p=%2Fx+y/f.jsonl").collect()}
+    assert listed == read and len(read) == 1
