@@ -32,24 +32,33 @@ def norm_index(prices: DataFrame) -> DataFrame:
 def resolve_models(models: DataFrame, prices: DataFrame, small: bool | None = None) -> DataFrame:
     """(model, price_key) for every distinct ``model`` that resolves.
 
-    ``small``: whether the price list was proven small (checked here when None);
-    the key list and the normalised index are derived from it and no larger.
+    One pass over the candidate spellings: each candidate probes the price
+    keys (exact, phase 0) and the normalised index (phase 1) through two
+    broadcast lookups; ``min_by(key, (phase, ord))`` keeps the first hit.
+    ``small``: whether the price list was proven small (checked here when
+    None); the key list and the index are derived from it and no larger.
     """
     small = fits(prices) if small is None else small
     trimmed = models.select("model", strip_space("model").alias("_m"))
     cands = trimmed.select("model", F.posexplode(model_candidates("model", "_m")).alias("ord", "cand"))
-    keys = checked_broadcast(prices.select(F.col("key").alias("cand")), proven=small)
-    exact = cands.join(keys, "cand").select("model", F.lit(0).alias("phase"), "ord", F.col("cand").alias("key"))
-    index = checked_broadcast(norm_index(prices), proven=small)
-    fuzzy = (
+    keys = checked_broadcast(prices.select(F.col("key").alias("cand"), F.col("key").alias("exact_key")), proven=small)
+    index = checked_broadcast(norm_index(prices).withColumnRenamed("key", "norm_key"), proven=small)
+    probed = (
         cands.withColumn("norm", normalize_model("cand"))
-        .join(index, "norm")
-        .select("model", F.lit(1).alias("phase"), "ord", "key")
+        .join(keys, "cand", "left")
+        .join(index, "norm", "left")
+    )
+    hits = F.filter(
+        F.array(
+            F.struct(F.lit(0).alias("phase"), F.col("ord"), F.col("exact_key").alias("key")),
+            F.struct(F.lit(1).alias("phase"), F.col("ord"), F.col("norm_key").alias("key")),
+        ),
+        lambda h: h.getField("key").isNotNull(),
     )
     return (
-        exact.unionByName(fuzzy)
+        probed.select("model", F.explode(hits).alias("h"))
         .groupBy("model")
-        .agg(F.min_by("key", F.struct("phase", "ord")).alias("price_key"))
+        .agg(F.min_by("h.key", F.struct("h.phase", "h.ord")).alias("price_key"))
     )
 
 
@@ -88,7 +97,11 @@ def attach_rates(rows: DataFrame, prices: DataFrame) -> DataFrame:
     size is only known at runtime, where AQE converts the join to a
     broadcast after measuring it, or keeps a shuffle join otherwise.
     """
-    rates = model_rates(rows.select("model"), prices)
+    # The optimizer turns "distinct models of the aggregate" into a narrow scan
+    # of the model column (plus the pushed-down filter columns): dictionary-
+    # encoded, a small fraction of the bytes the main aggregation reads.
+    models = rows.select("model").distinct()
+    rates = model_rates(models, prices)
     return rows.join(rates, "model", "left")
 
 
