@@ -275,22 +275,22 @@ def antigravity_tables(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     mid = antigravity_model_id(user)
     gen = F.when(e % 10 != 0, F.concat(F.lit("gen-"), e.cast("string"))).otherwise(F.lit(""))
     none = F.lit(None).cast("bigint")
-    # Encode every variant up front (pandas UDFs cannot sit inside conditional branches).
-    blobs = u.select(
-        path.alias("path"), "rn", "event_id",
-        encode_step(secs, mid, "input", "output", "cache_read", gen).alias("b0"),
-        encode_step(secs, mid, F.lit(0), F.lit(0), F.lit(0), F.lit("zero")).alias("b2"),
-        encode_step(none, mid, "input", "output", "cache_read", F.lit("nots")).alias("b3"),
-    )
+    # Every event gets its real step; noise steps are added for some events
+    # only (each variant encoded just for the rows that carry it).
     garbage = F.lit(bytes([0xFF, 0xFF, 0xFF])).cast("binary")
-    steps = blobs.select("path", "rn", F.explode(F.array(
-        F.struct(F.lit(0).alias("sub"), F.col("b0").alias("blob")),
-        F.struct(F.lit(1).alias("sub"), F.when(e % 13 == 0, garbage).alias("blob")),
-        F.struct(F.lit(2).alias("sub"), F.when(e % 11 == 0, F.col("b2")).alias("blob")),
-        F.struct(F.lit(3).alias("sub"), F.when(e % 17 == 0, F.col("b3")).alias("blob")),
-    )).alias("s"))
-    steps = steps.filter(F.col("s.blob").isNotNull() | (F.col("s.sub") == 0)).select(
-        "path", (F.col("rn") * 4 + F.col("s.sub")).cast("bigint").alias("idx"), F.col("s.blob").alias("metadata"))
+
+    def variant(rows, sub, blob):
+        return rows.select(path.alias("path"), (F.col("rn") * 4 + F.lit(sub)).cast("bigint").alias("idx"),
+                           blob.alias("metadata"))
+
+    steps = (
+        variant(u, 0, encode_step(secs, mid, "input", "output", "cache_read", gen))
+        .unionByName(variant(u.filter(e % 13 == 0), 1, garbage))
+        .unionByName(variant(u.filter(e % 11 == 0), 2,
+                             encode_step(secs, mid, F.lit(0), F.lit(0), F.lit(0), F.lit("zero"))))
+        .unionByName(variant(u.filter(e % 17 == 0), 3,
+                             encode_step(none, mid, "input", "output", "cache_read", F.lit("nots"))))
+    )
     per_db = u.groupBy("user_id").agg(F.min("event_ts").alias("first_ts"), F.first("project").alias("project"),
                                       F.first("model").alias("model"))
     db = F.concat(F.lit("/antigravity/conversations/u"), F.col("user_id").cast("string"), F.lit(".db"))
