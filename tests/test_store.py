@@ -127,3 +127,23 @@ def test_manifest_lookup_upsert_and_plan(spark):
     assert plan == {"/a": ("skip", 0), "/b": ("resume", 50), "/c": ("reset", 0), "/d": ("new", 0)}
     always = {r.path: r.action for r in load.changed_files(listing, old, always_scan=("codex",)).collect()}
     assert always["/a"] == "resume"
+
+
+def test_first_wins_with_one_hot_key(spark):
+    """A third of the batch shares one (empty) key: one row survives, the earliest."""
+    rows = [dict(source="s", dedup_key="" if i % 3 == 0 else str(i), ts=T0, input=i) for i in range(3000)]
+    batch = usage_rows(spark, rows).withColumn("path", F.lit("f")).withColumn("ln", F.col("input"))
+    out = load.first_wins(batch.repartition(8))
+    assert out.count() == 2001
+    assert out.filter("dedup_key = ''").collect()[0].input == 0
+
+
+def test_checked_broadcast_falls_back_when_large(spark):
+    from ledgerline.operators.joins import checked_broadcast, fits
+
+    small = spark.range(10)
+    assert fits(small)
+    big = spark.range(1000)
+    assert not fits(big, max_rows=100, max_bytes=8)
+    plan = big.join(checked_broadcast(big, max_rows=100, max_bytes=8), "id")._jdf.queryExecution().toString()
+    assert "broadcast" not in plan.lower().split("== physical plan ==")[0]
