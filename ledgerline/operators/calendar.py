@@ -39,13 +39,21 @@ def daily_totals(usage: DataFrame, since: datetime | None = None, tz: str = "UTC
     )
 
 
-def day_series(usage: DataFrame, now: datetime, days: int, tz: str = "UTC") -> DataFrame:
-    """(i, day, total) for the ``days`` calendar days ending today, 0 when idle."""
-    spark = usage.sparkSession
+def day_series(usage: DataFrame | None, now: datetime, days: int, tz: str = "UTC",
+               totals: DataFrame | None = None) -> DataFrame:
+    """(i, day, total) for the ``days`` calendar days ending today, 0 when idle.
+
+    ``totals``: precomputed (day, total) rows (e.g. report lines by day,
+    shared by several panels) instead of aggregating ``usage`` again.
+    """
+    spark = (usage if usage is not None else totals).sparkSession
     first_date = local_date(now, tz) - timedelta(days=days - 1)
     first = local_midnight(first_date, tz)
     cal = calendar_days(spark, first_date.isoformat(), days)
-    totals = daily_totals(usage, first, tz)
+    if totals is None:
+        totals = daily_totals(usage, first, tz)
+    else:
+        totals = totals.filter(F.col("day") >= F.lit(first_date.isoformat())).select("day", "total")
     # The calendar keeps every day; the per-day totals are the build side
     # (at most one row per day at/after ``first``), broadcast by AQE when small.
     return cal.join(totals, "day", "left").select(
@@ -53,23 +61,25 @@ def day_series(usage: DataFrame, now: datetime, days: int, tz: str = "UTC") -> D
     )
 
 
-def trend(usage: DataFrame, now: datetime, days: int = TREND_DAYS, tz: str = "UTC") -> DataFrame:
+def trend(usage: DataFrame | None, now: datetime, days: int = TREND_DAYS, tz: str = "UTC",
+          totals: DataFrame | None = None) -> DataFrame:
     """Trend bars: (i, day, total, level) with level = int(total/max*56), >= 1 when total > 0."""
-    series = day_series(usage, now, days, tz)
+    series = day_series(usage, now, days, tz, totals)
     peak = series.select(F.max("total")).scalar()
     raw = F.floor(F.col("total").cast("double") / peak.cast("double") * F.lit(float(TREND_LEVELS)))
     level = F.when(peak == 0, F.lit(0)).when((F.col("total") > 0) & (raw == 0), F.lit(1)).otherwise(raw)
     return series.withColumn("level", level.cast("int"))
 
 
-def streak_stats(usage: DataFrame, now: datetime, weeks: int = STREAK_WEEKS, tz: str = "UTC") -> DataFrame:
+def streak_stats(usage: DataFrame | None, now: datetime, weeks: int = STREAK_WEEKS, tz: str = "UTC",
+                 totals: DataFrame | None = None) -> DataFrame:
     """One row: days, active_days, active_pct, longest, current, peak over the last weeks*7 days.
 
     Gaps-and-islands: a running count of idle days is the island id of each
     active day; the longest island is the longest run; the island of the last
     day is the current run (0 when the last day is idle).
     """
-    series = day_series(usage, now, weeks * 7, tz)
+    series = day_series(usage, now, weeks * 7, tz, totals)
     w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     active = (F.col("total") > 0).cast("int")
     marked = series.withColumn("active", active).withColumn("island", F.sum(1 - F.col("active")).over(w))
@@ -94,9 +104,10 @@ def streak_stats(usage: DataFrame, now: datetime, weeks: int = STREAK_WEEKS, tz:
     )
 
 
-def heatmap_grid(usage: DataFrame, now: datetime, weeks: int = STREAK_WEEKS, tz: str = "UTC") -> DataFrame:
+def heatmap_grid(usage: DataFrame | None, now: datetime, weeks: int = STREAK_WEEKS, tz: str = "UTC",
+                 totals: DataFrame | None = None) -> DataFrame:
     """Per day: weekday row (Mon=0), week column, intensity 0..3 (NULL when idle)."""
-    series = day_series(usage, now, weeks * 7, tz)
+    series = day_series(usage, now, weeks * 7, tz, totals)
     first_dow = series.filter(F.col("i") == 0).select(
         ((F.dayofweek(F.col("day").cast("date")) + 5) % 7).alias("pad")
     ).scalar()

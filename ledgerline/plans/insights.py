@@ -127,7 +127,8 @@ def compare_periods(usage: DataFrame, prices: DataFrame, current_since: datetime
     )
 
 
-def summary_cards(usage: DataFrame, prices: DataFrame, now: datetime, tz: str = "UTC") -> DataFrame:
+def summary_cards(usage: DataFrame | None, prices: DataFrame | None, now: datetime, tz: str = "UTC",
+                  days: DataFrame | None = None) -> DataFrame:
     """today / 7d / 30d / all: tokens, cost, unpriced flag over whole days from each start day."""
     starts = {
         "today": day_text(start_of_day(now, tz), tz),
@@ -135,7 +136,8 @@ def summary_cards(usage: DataFrame, prices: DataFrame, now: datetime, tz: str =
         "30d": day_text(now - timedelta(days=30), tz),
         "all": day_text(None),
     }
-    days = build_report(usage, prices, by="day", tz=tz)
+    if days is None:
+        days = build_report(usage, prices, by="day", tz=tz)
     aggs = []
     for name, start in starts.items():
         inside = F.col("key") >= F.lit(start)

@@ -180,3 +180,21 @@ def test_read_lines_paths_match_the_listing(spark, scratch):
     listed = {r.path for r in list_files(spark, scratch, "*.jsonl").collect()}
     read = {r.path for r in read_lines(spark, scratch + "/a b/p=%2Fx+y/f.jsonl").collect()}
     assert listed == read and len(read) == 1
+
+
+def test_dashboard_panels_match_standalone_operators(spark):
+    from ledgerline.plans.dashboard import dashboard
+    from ledgerline.sources.eventlog import NOW, usage_table
+    from ledgerline.sources.prices import read_price_list
+
+    usage, prices = usage_table(spark, "/root/testdata/sf0.001"), read_price_list(spark)
+    panels = dashboard(usage, prices, NOW)
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+
+    assert rows(panels["cards"]) == rows(ins.summary_cards(usage, prices, NOW))
+    assert rows(panels["trend"]) == rows(cal.trend(usage, NOW))
+    assert rows(panels["streak"]) == rows(cal.streak_stats(usage, NOW))
+    assert rows(panels["heatmap"]) == rows(cal.heatmap_grid(usage, NOW))
+    assert rows(panels["by_tool"]) == rows(build_report(usage, prices, by="tool"))
