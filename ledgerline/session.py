@@ -90,3 +90,17 @@ def checkpointed(df):
     spark = df.sparkSession
     checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def cached_handle(spark: SparkSession, key: tuple, build):
+    """Reuse one DataFrame handle per session for a read-only input (no data is cached).
+
+    Opening an input (file listing, footer/schema read) costs driver time on
+    every call; the returned DataFrame is immutable and re-reads the files
+    each time it runs, so reusing the handle is safe for inputs that do not
+    change while the session lives (driver tables, a price list).
+    """
+    handles = spark.__dict__.setdefault("_ledgerline_handles", {})
+    if key not in handles:
+        handles[key] = build()
+    return handles[key]

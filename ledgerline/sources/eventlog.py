@@ -12,6 +12,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.session import cached_handle
+
 
 # Tool per event type, and one model name per user_id % 12
 # chosen to exercise every path of the price lookup (exact key, date stamp,
@@ -77,8 +79,10 @@ def usage_from_events(events: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    return cached_handle(spark, ("events", path), lambda: spark.read.parquet(path))
 
 
 def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage_from_events(read_events(spark, sf_dir))
+    return cached_handle(spark, ("usage", sf_dir.rstrip("/")),
+                         lambda: usage_from_events(read_events(spark, sf_dir)))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.schema import PRICE_ENTRY_FIELDS, RATE_COLUMNS
+from ledgerline.session import cached_handle
 
 SAMPLE_PRICES = str(Path(__file__).resolve().parent.parent / "data" / "prices_sample.json")
 
@@ -22,8 +23,9 @@ _ENTRY_DDL = ", ".join(f"{name} double" for name in PRICE_ENTRY_FIELDS) + ", _co
 
 def read_price_list(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Read a price-list JSON file (any Hadoop path) into price rows."""
-    text = spark.read.text(path or SAMPLE_PRICES, wholetext=True)
-    return parse_price_documents(text)
+    path = path or SAMPLE_PRICES
+    return cached_handle(spark, ("prices", path),
+                         lambda: parse_price_documents(spark.read.text(path, wholetext=True)))
 
 
 def parse_price_documents(docs: DataFrame, column: str = "value") -> DataFrame:

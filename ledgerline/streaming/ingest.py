@@ -17,12 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.functions.timecols import raw_file_path
 from ledgerline.operators.load import insert_events
+from ledgerline.sources.lines import number_splits
 from ledgerline.schema import USAGE_COLUMNS
 
 Decoder = Callable[[DataFrame], DataFrame]
@@ -44,10 +45,9 @@ def line_stream(spark: SparkSession, landing: str, glob: str = "*", files_per_tr
 
 
 def number_lines(batch: DataFrame) -> DataFrame:
-    """(path, ln, line) for a static micro-batch of (path, block, line) rows."""
-    ordered = batch.withColumn("pos", F.monotonically_increasing_id())
-    w = Window.partitionBy("path").orderBy("block", "pos")
-    return ordered.select("path", (F.row_number().over(w) - 1).cast("bigint").alias("ln"), "line")
+    """(path, ln, line) for a static micro-batch of (path, block, line) rows (split-parallel numbering)."""
+    numbered = number_splits(batch.withColumn("pos", F.monotonically_increasing_id()))
+    return numbered.select("path", (F.col("ln0") + F.col("local_ln")).cast("bigint").alias("ln"), "line")
 
 
 def start_ingest(spark: SparkSession, landing: str, decoder: Decoder, table_path: str, checkpoint: str,
