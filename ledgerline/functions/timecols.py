@@ -67,3 +67,13 @@ def raw_file_path(uri: Column | str) -> Column:
     A URI never uses '+' for a space, so '+' is protected before decoding.
     """
     return F.url_decode(F.replace(_c(uri), F.lit("+"), F.lit("%2B")))
+
+
+def ntz_lit(t) -> Column:
+    """A ``TIMESTAMP_NTZ`` literal for a naive (UTC) datetime, independent of any time zone.
+
+    ``F.lit(datetime)`` builds an instant in the Python process's zone, and
+    comparing it with an NTZ column goes through the session zone; a string
+    cast to NTZ involves neither.
+    """
+    return F.lit(t.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp_ntz")

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.timecols import day_key
+from ledgerline.functions.timecols import day_key, ntz_lit
 from ledgerline.schema import TOKEN_CLASSES
 
 DIMENSIONS = ("tool", "model", "day", "project", "session")
@@ -43,11 +43,11 @@ def window(usage: DataFrame, since: datetime | None = None, until: datetime | No
     out = usage
     partitioned = "dt" in usage.columns  # stored table: prune day partitions too
     if since is not None:
-        out = out.filter(F.col("ts") >= F.lit(_second(since)))
+        out = out.filter(F.col("ts") >= ntz_lit(_second(since)))
         if partitioned:
             out = out.filter(F.col("dt") >= F.lit(since.date()))
     if until is not None:
-        out = out.filter(F.col("ts") < F.lit(_second(until)))
+        out = out.filter(F.col("ts") < ntz_lit(_second(until)))
         if partitioned:
             out = out.filter(F.col("dt") <= F.lit(until.date()))
     if source:

@@ -17,6 +17,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.timecols import ntz_lit
+
 from ledgerline.functions.bounds import day_text, local_date, local_midnight, parse_since, start_of_day
 from ledgerline.functions.fmt import humanize, money
 from ledgerline.operators.joins import checked_broadcast
@@ -86,15 +88,15 @@ def windowed_costs(usage: DataFrame, prices: DataFrame, windows: dict[str, tuple
     window; then price each window's tokens with the model's rates.
     """
     lo = min((s for s, _ in windows.values() if s is not None), default=None)
-    u = usage if lo is None or any(s is None for s, _ in windows.values()) else usage.filter(F.col("ts") >= F.lit(lo))
+    u = usage if lo is None or any(s is None for s, _ in windows.values()) else usage.filter(F.col("ts") >= ntz_lit(lo))
     est = F.col("raw_cost").isNull()
     measures = []
     for name, (since, until) in windows.items():
         inside = F.lit(True)
         if since is not None:
-            inside = inside & (F.col("ts") >= F.lit(since))
+            inside = inside & (F.col("ts") >= ntz_lit(since))
         if until is not None:
-            inside = inside & (F.col("ts") < F.lit(until))
+            inside = inside & (F.col("ts") < ntz_lit(until))
         measures.append(F.sum(F.when(inside, F.col("raw_cost"))).alias(f"{name}__raw"))
         for c in TOKEN_CLASSES:
             measures.append(F.sum(F.when(inside & est, F.col(c)).otherwise(F.lit(0))).alias(f"{name}__est_{c}"))

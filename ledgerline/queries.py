@@ -14,6 +14,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions.timecols import ntz_lit
+
 from ledgerline.functions import fmt
 from ledgerline.functions.bounds import parse_since, parse_until
 from ledgerline.functions.names import model_candidates, normalize_model
@@ -241,7 +243,7 @@ def q_since_bounds(spark, sf_dir):
         if bound is None:
             cond = F.lit(True)
         else:
-            cond = (F.col("ts") >= F.lit(bound)) if kind == "since" else (F.col("ts") < F.lit(bound))
+            cond = (F.col("ts") >= ntz_lit(bound)) if kind == "since" else (F.col("ts") < ntz_lit(bound))
         counts.append(F.count(F.when(cond, F.lit(1))).alias(f"n{i}"))
     rows = ", ".join(
         f"'{kind}', '{spec}', CAST({_ts_literal(b)} AS TIMESTAMP_NTZ), n{i}"
@@ -316,7 +318,7 @@ def q_insert_ignore(spark, sf_dir):
     """Load events before the cut, then everything (plus repeats): only new keys go in."""
     u = usage_table(spark, sf_dir)
     table = scratch_path(spark, "usage-insert")
-    first = load.insert_events(spark, u.filter(F.col("ts") < F.lit(LOAD_CUT)), table)
+    first = load.insert_events(spark, u.filter(F.col("ts") < ntz_lit(LOAD_CUT)), table)
     second = load.insert_events(spark, u.unionByName(u), table)
     total = spark.read.parquet(table).groupBy("source").agg(F.count(F.lit(1)).alias("total"))
     return (
@@ -331,7 +333,7 @@ def _file_listing(spark, sf_dir):
     """(path, source, size, mtime) and the manifest saved at LOAD_CUT, one file per user."""
     u = _usage_ids(spark, sf_dir)
     path = F.concat(F.lit("/logs/u"), F.col("user_id").cast("string"))
-    before = F.col("ts") < F.lit(LOAD_CUT)
+    before = F.col("ts") < ntz_lit(LOAD_CUT)
     per_user = u.groupBy(path.alias("path"), "user_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("ts").alias("mtime"),
         F.count(F.when(before, F.lit(1))).alias("n_before"), F.max(F.when(before, F.col("ts"))).alias("mtime_before"),
@@ -342,7 +344,7 @@ def _file_listing(spark, sf_dir):
         F.col("mtime_before").alias("mtime"),
         F.when(F.col("user_id") % 9 == 0, F.col("n") * 100 + 100).otherwise(F.col("n_before") * 100).alias("offset"),
         F.concat(F.lit('{"n":'), F.col("n_before").cast("string"), F.lit("}")).alias("state"),
-        F.lit(LOAD_CUT).cast("timestamp_ntz").alias("updated_at"),
+        ntz_lit(LOAD_CUT).alias("updated_at"),
     )
     return listing, old
 
@@ -358,7 +360,7 @@ def q_manifest_upsert(spark, sf_dir):
     new = plan.select(
         "path", "source", "size", "mtime", F.col("size").alias("offset"),
         F.concat(F.lit('{"n":'), (F.col("size") / 100).cast("bigint").cast("string"), F.lit("}")).alias("state"),
-        F.lit(NOW).cast("timestamp_ntz").alias("updated_at"),
+        ntz_lit(NOW).alias("updated_at"),
     )
     return load.manifest_upsert(old, new)
 
@@ -513,7 +515,7 @@ def q_stream_daily(spark, sf_dir):
 
     usage = usage_table(spark, sf_dir)
     landing, changes, ckpt = (scratch_path(spark, n) for n in ("landing-usage", "daily-changes", "ckpt-daily"))
-    mid = F.lit(datetime(2024, 1, 16))
+    mid = ntz_lit(datetime(2024, 1, 16))
     usage.filter(F.col("ts") < mid).write.parquet(f"{landing}/part=0")
     start_daily(spark, landing, changes, ckpt).awaitTermination()
     usage.filter(F.col("ts") >= mid).write.parquet(f"{landing}/part=1")

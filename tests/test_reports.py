@@ -198,3 +198,23 @@ def test_dashboard_panels_match_standalone_operators(spark):
     assert rows(panels["streak"]) == rows(cal.streak_stats(usage, NOW))
     assert rows(panels["heatmap"]) == rows(cal.heatmap_grid(usage, NOW))
     assert rows(panels["by_tool"]) == rows(build_report(usage, prices, by="tool"))
+
+
+def test_results_do_not_depend_on_the_session_time_zone(spark):
+    from ledgerline.sources.eventlog import NOW, usage_table
+    from ledgerline.sources.prices import read_price_list
+
+    def run():
+        usage, prices = usage_table(spark, "/root/testdata/sf0.001"), read_price_list(spark)
+        a = build_report(usage, prices, by="day", since=NOW - timedelta(days=9), until=NOW - timedelta(days=2))
+        b = ins.compare_periods(usage, prices, NOW - timedelta(days=7), NOW - timedelta(days=14))
+        c = cal.streak_stats(usage, NOW)
+        return [sorted(tuple(r) for r in df.collect()) for df in (a, b, c)]
+
+    utc = run()
+    previous = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        assert run() == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", previous)
