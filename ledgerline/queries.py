@@ -437,13 +437,11 @@ def q_export_json(spark, sf_dir):
 
 def q_tail_lines(spark, sf_dir):
     """Resume every file at its middle line; the last line of odd users' files has no newline."""
-    from pyspark.sql import Window
-
     ev = _events(spark, sf_dir)
     raw = fixtures.claude_lines(ev)
     user = F.regexp_extract("path", r"/u([0-9]+)\.jsonl$", 1).cast("bigint")
-    last = F.max("ln").over(Window.partitionBy("path"))
-    marked = raw.withColumn("is_last", F.col("ln") == last).withColumn(
+    last = raw.groupBy("path").agg(F.max("ln").alias("last_ln"))
+    marked = raw.join(last, "path").withColumn("is_last", F.col("ln") == F.col("last_ln")).withColumn(
         "line", F.when(F.col("is_last") & (user % 4 == 3), F.substring("line", 1, 20)).otherwise(F.col("line"))
     ).withColumn("terminated", ~(F.col("is_last") & (user % 2 == 1)))
     with_off = lines.with_offsets(marked.select("path", "ln", "line", "terminated"))
@@ -491,13 +489,11 @@ def q_stream_dedup(spark, sf_dir):
 
 def q_stream_counter_diff(spark, sf_dir):
     """Counter files arrive in two chunks per file; per-file state carries across the runs."""
-    from pyspark.sql import Window
-
     from ledgerline.streaming.counters import decode_stream
 
     raw = fixtures.codex_lines(_events(spark, sf_dir))
-    half = F.max("ln").over(Window.partitionBy("path")) / 2
-    chunked = raw.withColumn("chunk", (F.col("ln") > half).cast("int"))
+    half = raw.groupBy("path").agg((F.max("ln") / 2).alias("half"))
+    chunked = raw.join(half, "path").withColumn("chunk", (F.col("ln") > F.col("half")).cast("int"))
     landing, out, ckpt = (scratch_path(spark, n) for n in ("landing-codex", "codex-out", "ckpt-codex"))
     for chunk in (0, 1):
         chunked.filter(F.col("chunk") == chunk).select("path", "ln", "line").write.parquet(f"{landing}/chunk={chunk}")
