@@ -3,7 +3,6 @@
 import random
 
 from conftest import prices_from, usage_rows
-from pyspark.sql import functions as F
 
 from ledgerline.operators.pricing import attach_rates, norm_index, price_rows, resolve_models
 from ledgerline.operators.aggregate import usage_aggregate

@@ -5,7 +5,6 @@ from datetime import datetime, timedelta
 
 import pytest
 from conftest import T0, prices_from, usage_rows
-from pyspark.sql import functions as F
 
 from ledgerline.functions import fmt
 from ledgerline.functions.bounds import add_months, parse_since, parse_until
