@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import T0, prices_from, usage_rows
 
 from ledgerline.functions import fmt
@@ -217,3 +218,24 @@ def test_results_do_not_depend_on_the_session_time_zone(spark):
         assert run() == utc
     finally:
         spark.conf.set("spark.sql.session.timeZone", previous)
+
+
+def test_stored_table_scan_prunes_partitions_and_columns(spark, scratch):
+    from ledgerline.sources.eventlog import usage_table
+    from ledgerline.sources.prices import read_price_list
+
+    usage_table(spark, "/root/testdata/sf0.001").withColumn("dt", F.to_date("ts")).write.partitionBy("dt").parquet(
+        f"{scratch}/usage")
+    stored = spark.read.parquet(f"{scratch}/usage")
+    report = build_report(stored, read_price_list(spark), by="model", since=datetime(2024, 1, 20, 6),
+                          until=datetime(2024, 1, 25), source="codex")
+    previous = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    try:
+        plan = report._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", previous)
+    assert "dt#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed and "EqualTo(source,codex)" in pushed
+    assert "session_id" not in plan.split("ReadSchema: ")[1].split("\n")[0]  # unused columns are not read
