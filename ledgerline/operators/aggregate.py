@@ -76,16 +76,27 @@ def usage_aggregate(usage: DataFrame, by: str = "tool", tz: str = "UTC") -> Data
 
 
 def session_aggregate(usage: DataFrame) -> DataFrame:
-    """(session_id, source, model) rows of sessions with a non-empty id."""
-    return (
+    """(session_id, source, model) rows of sessions with a non-empty id.
+
+    Two steps keep the pass over events hash-based: a string ``max(project)``
+    would force sort-based aggregation of every event, so events are first
+    reduced by (session, source, model, project) - numeric buffers only, with
+    map-side partial aggregation - and ``max(project)`` then runs over those
+    few pre-aggregated rows (normally one per session and model).
+    """
+    keys = ["session_id", "source", "model"]
+    per_project = (
         usage.filter(F.col("session_id").isNotNull() & (F.col("session_id") != F.lit("")))
-        .groupBy("session_id", "source", F.coalesce(F.col("model"), F.lit("")).alias("model"))
-        .agg(
-            F.max(F.coalesce(F.col("project"), F.lit(""))).alias("project"),
-            *usage_measures(),
-            F.min("ts").alias("first_ts"),
-            F.max("ts").alias("last_ts"),
-        )
+        .groupBy("session_id", "source", F.coalesce(F.col("model"), F.lit("")).alias("model"),
+                 F.coalesce(F.col("project"), F.lit("")).alias("project"))
+        .agg(*usage_measures(), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    )
+    summed = [c for c in per_project.columns if c not in keys + ["project", "first_ts", "last_ts"]]
+    return per_project.groupBy(*keys).agg(
+        F.max("project").alias("project"),
+        *[F.sum(c).alias(c) for c in summed],
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
     )
 
 
