@@ -28,10 +28,14 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 def fits(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS,
          max_bytes: int = DIMENSION_BROADCAST_BYTES) -> bool:
-    size = estimated_bytes(df)
-    if size is not None and size <= max_bytes:
-        return True
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` is proven small; the answer is remembered on the DataFrame object
+    (a DataFrame is immutable, and reused input handles then pay the check once)."""
+    memo = df.__dict__.setdefault("_ledgerline_fits", {})
+    if (max_rows, max_bytes) not in memo:
+        size = estimated_bytes(df)
+        ok = (size is not None and size <= max_bytes) or df.limit(max_rows + 1).count() <= max_rows
+        memo[(max_rows, max_bytes)] = ok
+    return memo[(max_rows, max_bytes)]
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS,

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.names import model_candidates, normalize_model, strip_space
+from ledgerline.functions.names import candidates_sql, normalize_model, strip_space_sql
 from ledgerline.operators.joins import checked_broadcast, fits
 from ledgerline.schema import RATE_COLUMNS, TOKEN_CLASSES
 
@@ -25,7 +25,7 @@ from ledgerline.schema import RATE_COLUMNS, TOKEN_CLASSES
 def norm_index(prices: DataFrame) -> DataFrame:
     """(norm, key): one price key per normalised name, shortest key wins."""
     return prices.groupBy(normalize_model("key").alias("norm")).agg(
-        F.min_by("key", F.struct(F.octet_length("key"), F.col("key"))).alias("key")
+        F.expr("min_by(key, struct(octet_length(key), key)) AS key")
     )
 
 
@@ -39,8 +39,8 @@ def resolve_models(models: DataFrame, prices: DataFrame, small: bool | None = No
     None); the key list and the index are derived from it and no larger.
     """
     small = fits(prices) if small is None else small
-    trimmed = models.select("model", strip_space("model").alias("_m"))
-    cands = trimmed.select("model", F.posexplode(model_candidates("model", "_m")).alias("ord", "cand"))
+    trimmed = models.selectExpr("model", f"{strip_space_sql('model')} AS _m")
+    cands = trimmed.selectExpr("model", f"posexplode({candidates_sql('model', '_m')}) AS (ord, cand)")
     keys = checked_broadcast(prices.select(F.col("key").alias("cand"), F.col("key").alias("exact_key")), proven=small)
     index = checked_broadcast(norm_index(prices).withColumnRenamed("key", "norm_key"), proven=small)
     probed = (
@@ -48,17 +48,12 @@ def resolve_models(models: DataFrame, prices: DataFrame, small: bool | None = No
         .join(keys, "cand", "left")
         .join(index, "norm", "left")
     )
-    hits = F.filter(
-        F.array(
-            F.struct(F.lit(0).alias("phase"), F.col("ord"), F.col("exact_key").alias("key")),
-            F.struct(F.lit(1).alias("phase"), F.col("ord"), F.col("norm_key").alias("key")),
-        ),
-        lambda h: h.getField("key").isNotNull(),
-    )
+    hits = ("explode(filter(array(named_struct('phase', 0, 'ord', ord, 'key', exact_key), "
+            "named_struct('phase', 1, 'ord', ord, 'key', norm_key)), h -> h.key IS NOT NULL)) AS h")
     return (
-        probed.select("model", F.explode(hits).alias("h"))
+        probed.selectExpr("model", hits)
         .groupBy("model")
-        .agg(F.min_by("h.key", F.struct("h.phase", "h.ord")).alias("price_key"))
+        .agg(F.expr("min_by(h.key, struct(h.phase, h.ord)) AS price_key"))
     )
 
 
@@ -71,13 +66,9 @@ def model_rates(models: DataFrame, prices: DataFrame) -> DataFrame:
     resolved = resolve_models(models.select("model").distinct(), prices, small)
     rates = checked_broadcast(prices, proven=small).withColumnRenamed("key", "price_key")
     joined = resolved.join(rates, "price_key")
-    return joined.select(
-        "model",
-        "price_key",
-        *[F.col(c) for c in RATE_COLUMNS if c != "reasoning_rate"],
-        F.when(F.col("reasoning_rate") == 0, F.col("output_rate"))
-        .otherwise(F.col("reasoning_rate"))
-        .alias("reasoning_rate"),
+    return joined.selectExpr(
+        "model", "price_key", *[c for c in RATE_COLUMNS if c != "reasoning_rate"],
+        "CASE WHEN reasoning_rate = 0 THEN output_rate ELSE reasoning_rate END AS reasoning_rate",
     )
 
 
