@@ -228,13 +228,20 @@ def budget_period(since: datetime | None, now: datetime, tz: str = "UTC") -> str
 
 
 def budget_check(usage: DataFrame, prices: DataFrame, now: datetime, specs: list[str],
-                 budgets: DataFrame | None = None, tz: str = "UTC") -> DataFrame:
-    """Per since-spec: period, cost, budget, exceeded, percent of budget."""
+                 budgets: DataFrame | None = None, tz: str = "UTC",
+                 periods: dict[str, str] | None = None) -> DataFrame:
+    """Per since-spec: period, cost, budget, exceeded, percent of budget.
+
+    The period of a spec follows ``budget_period`` unless ``periods`` names it
+    explicitly ({spec: 'daily' | 'weekly' | 'monthly'}); ``budgets`` is a
+    (period, budget) table, the defaults otherwise.
+    """
     spark = usage.sparkSession
     bounds = {f"w{i}": parse_since(s, now, tz) for i, s in enumerate(specs)}
     costs = windowed_costs(usage, prices, {k: (v, None) for k, v in bounds.items()})
     stack = ", ".join(
-        f"'{s}', '{budget_period(bounds[f'w{i}'], now, tz)}', cost_w{i}" for i, s in enumerate(specs)
+        f"'{s}', '{(periods or {}).get(s) or budget_period(bounds[f'w{i}'], now, tz)}', cost_w{i}"
+        for i, s in enumerate(specs)
     )
     per_spec = costs.selectExpr(f"stack({len(specs)}, {stack}) AS (spec, period, cost)")
     if budgets is None:

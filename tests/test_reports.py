@@ -54,6 +54,9 @@ def test_compare_and_budget(spark):
     now = T0 + timedelta(days=1, hours=2)
     b = {r.spec: r for r in ins.budget_check(usage, prices, now, ["today", "30d"]).collect()}
     assert b["today"].period == "daily" and b["30d"].period == "weekly"
+    budgets = spark.createDataFrame([("monthly", 0.1)], "period string, budget double")
+    m = ins.budget_check(usage, prices, now, ["30d"], budgets=budgets, periods={"30d": "monthly"}).collect()[0]
+    assert (m.period, m.budget, m.exceeded) == ("monthly", 0.1, True) and m.pct == pytest.approx(502.1)
 
 
 FORMAT_CASES = [(0, "0"), (999, "999"), (1000, "1K"), (1250, "1.2K"), (1350, "1.4K"), (1150, "1.1K"),
