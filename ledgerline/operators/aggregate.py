@@ -108,5 +108,6 @@ def source_stats(usage: DataFrame) -> DataFrame:
 
 
 def earliest_event(usage: DataFrame) -> DataFrame:
-    """One row: the earliest instant, NULL for an empty table."""
-    return usage.agg(F.min("ts").alias("earliest_ts"))
+    """One row: the earliest instant; NULL for an empty table or a zero (epoch) instant."""
+    earliest = F.min("ts")
+    return usage.agg(F.when(earliest != F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), earliest).alias("earliest_ts"))
