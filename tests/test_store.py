@@ -147,3 +147,16 @@ def test_checked_broadcast_falls_back_when_large(spark):
     assert not fits(big, max_rows=100, max_bytes=8)
     plan = big.join(checked_broadcast(big, max_rows=100, max_bytes=8), "id")._jdf.queryExecution().toString()
     assert "broadcast" not in plan.lower().split("== physical plan ==")[0]
+
+
+def test_key_horizon_prunes_days_and_keeps_dedup(spark, scratch):
+    table = f"{scratch}/usage"
+    old = usage_rows(spark, [dict(source="codex", dedup_key=f"k{i}", ts=T0 + timedelta(days=i)) for i in range(10)])
+    load.insert_events(spark, old, table)
+    again = usage_rows(spark, [dict(source="codex", dedup_key="k8", ts=T0 + timedelta(days=8)),
+                               dict(source="codex", dedup_key="new", ts=T0 + timedelta(days=8))])
+    stored = spark.read.parquet(table)
+    fresh = load.not_loaded(again, stored, key_horizon_days=1)
+    assert [r.dedup_key for r in fresh.collect()] == ["new"]
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan
