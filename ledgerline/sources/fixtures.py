@@ -280,8 +280,10 @@ def antigravity_tables(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     garbage = F.lit(bytes([0xFF, 0xFF, 0xFF])).cast("binary")
 
     def variant(rows, sub, blob):
+        # Generate keeps the encoder evaluated once even when filters on
+        # ``metadata`` are pushed towards this projection.
         return rows.select(path.alias("path"), (F.col("rn") * 4 + F.lit(sub)).cast("bigint").alias("idx"),
-                           blob.alias("metadata"))
+                           F.inline(F.array(F.struct(blob.alias("metadata")))))
 
     steps = (
         variant(u, 0, encode_step(secs, mid, "input", "output", "cache_read", gen))
