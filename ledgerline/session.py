@@ -29,6 +29,11 @@ DEFAULTS = {
 }
 
 
+# Set when a session is built (not changeable on a running one): remove
+# lineage-cut checkpoint files once their data is no longer referenced.
+STARTUP_DEFAULTS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply DEFAULTS where the session has no value of its own."""
     for key, value in DEFAULTS.items():
@@ -48,7 +53,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("LEDGERLINE_DRIVER_MEMORY", "8g"))
     )
-    for key, value in DEFAULTS.items():
+    for key, value in {**DEFAULTS, **STARTUP_DEFAULTS}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
