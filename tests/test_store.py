@@ -1,5 +1,6 @@
 """Idempotent load, aggregation, split, sessions, prune and manifest (store semantics)."""
 
+import os
 from datetime import timedelta
 
 import pytest
@@ -160,3 +161,16 @@ def test_key_horizon_prunes_days_and_keeps_dedup(spark, scratch):
     assert [r.dedup_key for r in fresh.collect()] == ["new"]
     plan = fresh._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dt" in plan
+
+
+def test_prune_drops_a_boundary_day_with_no_survivors(spark, scratch):
+    table = f"{scratch}/usage"
+    day = T0.replace(hour=0)
+    usage = usage_rows(spark, [dict(source="a", dedup_key="early", ts=day + timedelta(hours=1)),
+                               dict(source="a", dedup_key="next", ts=day + timedelta(days=1, hours=1))])
+    usage.withColumn("dt", F.to_date("ts")).write.partitionBy("dt").parquet(table)
+    assert load.prune(spark, table, day + timedelta(hours=12)) == 1
+    left = spark.read.parquet(table)
+    assert [r.dedup_key for r in left.collect()] == ["next"]
+    assert not any(n.startswith(f"dt={day.date()}") for n in os.listdir(table))
+    assert load.prune(spark, table, day + timedelta(hours=12)) == 0  # idempotent
