@@ -145,3 +145,18 @@ def test_lookup_matches_sequential_statement(spark):
     got = resolve(spark, sorted(names))
     for n in names:
         assert got.get(n) == _resolve_seq(n, set(keys)), n
+
+
+def test_price_list_file_reader_and_handle_reuse(spark, tmp_path):
+    import json
+
+    from ledgerline.sources.prices import SAMPLE_PRICES, read_price_list
+
+    p = tmp_path / "prices.json"
+    p.write_text(json.dumps(PRICES))
+    keys = {r.key for r in read_price_list(spark, str(p)).collect()}
+    assert keys == {"claude-opus-4-7", "anthropic/claude-haiku-4-5", "gpt-4o", "gemini/gemini-2.5-flash", "o3",
+                    "o3-20250416"}
+    assert read_price_list(spark) is read_price_list(spark)  # one handle per session and path
+    sample = {r.key for r in read_price_list(spark, SAMPLE_PRICES).collect()}
+    assert "sample_spec" not in sample and "deepseek-chat" not in sample and "qwen3-coder:free" not in sample
