@@ -8,6 +8,7 @@ still unset, so a cluster's own choices always win.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -63,21 +64,41 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster). Only when it is
-    unset, as in local tests, a fresh scratch folder is created and recorded
-    in the session so later calls agree.
+    Read from ``spark.checkpoint.dir`` (set by the cluster). When it is unset,
+    a fresh scratch folder is created for a local master only (driver and
+    tasks share one disk there) and recorded in the session so later calls
+    agree; on any other master a machine-local folder would lose data, so
+    that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
     spark.conf.set("spark.checkpoint.dir", scratch)
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, from whatever folder the driver was started.
+
+    The package is zipped once per application and handed to Spark, which
+    distributes it to every executor (also to those that join later).
+    """
+    context = spark.sparkContext
+    if getattr(context, "_ledgerline_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="ledgerline-zip-"), "ledgerline")
+    archive = shutil.make_archive(base, "zip", root_dir=os.path.dirname(package), base_dir=os.path.basename(package))
+    context.addPyFile(archive)
+    context._ledgerline_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the shared checkpoint folder for one written table."""
     import uuid
