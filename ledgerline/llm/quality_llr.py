@@ -6,7 +6,8 @@ The method scores every document by
 
     (sum over its 1- and 2-grams of log p_target(bucket) - log p_raw(bucket)) / number of n-grams
 
-where n-grams are hashed to ``BUCKETS`` buckets, ``raw`` counts the n-grams of
+where n-grams run over word parts and runs of punctuation, each a token, and are
+hashed to ``BUCKETS`` buckets, ``raw`` counts the n-grams of
 all documents and ``target`` those of trusted documents; both multinomials are
 smoothed by ``ALPHA``. A document is kept when it passes the base rules and its
 score is at least ``THRESHOLD``: the same test for every document.
@@ -31,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WS_CHARS, text_of, words_of
+from ledgerline.llm.common import text_of, words_of
 
 BUCKETS = 1 << 14
 ALPHA = 0.5
@@ -50,6 +51,11 @@ def with_words(docs: DataFrame) -> DataFrame:
     return _once(docs, "__w", words_of(text_of(docs)))
 
 
+def _tokens(text: Column) -> Column:
+    """Words without their punctuation, and the runs of punctuation between them."""
+    return words_of(F.regexp_replace(text, r"([^\p{L}\p{N}\s]+)", " $1 "))
+
+
 def _buckets(words: str) -> str:
     return (f"concat(transform({words}, w -> int(pmod(xxhash64(w), {BUCKETS}))), "
             f"transform(slice({words}, 2, size({words})), (w, i) -> int(pmod(xxhash64(w, get({words}, i)), {BUCKETS}))))")
@@ -64,8 +70,8 @@ def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
 def bucket_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: ``weights``, the log ratio of target to raw of each bucket."""
     target = F.broadcast(trusted_ids(labels))  # TARGET_ROWS longs at most
-    rows = docs.select(docs["doc_id"].alias("__id"), docs["text"].alias("text"))
-    rows = with_words(rows.join(target.withColumn("__t", F.lit(1)), "__id", "left"))
+    rows = docs.select(docs["doc_id"].alias("__id"), text_of(docs).alias("text"))
+    rows = _once(rows.join(target.withColumn("__t", F.lit(1)), "__id", "left"), "__w", _tokens(F.col("text")))
     grams = rows.select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode(F.expr(_buckets("__w"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
@@ -109,8 +115,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     df = _repeated_words(df)
     lines = F.expr("filter(split(__t, '\\n'), x -> length(trim(BOTH "
                    + "' \\t\\n" + "\x0b\f" + "\\r' FROM x)) > 0)")
-    grams = "(greatest(2 * size(__w) - 1, 1))"
-    total = f"aggregate({_buckets('__w')}, 0D, (a, b) -> a + coalesce(get(__weights, b), 0D))"
+    df = _once(df, "__f", _tokens(F.col("__t")))
+    grams = "(greatest(2 * size(__f) - 1, 1))"
+    total = f"aggregate({_buckets('__f')}, 0D, (a, b) -> a + coalesce(get(__weights, b), 0D))"
     df = _once(df, "__q", F.struct(
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),

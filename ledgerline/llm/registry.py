@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, quality_llr
+from ledgerline.llm import exact_dedup, quality_llr, rans_tokens, source_mix, vector_pack
 from ledgerline.llm.common import read_table
 from ledgerline.llm.oracle import ORACLES
 
@@ -29,8 +29,25 @@ def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr")])
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, _ = source_mix.mix_documents(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_vector_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = vector_pack.pack_documents(read_table(spark, sf_dir, "documents"))
+    return pieces.select(F.col("example").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         F.col("example_tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
+def op6_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = rans_tokens.write_files(read_table(spark, sf_dir, "documents"))
+    rows = rans_tokens.read_files(spark, folder)
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_quality_llr)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_source_mix, op4_quality_llr, op5_vector_pack, op6_rans_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
