@@ -65,3 +65,70 @@ def prefix_sums(rows: DataFrame, order: list[Column], value: str, out: str, name
 
 def any_of(conditions) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def row_digest(docs: DataFrame) -> Column:
+    """SHA-256 of the words of the text, joined by one blank."""
+    return F.unhex(F.sha2(F.array_join(words_of(text_of(docs)), " ").cast("binary"), 256))
+
+
+def id_key(doc_id: Column) -> Column:
+    """A key that also tells null ids, and that joins and windows hash alike."""
+    return F.coalesce(doc_id.cast("string"), F.lit("null"))
+
+
+def rows_that_stay(docs: DataFrame, digest: Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, digest) is in ``kept``, with all columns; of repeated rows one.
+
+    Join and row number share one shuffle of the rows.
+    """
+    keys = kept.select(id_key(F.col("doc_id")).alias("__key"), F.col("digest").alias("__digest")).distinct()
+    rows = docs.withColumns({"__key": id_key(docs["doc_id"]), "__digest": digest})
+    one = Window.partitionBy("__key", "__digest").orderBy("__digest")
+    return (rows.join(keys, ["__key", "__digest"], "left_semi")
+            .withColumn("__copy", F.row_number().over(one)).where("__copy = 1").select(*docs.columns))
+
+
+def salt_of(doc_id: Column, salts: int) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(salts)).cast("int")
+
+
+def expand_salts(groups: DataFrame, salts: int) -> DataFrame:
+    """A row of ``groups`` for each salt that its bit mask ``salts`` has; the column ``salt`` takes its place."""
+    each = F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (salts & shiftleft(1L, s)) != 0)"))
+    return groups.withColumn("salt", each).drop("salts")
+
+
+def connected(edges: DataFrame, name: str) -> DataFrame:
+    """Components of ``edges`` (a, b): one row per node, with the smallest node of its component as ``root``.
+
+    Rounds of large-star and small-star: every node's neighbours are linked to
+    the smallest of them, until a round changes nothing. Minima are aggregates
+    and are joined back, so a node with many edges is never a list. Each round
+    is written to the shared folder, which cuts the lineage.
+    """
+    def star(pairs: DataFrame, large: bool) -> DataFrame:
+        both = pairs.union(pairs.select("b", "a")) if large else pairs
+        both = both.toDF("u", "v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        if large:
+            joined = both.where("v > u").join(least, "u")
+            return joined.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        joined = both.join(least, "u")
+        return (joined.select(F.col("v").alias("a"), F.col("m").alias("b"))
+                .union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a != b").distinct())
+
+    def mark(pairs: DataFrame):
+        return pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    pairs = written(pairs, name)
+    last = mark(pairs)
+    while last[0]:
+        pairs = written(star(star(pairs, True), False), name)
+        now = mark(pairs)
+        if tuple(now) == tuple(last):
+            break
+        last = now
+    found = pairs.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    return found.union(found.select("root", "root").distinct())

@@ -22,10 +22,10 @@ Other columns of the input are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import WS_RUN, text_of
+from ledgerline.llm.common import WS_RUN, expand_salts, rows_that_stay, salt_of, text_of
 
 # Salted groups a text may have; fits the bit mask of a long.
 SALTS = 32
@@ -43,7 +43,7 @@ def _keyed(docs: DataFrame, digest) -> DataFrame:
     rows = docs.select(docs["doc_id"].alias("doc_id"), normalised(docs).alias("norm"))
     return rows.select("doc_id", "norm", digest(F.col("norm")).alias("digest"),
                        F.xxhash64("norm").alias("digest2"),
-                       F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+                       salt_of(F.col("doc_id"), SALTS).alias("salt"))
 
 
 def duplicate_groups(docs: DataFrame, digest=_sha256) -> DataFrame:
@@ -62,12 +62,10 @@ def mark_duplicates(docs: DataFrame, digest=_sha256) -> DataFrame:
     ``digest`` may be any function of the normalised text (tests pass a weak
     one); groups never mix texts, whatever it returns.
     """
-    groups = (duplicate_groups(docs, digest)
-              .withColumn("salt", F.explode(F.expr(
-                  f"filter(sequence(0, {SALTS - 1}), s -> (salts & shiftleft(1L, s)) != 0)"))))
+    groups = expand_salts(duplicate_groups(docs, digest), SALTS)
     members = (_keyed(docs, digest).drop("norm").repartition("digest", "digest2", "salt")
                .groupBy("digest", "digest2", "salt", "doc_id").agg(F.count(F.lit(1)).alias("copies")))
-    joined = members.join(groups.drop("salts"), ["digest", "digest2", "salt"])
+    joined = members.join(groups, ["digest", "digest2", "salt"])
     # A doc_id is repeated only where whole rows are: the first of them counts as the row.
     return (joined.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
             .select("doc_id", "keep_id", "group_size",
@@ -79,14 +77,7 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all columns of ``docs``.
 
     Every document knows its group's winner; the rows whose (doc_id, digest)
-    is a winner stay. Where one doc_id comes with the same text more than
-    once, a row number within that doc_id and text leaves one of them.
+    is a winner stay, one of them where rows repeat.
     """
-    kept = (mark_duplicates(docs).where("kept")
-            .select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest")))
-    rows = docs.withColumns({"__digest": _sha256(normalised(docs)), "__doc_id": docs["doc_id"]})
-    one = Window.partitionBy("__doc_id", "__digest").orderBy(F.lit(0))
-    found = rows.join(kept, rows["__doc_id"].eqNullSafe(kept["__doc_id"]) & (rows["__digest"] == kept["__digest"]),
-                      "left_semi")
-    return found.withColumn("__copy", F.row_number().over(one)).where("__copy = 1").select(
-        *[found[c] for c in docs.columns])
+    kept = mark_duplicates(docs).where("kept")
+    return rows_that_stay(docs, _sha256(normalised(docs)), kept)

@@ -133,3 +133,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
         q["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"),
         (~failed & (q["llr"] >= threshold)).alias("kept"), q["llr"].alias("llr"),
     )).select(*[docs[c] for c in docs.columns if c != "quality_rules"], F.col("__r").alias("quality_rules"))
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that the rules keep, with all columns of ``docs`` as they were."""
+    scored = score_documents(docs.withColumn("__kept_columns", F.struct(*[docs[c] for c in docs.columns])),
+                             labels, threshold)
+    return scored.where("quality_rules.kept").select("__kept_columns.*")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, quality_llr, rans_tokens, source_mix, vector_pack
+from ledgerline.llm import exact_dedup, jaccard_forest, quality_llr, rans_tokens, source_mix, vector_pack
 from ledgerline.llm.common import read_table
 from ledgerline.llm.oracle import ORACLES
 
@@ -46,8 +46,20 @@ def op6_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_forest.near_duplicates(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_links")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_source_mix, op4_quality_llr, op5_vector_pack, op6_rans_tokens)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_source_mix, op4_quality_llr, op5_vector_pack, op6_rans_tokens,
+                                   op7_jaccard_forest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

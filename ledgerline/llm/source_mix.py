@@ -31,10 +31,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import prefix_sums, text_of, word_count, written
+from ledgerline.llm.common import id_key, prefix_sums, text_of, word_count, words_of, written
 
 MAX_EPOCHS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -151,8 +151,8 @@ def plan_mix(rows: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS, block_w
 
 def mix_documents(docs: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS, block_words: int = BLOCK_WORDS,
                   seed: int = SEED) -> tuple[DataFrame, MixPlan]:
-    """Per document: doc_id, source, size, source_size, target, taken, and ``place``, its first word's
-    place in its source's stream, with the plan."""
+    """Per document: doc_id, source, size, source_size, target, taken, ``place`` (of its first word in its
+    source's stream) and ``__h`` (a hash of its text), with the plan."""
     rows = written(sized(docs), "mix-sizes")  # the texts are read once
     plan = plan_mix(rows, weights, epochs, block_words)
     spark = docs.sparkSession
@@ -170,4 +170,32 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, epochs: int = MAX_EPOCHS, bl
     rest = F.expr("if(source_size = 0, 0L, words % source_size)")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("place")))
     taken = joined.withColumn("place", place).withColumn("taken", (turns * F.col("size") + part).cast("long"))
-    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "place"), plan
+    return taken.select("doc_id", "source", "size", "source_size", "target", "taken", "place", "__h"), plan
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each time a document is taken.
+
+    The last turn of a source's stream may end within a document: that row has
+    the words that were taken, joined by blanks, and their length as n_chars
+    (at most one such document per source). Documents that the mix doesn't
+    take are gone.
+    """
+    taken, _ = mix_documents(docs, **options)
+    number = Window.partitionBy("__key", "__h")
+    takes = (taken.where("taken > 0")
+             .select(id_key(F.col("doc_id")).alias("__key"), "__h", "size", "taken", "place")
+             .withColumn("__n", F.row_number().over(number.orderBy("place"))).drop("place"))
+    rows = docs.withColumns({"__key": id_key(docs["doc_id"]), "__h": F.xxhash64(text_of(docs))})
+    rows = rows.withColumn("__n", F.row_number().over(number.orderBy("__h")))
+    each = F.explode(F.expr("transform(sequence(1L, ceil(__take / __size)), "
+                            "i -> least(__size, __take - (i - 1) * __size))"))
+    joined = rows.join(takes.withColumnsRenamed({"size": "__size", "taken": "__take"}), ["__key", "__h", "__n"])
+    joined = joined.withColumn("__words", each)
+    whole = F.col("__words") == F.col("__size")
+    cut = F.array_join(F.slice(words_of(text_of(joined)), F.lit(1), F.col("__words").cast("int")), " ")
+    joined = joined.withColumn("__text", F.when(whole, joined["text"]).otherwise(cut))
+    made = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(whole, joined["n_chars"]).otherwise(F.length("__text"))
+    return joined.withColumns(made).select(*docs.columns)
