@@ -11,13 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, jaccard_forest, quality_llr, rans_tokens, source_mix, vector_pack
+from ledgerline.llm import exact_dedup, jaccard_forest, license_scan, quality_llr, rans_tokens, source_mix, vector_pack
 from ledgerline.llm.common import read_table
 from ledgerline.llm.oracle import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summarise(license_scan.scan_licenses(read_table(spark, sf_dir, "documents")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = exact_dedup.mark_duplicates(read_table(spark, sf_dir, "documents"))
     return marks.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -58,8 +62,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_source_mix, op4_quality_llr, op5_vector_pack, op6_rans_tokens,
-                                   op7_jaccard_forest, pipeline)}
+    return {f.__name__: f for f in (
+        op1_license_scan, op2_exact_dedup, op3_source_mix, op4_quality_llr, op5_vector_pack, op6_rans_tokens,
+        op7_jaccard_forest, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
