@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, jaccard_forest, language_spans, license_scan, quality_llr, rans_tokens, source_mix, toxicity_decode, vector_pack
+from ledgerline.llm import exact_dedup, jaccard_forest, language_spans, license_scan, quality_llr, rans_tokens, secret_forest, source_mix, toxicity_decode, vector_pack
 from ledgerline.llm.common import read_table
 from ledgerline.llm.oracle import ORACLES
 
@@ -64,6 +64,13 @@ def op9_toxicity_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_decode.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = secret_forest.find_secrets(docs, docs["source"])
+    return found.select("doc_id", "start", "end", "value", F.col("label").cast("int").alias("label"), "held_out",
+                        "score", "is_secret")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +80,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_exact_dedup, op3_source_mix, op4_quality_llr, op5_vector_pack, op6_rans_tokens,
-        op7_jaccard_forest, op8_language_spans, op9_toxicity_decode, pipeline)}
+        op7_jaccard_forest, op8_language_spans, op9_toxicity_decode, op10_secret_forest,
+        pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
