@@ -1,0 +1,61 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from ledgerline.llm import secret_forest as s
+
+from .helpers import awkward, clashing, documents, prose
+
+
+def corpus():
+    rng = random.Random(9)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = []
+    for i in range(240):
+        kind = i % 6
+        extra = [f'api_key = "{hexes(40)}"', "AKIA" + "".join(rng.choice("ABCDEFGHIJ234567") for _ in range(16)),
+                 f"password={hexes(18)}", str(rng.randrange(10**15, 10**16)), f"commit {hexes(40)}",
+                 f"mail {hexes(6)}summergarden12@example.com"][kind]
+        rows.append((i, f"{prose(i, 20)} {extra} {prose(i + 1, 10)}", "en", "tests/a.py" if i % 7 == 0 else "src/b.py"))
+    return rows
+
+
+def test_candidates_match_brute_force(spark):
+    rows = [*corpus(), (900, None), (901, ""), (902, "abc" * 10), (903, "a1" * 50_000)]
+    docs = documents(spark, rows)
+    got = sorted((r.doc_id, r.start, r.end, r.value) for r in s.find_candidates(clashing(docs), docs["source"]).collect())
+    want = sorted((i, m.start(), m.end(), m[0]) for i, text, *_ in rows
+                  for m in re.finditer(r"[A-Za-z0-9+/_\-]{12,}", text or "") if re.search(r"\d", m[0]))
+    assert got == want
+
+
+def test_forest_separates_held_out_findings(spark):
+    docs = documents(spark, corpus())
+    got = s.find_secrets(docs, docs["source"]).collect()
+    out = [r for r in got if r.held_out and r.label is not None]
+    assert len(out) > 20 and {r.label for r in out} == {0.0, 1.0}
+    assert sum(r.is_secret == bool(r.label) for r in out) / len(out) >= 0.9
+    assert all(0 <= r.score <= 1 for r in got)
+    again = {(r.doc_id, r.start): r.score for r in s.find_secrets(docs.repartition(5), docs["source"]).collect()}
+    assert again == {(r.doc_id, r.start): r.score for r in got}
+
+
+def test_own_labels_and_one_kind_only(spark):
+    docs = documents(spark, corpus())
+    found = s.find_candidates(docs)
+    assert {r.score for r in s.score_findings(found, F.lit(1)).collect()} == {1.0}
+    assert {r.score for r in s.score_findings(found, F.lit(None).cast("int")).collect()} == {0.0}
+
+
+def test_coverage_is_the_best_cover():
+    words = frozenset(["summer", "garden", "mergar"])
+    assert s.coverage("summergarden", words, 6) == 1.0
+    assert s.coverage("xxmergarxx", words, 6) == 0.6
+    assert s.coverage("0123456789", words, 6) == 0.0
+
+
+def test_awkward_and_empty(spark):
+    docs = awkward(spark)
+    assert s.find_secrets(docs, docs["source"]).collect() == []
+    assert s.find_secrets(docs.limit(0)).collect() == []
