@@ -18,9 +18,15 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# Unix seconds of the years 1 to 9999.
+LEAST_SECOND, LAST_SECOND = -62_135_596_800, 253_402_300_799
+
+
 def epoch_seconds_to_ntz(secs: Column | str) -> Column:
-    """Unix seconds -> UTC ``TIMESTAMP_NTZ``."""
-    return F.timestamp_add("SECOND", _c(secs), F.expr(EPOCH_NTZ))
+    """Unix seconds -> UTC ``TIMESTAMP_NTZ``; NULL outside the years 1 to 9999 (one odd value never fails a job)."""
+    s = _c(secs)
+    inside = F.when(s.between(LEAST_SECOND, LAST_SECOND), s)
+    return F.timestamp_add("SECOND", inside, F.expr(EPOCH_NTZ))
 
 
 def epoch_millis_to_ntz(ms: Column | str) -> Column:

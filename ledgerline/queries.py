@@ -488,35 +488,32 @@ def q_stream_dedup(spark, sf_dir):
 
 
 def q_stream_counter_diff(spark, sf_dir):
-    """Counter files arrive in two chunks per file; per-file state carries across the runs."""
-    from ledgerline.streaming.counters import decode_stream
+    """Counter files arrive in two chunks per file, the later chunk first, and the earlier one again."""
+    from ledgerline.streaming.counters import current_events, start_decode
 
     raw = fixtures.codex_lines(_events(spark, sf_dir))
     half = raw.groupBy("path").agg((F.max("ln") / 2).alias("half"))
     chunked = raw.join(half, "path").withColumn("chunk", (F.col("ln") > F.col("half")).cast("int"))
-    landing, out, ckpt = (scratch_path(spark, n) for n in ("landing-codex", "codex-out", "ckpt-codex"))
-    for chunk in (0, 1):
-        chunked.filter(F.col("chunk") == chunk).select("path", "ln", "line").write.parquet(f"{landing}/chunk={chunk}")
+    landing, state, ckpt = (scratch_path(spark, n) for n in ("landing-codex", "codex-state", "ckpt-codex"))
+    for run, chunk in enumerate((1, 0, 0)):
+        chunked.filter(F.col("chunk") == chunk).select("path", "ln", "line").write.parquet(f"{landing}/run={run}")
         stream = (spark.readStream.schema("path string, ln long, line string")
                   .option("recursiveFileLookup", "true").parquet(landing))
-        q = (decode_stream(stream).select(*USAGE_COLUMNS).writeStream.format("parquet")
-             .option("path", out).option("checkpointLocation", ckpt).outputMode("append")
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-    return spark.read.parquet(out).select(*USAGE_COLUMNS)
+        start_decode(stream, state, ckpt).awaitTermination()
+    return current_events(spark, state).select(*USAGE_COLUMNS)
 
 
 def q_stream_daily(spark, sf_dir):
     from ledgerline.streaming.rollup import current_rollup, start_daily
 
     usage = usage_table(spark, sf_dir)
-    landing, changes, ckpt = (scratch_path(spark, n) for n in ("landing-usage", "daily-changes", "ckpt-daily"))
+    landing, sums, ckpt = (scratch_path(spark, n) for n in ("landing-usage", "daily-sums", "ckpt-daily"))
     mid = ntz_lit(datetime(2024, 1, 16))
-    usage.filter(F.col("ts") < mid).write.parquet(f"{landing}/part=0")
-    start_daily(spark, landing, changes, ckpt).awaitTermination()
-    usage.filter(F.col("ts") >= mid).write.parquet(f"{landing}/part=1")
-    start_daily(spark, landing, changes, ckpt).awaitTermination()
-    return current_rollup(spark.read.parquet(changes))
+    usage.filter(F.col("ts") >= mid).write.parquet(f"{landing}/part=0")  # the later half lands first
+    start_daily(spark, landing, sums, ckpt).awaitTermination()
+    usage.filter(F.col("ts") < mid).write.parquet(f"{landing}/part=1")
+    start_daily(spark, landing, sums, ckpt).awaitTermination()
+    return current_rollup(spark, sums)
 
 
 def q_incremental_load(spark, sf_dir):

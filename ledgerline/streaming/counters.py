@@ -1,119 +1,58 @@
-"""Cumulative-counter decoding on a stream of line chunks, with per-file keyed state.
-
-Input: a stream of (path, ln, line) rows where the lines of one growing log
-file arrive over many micro-batches (e.g. a shipper landing line chunks as
-Parquet). JSON is parsed JVM-side (``from_json``) into typed columns; the
-per-file replay - carry-forward of session/cwd/model, previous counters with
-reset, fallback sequence - runs in ``applyInPandasWithState`` keyed by file,
-so each file's state (a handful of scalars) survives across micro-batches in
-the checkpointed state store. Lines at or below the file's last processed
-ordinal are skipped, which makes a replayed micro-batch a no-op.
-
-The batch decoder (``sources.codex.decode``) computes the same events with
-window functions when a file is read whole.
+"""Cumulative-counter decoding on a stream of line chunks that may arrive in any order.
+
+Input: a stream of (path, ln, line) rows, in which the lines of a growing log
+file arrive over many micro-batches, late and repeated ones included. An
+event's counters are differences to an earlier line of its file, so a late line
+changes the events after it. The state kept per file is therefore its marker
+lines (a table in the shared folder, one folder per micro-batch). Every
+micro-batch decodes the files that it touches anew, with the chunked batch
+decoder, and writes their events under its batch id; the current events of a
+file are those of the latest batch that touched it. Nothing is dropped for
+being late, the result is that of decoding each file whole, and a replayed
+micro-batch overwrites its own folders.
+
+A batch costs as much as the files it touches, spread over tasks by
+(file, chunk); shippers that close files after a day bound that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
+from ledgerline.operators.joins import checked_broadcast
+from ledgerline.schema import USAGE_COLUMNS
 from ledgerline.sources import codex
-from ledgerline.functions.timecols import rfc3339_to_ntz
-
-_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-_C = ["input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]
-
-STATE_SCHEMA = ("sid string, cwd string, model string, p_in long, p_cached long, p_out long, p_reason long, "
-                "p_total long, seq long, last_ln long")
-OUT_SCHEMA = ("source string, dedup_key string, ts_text string, model string, session_id string, project string, "
-              "input long, output long, cache_read long, cache_write long, reasoning long, path string, ln long")
-
-
-def typed_lines(lines: DataFrame) -> DataFrame:
-    """Parse marker lines JVM-side into flat typed columns for the replay."""
-    marked = lines.filter(F.greatest(*[F.col("line").contains(m) for m in codex.MARKERS]))
-    j = marked.select("path", "ln", F.inline(F.array(F.struct(
-        F.from_json("line", codex.SCHEMA, _OPTS).alias("j"))))).filter(F.col("j._corrupt_record").isNull())
-    p = F.col("j.payload")
-    info = p.getField("info")
-    cols = [
-        "path", "ln", F.col("j.timestamp").alias("timestamp"), F.col("j.type").alias("type"),
-        p.getField("id").alias("p_id"), p.getField("cwd").alias("p_cwd"), p.getField("model").alias("p_model"),
-        p.getField("type").alias("p_type"), info.isNotNull().alias("has_info"),
-        info.getField("total_token_usage").isNotNull().alias("has_total"),
-        info.getField("last_token_usage").isNotNull().alias("has_last"),
-        rfc3339_to_ntz(F.col("j.timestamp")).isNotNull().alias("ts_ok"),
-    ]
-    for c in _C:
-        cols.append(F.coalesce(info.getField("total_token_usage").getField(c), F.lit(0)).cast("long").alias(f"t_{c}"))
-        cols.append(F.coalesce(info.getField("last_token_usage").getField(c), F.lit(0)).cast("long").alias(f"l_{c}"))
-    return j.select(*cols)
-
-
-def _session_from_path(path: str) -> str:
-    base = path.rsplit("/", 1)[-1]
-    if base.endswith(".jsonl"):
-        base = base[: -len(".jsonl")]
-    return base[-36:] if len(base) >= 36 else base
-
-
-def _replay(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    (path,) = key
-    if state.exists:
-        sid, cwd, model, *prev, seq, last_ln = state.get
-        prev = list(prev)
-    else:
-        sid, cwd, model, prev, seq, last_ln = _session_from_path(path), "", "", [0, 0, 0, 0, 0], 0, -1
-    frame = pd.concat(list(chunks), ignore_index=True).sort_values("ln")
-    frame = frame[frame["ln"] > last_ln]
-    out = []
-    for r in frame.itertuples(index=False):
-        last_ln = int(r.ln)
-        if r.type == "session_meta":
-            if r.p_id:
-                sid = r.p_id
-            if r.p_cwd:
-                cwd = r.p_cwd
-            prev = [0, 0, 0, 0, 0]
-        elif r.type == "turn_context":
-            if r.p_model:
-                model = r.p_model
-        elif r.type == "event_msg" and r.p_type == "token_count" and r.has_info:
-            if r.has_total:
-                cur = [int(getattr(r, f"t_{c}")) for c in _C]
-                base = [0, 0, 0, 0, 0] if cur[4] < prev[4] else prev
-                delta = [a - b for a, b in zip(cur, base)]
-                cum_total, from_last, ok = cur[4], False, delta[4] > 0
-                prev = cur
-            elif r.has_last:
-                delta = [int(getattr(r, f"l_{c}")) for c in _C]
-                cum_total, from_last, ok = prev[4] + delta[4], True, delta[4] > 0
-            else:
-                continue
-            if not ok or not r.ts_ok or not model:
-                continue
-            key_text = f"{sid}:{r.timestamp}:{cum_total}"
-            if from_last:
-                key_text += f":{seq}"
-                seq += 1
-            out.append((codex.SOURCE, key_text, r.timestamp, model, sid, cwd,
-                        max(delta[0] - delta[1], 0), max(delta[2] - delta[3], 0), max(delta[1], 0), 0,
-                        max(delta[3], 0), path, last_ln))
-    state.update((sid, cwd, model, *prev, seq, last_ln))
-    cols = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
-    yield pd.DataFrame(out, columns=cols)
-
 
-def decode_stream(lines: DataFrame) -> DataFrame:
-    """Streaming (or static) (path, ln, line) -> usage events, keyed state per file."""
-    typed = typed_lines(lines)
-    events = typed.groupBy("path").applyInPandasWithState(
-        _replay, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
-    return events.withColumn("ts", rfc3339_to_ntz(F.col("ts_text"))).withColumn(
-        "raw_cost", F.lit(None).cast("double"))
+LINES = "path string, ln long, line string"
+EVENTS = [*USAGE_COLUMNS, "path", "ln"]
+
+
+def decode_batch(batch: DataFrame, batch_id: int, state: str) -> None:
+    """Add a micro-batch's lines to the state folder and decode the files that it touches."""
+    spark = batch.sparkSession
+    marked = batch.filter(F.greatest(*[F.col("line").contains(m) for m in codex.MARKERS]))
+    marked.select("path", "ln", "line").write.mode("overwrite").parquet(f"{state}/lines/batch={batch_id}")
+    touched = spark.read.parquet(f"{state}/lines/batch={batch_id}").select("path").distinct()
+    touched.write.mode("overwrite").parquet(f"{state}/touched/batch={batch_id}")
+    touched = checked_broadcast(spark.read.parquet(f"{state}/touched/batch={batch_id}"))
+    known = (spark.read.schema(f"{LINES}, batch long").parquet(f"{state}/lines")
+             .where(F.col("batch") <= batch_id).join(touched, "path", "left_semi"))
+    lines = known.groupBy("path", "ln").agg(F.min("line").alias("line"))  # delivered again: the same line
+    codex.decode(lines).select(*EVENTS).write.mode("overwrite").parquet(f"{state}/events/batch={batch_id}")
+
+
+def start_decode(lines: DataFrame, state: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Run ``decode_batch`` for every micro-batch of a stream of (path, ln, line) rows."""
+    writer = lines.writeStream.foreachBatch(lambda batch, batch_id: decode_batch(batch, batch_id, state)).option(
+        "checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()
+
+
+def current_events(spark: SparkSession, state: str) -> DataFrame:
+    """The events of every file as of the latest batch that touched it (USAGE columns plus path, ln)."""
+    touched = spark.read.schema("path string, batch long").parquet(f"{state}/touched")
+    latest = touched.groupBy("path").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{state}/events").join(latest, ["path", "batch"], "left_semi").select(*EVENTS)

@@ -1,10 +1,9 @@
-"""Streaming daily rollup of usage with an event-time watermark.
+"""Streaming daily rollup of usage that accepts data of any lateness.
 
-Tumbling one-day windows per tool, ``update`` output mode: every micro-batch
-emits the windows it changed; ``foreachBatch`` appends those versions with
-the batch id to a change table, and the current rollup is the latest version
-per (day, source). The watermark lets Spark drop state for days older than
-the allowed lateness, so state stays bounded by (lateness x tools).
+Every micro-batch is reduced to its own sums per (day, tool) and written under
+its batch id; the current rollup adds these partial sums up. There is no
+watermark, so no late event is lost, and no state in memory. A replayed
+micro-batch overwrites its own folder (exactly-once effect).
 """
 
 from __future__ import annotations
@@ -13,44 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerline.functions.timecols import epoch_seconds_to_ntz, ntz_epoch_seconds
 from ledgerline.schema import USAGE
 
+SUMS = "day date, source string, total long, events long"
+
 
 def usage_stream(spark: SparkSession, landing: str) -> DataFrame:
     return spark.readStream.schema(USAGE).parquet(landing)
 
 
-def daily_rollup(usage: DataFrame, lateness: str = "2 days") -> DataFrame:
+def daily_sums(usage: DataFrame) -> DataFrame:
     tokens = F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write") + F.col("reasoning")
-    return (
-        # Watermarks need an instant type: UTC wall clock -> epoch seconds -> TIMESTAMP.
-        usage.withColumn("event_time", F.timestamp_seconds(ntz_epoch_seconds("ts")))
-        .withWatermark("event_time", lateness)
-        .groupBy(F.window("event_time", "1 day").alias("w"), "source")
-        .agg(F.sum(tokens).alias("total"), F.count(F.lit(1)).alias("events"))
-        .select(F.date_format(epoch_seconds_to_ntz(F.unix_seconds(F.col("w.start"))), "yyyy-MM-dd").alias("day"),
-                "source", "total", "events")
-    )
-
-
-def start_daily(spark: SparkSession, landing: str, changes_path: str, checkpoint: str, lateness: str = "2 days",
+    return usage.groupBy(F.to_date("ts").alias("day"), "source").agg(
+        F.sum(tokens).alias("total"), F.count(F.lit(1)).alias("events"))
+
+
+def start_daily(spark: SparkSession, landing: str, sums_path: str, checkpoint: str,
                 available_now: bool = True) -> StreamingQuery:
-    def append_versions(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(epoch_id).cast("bigint")).write.mode("append").parquet(changes_path)
-
-    writer = (
-        daily_rollup(usage_stream(spark, landing), lateness)
-        .writeStream.outputMode("update")
-        .foreachBatch(append_versions)
-        .option("checkpointLocation", checkpoint)
-    )
+    def add(batch: DataFrame, batch_id: int) -> None:
+        daily_sums(batch).write.mode("overwrite").parquet(f"{sums_path}/batch={batch_id}")
+
+    writer = usage_stream(spark, landing).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
 
-def current_rollup(changes: DataFrame) -> DataFrame:
-    """Latest version per (day, source) from the change table."""
-    latest = changes.groupBy("day", "source").agg(
-        F.max_by(F.struct("total", "events"), "batch_id").alias("v"))
-    return latest.select("day", "source", F.col("v.total").alias("total"), F.col("v.events").alias("events"))
+def current_rollup(spark: SparkSession, sums_path: str) -> DataFrame:
+    """The sums over all batches so far."""
+    sums = spark.read.schema(SUMS).parquet(sums_path)
+    return sums.groupBy("day", "source").agg(F.sum("total").alias("total"), F.sum("events").alias("events")).select(
+        F.date_format("day", "yyyy-MM-dd").alias("day"), "source", "total", "events")

@@ -23,7 +23,7 @@ def test_replayed_delivery_inserts_nothing(spark, scratch):
     # a fresh checkpoint re-delivers every file: the load's anti join makes it a no-op
     start_ingest(spark, landing, claude.decode, table, f"{scratch}/ck2", available_now=True).awaitTermination()
     assert spark.read.parquet(table).count() == 2
-    more = [dict(CLAUDE_LINES[4], uuid="a9", requestId="req_9", message=dict(CLAUDE_LINES[4]["message"], id="msg_09"))]
+    more = [dict(CLAUDE_LINES[5], uuid="k-9", requestId="r-nine", message=dict(CLAUDE_LINES[5]["message"], id="m-nine"))]
     land(landing, "b.jsonl", more)
     start_ingest(spark, landing, claude.decode, table, f"{scratch}/ck2", available_now=True).awaitTermination()
     assert spark.read.parquet(table).count() == 3
@@ -35,4 +35,19 @@ def test_stream_dedup_keeps_one_row_per_key(spark, scratch):
     land(landing, "b.jsonl", CLAUDE_LINES)
     start_dedup(spark, landing, claude.decode, out, f"{scratch}/ck").awaitTermination()
     keys = [r.dedup_key for r in spark.read.parquet(out).collect()]
-    assert sorted(keys) == ["msg_01:req_1", "msg_03:req_3"]
+    assert sorted(keys) == ["m-alpha:r-one", "m-beta:r-two"]
+
+
+def test_daily_rollup_keeps_data_of_any_lateness(spark, scratch):
+    from datetime import datetime
+
+    from conftest import usage_rows
+    from ledgerline.streaming.rollup import current_rollup, start_daily
+
+    landing, sums = f"{scratch}/landing", f"{scratch}/sums"
+    days = [datetime(2025, 11, 20), datetime(2024, 1, 1), datetime(2025, 11, 20), datetime(2020, 6, 5)]
+    for i, day in enumerate(days):
+        usage_rows(spark, [dict(source="codex", dedup_key=f"k{i}", ts=day, input=10 ** i)]).write.parquet(f"{landing}/p={i}")
+        start_daily(spark, landing, sums, f"{scratch}/ck").awaitTermination()
+    got = sorted((r.day, r.total, r.events) for r in current_rollup(spark, sums).collect())
+    assert got == [("2020-06-05", 1000, 1), ("2024-01-01", 10, 1), ("2025-11-20", 101, 2)]
