@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.bounds import local_date, local_midnight
-from ledgerline.functions.timecols import day_key, ntz_lit
+from ledgerline.functions.timecols import in_zone
+from ledgerline.operators.aggregate import window
 
 TREND_DAYS = 30
 STREAK_WEEKS = 17
@@ -32,11 +33,11 @@ def calendar_days(spark: SparkSession, first_day: str, days: int) -> DataFrame:
 
 def daily_totals(usage: DataFrame, since: datetime | None = None, tz: str = "UTC") -> DataFrame:
     """(day, total, events) per local day with events at/after ``since``."""
-    u = usage if since is None else usage.filter(F.col("ts") >= ntz_lit(since))
     tokens = F.col("input") + F.col("output") + F.col("cache_read") + F.col("cache_write") + F.col("reasoning")
-    return u.groupBy(day_key("ts", tz).alias("day")).agg(
-        F.sum(tokens).alias("total"), F.count(F.lit(1)).alias("events")
-    )
+    # Grouped by the date (a fixed-width key); the text is made for the few result rows.
+    days = window(usage, since).groupBy(F.to_date(in_zone("ts", tz)).alias("day")).agg(
+        F.sum(tokens).alias("total"), F.count(F.lit(1)).alias("events"))
+    return days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "total", "events")
 
 
 def day_series(usage: DataFrame | None, now: datetime, days: int, tz: str = "UTC",

@@ -58,12 +58,12 @@ def resolve_models(models: DataFrame, prices: DataFrame, small: bool | None = No
 
 
 def model_rates(models: DataFrame, prices: DataFrame) -> DataFrame:
-    """(model, price_key, 5 effective rates) for resolvable distinct models.
+    """(model, price_key, 5 effective rates) for those of the distinct ``models`` that resolve.
 
     The reasoning rate falls back to the output rate when it is 0.
     """
     small = fits(prices)
-    resolved = resolve_models(models.select("model").distinct(), prices, small)
+    resolved = resolve_models(models, prices, small)
     rates = checked_broadcast(prices, proven=small).withColumnRenamed("key", "price_key")
     joined = resolved.join(rates, "price_key")
     return joined.selectExpr(
@@ -88,10 +88,11 @@ def attach_rates(rows: DataFrame, prices: DataFrame) -> DataFrame:
     size is only known at runtime, where AQE converts the join to a
     broadcast after measuring it, or keeps a shuffle join otherwise.
     """
-    # The optimizer turns "distinct models of the aggregate" into a narrow scan
-    # of the model column (plus the pushed-down filter columns): dictionary-
-    # encoded, a small fraction of the bytes the main aggregation reads.
-    models = rows.select("model").distinct()
+    # The distinct models come from the aggregate itself, not from a second scan
+    # of the events: using all of its columns keeps both sides of the join the
+    # same subplan, whose shuffle Spark computes once and reads twice.
+    rest = F.xxhash64(*[c for c in rows.columns if c != "model"])
+    models = rows.groupBy("model").agg(F.max(rest).alias("r")).where(F.col("r").isNotNull()).select("model")
     rates = model_rates(models, prices)
     return rows.join(rates, "model", "left")
 

@@ -112,6 +112,10 @@ LINE_SELECT = """
     CAST(SUM(CASE WHEN priced THEN 0 ELSE est_events END) AS BIGINT) AS unpriced_events"""
 
 
+# The same lines at full precision, for statements that go on computing with the costs.
+LINE_EXACT = LINE_SELECT.replace("ROUND(SUM(raw_cost), 6)", "SUM(raw_cost)").replace("ROUND(SUM(cost), 6)", "SUM(cost)")
+
+
 def report_sql(by: str, where: str = "TRUE") -> str:
     return f"""{priced_rows(by, where)}
 SELECT key, {LINE_SELECT}
@@ -145,10 +149,10 @@ def ts(text: str) -> str:
     return f"TIMESTAMP '{text}'"
 
 
-def lines_cte(by: str, where: str = "TRUE") -> str:
-    """priced_rows(...) plus 'lines' (the report lines)."""
+def lines_cte(by: str, where: str = "TRUE", exact: bool = False) -> str:
+    """priced_rows(...) plus 'lines' (the report lines; ``exact``: costs unrounded)."""
     return f"""{priced_rows(by, where)},
-lines AS (SELECT key, {LINE_SELECT} FROM pr GROUP BY key)"""
+lines AS (SELECT key, {LINE_EXACT if exact else LINE_SELECT} FROM pr GROUP BY key)"""
 
 
 def model_grain_sql(by: str, where: str = "TRUE") -> str:
@@ -175,7 +179,7 @@ sess AS (
     CAST(SUM(cache_read) AS BIGINT) AS cache_read, CAST(SUM(cache_write) AS BIGINT) AS cache_write,
     CAST(SUM(reasoning) AS BIGINT) AS reasoning,
     CAST(SUM(input) + SUM(output) + SUM(cache_read) + SUM(cache_write) + SUM(reasoning) AS BIGINT) AS total,
-    CAST(SUM(events) AS BIGINT) AS events, ROUND(SUM(cost), 6) AS cost,
+    CAST(SUM(events) AS BIGINT) AS events, SUM(cost) AS cost,
     CAST(SUM(CASE WHEN priced THEN 0 ELSE est_events END) AS BIGINT) AS unpriced_events,
     MIN(first_ts) AS first_ts, MAX(last_ts) AS last_ts,
     date_diff('second', MIN(first_ts), MAX(last_ts)) AS duration_s
@@ -209,6 +213,14 @@ NORM_VALUES = """
   ('openrouter/anthropic/claude-sonnet-4-5', 'openrouter/anthropic/claude-sonnet-4-5'), ('grok-4', 'grok-4'),
   ('mystery-model-9', 'mystery-model-9'), ('', '')"""
 
+# The sample price list by normalised name (its keys' normal forms, written out by hand).
+NORM_INDEX_VALUES = """
+  ('anthropic/claude-sonnet-4-5', 'anthropic/claude-sonnet-4-5'), ('claude-3-5-haiku', 'claude-3-5-haiku'),
+  ('claude-opus-4-1', 'claude-opus-4-1'), ('claude-sonnet-4-5', 'claude-sonnet-4-5'),
+  ('gemini/gemini-2.5-pro', 'gemini/gemini-2.5-pro'), ('gpt-4.1', 'gpt-4.1'), ('gpt-4o', 'gpt-4o'),
+  ('gpt-5-mini', 'gpt-5-mini'), ('grok-4', 'grok-4-latest'), ('openai/gpt-5', 'openai/gpt-5'),
+  ('vertex_ai/gemini-2.5-pro', 'vertex_ai/gemini-2.5-pro')"""
+
 CANDIDATE_VALUES = """
   ('claude-sonnet-4-5', 0, 'claude-sonnet-4-5'), ('claude-sonnet-4-5', 1, 'anthropic/claude-sonnet-4-5'),
   ('claude-sonnet-4-5', 2, 'openai/claude-sonnet-4-5'), ('claude-sonnet-4-5', 3, 'gemini/claude-sonnet-4-5'),
@@ -277,7 +289,7 @@ def statements() -> dict[str, str]:
         "usage_by_model_one_source": report_sql("model", "source = 'codex'"),
         "agg_tool_model": model_grain_sql("tool"),
         "agg_day_model": model_grain_sql("day"),
-        "raw_est_split": model_grain_sql("model", "source = 'opencode'"),
+        "raw_est_split": model_grain_sql("model"),
         "daily_from": report_sql("day", f"ts >= {ts('2024-01-20 00:00:00')}"),
     }
     out["session_model"] = f"""{session_rows_cte()}
@@ -286,7 +298,7 @@ SELECT session_id, source, model, project, input, output, cache_read, cache_writ
        CAST(CASE WHEN priced THEN 0 ELSE est_events END AS BIGINT) AS unpriced_events, first_ts, last_ts
 FROM pr"""
     out["sessions"] = f"""{session_rows_cte()}
-SELECT * FROM sess"""
+SELECT * REPLACE (ROUND(cost, 6) AS cost) FROM sess"""
     out["sessions_total"] = f"""{session_rows_cte()}
 SELECT COUNT(*) AS sessions, CAST(COALESCE(SUM(total), 0) AS BIGINT) AS total,
        CAST(COALESCE(SUM(events), 0) AS BIGINT) AS events, ROUND(COALESCE(SUM(cost), 0.0), 6) AS cost,
@@ -304,8 +316,10 @@ m AS (SELECT DISTINCT COALESCE(model, 'unknown') AS model FROM usage)
 SELECT m.model, r.price_key FROM m LEFT JOIN rates r ON m.model = r.model"""
     out["price_norm_index"] = f"""WITH {USAGE_CTE.strip()},
 expected(model, norm) AS (VALUES {NORM_VALUES.strip()}),
+idx(norm, price_key) AS (VALUES {NORM_INDEX_VALUES.strip()}),
 m AS (SELECT DISTINCT COALESCE(model, 'unknown') AS model FROM usage)
-SELECT m.model, e.norm FROM m JOIN expected e ON m.model = e.model"""
+SELECT m.model, e.norm, idx.price_key AS norm_key
+FROM m JOIN expected e ON m.model = e.model LEFT JOIN idx ON idx.norm = e.norm"""
     out["price_candidates"] = f"""WITH {USAGE_CTE.strip()},
 expected(model, ord, cand) AS (VALUES {CANDIDATE_VALUES.strip()}),
 m AS (SELECT DISTINCT COALESCE(model, 'unknown') AS model FROM usage)
@@ -314,7 +328,7 @@ SELECT m.model, CAST(e.ord AS INTEGER) AS ord, e.cand FROM m JOIN expected e ON
 SELECT key, model, events, est_events, n_raw, price_key, ROUND(cost, 6) AS cost, priced,
        CAST(CASE WHEN priced THEN 0 ELSE est_events END AS BIGINT) AS unpriced_events
 FROM pr"""
-    out["statusline"] = f"""{lines_cte("tool", f"ts >= {ts('2024-01-28 12:00:00')}")},
+    out["statusline"] = f"""{lines_cte("tool", f"ts >= {ts('2024-01-28 12:00:00')}", exact=True)},
 agg AS (
   SELECT ROUND(COALESCE(SUM(cost), 0.0), 6) AS cost, COUNT(*) AS tools, CAST(COALESCE(SUM(total), 0) AS BIGINT) AS total,
          CAST(COALESCE(SUM(events), 0) AS BIGINT) AS events, COALESCE(BOOL_OR(unpriced_events > 0), false) AS has_unpriced
@@ -325,7 +339,7 @@ SELECT cost, tools, total, events, has_unpriced,
     printf('%s%s  ·  %d tools  ·  %s tok  ·  %d events', {money("cost")},
            CASE WHEN has_unpriced THEN '*' ELSE '' END, tools, {humanize("total")}, events) END AS text
 FROM agg"""
-    out["efficiency"] = f"""{lines_cte("tool", f"ts >= {w7}")},
+    out["efficiency"] = f"""{lines_cte("tool", f"ts >= {w7}", exact=True)},
 agg AS (SELECT CAST(COALESCE(SUM(total), 0) AS BIGINT) AS total_tokens, COALESCE(SUM(cost), 0.0) AS cost,
                CAST(COALESCE(SUM(cache_read), 0) AS BIGINT) AS cache_read FROM lines),
 r AS (SELECT *, CASE WHEN total_tokens > 0 THEN cache_read / CAST(total_tokens AS DOUBLE) ELSE 0.0 END AS rate FROM agg)
@@ -337,10 +351,10 @@ FROM r"""
     for key, prev_cond in (("compare_periods", f"ts >= {ts('2024-01-17 12:00:00')}"),
                            ("compare_disjoint", f"ts >= {ts('2024-01-17 12:00:00')} AND ts < {w7}")):
         out[key] = f"""{event_cost_cte()},
-c AS (SELECT ROUND(COALESCE(SUM(CASE WHEN ts >= {w7} THEN cost END), 0.0), 6) AS cur,
-             ROUND(COALESCE(SUM(CASE WHEN {prev_cond} THEN cost END), 0.0), 6) AS prev FROM ec),
+c AS (SELECT COALESCE(SUM(CASE WHEN ts >= {w7} THEN cost END), 0.0) AS cur,
+             COALESCE(SUM(CASE WHEN {prev_cond} THEN cost END), 0.0) AS prev FROM ec),
 d AS (SELECT *, CASE WHEN prev > 0 THEN (cur - prev) / prev * 100 ELSE 0.0 END AS change FROM c)
-SELECT cur AS current, prev AS previous, ROUND(change, 6) AS change_pct,
+SELECT ROUND(cur, 6) AS current, ROUND(prev, 6) AS previous, ROUND(change, 6) AS change_pct,
   CASE WHEN change > 20 THEN 'increase' WHEN change < -20 THEN 'decrease' ELSE '' END AS band,
   '2024-01-24' AS period, '2024-01-17' AS prev_text
 FROM d"""
@@ -351,7 +365,7 @@ FROM d"""
   ROUND(COALESCE(SUM(CASE WHEN key >= '{start}' THEN cost END), 0.0), 6) AS cost,
   COALESCE(BOOL_OR(CASE WHEN key >= '{start}' THEN unpriced_events > 0 END), false) AS unpriced
 FROM lines""")
-    out["summary_cards"] = lines_cte("day") + "\n" + "\nUNION ALL\n".join(cards)
+    out["summary_cards"] = lines_cte("day", exact=True) + "\n" + "\nUNION ALL\n".join(cards)
     out["insights"] = f"""{lines_cte("tool")},
 mods AS (
   SELECT COUNT(DISTINCT a.model) AS n FROM (
@@ -367,7 +381,7 @@ SELECT CASE WHEN top.total > 0 THEN top.key END AS top_tool, CAST(top.total AS B
   CASE WHEN agg.all_total > 0 AND CAST(agg.cache_read AS DOUBLE) / CAST(agg.all_total AS DOUBLE) > 0.01
        THEN ROUND(CAST(agg.cache_read AS DOUBLE) / CAST(agg.all_total AS DOUBLE) * 100, 6) END AS cache_pct
 FROM top, agg, mods"""
-    out["cost_hint"] = f"""{lines_cte("model")},
+    out["cost_hint"] = f"""{lines_cte("model", exact=True)},
 top AS (SELECT key, cost FROM lines ORDER BY cost DESC, key LIMIT 1),
 agg AS (SELECT SUM(input) AS input FROM lines),
 h AS (
@@ -381,7 +395,7 @@ t AS (
   FROM h
 )
 SELECT top_key, top_cost, NULLIF(hint, '') AS hint FROM t"""
-    out["run_rate"] = f"""{lines_cte("tool", f"ts >= {w7}")},
+    out["run_rate"] = f"""{lines_cte("tool", f"ts >= {w7}", exact=True)},
 agg AS (SELECT COALESCE(SUM(cost), 0.0) AS c FROM lines)
 SELECT ROUND(c, 6) AS cost, CAST(168.0 AS DOUBLE) AS hours,
   ROUND(c / CAST(168.0 AS DOUBLE) * 24 * 30, 6) AS monthly, (c / CAST(168.0 AS DOUBLE) * 24 * 30) > c AS rising
@@ -396,11 +410,11 @@ FROM agg"""
     out["budget_check"] = f"""{event_cost_cte()},
 b AS ({" UNION ALL ".join(rows)})
 SELECT spec, period, ROUND(c, 6) AS cost, budget, c > budget AS exceeded, ROUND(c / budget * 100, 6) AS pct FROM b"""
-    out["top_models"] = f"""{lines_cte("model")}
+    out["top_models"] = f"""{lines_cte("model", exact=True)}
 SELECT (SELECT key FROM lines ORDER BY total DESC, key LIMIT 1) AS top_by_tokens,
        (SELECT MAX(total) FROM lines) AS tokens,
        (SELECT key FROM lines ORDER BY cost DESC, key LIMIT 1) AS top_by_cost,
-       (SELECT MAX(cost) FROM lines) AS cost"""
+       (SELECT ROUND(MAX(cost), 6) FROM lines) AS cost"""
     out["tool_status"] = f"""WITH {USAGE_CTE.strip()},
 known(tool) AS (VALUES ('antigravity'), ('claude-code'), ('codex'), ('opencode')),
 st AS (SELECT source, COUNT(*) AS events, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM usage GROUP BY source)
@@ -621,7 +635,7 @@ loaded AS (SELECT source, COUNT(*) AS n FROM ({union}) GROUP BY source)
 SELECT f.source, CAST(f.files AS BIGINT) AS files, CAST(COALESCE(l.n, 0) AS BIGINT) AS new_events,
   CAST(0 AS BIGINT) AS errors
 FROM files f LEFT JOIN loaded l USING (source)"""
-    out["export_csv"] = f"""{lines_cte("tool")}
+    out["export_csv"] = f"""{lines_cte("project")}
 SELECT key, CAST(input AS VARCHAR) AS input, CAST(output AS VARCHAR) AS output,
   CAST(cache_read AS VARCHAR) AS cache_read, CAST(cache_write AS VARCHAR) AS cache_write,
   CAST(reasoning AS VARCHAR) AS reasoning, CAST(total AS VARCHAR) AS total, CAST(events AS VARCHAR) AS events,

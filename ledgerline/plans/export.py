@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.schema import TOKEN_CLASSES
 
+CSV_TEXT = {"header": "true", "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false",
+            "ignoreTrailingWhiteSpace": "false"}
 CSV_COLUMNS = ["key", *TOKEN_CLASSES, "total", "events", "cost", "unpriced_events"]
 
 
@@ -20,9 +22,14 @@ def csv_rows(lines: DataFrame) -> DataFrame:
     ).select(*CSV_COLUMNS)
 
 
-def write_csv(lines: DataFrame, path: str) -> None:
-    """One CSV file (report lines are few; coalesce(1) keeps the header single)."""
-    csv_rows(lines).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(lines: DataFrame, path: str, single_file: bool = False) -> None:
+    """CSV files in the lines' order, each with a header; RFC 4180 text (quotes doubled, spaces and '' kept).
+
+    ``single_file`` writes one file, for reports whose key is known to be small
+    (tools, models, days); by default the lines stay in their partitions.
+    """
+    rows = csv_rows(lines)
+    (rows.coalesce(1) if single_file else rows).write.mode("overwrite").options(**CSV_TEXT).csv(path)
 
 
 def json_rows(lines: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from ledgerline.functions.timecols import ntz_lit
 
 from ledgerline.functions.bounds import day_text, local_date, local_midnight, parse_since, start_of_day
 from ledgerline.functions.fmt import humanize, money
+from ledgerline.operators.aggregate import window
 from ledgerline.operators.joins import checked_broadcast
 from ledgerline.operators.pricing import attach_rates, token_cost
 from ledgerline.plans.report import COST_DIGITS, build_report
@@ -41,7 +42,7 @@ def statusline(usage: DataFrame, prices: DataFrame, now: datetime, since: dateti
                tz: str = "UTC") -> DataFrame:
     """One row over tools since ``since`` (default: local midnight of ``now``)."""
     since = since if since is not None else start_of_day(now, tz)
-    lines = build_report(usage, prices, by="tool", since=since, tz=tz)
+    lines = build_report(usage, prices, by="tool", since=since, tz=tz, digits=None)
     agg = lines.agg(
         F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), COST_DIGITS).alias("cost"),
         F.count(F.lit(1)).alias("tools"),
@@ -87,8 +88,9 @@ def windowed_costs(usage: DataFrame, prices: DataFrame, windows: dict[str, tuple
     Per model: conditional sums of raw cost and of estimated tokens per
     window; then price each window's tokens with the model's rates.
     """
-    lo = min((s for s, _ in windows.values() if s is not None), default=None)
-    u = usage if lo is None or any(s is None for s, _ in windows.values()) else usage.filter(F.col("ts") >= ntz_lit(lo))
+    starts = [s for s, _ in windows.values()]
+    ends = [e for _, e in windows.values()]
+    u = window(usage, None if None in starts else min(starts), None if None in ends else max(ends))
     est = F.col("raw_cost").isNull()
     measures = []
     for name, (since, until) in windows.items():
@@ -117,11 +119,11 @@ def compare_periods(usage: DataFrame, prices: DataFrame, current_since: datetime
     """Cost since A vs cost since B; ``disjoint`` makes the previous window [B, A)."""
     prev_until = current_since if disjoint else None
     costs = windowed_costs(usage, prices, {"cur": (current_since, None), "prev": (previous_since, prev_until)})
-    cur, prev = _r(F.col("cost_cur")), _r(F.col("cost_prev"))
+    cur, prev = F.col("cost_cur"), F.col("cost_prev")
     change = F.when(prev > 0, (cur - prev) / prev * 100).otherwise(F.lit(0.0))
     return costs.select(
-        cur.alias("current"),
-        prev.alias("previous"),
+        _r(cur).alias("current"),
+        _r(prev).alias("previous"),
         _r(change).alias("change_pct"),
         F.when(change > 20, F.lit("increase")).when(change < -20, F.lit("decrease")).otherwise(F.lit("")).alias("band"),
         F.lit(day_text(current_since) if current_since else "all-time").alias("period"),
@@ -139,7 +141,7 @@ def summary_cards(usage: DataFrame | None, prices: DataFrame | None, now: dateti
         "all": day_text(None),
     }
     if days is None:
-        days = build_report(usage, prices, by="day", tz=tz)
+        days = build_report(usage, prices, by="day", tz=tz, digits=None)
     aggs = []
     for name, start in starts.items():
         inside = F.col("key") >= F.lit(start)
@@ -163,7 +165,7 @@ def insights(usage: DataFrame, prices: DataFrame, since: datetime | None = None,
     """Top tool by tokens and its share, unpriced model count, cache share."""
     from ledgerline.plans.report import unpriced_models
 
-    tools = build_report(usage, prices, by="tool", since=since, tz=tz)
+    tools = build_report(usage, prices, by="tool", since=since, tz=tz, digits=None)
     n_unpriced = unpriced_models(usage, prices, by="model", since=since, tz=tz).select(F.count(F.lit(1))).scalar()
     agg = tools.agg(
         F.min_by("key", F.struct(-F.col("total"), F.col("key"))).alias("top_tool"),
@@ -260,7 +262,7 @@ def top_models(model_lines: DataFrame) -> DataFrame:
         F.min_by("key", F.struct(-F.col("total"), F.col("key"))).alias("top_by_tokens"),
         F.max("total").alias("tokens"),
         F.min_by("key", F.struct(-F.col("cost"), F.col("key"))).alias("top_by_cost"),
-        F.max("cost").alias("cost"),
+        _r(F.max("cost")).alias("cost"),
     )
 
 

@@ -33,23 +33,26 @@ def _line_measures() -> list:
     return [F.expr(f"sum({c}) AS {c}") for c in cols]
 
 
-def _finish(lines: DataFrame) -> DataFrame:
+def _finish(lines: DataFrame, digits: int | None) -> DataFrame:
+    shown = lambda c: f"{c} AS {c}" if digits is None else f"round({c}, {digits}) AS {c}"
     return lines.selectExpr(
         "key",
         *TOKEN_CLASSES,
         " + ".join(TOKEN_CLASSES) + " AS total",
         "events",
-        f"round(raw_cost, {COST_DIGITS}) AS raw_cost",
-        f"round(cost, {COST_DIGITS}) AS cost",
+        shown("raw_cost"),
+        shown("cost"),
         "CAST(unpriced_events AS BIGINT) AS unpriced_events",
     )
 
 
 def build_report(usage: DataFrame, prices: DataFrame, by: str = "tool", since: datetime | None = None,
                  until: datetime | None = None, source: str | None = None, tz: str = "UTC",
-                 with_total: bool = False) -> DataFrame:
+                 with_total: bool = False, digits: int | None = COST_DIGITS) -> DataFrame:
     """Report lines: key, 5 token classes, total, events, raw_cost, cost, unpriced_events.
 
+    ``digits=None`` keeps costs unrounded, for plans that go on computing with them.
+
     Sorted by key for ``by='day'``, else by total descending then key. With
     ``with_total`` a final ``TOTAL`` line (a ROLLUP grand total) is added.
     """
@@ -57,10 +60,10 @@ def build_report(usage: DataFrame, prices: DataFrame, by: str = "tool", since: d
     if with_total:
         grouped = rows.rollup("key").agg(*_line_measures(), F.grouping_id().alias("_gid"))
         grouped = grouped.withColumn("key", F.when(F.col("_gid") == 1, F.lit(TOTAL_KEY)).otherwise(F.col("key")))
-        out = _finish(grouped).withColumn("_is_total", F.col("key") == F.lit(TOTAL_KEY))
+        out = _finish(grouped, digits).withColumn("_is_total", F.col("key") == F.lit(TOTAL_KEY))
         order = ["_is_total"]
     else:
-        out = _finish(rows.groupBy("key").agg(*_line_measures()))
+        out = _finish(rows.groupBy("key").agg(*_line_measures()), digits)
         order = []
     if by == "day":
         out = out.orderBy(*order, "key")

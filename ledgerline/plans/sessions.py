@@ -26,8 +26,9 @@ def session_model_rows(usage: DataFrame, prices: DataFrame, since: datetime | No
 
 
 def build_sessions(usage: DataFrame, prices: DataFrame, since: datetime | None = None,
-                   until: datetime | None = None, source: str | None = None) -> DataFrame:
-    """One line per (session_id, source), newest last activity first.
+                   until: datetime | None = None, source: str | None = None,
+                   digits: int | None = COST_DIGITS) -> DataFrame:
+    """One line per (session_id, source), newest last activity first (``digits=None``: costs unrounded).
 
     ``project`` comes from the session's first model row in model order;
     ``models`` counts distinct models (rows are unique per model already).
@@ -49,7 +50,7 @@ def build_sessions(usage: DataFrame, prices: DataFrame, since: datetime | None =
     return lines.select(
         "session_id", "source", "project", "models", *TOKEN_CLASSES,
         total.alias("total"), "events",
-        F.round("cost", COST_DIGITS).alias("cost"),
+        F.col("cost") if digits is None else F.round("cost", digits).alias("cost"),
         F.col("unpriced_events").cast("bigint").alias("unpriced_events"),
         "first_ts", "last_ts",
         (ntz_epoch_seconds("last_ts") - ntz_epoch_seconds("first_ts")).alias("duration_s"),

@@ -21,7 +21,8 @@ from ledgerline.functions.bounds import parse_since, parse_until
 from ledgerline.functions.names import model_candidates, normalize_model
 from ledgerline.operators import aggregate as agg
 from ledgerline.operators import calendar as cal
-from ledgerline.operators.pricing import attach_rates, price_rows, resolve_models
+from ledgerline.operators.joins import checked_broadcast
+from ledgerline.operators.pricing import attach_rates, norm_index, price_rows, resolve_models
 from ledgerline.plans import insights as ins
 from ledgerline.plans.report import build_report, report_by_cost, unpriced_models
 from ledgerline.plans.sessions import build_sessions, session_model_rows, sessions_total
@@ -95,7 +96,7 @@ def q_sessions(spark, sf_dir):
 
 def q_sessions_total(spark, sf_dir):
     usage, prices = _inputs(spark, sf_dir)
-    return sessions_total(build_sessions(usage, prices))
+    return sessions_total(build_sessions(usage, prices, digits=None))
 
 
 def q_source_stats(spark, sf_dir):
@@ -123,7 +124,10 @@ def q_price_resolve(spark, sf_dir):
 
 
 def q_price_norm_index(spark, sf_dir):
-    return _distinct_models(spark, sf_dir).select("model", normalize_model("model").alias("norm"))
+    """Normal form of every model, and the price key that the normalised index holds for it."""
+    index = norm_index(read_price_list(spark)).withColumnRenamed("key", "norm_key")
+    models = _distinct_models(spark, sf_dir).select("model", normalize_model("model").alias("norm"))
+    return models.join(checked_broadcast(index), "norm", "left").select("model", "norm", "norm_key")
 
 
 def q_price_candidates(spark, sf_dir):
@@ -146,7 +150,7 @@ def q_statusline(spark, sf_dir):
 
 def q_efficiency(spark, sf_dir):
     usage, prices = _inputs(spark, sf_dir)
-    return ins.efficiency(build_report(usage, prices, by="tool", since=WINDOW_SINCE))
+    return ins.efficiency(build_report(usage, prices, by="tool", since=WINDOW_SINCE, digits=None))
 
 
 def q_compare(disjoint: bool) -> Query:
@@ -169,12 +173,12 @@ def q_insights(spark, sf_dir):
 
 def q_cost_hint(spark, sf_dir):
     usage, prices = _inputs(spark, sf_dir)
-    return ins.cost_hint(build_report(usage, prices, by="model"))
+    return ins.cost_hint(build_report(usage, prices, by="model", digits=None))
 
 
 def q_run_rate(spark, sf_dir):
     usage, prices = _inputs(spark, sf_dir)
-    return ins.run_rate(build_report(usage, prices, by="tool", since=WINDOW_SINCE), WINDOW_SINCE, NOW)
+    return ins.run_rate(build_report(usage, prices, by="tool", since=WINDOW_SINCE, digits=None), WINDOW_SINCE, NOW)
 
 
 def q_budget_check(spark, sf_dir):
@@ -184,7 +188,7 @@ def q_budget_check(spark, sf_dir):
 
 def q_top_models(spark, sf_dir):
     usage, prices = _inputs(spark, sf_dir)
-    return ins.top_models(build_report(usage, prices, by="model"))
+    return ins.top_models(build_report(usage, prices, by="model", digits=None))
 
 
 def q_tool_status(spark, sf_dir):
@@ -424,8 +428,9 @@ def q_load_summary(spark, sf_dir):
 def q_export_csv(spark, sf_dir):
     usage, prices = _inputs(spark, sf_dir)
     out = scratch_path(spark, "report-csv")
-    export.write_csv(build_report(usage, prices, by="tool"), out)
-    return spark.read.option("header", True).schema(", ".join(f"{c} string" for c in export.CSV_COLUMNS)).csv(out)
+    export.write_csv(build_report(usage, prices, by="project"), out)
+    text = spark.read.options(**export.CSV_TEXT).schema(", ".join(f"{c} string" for c in export.CSV_COLUMNS)).csv(out)
+    return text.fillna("", subset=["key"])  # CSV has no null: an empty field is the empty key
 
 
 def q_export_json(spark, sf_dir):
@@ -550,7 +555,7 @@ def registry() -> dict[str, Query]:
         "usage_by_model_one_source": _report("model", source="codex"),
         "agg_tool_model": _model_grain("tool"),
         "agg_day_model": _model_grain("day"),
-        "raw_est_split": _model_grain("model", source="opencode"),
+        "raw_est_split": _model_grain("model"),
         "session_model": q_session_model,
         "sessions": q_sessions,
         "sessions_total": q_sessions_total,

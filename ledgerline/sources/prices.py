@@ -30,9 +30,11 @@ def read_price_list(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 def parse_price_documents(docs: DataFrame, column: str = "value") -> DataFrame:
     """Price rows from a DataFrame whose ``column`` holds whole JSON documents."""
+    # A key that a document repeats counts once, with its last body.
     entries = docs.select(
-        F.explode(F.from_json(F.col(column), "map<string,string>")).alias("key", "body")
+        F.posexplode(F.from_json(F.col(column), "map<string,string>")).alias("pos", "key", "body")
     ).filter(F.col("key") != F.lit("sample_spec"))
+    entries = entries.groupBy("key").agg(F.max_by("body", "pos").alias("body"))
     decoded = entries.select(
         "key",
         F.from_json(
