@@ -47,6 +47,8 @@ CHECKPOINT_STEPS = 256
 BLOCK_TOKENS = 1 << 18
 FILE_TOKENS = 1 << 23
 END_ID = 2
+# Blocks that one task decodes.
+TASK_BLOCKS = 16
 LOW = 1 << 32  # states stay in [2^32, 2^64)
 
 _BLOCK = struct.Struct("<IIQQI")  # documents, lanes, ids, words, crc32 of the ids
@@ -285,9 +287,9 @@ def _writer(folder: str, path: str, end_id: int):
                                   ("documents", pa.int64()), ("tokens", pa.int64()), ("blocks", pa.int64())]))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(),
-                                    strict=True):
-                run = encode(text) + end
+            texts = encode(batch.column("text").to_pylist())
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                run = found + end
                 ids.append(doc_id)
                 runs.append(run)
                 n += len(run) // 4
@@ -345,5 +347,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     files = files.select("file", "blocks", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     blocks = files.select("file", "base", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
-    return blocks.repartition("file", F.col("block") % 64).mapInArrow(
+    tasks = max(1, -(-(files.agg(F.sum("blocks")).first()[0] or 0) // TASK_BLOCKS))
+    # Blocks of a file stay together where they can: its table is read once for them.
+    return blocks.repartitionByRange(tasks, "file", "block").mapInArrow(
         _reader(folder), "doc_id long, start long, n_tokens long, ids binary")

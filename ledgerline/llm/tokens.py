@@ -1,26 +1,30 @@
 """Token ids of whole texts, by a fixed public tokenizer, inside Arrow batches.
 
 A byte-level BPE of the usual kind splits a text before it merges: no token
-spans from a visible character to white space after it. A piece of white space
-with the visible characters that follow it can therefore be encoded on its
-own, and the ids of a text are the ids of its pieces in a row. Pieces repeat a
-lot, so each worker keeps the ids of the pieces it has met (a bounded number)
-and the tokenizer sees only new ones, in batches.
+spans from a visible character to white space after it. White space with the
+visible characters that follow it, up to the next white space, can therefore
+be encoded on its own, and the ids of a text are the ids of such pieces in a
+row. Pieces repeat a lot: a batch of texts is split and its distinct pieces are
+found by Arrow, each worker remembers the ids of pieces it has met (a bounded
+number), and the tokenizer sees only new ones. Texts with other than single
+blanks and line feeds between their words go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import chain, islice, repeat
 
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-# Pieces whose ids a worker keeps; beyond it, it starts anew.
-KEPT_PIECES = 400_000
+# Pieces whose ids a worker keeps; beyond it, the half that it met last goes.
+KEPT_PIECES = 1_000_000
+# Texts are encoded together up to this many characters.
+BATCH_CHARS = 4_000_000
 
-_PIECES = re.compile(r"\s*\S+|\s+")
-# Python counts these as white space, the tokenizer does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+# Marks the first piece of a text, which has no blank before it.
+_FIRST = "\0"
 _encoders: dict[str, TextEncoder] = {}
 
 
@@ -30,6 +34,16 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+# White space to Python, not to the tokenizer.
+_ODD = re.compile("[\x1c-\x1f]")
+
+
+def _plain(piece: str) -> bool:
+    """Whether a piece, found between blanks, may be encoded on its own."""
+    body = piece[1:] if piece[:1] == "\n" else piece
+    return body.isalpha() or bool(body and not body[0].isspace() and not body[-1].isspace() and not _ODD.search(body))
+
+
 class TextEncoder:
     """texts -> little-endian unsigned 32-bit ids, as bytes."""
 
@@ -41,29 +55,94 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def encode(self, text: str) -> bytes:
-        """The ids of one whole text."""
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):
-            return self._encode([text])[0]
-        known = self.known
-        pieces = _PIECES.findall(text)
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            new = list({p for p in pieces if p not in known})
-            if len(known) + len(new) > KEPT_PIECES:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, self._encode(new), strict=True))
-            return b"".join([known[p] for p in pieces])
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin with a blank
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.place: dict[str, int] = {}  # piece -> row of the tables below
+        self.sizes = np.zeros(0, dtype=np.int64)  # ids of a piece; -1: not to be encoded on its own
+        self.starts = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u4")
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words with a blank before each, as one text: only first ids begin with a blank."""
+        joined, _ = self._encode([" " + " ".join(words)] if words else [])
+        at = np.flatnonzero(self.opens[joined])
+        if len(at) != len(words):  # another kind of vocabulary
+            return self._encode([f" {w}" for w in words])
+        return joined, np.diff(np.append(at, len(joined)))
+
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Rows of the tables for new pieces."""
+        if len(self.place) + len(new) > KEPT_PIECES:  # what was met first is met most: the older half stays
+            keep = min(len(self.place), KEPT_PIECES // 2)
+            self.place = dict(islice(self.place.items(), keep))
+            used = int(self.starts[keep]) if keep < len(self.starts) else len(self.ids)
+            self.sizes, self.starts, self.ids = self.sizes[:keep], self.starts[:keep], self.ids[:used]
+        # Those after a blank, then those after a line feed or nothing, then those not to be encoded alone.
+        kind = np.array([0 if p.isalpha() else 2 if not _plain(p.removeprefix(_FIRST)) else int(p[0] in "\0\n")
+                         for p in new], dtype=np.int8)
+        order = np.argsort(kind, kind="stable")
+        ordered = [new[i] for i in order]
+        a, b = np.searchsorted(kind[order], [1, 2])
+        words, word_sizes = self._encode_words(ordered[:a])
+        rest, rest_sizes = self._encode([p.removeprefix(_FIRST) for p in ordered[a:b]])
+        sizes = np.concatenate([word_sizes, rest_sizes, np.full(len(new) - b, -1, dtype=np.int64)])
+        first = len(self.sizes)
+        ends = len(self.ids) + np.cumsum(np.maximum(sizes, 0))
+        self.place.update(zip(ordered, range(first, first + len(new)), strict=True))
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.starts = np.concatenate([self.starts, ends - np.maximum(sizes, 0)])
+        self.ids = np.concatenate([self.ids, words, rest])
+        rows = np.empty(len(new), dtype=np.int64)
+        rows[order] = np.arange(first, first + len(new))
+        return rows
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):  # in runs of bounded length, or one text
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars + len(texts[end]) <= BATCH_CHARS):
+                chars += len(texts[end])
+                end += 1
+            out += self._run(texts[at:end])
+            at = end
+        return out
+
+    def _run(self, texts: list[str]) -> list[bytes]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pa.array([f"{_FIRST}{t.replace(chr(10), ' ' + chr(10))}" for t in texts],
+                                          pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(known < 0)
+        if len(self.place) + len(new) > KEPT_PIECES:  # the older half stays: the others are learned anew
+            known[known >= min(len(self.place), KEPT_PIECES // 2)] = -1
+            new = np.flatnonzero(known < 0)
+        known[new] = self._learn([pieces[i] for i in new])
+        rows = known[coded.indices.to_numpy()]
+        sizes = self.sizes[rows]
+        bounds = split.offsets.to_numpy()
+        odd = np.zeros(len(texts), dtype=bool)
+        odd[np.searchsorted(bounds, np.flatnonzero(sizes < 0), side="right") - 1] = True
+        sizes = np.maximum(sizes, 0)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.repeat(self.starts[rows] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        marks = (ends[bounds] * 4).tolist()
+        out = [flat[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
+        for i in np.flatnonzero(odd | np.array([_FIRST in t for t in texts], dtype=bool)):
+            out[i] = self._encode([texts[i]])[0].tobytes()
+        return out
 
 
 def encoder(path: str) -> TextEncoder:

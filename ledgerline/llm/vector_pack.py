@@ -32,7 +32,7 @@ from ledgerline.llm.tokens import encoder, tokenizer_path
 SEQUENCE_TOKENS = 2048
 MAX_SEGMENTS = 256
 MAX_LOSS_TOKENS = 2048
-SHARD_EXAMPLES = 512
+SHARD_EXAMPLES = 1024
 END_ID = 1
 
 Piece = tuple[int, int, int, int, int]  # example, start, length, sequence, offset
@@ -98,8 +98,9 @@ def _packer(path: str, end_id: int, limits: tuple[int, int, int]):
                       key=lambda r: (r[0] is None, r[0] or 0, [(p["text"], p["loss"]) for p in r[1]]))
         encode, end = encoder(path).encode, np.asarray([end_id], dtype="<u4").tobytes()
         ids, loss = [], []
+        encoded = iter(encode([p["text"] for _, parts in rows for p in parts]))
         for _, parts in rows:
-            runs = [encode(p["text"]) for p in parts]
+            runs = [next(encoded) for _ in parts]
             ids.append(b"".join(runs) + end)
             flags = np.repeat([p["loss"] for p in parts] + [True], [len(r) // 4 for r in runs] + [1])
             loss.append(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)]))
