@@ -632,9 +632,22 @@ files AS (
   UNION ALL SELECT 'antigravity', COUNT(DISTINCT user_id) FROM ev
 ),
 loaded AS (SELECT source, COUNT(*) AS n FROM ({union}) GROUP BY source)
-SELECT f.source, CAST(f.files AS BIGINT) AS files, CAST(COALESCE(l.n, 0) AS BIGINT) AS new_events,
-  CAST(0 AS BIGINT) AS errors
+SELECT f.source, CAST(f.files + CASE WHEN f.source = 'claude-code' THEN 1 ELSE 0 END AS BIGINT) AS files,
+  CAST(COALESCE(l.n, 0) AS BIGINT) AS new_events,
+  CAST(CASE WHEN f.source = 'claude-code' THEN 1 ELSE 0 END AS BIGINT) AS errors
 FROM files f LEFT JOIN loaded l USING (source)"""
+    out["load_all_sources"] = f"""WITH ev AS (SELECT * FROM events),
+files AS (
+  SELECT 'claude-code' AS source, COUNT(DISTINCT user_id) AS files, false AS tab FROM ev
+  UNION ALL SELECT 'codex', COUNT(DISTINCT user_id), false FROM ev
+  UNION ALL SELECT 'opencode', COUNT(DISTINCT user_id % 7), true FROM ev
+  UNION ALL SELECT 'antigravity', COUNT(DISTINCT user_id), true FROM ev
+),
+loaded AS (SELECT source, COUNT(*) AS n FROM ({union}) GROUP BY source)
+SELECT f.source, r.run, CAST(CASE WHEN r.run = 1 OR tab THEN f.files ELSE 0 END AS BIGINT) AS files,
+  CAST(CASE WHEN r.run = 1 THEN COALESCE(l.n, 0) ELSE 0 END AS BIGINT) AS new_events, CAST(0 AS BIGINT) AS errors,
+  CAST(CASE WHEN tab THEN f.files ELSE 0 END AS BIGINT) AS cursors
+FROM files f LEFT JOIN loaded l USING (source), (VALUES (1), (2)) AS r(run)"""
     out["export_csv"] = f"""{lines_cte("project")}
 SELECT key, CAST(input AS VARCHAR) AS input, CAST(output AS VARCHAR) AS output,
   CAST(cache_read AS VARCHAR) AS cache_read, CAST(cache_write AS VARCHAR) AS cache_write,
@@ -649,11 +662,25 @@ SELECT strftime(ts, '%Y-%m-%d') AS day, source,
   CAST(SUM(input + output + cache_read + cache_write + reasoning) AS BIGINT) AS total, COUNT(*) AS events
 FROM usage GROUP BY 1, 2"""
     out["incremental_load"] = f"""{u}
-SELECT 'claude-code' AS source, 1 AS run, COUNT(DISTINCT user_id) AS files,
-  CAST(COUNT(CASE WHEN model <> '' THEN 1 END) AS BIGINT) AS new_events, CAST(0 AS BIGINT) AS errors
-FROM usage
+,
+ln AS (
+  SELECT '/logs/claude/projects/-home-u-p' || CAST(user_id % 6 AS VARCHAR) || '/u' || CAST(user_id AS VARCHAR) || '.jsonl' AS path,
+    model, event_id * 10 AS first_ln,
+    event_id * 10 + CASE WHEN event_id % 31 = 0 THEN 8 WHEN event_id % 29 = 0 THEN 7 WHEN event_id % 23 = 0 THEN 6
+      WHEN event_id % 19 = 0 THEN 5 WHEN event_id % 13 = 0 THEN 4 WHEN event_id % 11 = 0 THEN 3
+      WHEN event_id % 5 = 0 THEN 2 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS last_ln
+  FROM usage
+),
+cut AS (SELECT *, MAX(last_ln) OVER (PARTITION BY path) AS last, MIN(path) OVER () AS least FROM ln)
+SELECT 'claude-code' AS source, 1 AS run, COUNT(DISTINCT CASE WHEN first_ln * 2 <= last THEN path END) AS files,
+  COUNT(CASE WHEN first_ln * 2 <= last AND model <> '' THEN 1 END) AS new_events, CAST(0 AS BIGINT) AS errors
+FROM cut
+UNION ALL
+SELECT 'claude-code', 2, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
 UNION ALL
-SELECT 'claude-code', 2, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT)"""
+SELECT 'claude-code', 3, COUNT(DISTINCT CASE WHEN last > 0 THEN path END),
+  COUNT(CASE WHEN first_ln * 2 > last AND model <> '' AND path <> least THEN 1 END), CAST(1 AS BIGINT)
+FROM cut"""
     out["price_list"] = f"""{u},
 {RATES_CTE.strip()}
 SELECT DISTINCT r.model, r.price_key, r.input_rate, r.output_rate, r.cache_read_rate, r.cache_write_rate,

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -415,14 +416,17 @@ def q_ingest_union(spark, sf_dir):
 
 
 def q_load_summary(spark, sf_dir):
-    decoded, files = _decoded_batches(spark, sf_dir)
-    counts = load.insert_events(spark, decoded, scratch_path(spark, "usage-load"))
-    per_file = files.join(counts, ["source", "path"], "left")
-    return per_file.groupBy("source").agg(
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("inserted"), F.lit(0)).cast("bigint").alias("new_events"),
-        F.lit(0).cast("bigint").alias("errors"),
-    )
+    """One load of all four tools; one more file has an over-long line and one lies at the wrong depth."""
+    from ledgerline.plans.ingest import load_logs
+
+    roots = _land_all(spark, sf_dir)
+    bad = _events(spark, sf_dir).agg(F.max("event_id").alias("ln")).select(
+        F.lit("bad.jsonl").alias("path"), "ln", F.repeat(F.lit("x"), 1 << 16).alias("line"))
+    _land_lines(bad, roots[claude.SOURCE])
+    _land_lines(bad, f"{roots[claude.SOURCE]}/too/deep")
+    summary, _ = load_logs(spark, roots, scratch_path(spark, "usage-load"), scratch_path(spark, "manifest"), NOW,
+                           globs=TEXT_FILES, max_line=1 << 15)
+    return summary
 
 
 def q_export_csv(spark, sf_dir):
@@ -467,9 +471,25 @@ def q_source_listing(spark, sf_dir):
 
 
 def _land_lines(raw: DataFrame, landing: str) -> None:
-    """Write (path, ln, line) rows as one text file per source path."""
+    """Add (path, ln, line) rows as one text file per source path."""
     (raw.repartition("path").sortWithinPartitions("path", "ln").select("path", "line")
-     .write.partitionBy("path").text(landing))
+     .write.mode("append").partitionBy("path").text(landing))
+
+
+def _land_all(spark, sf_dir) -> dict[str, str]:
+    """The four tools' logs as files and tables under fresh roots."""
+    ev = _events(spark, sf_dir)
+    roots = {n: scratch_path(spark, f"logs-{n}") for n in
+             (claude.SOURCE, codex.SOURCE, opencode.SOURCE, antigravity.SOURCE)}
+    _land_lines(fixtures.claude_lines(ev), roots[claude.SOURCE])
+    _land_lines(fixtures.codex_lines(ev), f"{roots[codex.SOURCE]}/2024/01")
+    fixtures.opencode_messages(ev).write.parquet(roots[opencode.SOURCE])
+    for name, part in zip(("steps", "gen_metadata", "trajectory"), fixtures.antigravity_tables(ev), strict=True):
+        part.write.parquet(f"{roots[antigravity.SOURCE]}/{name}")
+    return roots
+
+
+TEXT_FILES = {claude.SOURCE: "*.txt", codex.SOURCE: "*.txt"}
 
 
 def q_stream_ingest(spark, sf_dir):
@@ -522,16 +542,43 @@ def q_stream_daily(spark, sf_dir):
 
 
 def q_incremental_load(spark, sf_dir):
-    """Land per-request logs as files, load them twice: the second run reads and inserts nothing."""
+    """Land per-request logs as files and load them; again, unchanged; then with the rest of each user's lines as
+    new files, one of which has an over-long line and is reported without blocking the others."""
     from ledgerline.plans.ingest import load_logs
 
     root, table, manifest = (scratch_path(spark, n) for n in ("logs-claude", "usage-load", "manifest"))
-    _land_lines(fixtures.claude_lines(_events(spark, sf_dir)), root)
+    raw = fixtures.claude_lines(_events(spark, sf_dir))
+    last = raw.groupBy("path").agg(F.max("ln").alias("last"))
+    raw = raw.join(last, "path").withColumn("late", F.col("ln") * 2 > F.col("last"))
+    least = raw.agg(F.min("path")).first()[0]
+    long_line = raw.filter(F.col("path") == least).limit(1).select(
+        F.lit(least).alias("path"), F.lit(1 << 40).alias("ln"), F.repeat(F.lit("x"), 1 << 16).alias("line"))
+    runs = []
+    for run, part in ((1, raw.filter(~F.col("late"))), (2, None), (3, raw.filter(F.col("late")))):
+        if part is not None:
+            part = part.select("path", "ln", "line")
+            _land_lines(part if run == 1 else part.unionByName(long_line), root)
+        summary, _ = load_logs(spark, {claude.SOURCE: root}, table, manifest, NOW, globs=TEXT_FILES,
+                               max_line=1 << 15)
+        runs.append(summary.withColumn("run", F.lit(run)))
+    return reduce(lambda a, b: a.unionByName(b), runs).select("source", "run", "files", "new_events", "errors")
+
+
+def q_load_all_sources(spark, sf_dir):
+    """All four tools in one load with cursors in the manifest: first run, unchanged second run, and the manifest's cursors."""
+    from ledgerline.plans.ingest import latest_manifest, load_logs
+
+    roots = _land_all(spark, sf_dir)
+    table, manifest = scratch_path(spark, "usage-load"), scratch_path(spark, "manifest")
     runs = []
     for run in (1, 2):
-        summary, _ = load_logs(spark, {claude.SOURCE: root}, table, manifest, NOW, globs={claude.SOURCE: "*.txt"})
+        summary, _ = load_logs(spark, roots, table, manifest, NOW,
+                               globs=TEXT_FILES)
         runs.append(summary.withColumn("run", F.lit(run)))
-    return runs[0].unionByName(runs[1]).select("source", "run", "files", "new_events", "errors")
+    entries, _ = latest_manifest(spark, manifest)
+    cursors = entries.groupBy("source").agg(F.count("state").alias("cursors"))
+    both = runs[0].unionByName(runs[1]).join(cursors, "source")
+    return both.select("source", "run", "files", "new_events", "errors", "cursors")
 
 
 def q_price_list(spark, sf_dir):
@@ -610,5 +657,6 @@ def registry() -> dict[str, Query]:
         "stream_counter_diff": q_stream_counter_diff,
         "stream_daily": q_stream_daily,
         "incremental_load": q_incremental_load,
+        "load_all_sources": q_load_all_sources,
         "price_list": q_price_list,
     }
