@@ -73,14 +73,14 @@ def trend(usage: DataFrame | None, now: datetime, days: int = TREND_DAYS, tz: st
 
 
 def streak_stats(usage: DataFrame | None, now: datetime, weeks: int = STREAK_WEEKS, tz: str = "UTC",
-                 totals: DataFrame | None = None) -> DataFrame:
+                 totals: DataFrame | None = None, days: int | None = None) -> DataFrame:
     """One row: days, active_days, active_pct, longest, current, peak over the last weeks*7 days.
 
     Gaps-and-islands: a running count of idle days is the island id of each
     active day; the longest island is the longest run; the island of the last
     day is the current run (0 when the last day is idle).
     """
-    series = day_series(usage, now, weeks * 7, tz, totals)
+    series = day_series(usage, now, days or weeks * 7, tz, totals)
     w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     active = (F.col("total") > 0).cast("int")
     marked = series.withColumn("active", active).withColumn("island", F.sum(1 - F.col("active")).over(w))
@@ -106,9 +106,9 @@ def streak_stats(usage: DataFrame | None, now: datetime, weeks: int = STREAK_WEE
 
 
 def heatmap_grid(usage: DataFrame | None, now: datetime, weeks: int = STREAK_WEEKS, tz: str = "UTC",
-                 totals: DataFrame | None = None) -> DataFrame:
+                 totals: DataFrame | None = None, days: int | None = None) -> DataFrame:
     """Per day: weekday row (Mon=0), week column, intensity 0..3 (NULL when idle)."""
-    series = day_series(usage, now, weeks * 7, tz, totals)
+    series = day_series(usage, now, days or weeks * 7, tz, totals)
     first_dow = series.filter(F.col("i") == 0).select(
         ((F.dayofweek(F.col("day").cast("date")) + 5) % 7).alias("pad")
     ).scalar()

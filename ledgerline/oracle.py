@@ -304,6 +304,40 @@ SELECT COUNT(*) AS sessions, CAST(COALESCE(SUM(total), 0) AS BIGINT) AS total,
        CAST(COALESCE(SUM(events), 0) AS BIGINT) AS events, ROUND(COALESCE(SUM(cost), 0.0), 6) AS cost,
        CAST(COALESCE(SUM(unpriced_events), 0) AS BIGINT) AS unpriced_events
 FROM sess"""
+    out["sessions_display"] = f"""{session_rows_cte()}
+SELECT CASE WHEN length(session_id) <= 13 THEN session_id ELSE substr(session_id, 1, 12) || '…' END AS session, source,
+  {humanize("total")} AS tokens,
+  CASE WHEN cost = 0 AND unpriced_events > 0 THEN '-*' WHEN unpriced_events > 0 THEN {money("cost")} || '*'
+       ELSE {money("cost")} END AS cost,
+  events, models,
+  CASE WHEN duration_s < 60 THEN duration_s || 's'
+       WHEN duration_s < 3600 THEN (duration_s // 60) || 'm' || (duration_s % 60) || 's'
+       ELSE (duration_s // 3600) || 'h' || (duration_s % 3600 // 60) || 'm' || (duration_s % 60) || 's' END AS duration,
+  CASE WHEN project = '' THEN '(unknown)' WHEN len(string_split(rtrim(project, '/'), '/')) <= 3 THEN project
+       ELSE '.../' || array_to_string(string_split(rtrim(project, '/'), '/')[-2:], '/') END AS project
+FROM (SELECT * REPLACE (ROUND(cost, 6) AS cost) FROM sess)"""
+    out["sessions_json"] = f"""{session_rows_cte()}
+SELECT session_id, source, project, models, input, output, cache_read, cache_write, reasoning, total, events,
+  ROUND(cost, 6) AS cost, NULLIF(unpriced_events, 0) AS unpriced_events,
+  strftime(first_ts, '%Y-%m-%dT%H:%M:%SZ') AS first_ts, strftime(last_ts, '%Y-%m-%dT%H:%M:%SZ') AS last_ts,
+  CAST(duration_s * 1000000000 AS BIGINT) AS duration
+FROM sess"""
+    out["session_unpriced"] = f"""{session_rows_cte()}
+SELECT DISTINCT model FROM pr WHERE NOT priced AND est_events > 0"""
+    for key, by, order in (("tool", "tool", "total DESC, key"), ("day", "day", "key"),
+                           ("cost", "model", "cost DESC, total DESC, key")):
+        out[f"report_order_{key}"] = f"""{lines_cte(by)}
+SELECT key, ROW_NUMBER() OVER (ORDER BY {order}) AS place FROM lines"""
+    out["tail_lines"] = """WITH l AS (
+  SELECT '/u' || user_id || '.jsonl' AS path, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ln,
+    count(*) OVER (PARTITION BY user_id) - 1 AS last, '{"event":' || event_id || ',"type":"' || event_type || '"}' AS whole
+  FROM events
+),
+t AS (SELECT *, CASE WHEN ln = last AND user_id % 4 = 3 THEN substr(whole, 1, 8) ELSE whole END AS line FROM l),
+o AS (SELECT *, COALESCE(SUM(strlen(line) + 1) OVER (PARTITION BY path ORDER BY ln
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_off FROM t)
+SELECT path, ln, CAST(byte_off AS BIGINT) AS byte_off, line FROM o
+WHERE ln >= last / 2.0 AND NOT (ln = last AND user_id % 4 = 3)"""
     out["source_stats"] = f"""WITH {USAGE_CTE.strip()}
 SELECT source, COUNT(*) AS events, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM usage GROUP BY source"""
     out["earliest_event"] = f"""WITH {USAGE_CTE.strip()}

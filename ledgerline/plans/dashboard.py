@@ -9,33 +9,43 @@ the heatmap and the four summary cards - instead of one scan per panel.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.bounds import day_text
+from ledgerline.functions.bounds import day_text, local_date
 from ledgerline.operators import calendar as cal
-from ledgerline.operators.aggregate import window
+from ledgerline.operators.aggregate import source_stats, window
 from ledgerline.plans import insights as ins
-from ledgerline.plans.report import build_report, unpriced_models
+from ledgerline.plans.report import COST_DIGITS, build_report, unpriced_models
 from ledgerline.session import checkpointed
 
 
 def dashboard(usage: DataFrame, prices: DataFrame, now: datetime, since: datetime | None = None,
               tool: str | None = None, tz: str = "UTC") -> dict[str, DataFrame]:
+    """Panels by name. The streak begins with the first day of events (or ``since``, if that is earlier), but not
+    before its usual window; ``tools`` lists the tools that have events, in order."""
     u = window(usage, source=tool)
-    days = checkpointed(build_report(u, prices, by="day", tz=tz))
+    days = checkpointed(build_report(u, prices, by="day", tz=tz, digits=None))
     totals = days.select(F.col("key").alias("day"), "total")
+    today = local_date(now, tz)
+    earliest = days.agg(F.min("key")).first()[0]
+    streak_days = cal.STREAK_WEEKS * 7
+    if since is not None:
+        start = local_date(since, tz) if earliest is None else min(local_date(since, tz), date.fromisoformat(earliest))
+        streak_days = max(1, min(streak_days, (today - start).days + 1))
+    days_shown = days.withColumns({c: F.round(c, COST_DIGITS) for c in ("raw_cost", "cost")})
     return {
+        "tools": source_stats(usage).select("source").orderBy("source"),
         "by_tool": build_report(u, prices, by="tool", since=since, tz=tz),
         "by_model": build_report(u, prices, by="model", since=since, tz=tz),
         "by_project": build_report(u, prices, by="project", since=since, tz=tz),
         "unpriced": unpriced_models(u, prices, by="model", since=since, tz=tz),
-        "daily": days if since is None else days.filter(F.col("key") >= F.lit(day_text(since, tz))),
+        "daily": days_shown if since is None else days_shown.filter(F.col("key") >= F.lit(day_text(since, tz))),
         "trend": cal.trend(None, now, tz=tz, totals=totals),
-        "streak": cal.streak_stats(None, now, tz=tz, totals=totals),
-        "heatmap": cal.heatmap_grid(None, now, tz=tz, totals=totals),
+        "streak": cal.streak_stats(None, now, tz=tz, totals=totals, days=streak_days),
+        "heatmap": cal.heatmap_grid(None, now, tz=tz, totals=totals, days=streak_days),
         "cards": ins.summary_cards(None, None, now, tz=tz, days=days),
         "insights": ins.insights(u, prices, since=since, tz=tz),
     }

@@ -266,18 +266,26 @@ def top_models(model_lines: DataFrame) -> DataFrame:
     )
 
 
-def tool_status(usage: DataFrame, tools: list[str] | None = None) -> DataFrame:
-    """Every known tool with its event count and first/last instant (0 / NULL when absent)."""
+def tool_status(usage: DataFrame, tools: list[str] | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Every known tool with its event count and first/last instant (0 / NULL when absent).
+
+    ``found``: what discovery has found (``listing.detect``: source, detected);
+    without it a tool counts as detected when it has events.
+    """
     from ledgerline.operators.aggregate import source_stats
 
     spark = usage.sparkSession
     known = spark.createDataFrame([(t,) for t in (tools or KNOWN_TOOLS)], "source string")
     stats = source_stats(usage)
+    rows = known.join(stats, "source", "left")
+    detected = F.coalesce(F.col("events"), F.lit(0)) > 0
+    if found is not None:
+        rows = rows.join(found.select("source", F.col("detected").alias("listed")), "source", "left")
+        detected = F.coalesce(F.col("listed"), F.lit(False))
     return (
-        known.join(stats, "source", "left")
-        .select(
+        rows.select(
             F.col("source").alias("tool"),
-            (F.coalesce(F.col("events"), F.lit(0)) > 0).alias("detected"),
+            detected.alias("detected"),
             F.coalesce(F.col("events"), F.lit(0)).cast("bigint").alias("events"),
             "first_ts",
             "last_ts",

@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions import fmt
 from ledgerline.functions.timecols import ntz_epoch_seconds
 from ledgerline.operators.aggregate import session_aggregate, window
 from ledgerline.operators.pricing import attach_rates, price_rows
@@ -57,6 +58,35 @@ def build_sessions(usage: DataFrame, prices: DataFrame, since: datetime | None =
     ).orderBy(F.desc("last_ts"), "session_id", "source")
 
 
+# Fixed value: characters of a session id that listings show.
+SHOWN_ID = 13
+
+
+def sessions_display(sessions: DataFrame) -> DataFrame:
+    """The listing as users see it: texts for the id, tokens, cost, duration and project of ``build_sessions`` rows."""
+    return sessions.select(
+        fmt.truncate_text("session_id", SHOWN_ID).alias("session"), "source",
+        fmt.humanize(F.col("total")).alias("tokens"), fmt.cost_cell("cost", "unpriced_events").alias("cost"),
+        "events", "models", fmt.duration_text("duration_s").alias("duration"),
+        fmt.short_project("project").alias("project"))
+
+
+def sessions_json(sessions: DataFrame) -> DataFrame:
+    """(session_id, source, json): RFC 3339 instants, the duration in nanoseconds, zero unpriced_events left out."""
+    instant = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    fields = ["session_id", "source", "project", "models", *TOKEN_CLASSES, "total", "events", "cost",
+              F.when(F.col("unpriced_events") != 0, F.col("unpriced_events")).alias("unpriced_events"),
+              instant("first_ts"), instant("last_ts"), (F.col("duration_s") * 1_000_000_000).alias("duration")]
+    return sessions.select("session_id", "source", F.to_json(F.struct(*fields)).alias("json"))
+
+
+def session_unpriced_models(usage: DataFrame, prices: DataFrame, since: datetime | None = None,
+                            until: datetime | None = None, source: str | None = None) -> DataFrame:
+    """Distinct models that left estimated events of listed sessions without a price, sorted."""
+    rows = session_model_rows(usage, prices, since, until, source)
+    return rows.filter(~F.col("priced") & (F.col("est_events") > 0)).select("model").distinct().orderBy("model")
+
+
 def sessions_total(sessions: DataFrame) -> DataFrame:
     """The sessions listing's TOTAL line: sessions, tokens, events, cost, unpriced."""
     return sessions.agg(

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.timecols import ntz_lit
@@ -26,7 +26,8 @@ from ledgerline.operators.joins import checked_broadcast
 from ledgerline.operators.pricing import attach_rates, norm_index, price_rows, resolve_models
 from ledgerline.plans import insights as ins
 from ledgerline.plans.report import build_report, report_by_cost, unpriced_models
-from ledgerline.plans.sessions import build_sessions, session_model_rows, sessions_total
+from ledgerline.plans.sessions import (
+    build_sessions, session_model_rows, session_unpriced_models, sessions_display, sessions_json, sessions_total)
 from ledgerline.schema import TOKEN_CLASSES, USAGE_COLUMNS
 from ledgerline.operators import load
 from ledgerline.plans import export
@@ -100,6 +101,37 @@ def q_sessions_total(spark, sf_dir):
     return sessions_total(build_sessions(usage, prices, digits=None))
 
 
+def q_sessions_display(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return sessions_display(build_sessions(usage, prices))
+
+
+def q_sessions_json(spark, sf_dir):
+    """The sessions' JSON, written out and read back into typed columns."""
+    usage, prices = _inputs(spark, sf_dir)
+    out = scratch_path(spark, "sessions-json")
+    sessions_json(build_sessions(usage, prices)).select("json").write.text(out)
+    counts = ", ".join(f"{c} long" for c in ["models", *TOKEN_CLASSES, "total", "events"])
+    return spark.read.schema(f"session_id string, source string, project string, {counts}, cost double, "
+                             "unpriced_events long, first_ts string, last_ts string, duration long").json(out)
+
+
+def q_session_unpriced(spark, sf_dir):
+    usage, prices = _inputs(spark, sf_dir)
+    return session_unpriced_models(usage, prices)
+
+
+def _order(by: str, by_cost: bool = False) -> Query:
+    """Keys of a report with their places, as the report's rows come (few rows: tools, models or days)."""
+    def run(spark, sf_dir):
+        usage, prices = _inputs(spark, sf_dir)
+        lines = build_report(usage, prices, by=by)
+        rows = (report_by_cost(lines) if by_cost else lines).select("key", F.monotonically_increasing_id().alias("at"))
+        return rows.select("key", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+
+    return run
+
+
 def q_source_stats(spark, sf_dir):
     return agg.source_stats(usage_table(spark, sf_dir))
 
@@ -446,12 +478,16 @@ def q_export_json(spark, sf_dir):
 
 def q_tail_lines(spark, sf_dir):
     """Resume every file at its middle line; the last line of odd users' files has no newline."""
-    ev = _events(spark, sf_dir)
-    raw = fixtures.claude_lines(ev)
+    in_file = Window.partitionBy("user_id").orderBy("event_id")
+    raw = _events(spark, sf_dir).select(
+        F.concat(F.lit("/u"), F.col("user_id").cast("string"), F.lit(".jsonl")).alias("path"),
+        (F.row_number().over(in_file) - 1).cast("bigint").alias("ln"),
+        F.concat(F.lit('{"event":'), F.col("event_id").cast("string"), F.lit(',"type":"'), F.col("event_type"),
+                 F.lit('"}')).alias("line"))
     user = F.regexp_extract("path", r"/u([0-9]+)\.jsonl$", 1).cast("bigint")
     last = raw.groupBy("path").agg(F.max("ln").alias("last_ln"))
     marked = raw.join(last, "path").withColumn("is_last", F.col("ln") == F.col("last_ln")).withColumn(
-        "line", F.when(F.col("is_last") & (user % 4 == 3), F.substring("line", 1, 20)).otherwise(F.col("line"))
+        "line", F.when(F.col("is_last") & (user % 4 == 3), F.substring("line", 1, 8)).otherwise(F.col("line"))
     ).withColumn("terminated", ~(F.col("is_last") & (user % 2 == 1)))
     with_off = lines.with_offsets(marked.select("path", "ln", "line", "terminated"))
     mid = with_off.groupBy("path").agg(((F.min("ln") + F.max("ln")) / 2).alias("mid"))
@@ -606,6 +642,12 @@ def registry() -> dict[str, Query]:
         "session_model": q_session_model,
         "sessions": q_sessions,
         "sessions_total": q_sessions_total,
+        "sessions_display": q_sessions_display,
+        "sessions_json": q_sessions_json,
+        "session_unpriced": q_session_unpriced,
+        "report_order_tool": _order("tool"),
+        "report_order_day": _order("day"),
+        "report_order_cost": _order("model", by_cost=True),
         "source_stats": q_source_stats,
         "earliest_event": q_earliest_event,
         "unpriced_models": q_unpriced_models,

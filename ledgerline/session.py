@@ -123,10 +123,13 @@ def cached_handle(spark: SparkSession, key: tuple, build):
 
     Opening an input (file listing, footer/schema read) costs driver time on
     every call; the returned DataFrame is immutable and re-reads the files
-    each time it runs, so reusing the handle is safe for inputs that do not
-    change while the session lives (driver tables, a price list).
+    each time it runs. A handle is opened anew when the modification time of
+    the last item of ``key``, a path, has changed.
     """
     handles = spark.__dict__.setdefault("_ledgerline_handles", {})
-    if key not in handles:
-        handles[key] = build()
-    return handles[key]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(key[-1])
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    stamp = (status.getModificationTime(), status.getLen())
+    if key not in handles or handles[key][0] != stamp:
+        handles[key] = (stamp, build())
+    return handles[key][1]

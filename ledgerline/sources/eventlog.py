@@ -84,5 +84,5 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cached_handle(spark, ("usage", sf_dir.rstrip("/")),
+    return cached_handle(spark, ("usage", f"{sf_dir.rstrip('/')}/events.parquet"),
                          lambda: usage_from_events(read_events(spark, sf_dir)))

@@ -242,3 +242,37 @@ def test_stored_table_scan_prunes_partitions_and_columns(spark, scratch):
     pushed = plan.split("PushedFilters: [")[1].split("]")[0]
     assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed and "EqualTo(source,codex)" in pushed
     assert "session_id" not in plan.split("ReadSchema: ")[1].split("\n")[0]  # unused columns are not read
+
+
+def test_dashboard_streak_window_and_tools(spark):
+    from conftest import prices_from, usage_rows
+
+    from ledgerline.plans.dashboard import dashboard
+
+    now = datetime(2025, 11, 30, 12)
+    rows = [dict(source=s, dedup_key=f"{s}{d}", ts=datetime(2025, 11, d, 9), input=1) for s in ("codex", "antigravity")
+            for d in (20, 21, 30)]
+    prices = prices_from(spark, {"gpt-5": {"input_cost_per_token": 1e-6}})
+    usage = usage_rows(spark, rows)
+    whole = dashboard(usage, prices, now)
+    assert [r.source for r in whole["tools"].collect()] == ["antigravity", "codex"]
+    assert whole["streak"].collect()[0].days == 119
+    since = dashboard(usage, prices, now, since=datetime(2025, 11, 25))
+    assert since["streak"].collect()[0].days == 11  # from the first event, which is earlier
+    assert sorted(r.key for r in since["daily"].collect()) == ["2025-11-30"]
+
+
+def test_csv_text_round_trips(spark, scratch):
+    from ledgerline.plans import export
+
+    keys = ["", " padded ", 'a "quoted" key', "comma, inside", "plain"]
+    lines = spark.createDataFrame([(k, 1, 2, 3, 4, 5, 15, 1, 0.5, 0) for k in keys],
+                                  "key string, input long, output long, cache_read long, cache_write long, reasoning long,"
+                                  " total long, events long, cost double, unpriced_events long")
+    export.write_csv(lines, f"{scratch}/csv", single_file=True)
+    text = "".join(r.value + "\n" for r in spark.read.text(f"{scratch}/csv").collect())
+    import csv
+    import io
+
+    rows = list(csv.DictReader(io.StringIO(text)))
+    assert sorted(r["key"] for r in rows) == sorted(keys) and {r["cost"] for r in rows} == {"0.500000"}
