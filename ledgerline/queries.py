@@ -32,7 +32,8 @@ from ledgerline.schema import TOKEN_CLASSES, USAGE_COLUMNS
 from ledgerline.operators import load
 from ledgerline.plans import export
 from ledgerline.session import scratch_path
-from ledgerline.sources import antigravity, claude, codex, fixtures, lines, listing, opencode
+from ledgerline.sampledata import tool_logs as fixtures
+from ledgerline.sources import antigravity, claude, codex, lines, listing, opencode
 from ledgerline.sources.eventlog import NOW, usage_table
 from ledgerline.sources.prices import read_price_list
 

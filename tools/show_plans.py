@@ -27,7 +27,8 @@ def main() -> None:
     from ledgerline.plans.report import build_report
     from ledgerline.plans.sessions import build_sessions
     from ledgerline.session import local_session
-    from ledgerline.sources import codex, fixtures
+    from ledgerline.sampledata import tool_logs as fixtures
+    from ledgerline.sources import codex
     from ledgerline.sources.eventlog import read_events, usage_table
     from ledgerline.sources.prices import read_price_list
 
