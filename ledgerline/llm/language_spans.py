@@ -189,7 +189,7 @@ class Labeller:
         self.letters = np.zeros(0, dtype=np.int64)
 
     def _learn(self, lists: list[list[str]]) -> None:
-        new = list(set().union(*lists) - self.place.keys())
+        new = list(set().union(*lists).difference(self.place))
         if len(self.place) + len(new) > KEPT_WORDS:
             new = list(set().union(*lists))
             self.place, self.table, self.letters = {}, self.table[:0], self.letters[:0]

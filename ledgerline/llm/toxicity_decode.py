@@ -6,7 +6,7 @@
    letters, signs between letters may be noise, a stretched letter may be one or two.
    Viterbi (over the last two letters) finds the reading that the character
    model and the channel's costs make likeliest.
-3. The restored words, and their 4- and 5-grams, are features of a text if they
+3. The restored words (for a disguised word also the next best readings), and their 4- and 5-grams, are features of a text if they
    occur in it. A logistic regression on the features that go with the label
    gives the score. It is fitted on at most ``LABEL_ROWS`` labelled texts (those
    with the smallest hashes of doc_id, each text once), the bounded sample that a
@@ -43,6 +43,8 @@ LEAST_EVIDENCE = 12.0  # likelihood-ratio statistic of a feature
 RIDGE = 0.5
 SMOOTHING = 0.2
 KEPT_TOKENS = 300_000
+READINGS = 4  # of a disguised word that count as features
+SLACK = 4.0  # nats that they may be worse than the best
 PART = 64  # a run of characters without a separator is read in parts of this length
 
 # Letters that a look-alike may stand for.
@@ -51,7 +53,7 @@ LOOK_ALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
 # Costs of the channel, in nats.
-LOOK_ALIKE_COST, NOISE_COST, LOST_DIGIT_COST, STRETCH_COST, DOUBLE_COST = 1.0, 1.0, 4.0, 0.7, 2.5
+LOOK_ALIKE_COST, NOISE_COST, LOST_DIGIT_COST, STRETCH_COST, DOUBLE_COST = 1.0, 2.5, 4.0, 0.7, 6.0
 
 _PLAIN_EDGE = ".,;:?\"'()[]{}<>…«»¿"
 _EDGE_RUN = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
@@ -118,28 +120,27 @@ class Decoder:
             self.costs[key] = self.model.cost(a, b, c)
         return self.costs[key]
 
-    def restore(self, run: str) -> str:
-        """The likeliest word behind a run of characters."""
+    def restore(self, run: str) -> list[str]:
+        """The likeliest words behind a run of characters, best first: READINGS at most, none much worse."""
         earn = self.model.letter_cost
-        best = {("", "\0"): (0.0, "")}
+        best = {("", "\0"): [(0.0, "")]}
         for readings in lattice(run):
-            after: dict[tuple[str, str], tuple[float, str]] = {}
-            for (a, b), (cost, text) in best.items():
+            after: dict[tuple[str, str], list[tuple[float, str]]] = {}
+            for (a, b), paths in best.items():
                 for letters, extra in readings:
-                    x, y, total = a, b, cost + extra
+                    x, y, more = a, b, extra
                     for c in letters:
                         if x:
-                            total += self._cost(x, y, c) - earn
+                            more += self._cost(x, y, c) - earn
                         x, y = y, c
-                    found = (total, text + letters)
-                    if (x, y) not in after or found < after[x, y]:
-                        after[x, y] = found
-            best = after
-        ends = [(cost + (self._cost(a, b, "\0") if a else 0.0), text) for (a, b), (cost, text) in best.items()]
-        return min(ends)[1]
-
-    def words(self, token: str) -> list[str]:
-        """Restored words of one token (lower case, no white space)."""
+                    after.setdefault((x, y), []).extend((cost + more, text + letters) for cost, text in paths)
+            best = {state: sorted(paths)[:READINGS] for state, paths in after.items()}
+        ends = sorted((cost + (self._cost(a, b, "\0") if a else 0.0), text)
+                      for (a, b), paths in best.items() for cost, text in paths)
+        return [text for cost, text in ends[:READINGS] if text and cost <= ends[0][0] + SLACK]
+
+    def words(self, token: str, readings: int = 1) -> list[str]:
+        """Restored words of one token (lower case, no white space), with the next best readings if wanted."""
         token = token.strip(_PLAIN_EDGE)
         if not token.isalpha():
             token = _EDGE_RUN.sub("", token).strip(_PLAIN_EDGE)
@@ -154,7 +155,8 @@ class Decoder:
             if plain.isalpha() and not _STRETCHED.search(plain):
                 out.append(plain)
             elif any(map(str.isalpha, part)):
-                out += [w for i in range(0, len(part), PART) if (w := self.restore(part[i:i + PART]))]
+                for i in range(0, len(part), PART):
+                    out += self.restore(part[i:i + PART])[:readings]
         return out
 
 
@@ -192,7 +194,7 @@ class TokenFeatures:
         self.nothing: frozenset = frozenset()
 
     def _features(self, token: str) -> frozenset:
-        found = set().union(*map(features_of, self.decoder.words(token)))
+        found = set().union(*map(features_of, self.decoder.words(token, READINGS)))
         if self.wanted is not None:
             found = {self.wanted[f] for f in found if f in self.wanted}
         return frozenset(found) if found else self.nothing
@@ -200,7 +202,7 @@ class TokenFeatures:
     def of(self, text: str) -> set:
         known, found = self.known, set()
         distinct = set(tokens_of(text))
-        for token in distinct - known.keys():
+        for token in distinct.difference(known):
             if len(known) >= KEPT_TOKENS:
                 known.clear()
                 found.update(*map(self._features, distinct))
