@@ -19,7 +19,7 @@ from ledgerline.operators import calendar as cal
 from ledgerline.operators.aggregate import source_stats, window
 from ledgerline.plans import insights as ins
 from ledgerline.plans.report import COST_DIGITS, build_report, unpriced_models
-from ledgerline.session import checkpointed
+from ledgerline.session import written
 
 
 def dashboard(usage: DataFrame, prices: DataFrame, now: datetime, since: datetime | None = None,
@@ -27,7 +27,7 @@ def dashboard(usage: DataFrame, prices: DataFrame, now: datetime, since: datetim
     """Panels by name. The streak begins with the first day of events (or ``since``, if that is earlier), but not
     before its usual window; ``tools`` lists the tools that have events, in order."""
     u = window(usage, source=tool)
-    days = checkpointed(build_report(u, prices, by="day", tz=tz, digits=None))
+    days = written(build_report(u, prices, by="day", tz=tz, digits=None), "dashboard-days")
     totals = days.select(F.col("key").alias("day"), "total")
     today = local_date(now, tz)
     earliest = days.agg(F.min("key")).first()[0]

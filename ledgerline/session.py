@@ -11,7 +11,7 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the engine relies on. Values are conservative defaults for a large
 # cluster; AQE coalesces the initial shuffle partition count down at runtime,
@@ -106,16 +106,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def checkpointed(df):
-    """Eagerly materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Used where one expensive intermediate (e.g. parsed log lines) feeds several
-    branches of a plan: it is computed once, and a lost executor re-reads the
-    written files instead of recomputing the parse.
+    Used where an expensive intermediate (e.g. parsed log lines) feeds several
+    branches of a plan: it is computed once, lineage is cut, readers prune its
+    columns, and a lost executor re-reads files instead of recomputing.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cached_handle(spark: SparkSession, key: tuple, build):
