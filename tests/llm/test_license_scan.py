@@ -30,11 +30,8 @@ def test_notices_titles_tags_and_addresses():
     assert labels("nothing of the kind, mitigating licences") == set()
 
 
-def test_base_rule_fires_with_its_own_keyword_only_where_the_keyword_is():
-    for rule in s.signature_rules():
-        for literal in re.findall(rb"[a-z]+", rule.pattern.pattern)[:0]:
-            assert literal
-    # Removing the keyword prefilter changes nothing on texts that quote every title.
+def test_the_prefilter_changes_nothing():
+    # A text that quotes every plain title, scanned with and without the keywords.
     text = " ".join(f[2].replace("(the )?", "") for f in s.FAMILIES if f[2] and "(" not in f[2].replace("(the )?", ""))
     free = s.Scanner([s.Rule(r.label, b" ", r.priority, r.base, r.pattern) for r in s.signature_rules()])
     assert SCANNER.scan(text.encode()) == free.scan(text.encode())
