@@ -8,8 +8,9 @@ The method scores every document by
 
 where n-grams run over word parts and runs of punctuation, each a token, and are
 hashed to ``BUCKETS`` buckets, ``raw`` counts the n-grams of
-all documents and ``target`` those of trusted documents; both multinomials are
-smoothed by ``ALPHA``. A document is kept when it passes the base rules and its
+all documents and ``target`` those of trusted documents. Both multinomials are
+smoothed by ``ALPHA`` pseudo-counts a bucket, the raw one at the target's size, so a
+bucket seen a few times by chance says little. A document is kept when it passes the base rules and its
 score is at least ``THRESHOLD``: the same test for every document.
 
 The target multinomial is fitted on at most ``TARGET_ROWS`` trusted labels (those
@@ -35,20 +36,23 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import text_of, words_of
 
 BUCKETS = 1 << 14
-ALPHA = 0.5
-THRESHOLD = -0.5
+ALPHA = 4.0
+THRESHOLD = -0.3
 TARGET_ROWS = 20_000
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 
 
 def _once(df: DataFrame, column: str, value: Column) -> DataFrame:
-    """``df`` with ``value`` computed once per row (a Generate, which later projections can't be merged into)."""
+    """``df`` with ``value`` computed once per row (a Generate: no filter on it is pushed below, and so repeats it).
+
+    Plain columns that the next step names more than once are computed once as well.
+    """
     return df.withColumn(column, F.explode(F.array(F.struct(value.alias("v"))))).withColumn(column, F.col(f"{column}.v"))
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    return _once(docs, "__w", words_of(text_of(docs)))
+    return docs.withColumn("__w", words_of(text_of(docs)))
 
 
 def _tokens(text: Column) -> Column:
@@ -56,9 +60,16 @@ def _tokens(text: Column) -> Column:
     return words_of(F.regexp_replace(text, r"([^\p{L}\p{N}\s]+)", " $1 "))
 
 
-def _buckets(words: str) -> str:
-    return (f"concat(transform({words}, w -> int(pmod(xxhash64(w), {BUCKETS}))), "
-            f"transform(slice({words}, 2, size({words})), (w, i) -> int(pmod(xxhash64(w, get({words}, i)), {BUCKETS}))))")
+def _hashes(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
+def _buckets(hashes: str) -> str:
+    """Buckets of the 1-grams and 2-grams, from the hashes of the tokens."""
+    mask = BUCKETS - 1
+    return (f"concat(transform({hashes}, h -> int(h & {mask})), "
+            f"zip_with(slice({hashes}, 1, greatest(size({hashes}) - 1, 0)), slice({hashes}, 2, size({hashes})), "
+            f"(a, b) -> int((shiftright(a, 20) ^ shiftright(b, 7)) & {mask})))")
 
 
 def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
@@ -71,7 +82,8 @@ def bucket_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: ``weights``, the log ratio of target to raw of each bucket."""
     target = F.broadcast(trusted_ids(labels))  # TARGET_ROWS longs at most
     rows = docs.select(docs["doc_id"].alias("__id"), text_of(docs).alias("text"))
-    rows = _once(rows.join(target.withColumn("__t", F.lit(1)), "__id", "left"), "__w", _tokens(F.col("text")))
+    rows = rows.join(target.withColumn("__t", F.lit(1)), "__id", "left")
+    rows = rows.select("__t", _hashes(_tokens(F.col("text"))).alias("__w"))
     grams = rows.select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode(F.expr(_buckets("__w"))).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
@@ -79,9 +91,10 @@ def bucket_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
         "bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     table = counts.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"),
                        F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
+    # The raw counts are scaled to the target's total, so both have the same pseudo-counts and normaliser.
     return table.select(F.expr(
-        f"transform(c, x -> if(targets = 0, 0D, ln((x.target + {ALPHA}D) / (targets + {ALPHA * BUCKETS}D)) "
-        f"- ln((x.raw + {ALPHA}D) / (raws + {ALPHA * BUCKETS}D))))").alias("weights"))
+        f"transform(c, x -> if(targets = 0, 0D, ln((x.target + {ALPHA}D) / (x.raw * (targets / raws) + {ALPHA}D))))"
+    ).alias("weights"))
 
 
 def _repeated_words(df: DataFrame) -> DataFrame:
@@ -89,19 +102,19 @@ def _repeated_words(df: DataFrame) -> DataFrame:
     bits = F.expr("case when size(__w) < 1024 then 10 when size(__w) < 16384 then 14 "
                   "when size(__w) < 1048576 then 20 else 31 end")
     df = df.withColumn("__b", bits)
-    df = _once(df, "__h", F.expr(
+    df = df.withColumn("__s", F.sort_array(F.expr(
         "if(size(__w) < 3, array(), transform(sequence(0, size(__w) - 3), i -> "
-        "shiftleft(shiftright(xxhash64(get(__w, i), get(__w, i + 1), get(__w, i + 2)), __b), __b) | i))"))
-    df = _once(df, "__s", F.sort_array(F.col("__h")))
+        "shiftleft(shiftright(xxhash64(get(__w, i), get(__w, i + 1), get(__w, i + 2)), __b), __b) | i))")))
     at = lambda x: f"int({x} & (shiftleft(1L, __b) - 1))"
     same = lambda x, y: (f"(shiftright({x}, __b) = shiftright({y}, __b) and "
                          + " and ".join(f"get(__w, {at(x)} + {k}) = get(__w, {at(y)} + {k})" for k in range(3)) + ")")
-    df = _once(df, "__p", F.sort_array(F.expr(
-        f"transform(filter(__s, (x, j) -> coalesce({same('x', 'get(__s, j - 1)')}, false) "
-        f"or coalesce({same('x', 'get(__s, j + 1)')}, false)), x -> {at('x')})")))
+    some = "size(array_distinct(transform(__s, x -> shiftright(x, __b)))) < size(__s)"
+    df = df.withColumn("__p", F.sort_array(F.expr(
+        f"if({some}, transform(filter(__s, (x, j) -> coalesce({same('x', 'get(__s, j - 1)')}, false) "
+        f"or coalesce({same('x', 'get(__s, j + 1)')}, false)), x -> {at('x')}), array())")))
     covered = ("if(size(__p) = 0, 0L, aggregate(transform(slice(__p, 2, size(__p)), (p, i) -> "
                "bigint(least(3, p - get(__p, i)))), 3L, (a, x) -> a + x))")
-    return df.withColumn("__rep", F.expr(covered)).drop("__b", "__h", "__s", "__p")
+    return df.withColumn("__rep", F.expr(covered)).drop("__b", "__s", "__p")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -111,20 +124,21 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """
     weights = bucket_weights(docs, labels).scalar()
     text = text_of(docs)
-    df = with_words(docs.withColumn("__t", text)).withColumn("__weights", weights)
-    df = _repeated_words(df)
+    df = _repeated_words(with_words(docs.withColumn("__t", text)))
     lines = F.expr("filter(split(__t, '\\n'), x -> length(trim(BOTH "
                    + "' \\t\\n" + "\x0b\f" + "\\r' FROM x)) > 0)")
-    df = _once(df, "__f", _tokens(F.col("__t")))
+    df = df.withColumn("__f", _hashes(_tokens(F.col("__t"))))
     grams = "(greatest(2 * size(__f) - 1, 1))"
+    # Named only in the next step, the weights are read in place; as a column kept longer, every row would carry a copy.
     total = f"aggregate({_buckets('__f')}, 0D, (a, b) -> a + coalesce(get(__weights, b), 0D))"
+    df = df.withColumn("__weights", weights).withColumn("__llr", F.expr(f"{total} / {grams}")).drop("__weights", "__f")
     df = _once(df, "__q", F.struct(
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("__t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         F.col("__rep").alias("n_repeat_words"),
-        F.expr(f"{total} / {grams}").alias("llr")))
+        F.col("__llr").alias("llr")))
     q = F.col("__q")
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
     return df.withColumn("__r", F.struct(
