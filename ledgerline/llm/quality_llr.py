@@ -6,12 +6,13 @@ The method scores every document by
 
     (sum over its 1- and 2-grams of log p_target(bucket) - log p_raw(bucket)) / number of n-grams
 
-where n-grams run over word parts and runs of punctuation, each a token, and are
-hashed to ``BUCKETS`` buckets, ``raw`` counts the n-grams of
+where the n-grams are the 1- and 2-grams of words and the marks (runs of signs, and
+signs that stand alone), hashed to ``BUCKETS`` buckets; ``raw`` counts the n-grams of
 all documents and ``target`` those of trusted documents. Both multinomials are
-smoothed by ``ALPHA`` pseudo-counts a bucket, the raw one at the target's size, so a
-bucket seen a few times by chance says little. A document is kept when it passes the base rules and its
-score is at least ``THRESHOLD``: the same test for every document.
+smoothed by ``ALPHA`` pseudo-counts a bucket, the raw one at the target's size, so
+a bucket seen a few times by chance says little. A document is kept when it
+passes the base rules and its score is at least ``THRESHOLD``: the same test for
+every document.
 
 The target multinomial is fitted on at most ``TARGET_ROWS`` trusted labels (those
 with the smallest hash of doc_id); everything else covers all rows. Both counts
@@ -52,24 +53,25 @@ def _once(df: DataFrame, column: str, value: Column) -> DataFrame:
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__w", words_of(text_of(docs)))
+    docs = docs.withColumn("__w", words_of(text_of(docs)))
+    return docs.withColumn("__h", _hashes(F.col("__w")))
 
 
-def _tokens(text: Column) -> Column:
-    """Words without their punctuation, and the runs of punctuation between them."""
-    return words_of(F.regexp_replace(text, r"([^\p{L}\p{N}\s]+)", " $1 "))
+def _hashes(strings: Column) -> Column:
+    return F.transform(strings, lambda t: F.xxhash64(t))
 
 
-def _hashes(tokens: Column) -> Column:
-    return F.transform(tokens, lambda t: F.xxhash64(t))
+def _marks(text: Column) -> Column:
+    """The runs of two or more signs, and the signs that stand alone."""
+    return F.regexp_extract_all(text, F.lit(r"[^\p{L}\p{N}\s]{2,}|(?<!\S)[^\p{L}\p{N}\s](?!\S)"), F.lit(0))
 
 
-def _buckets(hashes: str) -> str:
-    """Buckets of the 1-grams and 2-grams, from the hashes of the tokens."""
-    mask = BUCKETS - 1
-    return (f"concat(transform({hashes}, h -> int(h & {mask})), "
-            f"zip_with(slice({hashes}, 1, greatest(size({hashes}) - 1, 0)), slice({hashes}, 2, size({hashes})), "
-            f"(a, b) -> int((shiftright(a, 20) ^ shiftright(b, 7)) & {mask})))")
+# Buckets of the 1-grams and 2-grams of words (__h: their hashes) and of the marks (__m), and their number.
+_BUCKETS = (f"concat(transform(__h, h -> int(h & {BUCKETS - 1})), "
+            f"zip_with(slice(__h, 1, greatest(size(__h) - 1, 0)), slice(__h, 2, size(__h)), "
+            f"(a, b) -> int((shiftright(a, 20) ^ shiftright(b, 7)) & {BUCKETS - 1})), "
+            f"transform(__m, h -> int(h & {BUCKETS - 1})))")
+_GRAMS = "greatest(size(__h) + greatest(size(__h) - 1, 0) + size(__m), 1)"
 
 
 def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
@@ -83,8 +85,8 @@ def bucket_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     target = F.broadcast(trusted_ids(labels))  # TARGET_ROWS longs at most
     rows = docs.select(docs["doc_id"].alias("__id"), text_of(docs).alias("text"))
     rows = rows.join(target.withColumn("__t", F.lit(1)), "__id", "left")
-    rows = rows.select("__t", _hashes(_tokens(F.col("text"))).alias("__w"))
-    grams = rows.select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode(F.expr(_buckets("__w"))).alias("bucket"))
+    rows = rows.select("__t", _hashes(words_of(F.col("text"))).alias("__h"), _hashes(_marks(F.col("text"))).alias("__m"))
+    grams = rows.select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode(F.expr(_BUCKETS)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     counts = every.join(counts, "bucket", "left").select(
@@ -104,7 +106,7 @@ def _repeated_words(df: DataFrame) -> DataFrame:
     df = df.withColumn("__b", bits)
     df = df.withColumn("__s", F.sort_array(F.expr(
         "if(size(__w) < 3, array(), transform(sequence(0, size(__w) - 3), i -> "
-        "shiftleft(shiftright(xxhash64(get(__w, i), get(__w, i + 1), get(__w, i + 2)), __b), __b) | i))")))
+        "shiftleft(shiftright(xxhash64(get(__h, i), get(__h, i + 1), get(__h, i + 2)), __b), __b) | i))")))
     at = lambda x: f"int({x} & (shiftleft(1L, __b) - 1))"
     same = lambda x, y: (f"(shiftright({x}, __b) = shiftright({y}, __b) and "
                          + " and ".join(f"get(__w, {at(x)} + {k}) = get(__w, {at(y)} + {k})" for k in range(3)) + ")")
@@ -127,11 +129,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     df = _repeated_words(with_words(docs.withColumn("__t", text)))
     lines = F.expr("filter(split(__t, '\\n'), x -> length(trim(BOTH "
                    + "' \\t\\n" + "\x0b\f" + "\\r' FROM x)) > 0)")
-    df = df.withColumn("__f", _hashes(_tokens(F.col("__t"))))
-    grams = "(greatest(2 * size(__f) - 1, 1))"
     # Named only in the next step, the weights are read in place; as a column kept longer, every row would carry a copy.
-    total = f"aggregate({_buckets('__f')}, 0D, (a, b) -> a + coalesce(get(__weights, b), 0D))"
-    df = df.withColumn("__weights", weights).withColumn("__llr", F.expr(f"{total} / {grams}")).drop("__weights", "__f")
+    df = df.withColumns({"__m": _hashes(_marks(F.col("__t"))), "__weights": weights})
+    total = f"aggregate({_BUCKETS}, 0D, (a, b) -> a + coalesce(get(__weights, b), 0D))"
+    df = df.withColumn("__llr", F.expr(f"{total} / {_GRAMS}")).drop("__weights", "__h", "__m")
     df = _once(df, "__q", F.struct(
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),

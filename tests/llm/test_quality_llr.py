@@ -18,10 +18,11 @@ def hashed(token):
 
 
 def buckets(text):
-    tokens = words_of(re.sub(r"([^\w\s]|_)+", lambda m: f" {m[0]} ", text))
-    h = [hashed(t) for t in tokens]
+    h = [hashed(t) for t in words_of(text)]
+    marks = re.findall(r"(?:[^\w\s]|_){2,}|(?<!\S)(?:[^\w\s]|_)(?!\S)", text)
     mask = q.BUCKETS - 1
-    return [x & mask for x in h] + [((a >> 20) ^ (b >> 7)) & mask for a, b in zip(h, h[1:])]
+    return ([x & mask for x in h] + [((a >> 20) ^ (b >> 7)) & mask for a, b in zip(h, h[1:])]
+            + [hashed(m) & mask for m in marks])
 
 
 def base_counts(text):
