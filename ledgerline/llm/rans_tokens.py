@@ -279,7 +279,10 @@ def _writer(folder: str, path: str, end_id: int):
             draft = f"{at}/.{name}.{uuid.uuid4().hex}"
             with store.open_output_stream(draft) as out:
                 out.write(raw)
-            store.move(draft, f"{at}/{name}")
+            if store.get_file_info(f"{at}/{name}").is_file:  # by an attempt whose executor was lost: the same bytes
+                store.delete_file(draft)
+            else:
+                store.move(draft, f"{at}/{name}")
             return pa.RecordBatch.from_pydict(
                 {"file": [name], "part": [part], "number": [number], "documents": [len(ids)], "tokens": [n],
                  "blocks": [blocks]},
