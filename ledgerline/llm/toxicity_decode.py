@@ -6,16 +6,16 @@
    letters, signs between letters may be noise, a stretched letter may be one or two.
    Viterbi (over the last two letters) finds the reading that the character
    model and the channel's costs make likeliest.
-3. The restored words (for a disguised word also the next best readings), and their 4- and 5-grams, are features of a text if they
-   occur in it. A logistic regression on the features that go with the label
-   gives the score. It is fitted on at most ``LABEL_ROWS`` labelled texts (those
-   with the smallest hashes of doc_id, each text once), the bounded sample that a
-   classifier may use; the driver reads at most ``MAX_FEATURES`` features and
-   the sample's rows over these.
-
-Defined results: null and empty texts have no features and get the score of the
-intercept. Without labels of both kinds the score is 0 for every document.
-Labels with a null doc_id or null toxic aren't used; a doc_id with labels of
+3. The restored words (for a disguised word also the next best readings), and
+   their 4- and 5-grams, are features of a text if they occur in it. Single features
+   that find toxic texts become rules, and the score is the noisy-or of the
+   rules that a text meets, so one sure word is enough. They are learned on at
+   most ``LABEL_ROWS`` labelled texts (those with the smallest hashes of doc_id, of near
+   copies about one), the bounded sample that a classifier may use; the driver
+   reads at most ``MAX_FEATURES`` features and the sample's rows over these.
+
+Defined results: null and empty texts have no features and get the base score.
+Without labels of both kinds the score is 0 for every document. Labels with a null doc_id or null toxic aren't used; a doc_id with labels of
 both kinds counts as toxic. A null doc_id counts as held out. Repeated rows are
 scored each. An empty table gives no rows. Labels, languages, sources and ids are
 no inputs of a score.
@@ -34,17 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import text_of, written
+from ledgerline.llm.jaccard_forest import shingles
 from ledgerline.llm.language_spans import CELLS, _cells, _codes, held_out
 
 LABEL_ROWS = 12_000
 MAX_FEATURES = 20_000
 LEAST_DOCUMENTS = 3  # toxic texts of the sample that have a feature
-LEAST_EVIDENCE = 12.0  # likelihood-ratio statistic of a feature
-RIDGE = 0.5
+LEAST_EVIDENCE = 25.0  # likelihood-ratio statistic of a rule
+CANDIDATE_EVIDENCE = 9.0  # of a feature that may become one
+LEAST_PRECISION = 0.97
+LEAST_GAIN = 1.5
 SMOOTHING = 0.2
 KEPT_TOKENS = 300_000
-READINGS = 4  # of a disguised word that count as features
-SLACK = 4.0  # nats that they may be worse than the best
+READINGS = 8  # of a disguised word that count as features
+SLACK = 6.0  # nats that they may be worse than the best
 PART = 64  # a run of characters without a separator is read in parts of this length
 
 # Letters that a look-alike may stand for.
@@ -55,6 +58,9 @@ LOOK_ALIKES = {
 # Costs of the channel, in nats.
 LOOK_ALIKE_COST, NOISE_COST, LOST_DIGIT_COST, STRETCH_COST, DOUBLE_COST = 1.0, 2.5, 4.0, 0.7, 6.0
 
+# Odd multipliers of the sketches that tell near copies.
+_SKETCHES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
 _PLAIN_EDGE = ".,;:?\"'()[]{}<>…«»¿"
 _EDGE_RUN = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
 _SEPARATORS = re.compile(r"[.\-_/:,;~=?\"'\[\]{}<>]+")
@@ -268,36 +274,85 @@ def _feature_rows(shared, wanted, batches):
 
     features = TokenFeatures(Decoder(shared.value), wanted.value)
     for batch in batches:
-        found = [sorted(features.of(text)) for text in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))],
-                                         names=["toxic", "features"])
+        texts = batch.column("text").to_pylist()
+        found = [sorted(features.of(text)) for text in texts]
+        sketches = []
+        for text in texts:
+            parts = shingles(text.encode().split())
+            sketches.append([int((parts * a >> np.uint64(1)).min()) if len(parts) else 0 for a in _SKETCHES])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("toxic"), pa.array(found, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))],
+            names=["toxic", "features", "sketches"])
+
+
+def independent(sketches: list[list[int]]) -> list[bool]:
+    """Whether each text shares no sketch value with one that was kept before it: of near copies about one stays."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for values in sketches:
+        marks = set(enumerate(values))
+        out.append(not marks & seen)
+        if out[-1]:
+            seen |= marks
+    return out
+
+
+def _evidence(a: np.ndarray, b: np.ndarray, rate: float) -> np.ndarray:
+    """Likelihood-ratio statistic of ``a`` toxic and ``b`` other texts against a rate of toxic texts."""
+    share = np.maximum(a / np.maximum(a + b, 1), 1e-9)
+    return 2 * (a * np.log(share / max(rate, 1e-9)) + b * np.log(np.maximum(1 - share, 1e-9) / (1 - rate + 1e-9)))
 
 
-def fit_logistic(rows: list[list[int]], labels: np.ndarray, width: int, ridge: float = RIDGE,
-                 rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a ridge logistic regression on binary features, by scaled gradient steps."""
+def fit_rules(rows: list[list[int]], labels: np.ndarray, names: list[str]) -> tuple[np.ndarray, float]:
+    """Strength of each feature (0: no rule) and the rate of toxic texts that no rule finds.
+
+    Whole words that are precise and whose evidence can't be chance are rules,
+    and so are n-grams that find ``LEAST_GAIN`` times as many toxic texts as any
+    such word that they are a part of (the common part of many forms). Then words and n-grams are taken one by one for the toxic texts that no rule
+    finds yet: the feature that most of these have, with evidence against their
+    lower rate (ties to the longer feature, which is the more specific). A
+    rule's strength is its smoothed precision.
+    """
+    width, lengths = len(names), [len(n) for n in names]
+    whole = np.array([n.startswith("^") and n.endswith("$") for n in names], dtype=bool)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column = np.fromiter(chain.from_iterable(rows), np.int64, len(owner))
-    size = np.bincount(column, minlength=width)
-    most = max([len(r) for r in rows] + [1])
-    weights, intercept = np.zeros(width), float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
-    step = 1.0 / (0.25 * (most + 1) * np.maximum(size, 1) ** 0.5 + ridge)
-    speed, speed0 = np.zeros(width), 0.0
-    for _ in range(rounds):
-        margin = intercept + np.bincount(owner, weights[column], len(rows))
-        error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels
-        speed = 0.9 * speed - step * (np.bincount(column, error[owner], width) + ridge * weights)
-        speed0 = 0.9 * speed0 - error.sum() / (0.25 * (most + 1) * len(rows))
-        weights, intercept = weights + speed, intercept + speed0
-    return weights, intercept
+    toxic = labels > 0
+    rate = float(toxic.mean())
+    bad = np.bincount(column[toxic[owner]], minlength=width)
+    good = np.bincount(column[~toxic[owner]], minlength=width)
+    usable = bad >= np.maximum(LEAST_PRECISION * (bad + good), LEAST_DOCUMENTS)
+    precision = (bad + rate) / (bad + good + 1)
+    sure = usable & (_evidence(bad, good, rate) >= LEAST_EVIDENCE)
+    words = [(names[i], int(bad[i])) for i in np.flatnonzero(sure & whole)]
+    for i in np.flatnonzero(sure & ~whole):  # a part must find clearly more than any one word that it is a part of
+        sure[i] = bad[i] >= LEAST_GAIN * max([n for word, n in words if names[i] in word], default=0)
+    strength = np.where(sure, precision, 0.0)
+    open_ = toxic.copy()
+    open_[owner[strength[column] > 0]] = False
+    while True:
+        left = float(open_.sum() / max(1, open_.sum() + (~toxic).sum()))
+        new = np.bincount(column[open_[owner]], minlength=width)
+        fit = usable & (strength == 0) & (new >= LEAST_DOCUMENTS) & (_evidence(new, good, left) >= LEAST_EVIDENCE)
+        if not fit.any():
+            return strength, left
+        best = int(np.lexsort((-np.arange(width), lengths, np.where(fit, new, -1)))[-1])
+        strength[best] = precision[best]
+        open_[owner[column == best]] = False
 
 
 @dataclass
 class ToxicityModel:
     characters: CharacterModel
     features: dict[str, int]
-    weights: np.ndarray
-    intercept: float | None  # None: nothing to learn from
+    strength: np.ndarray  # of the rule that each feature makes
+    base: float | None  # rate of toxic texts that no rule finds; None: nothing to learn from
+
+    def score(self, found: set[int]) -> float:
+        """Chance that at least one of the rules is right, or the base rate holds."""
+        if self.base is None:
+            return 0.0
+        return float(1 - (1 - self.base) * np.prod(1 - self.strength[sorted(found)]))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> ToxicityModel:
@@ -316,15 +371,18 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABEL_ROWS) -> Toxicit
     part = lambda x, n: F.when(x > 0, x * F.log(x * (bad + good) / ((F.col("a") + F.col("b")) * n))).otherwise(0.0)
     evidence = 2 * (part(F.col("a"), bad) + part(F.col("b"), good))
     chosen = (counts.where((F.col("a") >= LEAST_DOCUMENTS) & (F.col("a") * good > 2 * F.col("b") * bad))
-              .withColumn("evidence", evidence).where(F.col("evidence") >= LEAST_EVIDENCE)
+              .withColumn("evidence", evidence).where(F.col("evidence") >= CANDIDATE_EVIDENCE)
               .orderBy(F.desc("evidence"), "feature").limit(MAX_FEATURES).collect())
     features = {r["feature"]: i for i, r in enumerate(chosen)}
     wanted = context.broadcast(features)
-    found = sample.mapInArrow(partial(_feature_rows, shared, wanted), "toxic int, features array<int>").collect()
-    found.sort(key=lambda r: (r["toxic"], r["features"]))
+    found = sample.mapInArrow(partial(_feature_rows, shared, wanted),
+                              "toxic int, features array<int>, sketches array<long>").collect()
+    found.sort(key=lambda r: (r["toxic"], r["features"], r["sketches"]))
+    found = [r for r, alone in zip(found, independent([r["sketches"] for r in found]), strict=True) if alone]
     y = np.array([float(r["toxic"] > 0) for r in found])
-    weights, intercept = fit_logistic([r["features"] for r in found], y, len(features))
-    return ToxicityModel(characters, features, weights, intercept)
+    strength, base = fit_rules([r["features"] for r in found], y, list(features))
+    rules = {f: i for i, (f, x) in enumerate((f, x) for f, x in zip(features, strength, strict=True) if x)}
+    return ToxicityModel(characters, rules, strength[strength > 0], base)
 
 
 def _scorer(shared, batches):
@@ -335,11 +393,7 @@ def _scorer(shared, batches):
     for batch in batches:
         scores = []
         for text in batch.column("text").to_pylist():
-            if model.intercept is None:
-                scores.append(0.0)
-            else:
-                margin = model.intercept + sum(model.weights[f] for f in sorted(features.of(text)))
-                scores.append(float(1 / (1 + np.exp(-np.clip(margin, -30, 30)))))
+            scores.append(model.score(features.of(text)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())],
                                          names=["doc_id", "score"])
 

@@ -52,8 +52,10 @@ def test_held_out_and_disguised_texts(spark, model):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
     assert all(r.predicted == int(i % 4 == 0) for i, r in got.items() if r.held_out)
     forms = ["$tup1d", "w0rthless", "p@thetic", "l o s e r", "traaaash"]
-    hidden = documents(spark, [(i, sentence(1000 + i, [f])) for i, f in enumerate(forms)])
+    hidden = documents(spark, [(i, sentence(1000 + i, [f], n=300)) for i, f in enumerate(forms)])
     assert [r.predicted for r in t.score_toxicity(hidden, labels, model).orderBy("doc_id").collect()] == [1] * 5
+    clean = documents(spark, [(i, sentence(2000 + i, [f])) for i, f in enumerate(["w1ndow", "g a r d e n", "summer!!"])])
+    assert [r.predicted for r in t.score_toxicity(clean, labels, model).collect()] == [0] * 3
 
 
 def test_lattice_search_is_exhaustive(model):
@@ -74,13 +76,20 @@ def test_lattice_search_is_exhaustive(model):
         assert decoder.restore(run)[0] == best[1]
 
 
-def test_logistic_regression_separates():
+def test_near_copies_count_once():
+    assert t.independent([[1, 2], [3, 4], [1, 9], [8, 4], [2, 1]]) == [True, True, False, False, True]
+
+
+def test_rules_find_what_goes_with_the_label():
     rng = np.random.default_rng(0)
-    rows = [[0] if i % 5 == 0 else [] for i in range(200)]
-    rows = [r + [int(k) for k in rng.integers(1, 20, 3)] for r in rows]
-    y = np.array([float(i % 5 == 0) for i in range(200)])
-    w, b = t.fit_logistic([sorted(set(r)) for r in rows], y, 20)
-    assert w[0] > 2 and abs(w[1:]).max() < w[0] / 2 and b < 0
+    y = np.array([float(i % 5 == 0) for i in range(300)])
+    # Feature 0 marks most toxic texts, 1 five others (too few against the whole, enough among the rest); 2 as many of
+    # both kinds; the others are noise.
+    rows = [([0] if i % 60 else [1]) if y[i] else [] for i in range(300)]
+    rows = [r + [2] * (i % 2) for i, r in enumerate(rows)]
+    rows = [sorted(set(r + [int(k) for k in rng.integers(3, 20, 3)])) for r in rows]
+    strength, base = t.fit_rules(rows, y, ["^bad$", "nasty"] + [f"^word{i}$" for i in range(18)])
+    assert strength[0] > 0.9 and strength[1] > 0.8 and not strength[2:].any() and base == 0
 
 
 def test_awkward_rows_no_labels_and_empty(spark, model):
