@@ -15,10 +15,11 @@
    reads at most ``MAX_FEATURES`` features and the sample's rows over these.
 
 Defined results: null and empty texts have no features and get the base score.
-Without labels of both kinds the score is 0 for every document. Labels with a null doc_id or null toxic aren't used; a doc_id with labels of
-both kinds counts as toxic. A null doc_id counts as held out. Repeated rows are
-scored each. An empty table gives no rows. Labels, languages, sources and ids are
-no inputs of a score.
+Without labels of both kinds the score is 0 for every document. Labels with a
+null doc_id or null toxic aren't used; a doc_id with labels of both kinds counts
+as toxic. A null doc_id counts as held out. Repeated rows are scored each. An
+empty table gives no rows. Labels, languages, sources and ids are no inputs of a
+score.
 """
 
 from __future__ import annotations
