@@ -47,7 +47,7 @@ DEPTH = 4
 TARGET_RECALL = 0.9995
 CHUNK = 256
 SALTS = 32
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,6 +115,7 @@ def _signer(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())],
             names=["doc_id", "digest", "sign"])
+    _hashes.clear()  # the worker goes on to other work
 
 
 def expected_recall(similarity: float, depth: int, tries: int = TRIES) -> float:

@@ -19,9 +19,11 @@ import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
 # Pieces whose ids a worker keeps; beyond it, the half that it met last goes.
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 400_000
 # Texts are encoded together up to this many characters.
 BATCH_CHARS = 4_000_000
+# Words that go to the tokenizer as one text (its working memory is many times the text).
+JOINED_WORDS = 5_000
 
 # Marks the first piece of a text, which has no blank before it.
 _FIRST = "\0"
@@ -70,12 +72,20 @@ class TextEncoder:
         return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words with a blank before each, as one text: only first ids begin with a blank."""
-        joined, _ = self._encode([" " + " ".join(words)] if words else [])
-        at = np.flatnonzero(self.opens[joined])
-        if len(at) != len(words):  # another kind of vocabulary
-            return self._encode([f" {w}" for w in words])
-        return joined, np.diff(np.append(at, len(joined)))
+        """The same for words with a blank before each, many as one text: only first ids begin with a blank."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for begin in range(0, len(words), JOINED_WORDS):
+            part = words[begin:begin + JOINED_WORDS]
+            joined, _ = self._encode([" " + " ".join(part)])
+            at = np.flatnonzero(self.opens[joined])
+            if len(at) == len(part):
+                ids.append(joined)
+                sizes.append(np.diff(np.append(at, len(joined))))
+            else:  # another kind of vocabulary
+                joined, own = self._encode([f" {w}" for w in part])
+                ids.append(joined)
+                sizes.append(own)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def _learn(self, new: list[str]) -> np.ndarray:
         """Rows of the tables for new pieces."""
