@@ -1,10 +1,10 @@
 """Packing examples into token sequences by vector bin packing.
 
 A sequence has three limits at once: tokens, segments (pieces of examples) and
-loss-bearing tokens. Examples are dealt by a hash of their id to shards of
-about ``SHARD_EXAMPLES``; a shard is packed on its own, so the work spreads by
-rows whatever their ids or sources are, and nothing but one shard is in a
-task's memory. In a shard
+loss-bearing tokens. Examples are dealt by a hash of their id and text to shards of
+about ``SHARD_EXAMPLES`` examples and no more than about ``SHARD_BYTES`` of text; a
+shard is packed on its own, so the work spreads by rows whatever their ids or
+sources are, and nothing but one shard is in a task's memory. In a shard
 
 1. as long as an example exceeds what an empty sequence can hold, that much of
    it becomes a sequence of its own;
@@ -33,6 +33,7 @@ SEQUENCE_TOKENS = 2048
 MAX_SEGMENTS = 256
 MAX_LOSS_TOKENS = 2048
 SHARD_EXAMPLES = 1024
+SHARD_BYTES = 8 << 20
 END_ID = 1
 
 Piece = tuple[int, int, int, int, int]  # example, start, length, sequence, offset
@@ -120,17 +121,17 @@ def _packer(path: str, end_id: int, limits: tuple[int, int, int]):
     return pack
 
 
-def pack_examples(examples: DataFrame, example: Column, parts: Column, rows: int | None = None,
-                  path: str | None = None, end_id: int = END_ID, tokens: int = SEQUENCE_TOKENS,
+def pack_examples(examples: DataFrame, example: Column, parts: Column, path: str | None = None, end_id: int = END_ID, tokens: int = SEQUENCE_TOKENS,
                   segments: int = MAX_SEGMENTS, loss_tokens: int = MAX_LOSS_TOKENS) -> DataFrame:
     """One row per piece: example, start, length, example_tokens, loss_tokens, sequence_id, offset, ids.
 
     ``parts`` is an array of (text, loss) structs in order; the end id of an example bears
     loss. ``ids`` are the piece's ids as little-endian unsigned 32-bit integers.
-    ``rows`` (counted if not given) only sets the number of shards.
     """
-    shards = max(1, -(-(examples.count() if rows is None else rows) // SHARD_EXAMPLES))
     dealt = examples.select(example.cast("long").alias("example"), parts.alias("parts"))
+    size = F.octet_length(F.array_join("parts.text", ""))
+    rows, volume = dealt.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    shards = max(1, -(-rows // SHARD_EXAMPLES), -(-volume // SHARD_BYTES))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("example", F.element_at("parts.text", 1)), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(
         _packer(path or tokenizer_path(), end_id, (tokens, segments, loss_tokens)),
