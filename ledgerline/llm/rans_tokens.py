@@ -317,7 +317,7 @@ def write_files(docs: DataFrame, folder: str | None = None, path: str | None = N
             .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text").drop("h"))
     made = rows.mapInArrow(_writer(folder, path or tokenizer_path(), end_id),
                            "file string, part long, number long, documents long, tokens long, blocks long")
-    made.write.parquet(f"{folder}/_files")
+    made.write.parquet(f"{folder}/files")
     return folder
 
 
@@ -346,7 +346,7 @@ def _reader(folder: str):
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) of every document in the folder's files."""
     files = spark.read.schema("file string, part long, number long, documents long, tokens long, blocks long").parquet(
-        f"{folder}/_files")
+        f"{folder}/files")
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     files = files.select("file", "blocks", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     blocks = files.select("file", "base", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
