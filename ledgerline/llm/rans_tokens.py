@@ -47,6 +47,8 @@ CHECKPOINT_STEPS = 256
 BLOCK_TOKENS = 1 << 18
 FILE_TOKENS = 1 << 23
 END_ID = 2
+# Pieces whose ids a writing worker keeps (about 250 MB).
+KEPT_PIECES = 1_000_000
 # Blocks that one task decodes.
 TASK_BLOCKS = 16
 LOW = 1 << 32  # states stay in [2^32, 2^64)
@@ -270,7 +272,7 @@ def _writer(folder: str, path: str, end_id: int):
 
         part = TaskContext.get().partitionId()
         store, at = _file_system(folder)
-        encode, end = encoder(path).encode, np.asarray([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(path, KEPT_PIECES).encode, np.asarray([end_id], dtype="<u4").tobytes()
         ids, runs, n, number = [], [], 0, 0
 
         def flush():

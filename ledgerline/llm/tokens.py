@@ -27,7 +27,7 @@ JOINED_WORDS = 5_000
 
 # Marks the first piece of a text, which has no blank before it.
 _FIRST = "\0"
-_encoders: dict[str, TextEncoder] = {}
+_encoders: dict[tuple[str, int | None], TextEncoder] = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -49,9 +49,10 @@ def _plain(piece: str) -> bool:
 class TextEncoder:
     """texts -> little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int | None = None):
         import os
 
+        self.kept = KEPT_PIECES if kept is None else kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
@@ -89,8 +90,8 @@ class TextEncoder:
 
     def _learn(self, new: list[str]) -> np.ndarray:
         """Rows of the tables for new pieces."""
-        if len(self.place) + len(new) > KEPT_PIECES:  # what was met first is met most: the older half stays
-            keep = min(len(self.place), KEPT_PIECES // 2)
+        if len(self.place) + len(new) > self.kept:  # what was met first is met most: the older half stays
+            keep = min(len(self.place), self.kept // 2)
             self.place = dict(islice(self.place.items(), keep))
             used = int(self.starts[keep]) if keep < len(self.starts) else len(self.ids)
             self.sizes, self.starts, self.ids = self.sizes[:keep], self.starts[:keep], self.ids[:used]
@@ -136,8 +137,8 @@ class TextEncoder:
         pieces = coded.dictionary.to_pylist()
         known = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(known < 0)
-        if len(self.place) + len(new) > KEPT_PIECES:  # the older half stays: the others are learned anew
-            known[known >= min(len(self.place), KEPT_PIECES // 2)] = -1
+        if len(self.place) + len(new) > self.kept:  # the older half stays: the others are learned anew
+            known[known >= min(len(self.place), self.kept // 2)] = -1
             new = np.flatnonzero(known < 0)
         known[new] = self._learn([pieces[i] for i in new])
         rows = known[coded.indices.to_numpy()]
@@ -155,8 +156,8 @@ class TextEncoder:
         return out
 
 
-def encoder(path: str) -> TextEncoder:
-    """The worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+def encoder(path: str, kept: int | None = None) -> TextEncoder:
+    """The worker's encoder for a tokenizer file, which keeps ``kept`` pieces."""
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = TextEncoder(path, kept)
+    return _encoders[path, kept]
