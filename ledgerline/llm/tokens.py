@@ -7,7 +7,9 @@ be encoded on its own, and the ids of a text are the ids of such pieces in a
 row. Pieces repeat a lot: a batch of texts is split and its distinct pieces are
 found by Arrow, each worker remembers the ids of pieces it has met (a bounded
 number), and the tokenizer sees only new ones. Texts with other than single
-blanks and line feeds between their words go to the tokenizer whole.
+blanks and line feeds between their words go to the tokenizer whole, as do texts
+in which an added token of the tokenizer file (such as <|endoftext|>) stands: it
+gets the id that the file gives it.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin with a blank
         self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
@@ -66,6 +68,9 @@ class TextEncoder:
         self.starts = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype="<u4")
 
+    def _has_added(self, text: str) -> bool:
+        return any(a in text for a in self.added)
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after the other, and how many each has."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,8 +101,8 @@ class TextEncoder:
             used = int(self.starts[keep]) if keep < len(self.starts) else len(self.ids)
             self.sizes, self.starts, self.ids = self.sizes[:keep], self.starts[:keep], self.ids[:used]
         # Those after a blank, then those after a line feed or nothing, then those not to be encoded alone.
-        kind = np.array([0 if p.isalpha() else 2 if not _plain(p.removeprefix(_FIRST)) else int(p[0] in "\0\n")
-                         for p in new], dtype=np.int8)
+        kind = np.array([2 if self._has_added(p) else 0 if p.isalpha() else 2 if not _plain(p.removeprefix(_FIRST))
+                         else int(p[0] in "\0\n") for p in new], dtype=np.int8)
         order = np.argsort(kind, kind="stable")
         ordered = [new[i] for i in order]
         a, b = np.searchsorted(kind[order], [1, 2])
@@ -151,7 +156,7 @@ class TextEncoder:
         flat = self.ids[np.repeat(self.starts[rows] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
         marks = (ends[bounds] * 4).tolist()
         out = [flat[a:b] for a, b in zip(marks[:-1], marks[1:], strict=True)]
-        for i in np.flatnonzero(odd | np.array([_FIRST in t for t in texts], dtype=bool)):
+        for i in np.flatnonzero(odd | np.array([_FIRST in t or self._has_added(t) for t in texts], dtype=bool)):
             out[i] = self._encode([texts[i]])[0].tobytes()
         return out
 

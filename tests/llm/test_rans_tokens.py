@@ -101,6 +101,16 @@ def test_encoder_equals_the_tokenizer_on_any_text():
     assert got == [as_bytes(e.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_added_tokens_have_the_ids_of_the_tokenizer_file():
+    from tokenizers import Tokenizer
+
+    fresh, e = Tokenizer.from_file(tokens.tokenizer_path()), tokens.TextEncoder(tokens.tokenizer_path())
+    texts = ["ab <|endoftext|> cd", "<|endoftext|>", "a<|endoftext|>\n<|endoftext|> b", "<|endoftext |>", "plain words\nonly"]
+    got = e.encode(texts) + e.encode(texts)
+    assert got == [as_bytes(fresh.encode(t, add_special_tokens=False).ids) for t in texts * 2]
+    assert np.frombuffer(got[0], "<u4").tolist() == [397, 220, 50256, 22927]
+
+
 def test_encoder_forgets_and_stays_right(monkeypatch):
     monkeypatch.setattr(tokens, "KEPT_PIECES", 50)
     e = tokens.TextEncoder(tokens.tokenizer_path())
