@@ -101,8 +101,10 @@ class TextEncoder:
             used = int(self.starts[keep]) if keep < len(self.starts) else len(self.ids)
             self.sizes, self.starts, self.ids = self.sizes[:keep], self.starts[:keep], self.ids[:used]
         # Those after a blank, then those after a line feed or nothing, then those not to be encoded alone.
-        kind = np.array([2 if self._has_added(p) else 0 if p.isalpha() else 2 if not _plain(p.removeprefix(_FIRST))
-                         else int(p[0] in "\0\n") for p in new], dtype=np.int8)
+        kind = np.array([0 if p.isalpha() else 2 if not _plain(p.removeprefix(_FIRST)) else int(p[0] in "\0\n")
+                         for p in new], dtype=np.int8)
+        if self._has_added(" ".join(new)):  # one look for all of them
+            kind[[self._has_added(p) for p in new]] = 2
         order = np.argsort(kind, kind="stable")
         ordered = [new[i] for i in order]
         a, b = np.searchsorted(kind[order], [1, 2])
