@@ -3,7 +3,8 @@
 A text is reduced to its words: ASCII letters lowered, words are runs of ASCII letters and
 digits and of all characters beyond ASCII, joined by one blank. Rules are
 regular expressions over that form, which begin and end at word boundaries.
-Every rule names a keyword; a rule runs only on texts that have its keyword.
+Every rule names a keyword that all its matches contain; a rule runs only on
+texts that have its keyword.
 
 Overlapping detections are resolved by priority and containment: in order of
 priority, then length, then place, a detection stays unless it lies within one
@@ -38,14 +39,18 @@ BASE_PHRASES = [
 ]
 
 # Fixed values, one family a line: label, keyword, title, short name, address, notice ('' where there is none).
-# Titles, short names, addresses and notices are regular expressions over words.
+# Titles, short names, addresses and notices are regular expressions over words; the keyword stands in every match of
+# the title and of the notice.
 FAMILIES = [
-    ("mit", "mit", r"(the )?mit license", r"mit", r"opensource org licenses mit( license)?",
+    ("mit", "mit", r"(the )?mit license", r"mit", r"opensource org licenses mit( license)?", r""),
+    ("mit", "granted", r"", r"", r"",
      r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "expat", r"expat license", r"expat", r"", r""),
     ("mit-0", "attribution", r"mit no attribution( license)?", r"mit 0", r"", r""),
-    ("x11", "x11", r"x11 license", r"x11", r"", r"except as contained in this notice the name of the x consortium shall not be used"),
-    ("isc", "isc", r"isc license", r"isc", r"opensource org licenses isc( license)?",
+    ("x11", "x11", r"x11 license", r"x11", r"", r""),
+    ("x11", "consortium", r"", r"", r"", r"except as contained in this notice the name of the x consortium shall not be used"),
+    ("isc", "isc", r"isc license", r"isc", r"opensource org licenses isc( license)?", r""),
+    ("isc", "permission", r"", r"", r"",
      r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd-2-clause", "bsd", r"(simplified bsd license|bsd 2 clause( license)?|2 clause bsd license|freebsd license)", r"bsd 2 clause",
      r"opensource org licenses bsd 2 clause", r""),
@@ -56,7 +61,8 @@ FAMILIES = [
     ("bsd-4-clause", "bsd", r"(original bsd license|bsd 4 clause( license)?|4 clause bsd license)", r"bsd 4 clause", r"", r""),
     ("bsd", "redistribution", r"", r"", r"",
      r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd", "bsd", r"(berkeley software distribution license|bsd style license|bsd license)", r"", r"", r""),
+    ("bsd", "bsd", r"(bsd style license|bsd license)", r"", r"", r""),
+    ("bsd", "berkeley", r"berkeley software distribution license", r"", r"", r""),
     ("apache-1.1", "apache", r"apache (software )?license (version |v )?1 1", r"apache 1 1", r"apache org licenses license 1 1", r""),
     ("apache-2", "apache", r"apache (software )?license (version |v )?2( 0)?", r"apache 2( 0)?", r"apache org licenses license 2 0",
      r"licensed under the apache license version 2 0 the license you may not use this file except in compliance"),
@@ -67,7 +73,8 @@ FAMILIES = [
     ("epl-1.0", "eclipse", r"eclipse public license (version |v )?1( 0)?", r"epl 1 0", r"eclipse org legal epl v10", r""),
     ("epl-2.0", "eclipse", r"eclipse public license (version |v )?2( 0)?", r"epl 2 0", r"eclipse org legal epl (2 0|v20)", r""),
     ("edl-1.0", "eclipse", r"eclipse distribution license (version |v )?1( 0)?", r"edl 1 0", r"eclipse org org documents edl v10", r""),
-    ("cddl-1.0", "cddl", r"(common development and distribution license|cddl) (version |v )?1( 0)?", r"cddl 1 0", r"", r""),
+    ("cddl-1.0", "cddl", r"cddl (version |v )?1( 0)?", r"cddl 1 0", r"", r""),
+    ("cddl-1.0", "distribution", r"common development and distribution license (version |v )?1( 0)?", r"", r"", r""),
     ("cpl-1.0", "common", r"common public license (version |v )?1( 0)?", r"cpl 1 0", r"", r""),
     ("ms-pl", "microsoft", r"microsoft public license", r"ms pl", r"", r""),
     ("ms-rl", "microsoft", r"microsoft reciprocal license", r"ms rl", r"", r""),
@@ -77,7 +84,8 @@ FAMILIES = [
     ("zlib", "misrepresented", r"", r"", r"", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
     ("bsl-1.0", "boost", r"boost software license( (version |v )?1( 0)?)?", r"bsl 1 0", r"boost org license 1 0 txt", r""),
     ("busl-1.1", "business", r"business source license (version |v )?1 1", r"busl 1 1", r"", r""),
-    ("wtfpl", "wtfpl", r"(do what the f[^ ]+ you want to public license|wtfpl( license)?)", r"wtfpl", r"wtfpl net", r""),
+    ("wtfpl", "wtfpl", r"wtfpl( license)?", r"wtfpl", r"wtfpl net", r""),
+    ("wtfpl", "public", r"do what the f[^ ]+ you want to public license", r"", r"", r""),
     ("unlicense", "unlicense", r"the unlicense", r"unlicense", r"unlicense org", r""),
     ("unlicense", "unencumbered", r"", r"", r"", r"this is free and unencumbered software released into the public domain"),
     ("cc0-1.0", "cc0", r"(creative commons )?cc0( 1 0)?( universal)?", r"cc0 1 0", r"creativecommons org publicdomain zero 1 0", r""),

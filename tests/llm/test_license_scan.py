@@ -37,6 +37,48 @@ def test_the_prefilter_changes_nothing():
     assert SCANNER.scan(text.encode()) == free.scan(text.encode())
 
 
+def strings(tree):
+    """The strings that a parsed pattern matches; what repeats stands once, any character is a NUL."""
+    out = [""]
+    for op, of in tree:
+        match str(op):
+            case "LITERAL":
+                found = [chr(of)]
+            case "NOT_LITERAL":
+                found = ["\0"]
+            case "IN":
+                found = [chr(c) for _, c in of]
+            case "SUBPATTERN":
+                found = strings(of[3])
+            case "BRANCH":
+                found = [x for part in of[1] for x in strings(part)]
+            case "MAX_REPEAT":
+                found = [""] * (of[0] == 0) + strings(of[2])
+            case "ASSERT":
+                found = [""]
+        out = [a + b for a in out for b in found]
+    return out
+
+
+def test_every_match_of_a_rule_has_its_keyword():
+    for rule in s.signature_rules():
+        found = strings(re._parser.parse(rule.pattern.pattern.decode()))
+        assert found and all(rule.keyword.decode() in x for x in found), (rule.label, rule.keyword)
+        text = f"x {found[0].replace(chr(0), 'y')} x"
+        assert any(d["label"] == rule.label for d in SCANNER.scan(text.encode())[1]), text
+
+
+def test_texts_without_the_short_name():
+    assert labels("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+                  "associated documentation files") == {"mit"}
+    assert labels("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+                  "is hereby granted") == {"isc"}
+    assert labels("Except as contained in this notice, the name of the X Consortium shall not be used") == {"x11"}
+    assert labels("Common Development and Distribution License 1.0") == {"cddl-1.0"}
+    assert labels("under the Do What The Fxck You Want To Public License") == {"wtfpl"}
+    assert labels("the Berkeley Software Distribution License") == {"bsd"}
+
+
 def test_containment_goes_by_priority():
     low, high = (s.Rule(n, b"x", p, False, re.compile(b"x")) for n, p in (("low", 10), ("high", 90)))
     kept = {(a, b, r.label): stays for a, b, r, stays in s.resolve([(0, 10, low), (2, 5, high), (3, 4, low), (9, 12, low)])}
