@@ -5,7 +5,10 @@
    single characters becomes a lattice: look-alike characters may stand for
    letters, signs between letters may be noise, a stretched letter may be one or two.
    Viterbi (over the last two letters) finds the reading that the character
-   model and the channel's costs make likeliest.
+   model and the channel's costs make likeliest. Short tokens in a row, and the
+   parts of a token between signs, are one lattice too, in which each blank or
+   sign may be a word's end, at the price of the character model, or noise; all words
+   on readings that are not much worse than the best are restored words.
 3. The restored words (for a disguised word also the next best readings), and
    their 4- and 5-grams, are features of a text if they occur in it. Single features
    that find toxic texts become rules, and the score is the noisy-or of the
@@ -49,7 +52,12 @@ SMOOTHING = 0.2
 KEPT_TOKENS = 300_000
 READINGS = 8  # of a disguised word that count as features
 SLACK = 6.0  # nats that they may be worse than the best
-PART = 64  # a run of characters without a separator is read in parts of this length
+PART = 64  # steps of a long run after which the beginning of its best reading is settled
+SETTLED_BEFORE = 32  # letters at its end that stay open
+SHORT = 3  # characters of tokens that may be parts of one word
+READ_PIECES, OVERLAP = 512, 32
+KEPT_RUNS = 100_000
+LEAST_CORE = 3  # letters at the beginning of a feature by which runs without it are told
 
 # Letters that a look-alike may stand for.
 LOOK_ALIKES = {
@@ -58,6 +66,7 @@ LOOK_ALIKES = {
 }
 # Costs of the channel, in nats.
 LOOK_ALIKE_COST, NOISE_COST, LOST_DIGIT_COST, STRETCH_COST, DOUBLE_COST = 1.0, 2.5, 4.0, 0.7, 6.0
+JOIN_COST = 1.0  # of a blank or sign between two parts of a word
 
 # Odd multipliers of the sketches that tell near copies.
 _SKETCHES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -66,6 +75,7 @@ _PLAIN_EDGE = ".,;:?\"'()[]{}<>…«»¿"
 _EDGE_RUN = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
 _SEPARATORS = re.compile(r"[.\-_/:,;~=?\"'\[\]{}<>]+")
 _STRETCHED = re.compile(r"(.)\1\1")
+_DOUBLED = re.compile(r"(.)\1")
 
 
 @dataclass
@@ -131,7 +141,8 @@ class Decoder:
         """The likeliest words behind a run of characters, best first: READINGS at most, none much worse."""
         earn = self.model.letter_cost
         best = {("", "\0"): [(0.0, "")]}
-        for readings in lattice(run):
+        settled = ""
+        for at, readings in enumerate(lattice(run), 1):
             after: dict[tuple[str, str], list[tuple[float, str]]] = {}
             for (a, b), paths in best.items():
                 for letters, extra in readings:
@@ -142,9 +153,71 @@ class Decoder:
                         x, y = y, c
                     after.setdefault((x, y), []).extend((cost + more, text + letters) for cost, text in paths)
             best = {state: sorted(paths)[:READINGS] for state, paths in after.items()}
+            if at % PART == 0:
+                head = min(chain.from_iterable(best.values()))[1][:-SETTLED_BEFORE]
+                settled += head
+                best = {state: kept for state, paths in best.items()
+                        if (kept := [(cost, text[len(head):]) for cost, text in paths if text.startswith(head)])}
         ends = sorted((cost + (self._cost(a, b, "\0") if a else 0.0), text)
                       for (a, b), paths in best.items() for cost, text in paths)
-        return [text for cost, text in ends[:READINGS] if text and cost <= ends[0][0] + SLACK]
+        return [settled + text for cost, text in ends[:READINGS] if settled + text and cost <= ends[0][0] + SLACK]
+
+    def read(self, pieces: list[str]) -> list[str]:
+        """Words that the pieces may be, joined or apart. Long lists are read in parts that overlap by OVERLAP pieces.
+
+        Of a piece with more than PART characters only the beginning and the end can be parts of a word with others.
+        """
+        runs: list[list[str]] = [[]]
+        for piece in pieces:
+            if len(piece) <= PART:
+                runs[-1].append(piece)
+            else:
+                runs[-1].append(piece[:PART // 2])
+                runs.append([piece[-(PART // 2):]])
+        found: dict[str, None] = {}
+        for run in runs:
+            for begin in range(0, max(1, len(run) - OVERLAP), READ_PIECES - OVERLAP):
+                found |= dict.fromkeys(self._read(run[begin:begin + READ_PIECES]))
+        return list(found)
+
+    def _read(self, pieces: list[str]) -> list[str]:
+        """The words of all readings within SLACK of the best.
+
+        Words begin and end at bounds of pieces. One pass over the pieces keeps
+        the open words (by where they began and their last two letters) that are within
+        twice the slack of the best; what each closed word costs gives, from
+        the end, the best reading through it.
+        """
+        earn, far = self.model.letter_cost, 2 * SLACK
+        forward = [0.0] + [float("inf")] * len(pieces)
+        closed: list[tuple[int, int, float, str]] = []
+        open_ = {(0, "", "\0"): [(0.0, "")]}
+        for end, piece in enumerate(pieces, 1):
+            for readings in lattice(piece):
+                after: dict[tuple[int, str, str], list[tuple[float, str]]] = {}
+                for (begin, a, b), paths in open_.items():
+                    for letters, extra in readings:
+                        x, y, more = a, b, extra
+                        for c in letters:
+                            if x:
+                                more += self._cost(x, y, c) - earn
+                            x, y = y, c
+                        after.setdefault((begin, x, y), []).extend((cost + more, text + letters) for cost, text in paths)
+                least = min(paths[0][0] for paths in map(sorted, after.values())) + far
+                open_ = {state: kept for state, paths in after.items()
+                         if (kept := [p for p in sorted(paths)[:READINGS] if p[0] <= least])}
+            for (begin, a, b), paths in open_.items():
+                more = self._cost(a, b, "\0") if a else 0.0
+                for cost, text in paths:
+                    closed.append((begin, end, cost + more - forward[begin], text))
+                    forward[end] = min(forward[end], cost + more)
+            open_ = {state: [(cost + JOIN_COST, text) for cost, text in paths] for state, paths in open_.items() if state[1]}
+            open_[end, "", "\0"] = [(forward[end], "")]
+        backward = [float("inf")] * len(pieces) + [0.0]
+        for begin, end, cost, _ in sorted(closed, key=lambda w: -w[1]):
+            backward[begin] = min(backward[begin], cost + backward[end])
+        return list(dict.fromkeys(text for begin, end, cost, text in closed
+                                  if text and forward[begin] + cost + backward[end] <= backward[0] + SLACK))
 
     def words(self, token: str, readings: int = 1) -> list[str]:
         """Restored words of one token (lower case, no white space), with the next best readings if wanted."""
@@ -153,7 +226,7 @@ class Decoder:
             token = _EDGE_RUN.sub("", token).strip(_PLAIN_EDGE)
         if token.isalpha() and not _STRETCHED.search(token):
             return [token]
-        parts = [p for p in _SEPARATORS.split(token) if p]
+        parts = pieces = [p for p in _SEPARATORS.split(token) if p]
         if len(parts) > 2 and all(len(p) == 1 for p in parts):
             parts = ["".join(parts)]
         out = []
@@ -162,8 +235,9 @@ class Decoder:
             if plain.isalpha() and not _STRETCHED.search(plain):
                 out.append(plain)
             elif any(map(str.isalpha, part)):
-                for i in range(0, len(part), PART):
-                    out += self.restore(part[i:i + PART])[:readings]
+                out += self.restore(part)[:readings]
+        if readings > 1 and len(pieces) > 1 and any(map(str.isalpha, token)):
+            out += [word for word in self.read(pieces) if word not in out]
         return out
 
 
@@ -186,6 +260,18 @@ def tokens_of(text: str) -> list[str]:
     return out
 
 
+def runs_of(text: str) -> list[str]:
+    """Two or more short tokens in a row, without signs at their edges, joined by blanks."""
+    out = []
+    tokens = text.lower().split()
+    for short, group in groupby(tokens, lambda token: len(token) <= SHORT or len(token.strip(_PLAIN_EDGE)) <= SHORT):
+        if short:
+            pieces = [p for token in group if (p := token.strip(_PLAIN_EDGE))]
+            if len(pieces) > 1:
+                out.append(" ".join(pieces))
+    return out
+
+
 def features_of(word: str) -> set[str]:
     """The word and its 4- and 5-grams, with marks at both ends."""
     whole = f"^{word}$"
@@ -198,16 +284,37 @@ class TokenFeatures:
     def __init__(self, decoder: Decoder, wanted: dict[str, int] | None):
         self.decoder, self.wanted = decoder, wanted
         self.known: dict[str, frozenset] = {}
+        self.runs: dict[str, frozenset] = {}
         self.nothing: frozenset = frozenset()
+        # What a run of plain letters must have for one of the features that are wanted.
+        cores = [f.strip("^$")[:LEAST_CORE] for f in wanted or ()]
+        self.cores = frozenset(cores) if wanted is not None and all(len(c) == LEAST_CORE for c in cores) else None
+
+    def _run_features(self, run: str) -> frozenset:
+        glued = run.replace(" ", "")
+        if self.cores is not None and glued.isalpha() and not _DOUBLED.search(glued):
+            if self.cores.isdisjoint([glued[i:i + LEAST_CORE] for i in range(len(glued) - LEAST_CORE + 1)]):
+                return self.nothing
+        elif not any(map(str.isalpha, glued)):
+            return self.nothing
+        if run not in self.runs:
+            if len(self.runs) >= KEPT_RUNS:
+                self.runs.clear()
+            self.runs[run] = self._kept(self.decoder.read(run.split(" ")))
+        return self.runs[run]
 
     def _features(self, token: str) -> frozenset:
-        found = set().union(*map(features_of, self.decoder.words(token, READINGS)))
+        return self._kept(self.decoder.words(token, READINGS))
+
+    def _kept(self, words: list[str]) -> frozenset:
+        found = set().union(*map(features_of, words))
         if self.wanted is not None:
             found = {self.wanted[f] for f in found if f in self.wanted}
         return frozenset(found) if found else self.nothing
 
     def of(self, text: str) -> set:
-        known, found = self.known, set()
+        known = self.known
+        found = set().union(*map(self._run_features, set(runs_of(text))))
         distinct = set(tokens_of(text))
         for token in distinct.difference(known):
             if len(known) >= KEPT_TOKENS:

@@ -46,6 +46,35 @@ def test_spaced_letters_are_one_token():
     assert t.tokens_of("you L O S E R now a b") == ["you", "loser", "now", "a", "b"]
 
 
+def test_words_apart_and_in_uneven_parts_are_restored(model):
+    features = t.TokenFeatures(t.Decoder(model.characters), None)
+    for text, words in [("letter s t u p i d l o s e r garden", ["stupid", "loser"]), ("letter a l o s e r", ["loser"]),
+                        ("st u pid", ["stupid"]), ("s tu pid.", ["stupid"]), ("stu.pid", ["stupid"]),
+                        ("lo-ser", ["loser"]), ("l.o.s3r", ["loser"]), ("tr 4 sh", ["trash"]), ("stu p1d", ["stupid"])]:
+        assert {f"^{w}$" for w in words} <= features.of(text), text
+
+
+def test_uneven_parts_are_called_toxic(spark, model):
+    _, labels = corpus(spark)
+    forms = ["s t u p i d l o s e r", "a l o s e r", "st u pid", "stu.pid", "lo-ser", "l.o.s3r"]
+    hidden = documents(spark, [(i, sentence(3000 + i, [f], n=300)) for i, f in enumerate(forms)])
+    assert [r.predicted for r in t.score_toxicity(hidden, labels, model).orderBy("doc_id").collect()] == [1] * len(forms)
+
+
+def test_a_word_at_any_place_of_a_long_run_is_restored(model):
+    decoder = t.Decoder(model.characters)
+    for n in range(40, 75):
+        assert any("stupid" in word for word in decoder.words("x7" * (n // 2) + "x" * (n % 2) + "stup1d" + "7x" * 20, t.READINGS)), n
+
+
+def test_long_lists_of_pieces_are_read_whole(model):
+    decoder = t.Decoder(model.characters)
+    for n in (470, 490, 505, 512, 530, 1000):
+        assert "loser" in decoder.read(["a"] * n + list("loser") + ["a"] * 40), n
+    assert any("stupid" in word for word in decoder.read(["stu", "pid" + "x" * 50_000, "lo", "ser"]))
+    assert "loser" in decoder.read(["x" * 50_000, "lo", "ser"])
+
+
 def test_held_out_and_disguised_texts(spark, model):
     docs, labels = corpus(spark)
     got = {r.doc_id: r for r in t.score_toxicity(clashing(docs), labels, model).collect()}
