@@ -75,7 +75,8 @@ _PLAIN_EDGE = ".,;:?\"'()[]{}<>…«»¿"
 _EDGE_RUN = re.compile(r"^([^\w\s])\1+|([^\w\s])\2+$")
 _SEPARATORS = re.compile(r"[.\-_/:,;~=?\"'\[\]{}<>]+")
 _STRETCHED = re.compile(r"(.)\1\1")
-_DOUBLED = re.compile(r"(.)\1")
+_DOUBLED = re.compile(r"(.)\1+")
+_SHORT_RUN = re.compile(b"\1{2,}")
 
 
 @dataclass
@@ -247,7 +248,10 @@ def _single(token: str) -> bool:
 
 def tokens_of(text: str) -> list[str]:
     """Tokens of a text; three or more single characters in a row are one token."""
-    tokens = text.lower().split()
+    return _spaced(text.lower().split())
+
+
+def _spaced(tokens: list[str]) -> list[str]:
     flags = bytes(map(_single, tokens))
     if b"\1\1\1" not in flags:
         return tokens
@@ -260,15 +264,17 @@ def tokens_of(text: str) -> list[str]:
     return out
 
 
-def runs_of(text: str) -> list[str]:
+def _short(token: str) -> bool:
+    return len(token) <= SHORT or len(token.strip(_PLAIN_EDGE)) <= SHORT
+
+
+def runs_of(tokens: list[str], short: set[str]) -> set[str]:
     """Two or more short tokens in a row, without signs at their edges, joined by blanks."""
-    out = []
-    tokens = text.lower().split()
-    for short, group in groupby(tokens, lambda token: len(token) <= SHORT or len(token.strip(_PLAIN_EDGE)) <= SHORT):
-        if short:
-            pieces = [p for token in group if (p := token.strip(_PLAIN_EDGE))]
-            if len(pieces) > 1:
-                out.append(" ".join(pieces))
+    out = set()
+    for m in _SHORT_RUN.finditer(bytes(map(short.__contains__, tokens))):
+        pieces = [p for token in tokens[m.start():m.end()] if (p := token.strip(_PLAIN_EDGE))]
+        if len(pieces) > 1:
+            out.add(" ".join(pieces))
     return out
 
 
@@ -284,18 +290,24 @@ class TokenFeatures:
     def __init__(self, decoder: Decoder, wanted: dict[str, int] | None):
         self.decoder, self.wanted = decoder, wanted
         self.known: dict[str, frozenset] = {}
+        self.short: set[str] = set()  # the short ones of the known tokens
         self.runs: dict[str, frozenset] = {}
         self.nothing: frozenset = frozenset()
-        # What a run of plain letters must have for one of the features that are wanted.
-        cores = [f.strip("^$")[:LEAST_CORE] for f in wanted or ()]
-        self.cores = frozenset(cores) if wanted is not None and all(len(c) == LEAST_CORE for c in cores) else None
+        # What a run of plain letters must have for one of the features that are wanted, doubled letters once.
+        self.cores: dict[str, list[str]] | None = None if wanted is None else {}
+        for core in {_DOUBLED.sub(r"\1", f.strip("^$")) for f in wanted or ()}:
+            self.cores.setdefault(core[:LEAST_CORE], []).append(core)
+        self.sizes = sorted(set(map(len, self.cores or ())))
+
+    def _may_have(self, glued: str) -> bool:
+        if self.cores is None or not glued.isalpha():
+            return any(map(str.isalpha, glued))
+        once = _DOUBLED.sub(r"\1", glued)
+        return any(core in once for size in self.sizes for i in range(len(once) - size + 1)
+                   for core in self.cores.get(once[i:i + size], ()))
 
     def _run_features(self, run: str) -> frozenset:
-        glued = run.replace(" ", "")
-        if self.cores is not None and glued.isalpha() and not _DOUBLED.search(glued):
-            if self.cores.isdisjoint([glued[i:i + LEAST_CORE] for i in range(len(glued) - LEAST_CORE + 1)]):
-                return self.nothing
-        elif not any(map(str.isalpha, glued)):
+        if not self._may_have(run.replace(" ", "")):
             return self.nothing
         if run not in self.runs:
             if len(self.runs) >= KEPT_RUNS:
@@ -313,12 +325,14 @@ class TokenFeatures:
         return frozenset(found) if found else self.nothing
 
     def of(self, text: str) -> set:
-        known = self.known
-        found = set().union(*map(self._run_features, set(runs_of(text))))
-        distinct = set(tokens_of(text))
+        known, words = self.known, text.lower().split()
+        self.short.update(filter(_short, set(words).difference(known)))
+        found = set().union(*map(self._run_features, runs_of(words, self.short)))
+        distinct = set(_spaced(words))
         for token in distinct.difference(known):
             if len(known) >= KEPT_TOKENS:
                 known.clear()
+                self.short.clear()
                 found.update(*map(self._features, distinct))
                 return found
             known[token] = self._features(token)
