@@ -1,7 +1,10 @@
 """Secret detection: broad candidates, then a random forest that removes the false positives.
 
-A candidate is a run of at least ``LEAST_LENGTH`` characters of ``[A-Za-z0-9+/_-]`` with a digit in it,
-anywhere in a text. Its features are its length and make-up, how often
+Candidates, anywhere in a text, are runs of at least ``LEAST_LENGTH`` characters of ``[A-Za-z0-9+/_-]`` with a digit or
+with capitals among small letters in them, what has a known key format, and what is assigned to a name like
+password, of any length and with any signs (to the closing quote, or to white space). Spans that two of these give
+count once. Runs without digits that are all small or all capital letters, in no key format and assigned to no such name, are
+no candidates. The features of a candidate are its length and make-up, how often
 its characters change class, the mean cost of its letters' transitions under a
 character model of the corpus, the share of it that dictionary words cover, the
 path (source) that the text comes from, and the words and signs around it. A
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from functools import partial
 
@@ -47,6 +51,7 @@ KEEP_FROM = 0.5
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{%d,}" % LEAST_LENGTH)
 _DIGIT = re.compile(r"[0-9]")
+_SMALL, _CAPITAL_WITHIN = re.compile(r"[a-z]"), re.compile(r"[A-Za-z][A-Z]")
 _NAME = re.compile(r"([\w\-]+)\W*$")
 _NEXT = re.compile(r"\W*([\w\-]+)")
 _LETTERS = re.compile(r"[a-z]+")
@@ -61,6 +66,12 @@ KEY_FORMATS = re.compile(
     r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}"
     r"|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_\-]{20}|npm_[A-Za-z0-9]{36}|SK[0-9a-f]{32}")
 
+# A name, what assigns, and the opening quote; the value begins where the match ends.
+_ASSIGNED = re.compile(rf"(?:{'|'.join(SECRET_NAMES)})[\w\-]{{0,64}}[\"'`\])]{{0,2}}\s{{0,8}}(?::=|=>|={{1,3}}|:)\s{{0,8}}"
+                       r"(?:(?:bearer|basic|token)\s{1,8})?([\"'`]?)", re.IGNORECASE)
+_UNTIL_QUOTE = {quote: re.compile(rf"[^{quote}\r\n]+(?={quote})") for quote in "\"'`"}
+_UNTIL_BLANK = re.compile(r"(?:(?!&\w+=)[^\s\"'`])+")
+
 FEATURES = ["length", "digits", "uppers", "lowers", "signs", "entropy", "changes", "hex", "transition", "coverage",
             "path_depth", "path_sample", "path_bucket", "quoted", "assigned", "address", "name_secret", "name_harmless",
             "name_bucket", "next_bucket", "words_before"]
@@ -87,6 +98,25 @@ def coverage(text: str, dictionary: frozenset[str], longest: int) -> float:
     return best[-1] / len(text)
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """Where the candidates of a text are, in order of place."""
+    found = {m.span() for m in _CANDIDATE.finditer(text)
+             if _DIGIT.search(m[0]) or _SMALL.search(m[0]) and _CAPITAL_WITHIN.search(m[0])}
+    runs = sorted(found)
+    for m in KEY_FORMATS.finditer(text):  # in a run that is a candidate it isn't one of its own
+        at = bisect_right(runs, (m.start(), len(text))) - 1
+        if at < 0 or runs[at][1] < m.end():
+            found.add(m.span())
+    for m in _ASSIGNED.finditer(text):
+        quoted = m[1] and _UNTIL_QUOTE[m[1]].match(text, m.end())
+        if quoted:
+            found.add(quoted.span())
+        elif plain := _UNTIL_BLANK.match(text, m.end()):
+            if value := plain[0].rstrip(",;.)]}>"):
+                found.add((plain.start(), plain.start() + len(value)))
+    return sorted(found)
+
+
 def candidate_features(text: str, start: int, end: int, path: str, model: CharacterModel,
                        dictionary: frozenset[str], longest: int) -> list[float]:
     value, n = text[start:end], end - start
@@ -163,13 +193,9 @@ def _finder(shared, batches):
     for batch in batches:
         rows: list[tuple] = []
         for doc_id, text, path in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "path")), strict=True):
-            if not _DIGIT.search(text):
-                continue
-            for m in _CANDIDATE.finditer(text):
-                if _DIGIT.search(m[0]):
-                    rows.append((doc_id, m.start(), m.end(), m[0], text[max(0, m.start() - 80):m.start()],
-                                 text[m.end():m.end() + 40],
-                                 candidate_features(text, m.start(), m.end(), path, model, dictionary, longest)))
+            for start, end in spans(text):
+                rows.append((doc_id, start, end, text[start:end], text[max(0, start - 80):start], text[end:end + 40],
+                             candidate_features(text, start, end, path, model, dictionary, longest)))
         columns = list(zip(*rows, strict=True)) or [[]] * 7
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64())]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
