@@ -34,6 +34,9 @@ DEFAULTS = {
 # lineage-cut checkpoint files once their data is no longer referenced.
 STARTUP_DEFAULTS = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 
+# Removes an execution's shuffle files when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply DEFAULTS where the session has no value of its own."""
@@ -111,11 +114,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     Used where an expensive intermediate (e.g. parsed log lines) feeds several
     branches of a plan: it is computed once, lineage is cut, readers prune its
-    columns, and a lost executor re-reads files instead of recomputing.
+    columns, and a lost executor re-reads files instead of recomputing. The
+    shuffle files behind it are removed once it is written.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cached_handle(spark: SparkSession, key: tuple, build):
