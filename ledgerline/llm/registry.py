@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, jaccard_forest, language_spans, license_scan, quality_llr, rans_tokens, secret_forest, source_mix, toxicity_decode, vector_pack
+from ledgerline.llm import (bond_negatives, exact_dedup, jaccard_forest, language_spans, license_scan, merkle_manifest,
+                            quality_llr, rans_tokens, recompression, secret_forest, source_mix, toxicity_decode, vector_pack)
 from ledgerline.llm.common import read_table
 from ledgerline.llm.oracle import ORACLES
 
@@ -71,6 +72,19 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "score", "is_secret")
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op12_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bond_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.audit(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +95,7 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_license_scan, op2_exact_dedup, op3_source_mix, op4_quality_llr, op5_vector_pack, op6_rans_tokens,
         op7_jaccard_forest, op8_language_spans, op9_toxicity_decode, op10_secret_forest,
+        op11_recompression, op12_bond_negatives, op13_merkle_manifest,
         pipeline)}
 
 
