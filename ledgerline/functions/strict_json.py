@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OPTIONS = {
@@ -38,6 +38,37 @@ def object_of(parsed: Column) -> Column:
                   F.get(parsed.getField("r"), 0))
 
 
+def with_object(rows: DataFrame, line: Column, fields: str, out: str) -> DataFrame:
+    """``rows`` plus ``out``, the object of each line; every line is parsed once.
+
+    The parse alone stands in a Generate: filters above are not pushed below
+    it, and what is read from its result is a projection on a column. Inside
+    the Generate, each mention of the parse would be a parse of its own.
+    """
+    parsed = rows.select("*", F.inline(F.array(F.struct(parse_line(line, fields).alias("__parsed")))))
+    return parsed.withColumn(out, object_of(F.col("__parsed"))).drop("__parsed")
+
+
+def members(value: Column, names: list[str], path: str = "$") -> Column:
+    """The named members of a VARIANT's object as a struct of VARIANTs (null if there is no object)."""
+    return F.try_variant_get(value, path, f"struct<{', '.join(f'{n} variant' for n in names)}>")
+
+
+def is_absent(value: Column) -> Column:
+    """Whether a VARIANT is missing or a JSON null."""
+    return value.isNull() | F.is_variant_null(value)
+
+
+def is_long(value: Column) -> Column:
+    """Whether a VARIANT field is an integer of 64 bits, null or absent."""
+    return value.isNull() | F.schema_of_variant(value).isin("BIGINT", "VOID")
+
+
+def long_of(value: Column) -> Column:
+    """The integer in a VARIANT field (null if it holds none)."""
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+
+
 def is_text(value: Column) -> Column:
     """Whether a VARIANT field is a string, null or absent."""
     return value.isNull() | F.schema_of_variant(value).isin("STRING", "VOID")
