@@ -715,6 +715,26 @@ UNION ALL
 SELECT 'claude-code', 3, COUNT(DISTINCT CASE WHEN last > 0 THEN path END),
   COUNT(CASE WHEN first_ln * 2 > last AND model <> '' AND path <> least THEN 1 END), CAST(1 AS BIGINT)
 FROM cut"""
+    seen = """CASE WHEN first_ln * 3 <= last THEN 1 WHEN first_ln * 3 <= 2 * last THEN 2
+      WHEN user_id % 5 <> 0 OR first_ln * 10 > 9 * last THEN 3 END"""
+    grown = f"""{u},
+cut AS (
+  SELECT *, MAX(last_ln) OVER (PARTITION BY user_id) AS last FROM (
+    SELECT *, event_id * 10 AS first_ln,
+      event_id * 10 + CASE WHEN event_id % 31 = 0 THEN 8 WHEN event_id % 29 = 0 THEN 7 WHEN event_id % 23 = 0 THEN 6
+        WHEN event_id % 19 = 0 THEN 5 WHEN event_id % 13 = 0 THEN 4 WHEN event_id % 11 = 0 THEN 3
+        WHEN event_id % 5 = 0 THEN 2 WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS last_ln
+    FROM usage)
+)"""
+    out["growing_files_load"] = f"""{grown}
+SELECT 'claude-code' AS source, run, COUNT(CASE WHEN model <> '' AND run = {seen} THEN 1 END) AS new_events,
+  CAST(0 AS BIGINT) AS errors
+FROM cut, (SELECT unnest([1, 2, 3]) AS run) GROUP BY run"""
+    out["stream_growing_files"] = f"""SELECT d.* FROM (SELECT DISTINCT * FROM ({dec['decode_claude']})) d
+WHERE d.dedup_key NOT IN ({grown}
+  SELECT k FROM (
+    SELECT CASE WHEN event_id % 10 <> 0 AND event_id % 9 <> 0 THEN 'msg_' || event_id || ':req_' || event_id
+      WHEN event_id % 10 <> 0 THEN 'msg_' || event_id ELSE 'u' || event_id END AS k FROM cut WHERE ({seen}) IS NULL))"""
     out["price_list"] = f"""{u},
 {RATES_CTE.strip()}
 SELECT DISTINCT r.model, r.price_key, r.input_rate, r.output_rate, r.cache_read_rate, r.cache_write_rate,

@@ -31,7 +31,7 @@ from ledgerline.plans.sessions import (
 from ledgerline.schema import TOKEN_CLASSES, USAGE_COLUMNS
 from ledgerline.operators import load
 from ledgerline.plans import export
-from ledgerline.session import scratch_path
+from ledgerline.session import scratch_path, written
 from ledgerline.sampledata import tool_logs as fixtures
 from ledgerline.sources import antigravity, claude, codex, lines, listing, opencode
 from ledgerline.sources.eventlog import NOW, usage_table
@@ -601,6 +601,39 @@ def q_incremental_load(spark, sf_dir):
     return reduce(lambda a, b: a.unionByName(b), runs).select("source", "run", "files", "new_events", "errors")
 
 
+def _grown_logs(spark, sf_dir):
+    """Per-request logs that grow over three states, the first with a torn last line, the third with cut files."""
+    root = scratch_path(spark, "growing-claude")
+    raw = written(fixtures.claude_lines(_events(spark, sf_dir)), "growing-lines")
+    return f"{root}/logs/claude/projects", lambda part: fixtures.write_files(fixtures.grown(raw, part), root)
+
+
+def q_growing_files_load(spark, sf_dir):
+    """Load files to which bytes are appended, and of which some are cut: events that each load finds."""
+    from ledgerline.plans.ingest import load_logs
+
+    root, grow = _grown_logs(spark, sf_dir)
+    table, manifest = scratch_path(spark, "usage-load"), scratch_path(spark, "manifest")
+    runs = []
+    for run in (1, 2, 3):
+        grow(run)
+        summary, _ = load_logs(spark, {claude.SOURCE: root}, table, manifest, NOW)
+        runs.append(summary.withColumn("run", F.lit(run)))
+    return reduce(lambda a, b: a.unionByName(b), runs).select("source", "run", "new_events", "errors")
+
+
+def q_stream_growing_files(spark, sf_dir):
+    """The same files as a stream: a batch has the bytes appended since the one before."""
+    from ledgerline.streaming.growing import start_growing_ingest
+
+    root, grow = _grown_logs(spark, sf_dir)
+    table, ckpt = scratch_path(spark, "usage-growing"), scratch_path(spark, "ckpt-growing")
+    for run in (1, 2, 3):
+        grow(run)
+        start_growing_ingest(spark, root, claude.decode, table, ckpt, glob="*.jsonl", available_now=True).awaitTermination()
+    return spark.read.parquet(table).select(*USAGE_COLUMNS)
+
+
 def q_load_all_sources(spark, sf_dir):
     """All four tools in one load with cursors in the manifest: first run, unchanged second run, and the manifest's cursors."""
     from ledgerline.plans.ingest import latest_manifest, load_logs
@@ -701,5 +734,7 @@ def registry() -> dict[str, Query]:
         "stream_daily": q_stream_daily,
         "incremental_load": q_incremental_load,
         "load_all_sources": q_load_all_sources,
+        "growing_files_load": q_growing_files_load,
+        "stream_growing_files": q_stream_growing_files,
         "price_list": q_price_list,
     }

@@ -16,10 +16,13 @@ used only to build test blobs.
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.session import written
+from ledgerline.sources.byte_ranges import store_of
 from ledgerline.sources.eventlog import usage_from_events
 
 TS_TEXT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -305,3 +308,57 @@ def antigravity_tables(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     traj = per_db.select(db.alias("path"), F.lit(0).cast("bigint").alias("ord"),
                          encode_uri(F.concat(F.lit("file://"), F.col("project"))).alias("data"))
     return steps.unionByName(header), gen_meta, traj
+
+
+# ---------------------------------------------------------------- log files that grow
+
+# Bytes of a line that was not written to its end.
+TORN = 20
+
+
+def write_files(lines: DataFrame, root: str) -> DataFrame:
+    """Write (path, ln, line, torn) rows as files below ``root``, whole; a torn last line is its first bytes only.
+
+    Returns (path, size). A task that runs again writes the same bytes.
+    """
+    def write(batches):
+        name, out = None, None
+        for batch in batches:
+            for path, line, torn in zip(*[batch[c].to_pylist() for c in ("path", "line", "torn")]):
+                if path != name:
+                    if out is not None:
+                        out.close()
+                    store, target = store_of(f"{root}{path}")
+                    store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                    name, out = path, store.open_output_stream(target)
+                out.write(line.encode()[:TORN] if torn else line.encode() + b"\n")
+        if out is not None:
+            size = out.tell()
+            out.close()
+            yield pa.RecordBatch.from_pydict({"path": [name], "size": [size]})
+
+    ordered = lines.repartition("path").sortWithinPartitions("path", "ln").select("path", "line", "torn")
+    return written(ordered.mapInArrow(write, "path string, size long"), "grown-files")
+
+
+def grown(lines: DataFrame, part: int) -> DataFrame:
+    """The state of log files at the time ``part`` (1 to 3), as (path, ln, line, torn).
+
+    1: the lines up to a third of the last number, and the first bytes of the
+    next line; 2: those up to two thirds; 3: all lines, but files of every
+    fifth user were cut and hold the last tenth only.
+    """
+    last = lines.groupBy("path").agg(F.max("ln").alias("last"))
+    marked = lines.join(last, "path").withColumn("torn", F.lit(False))
+    ln, top = F.col("ln"), F.col("last")
+    if part == 1:
+        after = marked.where(ln * 3 > top)
+        following = after.groupBy("path").agg(F.min_by(F.struct("ln", "line"), "ln").alias("r")).select("path", "r.*")
+        kept = marked.where(ln * 3 <= top).select("path", "ln", "line", "torn").unionByName(
+            following.withColumn("torn", F.lit(True)))
+    elif part == 2:
+        kept = marked.where(ln * 3 <= top * 2)
+    else:
+        cut = F.regexp_extract("path", r"/u([0-9]+)\.jsonl$", 1).cast("bigint") % 5 == 0
+        kept = marked.where(~cut | (ln * 10 > top * 9))
+    return kept.select("path", "ln", "line", "torn")
