@@ -7,8 +7,8 @@ dimension, one array per dimension with its least and largest value, its rows
 in order of label. Anchors travel in blocks of about ``BLOCK_ANCHORS``.
 
 An anchor reads the dimensions of a block in descending order of its own
-components' magnitude, ``STEP`` at a time. After each step the dimensions not
-read yet can add at least and at most what their least and largest values
+components' magnitude, first a part of them, then ``STEP`` at a time. After each
+step the dimensions not read yet can add at least and at most what their least and largest values
 give; rows whose range of scores can't matter any more leave the candidate
 bitmap, and the others get the next dimensions. Two scans:
 
@@ -50,8 +50,8 @@ LOW, HIGH = 50, 95
 BLOCK_ROWS, BLOCK_ANCHORS = 2048, 256
 # Shuffle partitions of the block pairs: one per row block up to this many.
 MOST_TASKS = 20_000
-# Dimensions read between two looks at the bounds.
-STEP = 8
+# Dimensions read between two looks at the bounds; before the first look, this part of them: bounds of fewer rarely decide.
+STEP, AT_ONCE = 8, 0.6
 LARGEST = float(1 << 40)
 
 BLOCK = "block long, ids binary, labels binary, cells array<binary>"
@@ -139,15 +139,17 @@ def scan(anchor: np.ndarray, block: Block, rows: np.ndarray, keep: Callable) ->
     low, high = np.minimum(one, other)[order], np.maximum(one, other)[order]
     # What the dimensions from place m on can still add.
     low, high = (np.append(np.cumsum(x[::-1])[::-1], kind(0) if exact else 0) for x in (low, high))
-    scores = np.zeros(len(rows), kind)
-    for start in range(0, wide, STEP):
-        read = order[start:start + STEP]
-        scores = scores + weights[read] @ cells[np.ix_(read, rows)]
-        left = keep(scores + low[min(start + STEP, wide)], scores + high[min(start + STEP, wide)])
+    end = min(wide, max(STEP, int(AT_ONCE * wide)))
+    scores = (weights[order[:end]] @ cells[order[:end]])[rows] if wide else np.zeros(len(rows), kind)
+    while len(rows):
+        left = keep(scores + low[end], scores + high[end])
         if not left.all():
             rows, scores = rows[left], scores[left]
-        if not len(rows):
+        if end == wide or not len(rows):
             break
+        read = order[end:end + STEP]
+        end = min(end + STEP, wide)
+        scores = scores + weights[read] @ cells[np.ix_(read, rows)]
     if not exact and len(scores) and max(map(abs, scores)) >= 1 << 63:
         raise OverflowError("a score is too large for 64 bits")
     return rows, scores.astype(np.int64)
@@ -164,14 +166,22 @@ def best(k: int) -> Callable:
 
 def best_in_windows(windows: list[tuple[int, int]], k: int) -> Callable:
     """Rows that may be among the k best of the scores within one of the windows, bounds included."""
+    lowest = min((least for least, _ in windows), default=0)
+    highest = max((most for _, most in windows), default=-1)
+
     def keep(lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
-        left = np.zeros(len(lower), bool)
+        left = (upper >= lowest) & (lower <= highest)
+        if not windows or lower.max(initial=lowest - 1) < lowest:  # no row is surely inside a window yet
+            return left if windows else np.zeros(len(lower), bool)
+        at = np.flatnonzero(left)
+        lower, upper, wanted = lower[at], upper[at], np.zeros(len(at), bool)
         for least, most in windows:
             may = (upper >= least) & (lower <= most)
             inside = lower[(lower >= least) & (upper <= most)]
             if len(inside) >= k:
                 may &= upper >= np.partition(inside, len(inside) - k)[len(inside) - k]
-            left |= may
+            wanted |= may
+        left[at] = wanted
         return left
     return keep
 

@@ -67,7 +67,7 @@ def test_extra_columns_and_empty_tables(spark):
 
 
 def test_scores_beyond_doubles_stay_exact(spark):
-    rows = [(i, [float(2 ** 30 + 64 * i), 1.0 / 256 * (i + 1)], i % 2) for i in range(12)]
+    rows = [(i, [float(2 ** 20 + i), 1.0 / 256 * (i + 1)], i % 2) for i in range(12)]
     assert mined(spark, rows, 6) == expected(rows, 6)
 
 
