@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,14 +201,28 @@ _WORD_BYTES = bytes(
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule, bool]]:
-    """Detections (start, end, rule) in order of place, with whether each stays."""
-    stays: list[tuple[int, int]] = []
-    out = []
-    for start, end, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
-        inside = any(a <= start and end <= b for a, b in stays)
-        if not inside:
-            stays.append((start, end))
-        out.append((start, end, rule, not inside))
+    """Detections (start, end, rule) in order of place, with whether each stays.
+
+    A detection goes if one with a higher priority, or a longer one or an equal
+    one of an earlier label with the same priority, contains it. Containment is
+    transitive, so whether that one stays itself doesn't matter, and a sweep by
+    start with the largest end so far finds it: once per priority for its own
+    detections and once against all higher ones.
+    """
+    order = sorted(range(len(found)), key=lambda i: (found[i][0], -found[i][1], found[i][2].label))
+    start = np.array([found[i][0] for i in order], np.int64)
+    end = np.array([found[i][1] for i in order], np.int64)
+    priority = np.array([found[i][2].priority for i in order], np.int64)
+    stays = np.zeros(len(order), bool)
+    for level in np.unique(priority):
+        own = np.flatnonzero(priority == level)
+        before = np.concatenate([[-1], np.maximum.accumulate(end[own])[:-1]])
+        higher = np.flatnonzero(priority > level)
+        if len(higher):
+            reach = np.concatenate([[-1], np.maximum.accumulate(end[higher])])
+            before = np.maximum(before, reach[np.searchsorted(start[higher], start[own], "right")])
+        stays[own] = before < end[own]
+    out = [(*found[i], bool(kept)) for i, kept in zip(order, stays, strict=True)]
     return sorted(out, key=lambda d: (d[0], d[1], -d[2].priority, d[2].label))
 
 
@@ -223,11 +238,15 @@ class Scanner:
         text = b" " + b" ".join(words) + b" "
         found = [(m.start(), m.end(), rule) for keyword, rules in self.by_keyword.items() if keyword in text
                  for rule in rules for m in rule.pattern.finditer(text)]
+        # Places in words: blanks before a place in the text.
+        blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+        resolved = resolve(found)
+        first = np.searchsorted(blanks, [d[0] for d in resolved]) - 1
+        last = np.searchsorted(blanks, [d[1] for d in resolved])
         return len(words), [
             {"label": rule.label, "priority": rule.priority, "base": rule.base, "stays": stays,
-             "start": text.count(b" ", 0, start) - 1, "end": text.count(b" ", 0, end),
-             "matched": text[start:end].decode("utf-8", "replace")}
-            for start, end, rule, stays in resolve(found)]
+             "start": int(a), "end": int(b), "matched": text[start:end].decode("utf-8", "replace")}
+            for (start, end, rule, stays), a, b in zip(resolved, first, last, strict=True)]
 
 
 DETECTION = "struct<label:string,priority:int,base:boolean,stays:boolean,start:long,end:long,matched:string>"
