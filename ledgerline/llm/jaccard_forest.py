@@ -118,6 +118,14 @@ def _signer(batches):
     _hashes.clear()  # the worker goes on to other work
 
 
+def _digester(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        digests = [hashlib.sha256(b" ".join(raw.split())).digest() for raw in batch.column("raw").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column("raw")], names=["digest", "raw"])
+
+
 def expected_recall(similarity: float, depth: int, tries: int = TRIES) -> float:
     return 1 - (1 - similarity**depth) ** tries
 
@@ -186,10 +194,7 @@ def _verifier(threshold: float, depth: int):
         for trie, node, left, right, side, digest, sign, count, raw in zip(
                 *(table[c].to_pylist() for c in columns), strict=True):
             if digest not in known:
-                words = raw.split()
-                if hashlib.sha256(b" ".join(words)).digest() != digest:
-                    continue  # another text with the same doc_id
-                known[digest] = shingles(words)
+                known[digest] = shingles(raw.split())
             blocks.setdefault((trie, node, left, right), {})[digest] = (side, sign, count)
         out: list[tuple] = []
         for (trie, *_), members in sorted(blocks.items()):
@@ -247,7 +252,10 @@ def verified_links(docs: DataFrame, reps: DataFrame, threshold: float, depth: in
     wanted = checked_broadcast(rows.select(F.col("doc_id").alias("__id")).distinct())
     same = lambda a, b: a.eqNullSafe(b)
     texts = texts.join(wanted.withColumnRenamed("__id", "__w"), same(F.col("__id"), F.col("__w")), "left_semi")
-    full = rows.join(texts, same(F.col("doc_id"), F.col("__id"))).drop("__id", "doc_id")
+    # One text per digest: rows that repeat an id, or have none, would otherwise meet all blocks of each other.
+    texts = texts.select("raw").mapInArrow(_digester, "digest binary, raw binary")
+    texts = texts.groupBy("digest").agg(F.first("raw").alias("raw"))
+    full = rows.drop("doc_id").join(texts, "digest")
     made = full.groupBy("pack").applyInArrow(
         _verifier(threshold, depth), "digest binary, root binary, links long, pairs long, missed double")
     return written(made, "forest-links")

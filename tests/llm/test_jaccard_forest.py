@@ -115,3 +115,23 @@ def test_intersections_and_roots():
     for a, b in ((4, 2), (2, 1), (3, 0)):
         linked[a, b] = linked[b, a] = True
     assert j._roots(linked).tolist() == [0, 1, 1, 0, 1]
+
+
+def test_null_and_repeated_ids_meet_one_text_per_digest(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(None, text) for text in near_copies(rng, prose(3, 80), 40)]
+    rows += [(7, text) for text in near_copies(rng, prose(4, 80), 20)] * 3
+    met = []
+    whole = j.written
+
+    def watched(df, name):
+        out = whole(df, name)
+        if name == "forest-links":
+            met.append(out.count())
+        if name == "forest-blocks":
+            met.append(out.select("trie", "node", "left", "right", "digest").distinct().count() - out.count())
+        return out
+
+    monkeypatch.setattr(j, "written", watched)
+    assert joined(documents(spark, rows)) == brute_force(rows)
+    assert met[0] == 0  # a text is in a block once, whatever its ids
