@@ -1,10 +1,11 @@
-"""All dashboard panels from shared aggregates.
+"""All dashboard panels from one scan of the facts.
 
-The tool / model / project lines are three small reports over the window.
-The day lines are computed ONCE over the whole table (the summary card
-"all" needs every day), written to the shared checkpoint folder (one row
-per day), and serve the daily list, the 30-day trend, the streak statistics,
-the heatmap and the four summary cards - instead of one scan per panel.
+The events are reduced once to (tool, model, project, day) sums
+(``panels.usage_grain``, written to the shared folder); GROUPING SETS over
+these few rows give the lines of the tool, model, project and day panels, which
+are priced together. The day lines serve the daily list, the 30-day trend, the
+streak statistics, the heatmap and the four summary cards (the card "all"
+needs every day).
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.bounds import day_text, local_date
 from ledgerline.operators import calendar as cal
-from ledgerline.operators.aggregate import source_stats, window
 from ledgerline.plans import insights as ins
-from ledgerline.plans.report import COST_DIGITS, build_report, unpriced_models
+from ledgerline.plans import panels
+from ledgerline.plans.report import COST_DIGITS
 from ledgerline.session import written
 
 
@@ -26,8 +27,9 @@ def dashboard(usage: DataFrame, prices: DataFrame, now: datetime, since: datetim
               tool: str | None = None, tz: str = "UTC") -> dict[str, DataFrame]:
     """Panels by name. The streak begins with the first day of events (or ``since``, if that is earlier), but not
     before its usual window; ``tools`` lists the tools that have events, in order."""
-    u = window(usage, source=tool)
-    days = written(build_report(u, prices, by="day", tz=tz, digits=None), "dashboard-days")
+    grain = written(panels.usage_grain(usage, since, tz), "dashboard-grain")
+    lines = panels.panel_lines(grain if tool is None else grain.where(F.col("tool") == tool), prices)
+    days = written(panels.panel(lines, "day", digits=None), "dashboard-days")
     totals = days.select(F.col("key").alias("day"), "total")
     today = local_date(now, tz)
     earliest = days.agg(F.min("key")).first()[0]
@@ -37,15 +39,15 @@ def dashboard(usage: DataFrame, prices: DataFrame, now: datetime, since: datetim
         streak_days = max(1, min(streak_days, (today - start).days + 1))
     days_shown = days.withColumns({c: F.round(c, COST_DIGITS) for c in ("raw_cost", "cost")})
     return {
-        "tools": source_stats(usage).select("source").orderBy("source"),
-        "by_tool": build_report(u, prices, by="tool", since=since, tz=tz),
-        "by_model": build_report(u, prices, by="model", since=since, tz=tz),
-        "by_project": build_report(u, prices, by="project", since=since, tz=tz),
-        "unpriced": unpriced_models(u, prices, by="model", since=since, tz=tz),
+        "tools": grain.select(F.col("tool").alias("source")).distinct().orderBy("source"),
+        "by_tool": panels.panel(lines, "tool"),
+        "by_model": panels.panel(lines, "model"),
+        "by_project": panels.panel(lines, "project"),
+        "unpriced": panels.unpriced_of(lines),
         "daily": days_shown if since is None else days_shown.filter(F.col("key") >= F.lit(day_text(since, tz))),
         "trend": cal.trend(None, now, tz=tz, totals=totals),
         "streak": cal.streak_stats(None, now, tz=tz, totals=totals, days=streak_days),
         "heatmap": cal.heatmap_grid(None, now, tz=tz, totals=totals, days=streak_days),
         "cards": ins.summary_cards(None, None, now, tz=tz, days=days),
-        "insights": ins.insights(u, prices, since=since, tz=tz),
+        "insights": ins.insights(None, None, lines=lines),
     }

@@ -161,12 +161,19 @@ def daily_from(usage: DataFrame, prices: DataFrame, since: datetime, tz: str = "
     return build_report(usage, prices, by="day", since=first, tz=tz)
 
 
-def insights(usage: DataFrame, prices: DataFrame, since: datetime | None = None, tz: str = "UTC") -> DataFrame:
-    """Top tool by tokens and its share, unpriced model count, cache share."""
-    from ledgerline.plans.report import unpriced_models
+def insights(usage: DataFrame | None, prices: DataFrame | None, since: datetime | None = None, tz: str = "UTC",
+             lines: DataFrame | None = None) -> DataFrame:
+    """Top tool by tokens and its share, unpriced model count, cache share.
 
-    tools = build_report(usage, prices, by="tool", since=since, tz=tz, digits=None)
-    n_unpriced = unpriced_models(usage, prices, by="model", since=since, tz=tz).select(F.count(F.lit(1))).scalar()
+    ``lines``: priced lines of the tool and model panels (``panels.panel_lines``), if there are such already.
+    """
+    from ledgerline.plans import panels
+
+    if lines is None:
+        grain = panels.usage_grain(window(usage, since=since), tz=tz)
+        lines = panels.panel_lines(grain, prices, ("tool", "model"))
+    tools = panels.panel(lines, "tool", digits=None)
+    n_unpriced = panels.unpriced_of(lines).select(F.count(F.lit(1))).scalar()
     agg = tools.agg(
         F.min_by("key", F.struct(-F.col("total"), F.col("key"))).alias("top_tool"),
         F.max("total").alias("top_total"),

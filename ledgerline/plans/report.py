@@ -46,6 +46,16 @@ def _finish(lines: DataFrame, digits: int | None) -> DataFrame:
     )
 
 
+def finish_lines(rows: DataFrame, digits: int | None) -> DataFrame:
+    """Report lines of priced (key, model) rows."""
+    return _finish(rows.groupBy("key").agg(*_line_measures()), digits)
+
+
+def sort_lines(lines: DataFrame, by: str) -> DataFrame:
+    """Lines by key for ``by='day'``, else by total descending, then key."""
+    return lines.orderBy("key") if by == "day" else lines.orderBy(F.desc("total"), "key")
+
+
 def build_report(usage: DataFrame, prices: DataFrame, by: str = "tool", since: datetime | None = None,
                  until: datetime | None = None, source: str | None = None, tz: str = "UTC",
                  with_total: bool = False, digits: int | None = COST_DIGITS) -> DataFrame:
@@ -61,15 +71,9 @@ def build_report(usage: DataFrame, prices: DataFrame, by: str = "tool", since: d
         grouped = rows.rollup("key").agg(*_line_measures(), F.grouping_id().alias("_gid"))
         grouped = grouped.withColumn("key", F.when(F.col("_gid") == 1, F.lit(TOTAL_KEY)).otherwise(F.col("key")))
         out = _finish(grouped, digits).withColumn("_is_total", F.col("key") == F.lit(TOTAL_KEY))
-        order = ["_is_total"]
-    else:
-        out = _finish(rows.groupBy("key").agg(*_line_measures()), digits)
-        order = []
-    if by == "day":
-        out = out.orderBy(*order, "key")
-    else:
-        out = out.orderBy(*order, F.desc("total"), "key")
-    return out.drop("_is_total") if with_total else out
+        order = ["key"] if by == "day" else [F.desc("total"), "key"]
+        return out.orderBy("_is_total", *order).drop("_is_total")
+    return sort_lines(finish_lines(rows, digits), by)
 
 
 def unpriced_models(usage: DataFrame, prices: DataFrame, by: str = "tool", since: datetime | None = None,

@@ -201,6 +201,38 @@ def test_dashboard_panels_match_standalone_operators(spark):
     assert rows(panels["streak"]) == rows(cal.streak_stats(usage, NOW))
     assert rows(panels["heatmap"]) == rows(cal.heatmap_grid(usage, NOW))
     assert rows(panels["by_tool"]) == rows(build_report(usage, prices, by="tool"))
+    assert rows(panels["by_model"]) == rows(build_report(usage, prices, by="model"))
+    assert rows(panels["by_project"]) == rows(build_report(usage, prices, by="project"))
+    assert rows(panels["insights"]) == rows(ins.insights(usage, prices))
+    since = NOW - timedelta(days=9)
+    one = dashboard(usage, prices, NOW, since=since, tool="codex", tz="Asia/Kolkata")
+    want = lambda by: build_report(usage, prices, by=by, since=since, source="codex", tz="Asia/Kolkata")
+    for by in ("tool", "model", "project"):
+        assert [tuple(r) for r in one[f"by_{by}"].collect()] == [tuple(r) for r in want(by).collect()]
+    codex = usage.where("source = 'codex'")
+    assert rows(one["cards"]) == rows(ins.summary_cards(codex, prices, NOW, tz="Asia/Kolkata"))
+    assert rows(one["insights"]) == rows(ins.insights(codex, prices, since=since, tz="Asia/Kolkata"))
+
+
+def test_dashboard_and_insights_read_the_facts_once(spark):
+    from ledgerline.plans.dashboard import dashboard
+    from ledgerline.sources.eventlog import NOW, usage_table
+    from ledgerline.sources.prices import read_price_list
+
+    usage, prices = usage_table(spark, "/root/testdata/sf0.001"), read_price_list(spark)
+    n, read = usage.count(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    facts = usage.mapInArrow(counted, usage.schema)
+    ins.insights(facts, prices).collect()
+    assert read.value == n
+    for panel in dashboard(facts, prices, NOW).values():
+        panel.collect()
+    assert read.value == 2 * n
 
 
 def test_results_do_not_depend_on_the_session_time_zone(spark):
