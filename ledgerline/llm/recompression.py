@@ -54,10 +54,11 @@ from ledgerline.llm.common import text_of, written
 WINDOW = 13
 # Rounds of pairs after the round of runs.
 ROUNDS = 3
-# Words that are recompressed at once; bytes that are split into words at once.
-STRETCH, PIECE = 1 << 16, 1 << 20
-# Digests of texts that a task remembers, so as not to name the same text again and again; words whose hash it remembers.
-REMEMBERED, KNOWN_WORDS = 100_000, 400_000
+# Words that are recompressed at once; bytes of text that are hashed at once; bytes of texts that are held at once
+# (a longer text is held alone).
+STRETCH, PIECE, GROUP = 1 << 16, 1 << 17, 1 << 19
+# Digests of texts that a task remembers, so as not to name the same text again and again.
+REMEMBERED = 100_000
 
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -67,8 +68,8 @@ _SALTS = [np.uint64(s) for s in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8F
 NAMES = "name long, text_id long"
 COPIES = "doc_id long, digest binary, text_id long"
 TEXTS = "doc_id long, text binary, digest binary, n_words long"
-MARKED = "doc_id long, n_words long, n_removed long, kept_sha256 string, text binary, places array<int>"
-PRINTS = "print1 long, print2 long, doc_id long, row_id long, place int"
+MARKED = "doc_id long, n_words long, n_removed long, kept_sha256 string, text binary, places array<int>, " \
+         "print1 array<long>, print2 array<long>"
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -108,19 +109,23 @@ def _mixed(x: np.ndarray, salt: np.uint64) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15
 
 
-@lru_cache(maxsize=16)
-def _powers(base: int, n: int) -> np.ndarray:
-    """Powers of an odd base modulo 2^64."""
+@lru_cache(maxsize=None)
+def _all_powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base))
     out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
-def _sums(values: np.ndarray, base: int, n: int):
-    """Function (low, high) -> hashes of values[low:high], by prefix sums with powers of ``base``; at most ``n`` values."""
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of an odd base modulo 2^64."""
+    return _all_powers(base, 1 << 19)[:n] if n <= 1 << 19 else _all_powers.__wrapped__(base, n)
+
+
+def _sums(values: np.ndarray, base: int):
+    """Function (low, high) -> hashes of values[low:high], by prefix sums with powers of ``base``."""
     prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * _powers(base, n)[:len(values)], out=prefix[1:])
-    inverse = _powers(pow(base, -1, 1 << 64), n + 1)
+    np.cumsum(values * _powers(base, len(values)), out=prefix[1:])
+    inverse = _powers(pow(base, -1, 1 << 64), len(values) + 1)
     return lambda low, high: (prefix[high] - prefix[low]) * inverse[low]
 
 
@@ -132,29 +137,28 @@ _BYTES = [np.random.RandomState(seed).randint(0, 1 << 64, 256, np.uint64) for se
 LONG_WORD = 64
 
 
-def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes, shape (words, 2), of the words of some bytes."""
+def _hashed(data: bytes, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes, shape (words, hashes), of the words of some bytes."""
     flat = np.frombuffer(data, np.uint8)
     edge = np.flatnonzero(np.diff(_IS_WORD[flat], prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
-    room = 1 << max(16, (len(flat) + 1).bit_length())
-    out = np.empty((len(start), 2), np.uint64)
-    for i, base in enumerate((_BASE, 0xD1342543DE82EF95)):
-        out[:, i] = _mixed(_sums(_BYTES[i][flat], base, room)(start, end) + (end - start).astype(np.uint64), _SALTS[i])
+    out = np.empty((hashes, len(start)), np.uint64)
+    for i, base in zip(range(hashes), (_BASE, 0xD1342543DE82EF95), strict=False):
+        out[i] = _mixed(_sums(_BYTES[i][flat], base)(start, end) + (end - start).astype(np.uint64), _SALTS[i])
     for word in np.flatnonzero(end - start > LONG_WORD):
-        out[word] = np.frombuffer(xxhash.xxh3_128_digest(data[start[word]:end[word]]), "<u8")
-    return start, out
+        out[:, word] = np.frombuffer(xxhash.xxh3_128_digest(data[start[word]:end[word]]), "<u8")[:hashes]
+    return start, out.T
 
 
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """Two independent 64-bit hashes of each word of each text: shape (words, 2)."""
+def word_hashes(texts: list[bytes], hashes: int = 2) -> list[np.ndarray]:
+    """Independent 64-bit hashes (one or two) of each word of each text: shape (words, hashes)."""
     out: list[np.ndarray] = []
     group: list[bytes] = []
 
     def flush() -> None:
-        start, hashes = _hashed(b" ".join(group))
+        start, found = _hashed(b" ".join(group), hashes)
         ends = np.cumsum([len(t) + 1 for t in group])
-        out.extend(np.split(hashes, np.searchsorted(start, ends[:-1])))
+        out.extend(np.split(found, np.searchsorted(start, ends[:-1])))
         group.clear()
 
     held = 0
@@ -163,7 +167,7 @@ def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
             if group:
                 flush()
                 held = 0
-            out.append(np.concatenate([_hashed(piece)[1] for piece in pieces(text)]))
+            out.append(np.concatenate([_hashed(piece, hashes)[1] for piece in pieces(text)]))
             continue
         group.append(text)
         held += len(text)
@@ -179,7 +183,7 @@ def fingerprints(hashes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray,
     """Two 64-bit sums for the window that starts at each word."""
     out = []
     for column, base in ((0, 0x9FB21C651E98DF25), (1, 0xC2B2AE3D27D4EB4F)):
-        h, weights = hashes[:, column], _powers(base, window)
+        h, weights = np.ascontiguousarray(hashes[:, column]), _powers(base, window)
         total = np.zeros(max(0, len(h) - window + 1), np.uint64)
         for j in range(window):
             total += h[j:j + len(total)] * weights[j]
@@ -250,7 +254,7 @@ def chosen_names(hashes: np.ndarray, sizes: np.ndarray, starts: np.ndarray, wind
     end; ``starts``: the first words of the windows, each within one stretch.
     """
     n = len(hashes)
-    words = _sums(hashes, _BASE, 1 << max(16, n.bit_length()))
+    words = _sums(hashes, _BASE)
     rounds = [Symbols.of_words(hashes, sizes).runs()]
     for r in range(ROUNDS):
         rounds.append(rounds[-1].pairs(_SALTS[2 + r]))
@@ -335,60 +339,66 @@ def _texts(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Record
         yield pa.RecordBatch.from_pydict(columns)
 
 
+def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``GROUP`` bytes of text each, or one text."""
+    sizes = np.cumsum([len(text.as_buffer() or b"") for text in batch["text"]])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + GROUP, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The chosen symbols of each text, once per task and text."""
+    """The chosen symbols of each text; a text that comes again soon in the same task is left out."""
     seen: set[int] = set()
     for batch in batches:
-        ids, texts = [], []
-        for text in batch["text"]:
-            data = text.as_py()
-            n, digest = words_digest(data)
-            if n < WINDOW or (text_id := _id_of(digest)) in seen:
+        for group in _groups(batch):
+            ids, texts = [], []
+            for text in group["text"]:
+                data = text.as_py()
+                n, digest = words_digest(data)
+                if n < WINDOW or (text_id := _id_of(digest)) in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(text_id)
+                ids.append(text_id)
+                texts.append(data)
+            if not texts:
                 continue
-            if len(seen) >= REMEMBERED:
-                seen.clear()
-            seen.add(text_id)
-            ids.append(text_id)
-            texts.append(data)
-        names = [np.unique(x) for x in names_of_texts(word_hashes(texts))]
-        if names:
+            # Windows side by side mostly choose the same symbol.
+            names = [x[np.append(True, x[1:] != x[:-1])] for x in names_of_texts(word_hashes(texts, 1))]
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate(names)), pa.array(
                 np.repeat(np.array(ids, np.int64), [len(x) for x in names]))], names=["name", "text_id"])
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results of copies and of texts without a shared symbol; the others with the windows that chose one."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()),
+             pa.list_(pa.int64())]
+    columns = [c.split()[0] for c in MARKED.split(", ")]
     for batch in batches:
-        rows, texts, wanted = [], [], []
-        for doc_id, text, digest, n, first_id, names in zip(*[batch[c] for c in (
-                "doc_id", "text", "digest", "n_words", "first_id", "names")], strict=True):
-            doc_id, n, names = doc_id.as_py(), n.as_py(), names.values
-            if doc_id is not None and doc_id > first_id.as_py() and n >= WINDOW:
-                rows.append((doc_id, n, n, NOTHING, None, None))
-            elif doc_id is None or names is None or doc_id > first_id.as_py():
-                rows.append((doc_id, n, 0, digest.as_py().hex(), None, None))
-            else:
-                texts.append(text.as_py())
-                wanted.append(names.to_numpy().view(np.uint64))
-                rows.append((doc_id, n, None, None, texts[-1], len(texts) - 1))
-        chosen = [np.flatnonzero(np.isin(x, names)).astype(np.int32)
-                  for x, names in zip(names_of_texts(word_hashes(texts)), wanted, strict=True)]
-        rows = [(*row[:5], None if row[5] is None else chosen[row[5]]) for row in rows]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int32())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
-                                         names=[c.split()[0] for c in MARKED.split(", ")])
-
-
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The fingerprints of the windows at the ``places`` of each row."""
-    for batch in batches:
-        for doc_id, row_id, text, places in zip(*[batch[c] for c in ("doc_id", "row_id", "text", "places")], strict=True):
-            at = places.values.to_numpy()
-            one, two = (x[at] for x in fingerprints(word_hashes([text.as_py()])[0]))
-            yield pa.RecordBatch.from_arrays([
-                _signed(one), _signed(two), pa.array(np.full(len(at), doc_id.as_py(), np.int64)),
-                pa.array(np.full(len(at), row_id.as_py(), np.int64)), pa.array(at)],
-                names=[c.split()[0] for c in PRINTS.split(", ")])
+        for group in _groups(batch):
+            rows, texts, wanted = [], [], []
+            for doc_id, text, digest, n, first_id, names in zip(*[group[c] for c in (
+                    "doc_id", "text", "digest", "n_words", "first_id", "names")], strict=True):
+                doc_id, n, names = doc_id.as_py(), n.as_py(), names.values
+                if doc_id is not None and doc_id > first_id.as_py() and n >= WINDOW:
+                    rows.append((doc_id, n, n, NOTHING, None, None, None, None))
+                elif doc_id is None or names is None or doc_id > first_id.as_py():
+                    rows.append((doc_id, n, 0, digest.as_py().hex(), None, None, None, None))
+                else:
+                    texts.append(text.as_py())
+                    wanted.append((len(rows), names.to_numpy().view(np.uint64)))
+                    rows.append((doc_id, n))
+            hashes = word_hashes(texts)
+            for (row, names), text, words, chosen in zip(wanted, texts, hashes, names_of_texts(hashes), strict=True):
+                at = np.flatnonzero(np.isin(chosen, names)).astype(np.int32)
+                one, two = fingerprints(words)
+                rows[row] += (None, None, text, at, one[at].view(np.int64), two[at].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                             names=columns)
 
 
 def covered(places: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
@@ -419,7 +429,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def marked_windows(docs: DataFrame) -> DataFrame:
-    """One written row per document: MARKED plus ``row_id``; ``places`` are the windows to verify, where there are any."""
+    """One written row per document: MARKED plus ``row_id``; ``places`` and their fingerprints are the windows to verify."""
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text"))
     names = plain.where("doc_id IS NOT NULL").select("text").mapInArrow(_names, NAMES)
     # Round 1: the symbols of two different texts at least.
@@ -439,12 +449,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
     marked = marked_windows(docs)
     open_ = marked.where("text IS NOT NULL")
-    windows = open_.select("doc_id", "row_id", "text", "places").mapInArrow(_prints, PRINTS)
+    windows = open_.select("doc_id", "row_id", F.inline(F.arrays_zip("print1", "print2", F.col("places").alias("place"))))
     repeated = windows.groupBy("print1", "print2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     repeated = written(repeated.where("least < most").drop("most"), "recompression-repeats")
     # Round 3: back to the texts in which they go.
     gone = (windows.join(repeated, ["print1", "print2"]).where("doc_id > least")
             .groupBy("row_id").agg(F.collect_list("place").alias("places")))
-    left = open_.drop("places").join(gone, "row_id", "left").select("doc_id", "n_words", "text", "places")
+    left = open_.drop("places", "print1", "print2").join(gone, "row_id", "left").select("doc_id", "n_words", "text", "places")
     return left.mapInArrow(_without, REMOVED).unionByName(
         marked.where("text IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256"))
