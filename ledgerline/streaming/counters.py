@@ -1,58 +1,266 @@
-"""Cumulative-counter decoding on a stream of line chunks that may arrive in any order.
+"""Cumulative-counter decoding on a stream of lines that may arrive in any order, with per-file state.
 
 Input: a stream of (path, ln, line) rows, in which the lines of a growing log
-file arrive over many micro-batches, late and repeated ones included. An
-event's counters are differences to an earlier line of its file, so a late line
-changes the events after it. The state kept per file is therefore its marker
-lines (a table in the shared folder, one folder per micro-batch). Every
-micro-batch decodes the files that it touches anew, with the chunked batch
-decoder, and writes their events under its batch id; the current events of a
-file are those of the latest batch that touched it. Nothing is dropped for
-being late, the result is that of decoding each file whole, and a replayed
-micro-batch overwrites its own folders.
-
-A batch costs as much as the files it touches, spread over tasks by
-(file, chunk); shippers that close files after a day bound that.
+file arrive over many micro-batches, late and repeated ones included. Lines are
+parsed and typed on the JVM (``codex.marks``); the typed rows of a file meet its
+state in ``transformWithState``. The state of a file lies in the state store by
+chunks of ``CHUNK`` line numbers: the chunk's typed rows, and what the replay
+has carried into it (session, folder, model, previous counters, fallback
+number). A micro-batch reads the chunks that its lines fall into. Lines at the
+file's end cost the last chunk; a late line is put into its chunk, and the
+replay runs again from there, as it changes the events after it.
+
+Output: the events of replayed lines, and removals of those that are no events
+any more, written under the batch id to the events folder; the current event
+of a line is that of its latest batch. A replayed micro-batch overwrites its own
+folder and starts from the state of the batch before (the state store is
+versioned with the checkpoint). ``compact`` merges the folders of old batches
+into one generation, so that reads don't grow with the number of batches.
+
+A file's lines of one batch are replayed by one task, as they are in order; the
+batch decoder cuts a file into chunks that run in parallel, for bulk loads.
 """
 
 from __future__ import annotations
 
+import io
+import json
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, replace
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from ledgerline.operators.joins import checked_broadcast
-from ledgerline.schema import USAGE_COLUMNS
+from ledgerline.functions.timecols import rfc3339_to_ntz
+from ledgerline.schema import USAGE, USAGE_COLUMNS
 from ledgerline.sources import codex
+from ledgerline.streaming.generations import compact_folder, read_generations
 
-LINES = "path string, ln long, line string"
 EVENTS = [*USAGE_COLUMNS, "path", "ln"]
+CHUNK = 8192
+COUNTERS = ["input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens"]
+TOTAL = COUNTERS.index("total_tokens")
+
+_USAGE = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in USAGE.fields)
+CHANGES = f"path string, ln long, live boolean, {_USAGE}"
+STORED = f"{CHANGES}, batch long"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@dataclass(frozen=True)
+class Carry:
+    """What earlier lines of a file mean to the next one."""
+
+    sid: str = ""
+    cwd: str = ""
+    model: str = ""
+    prior: tuple[int, ...] | None = None  # counters of the segment so far
+    fallbacks: int = 0
+
+
+def _difference(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """a - b, and where it fits 64 bits."""
+    d = a - b
+    return d, ((a ^ b) & (a ^ d)) >= 0
+
+
+def _filled(values: pd.Series, start: str) -> pd.Series:
+    """Each row's last non-empty value so far."""
+    values = values.astype("string")
+    return values.where(values != "").ffill().fillna(start).astype(object)
+
+
+def replay(rows: pd.DataFrame, carry: Carry, file_session: str) -> tuple[pd.DataFrame, Carry]:
+    """Events of a file's typed lines in order (a row per counter line, ``live`` if it is an event), and the next carry."""
+    n = len(rows)
+    at = np.arange(n)
+    sid, cwd, model = (_filled(rows[c], start) for c, start in (
+        ("meta_id", carry.sid), ("meta_cwd", carry.cwd), ("turn_model", carry.model)))
+    segment = rows["is_meta"].to_numpy(bool).cumsum()
+    has = rows["has_cur"].to_numpy(bool)
+    cur = np.stack(rows["cur"].to_list()).astype(np.int64) if n else np.zeros((0, 5), np.int64)
+    last = np.stack(rows["last"].to_list()).astype(np.int64) if n else np.zeros((0, 5), np.int64)
+    # Counters before each line: those of the last line that has them, if no session line stands between; the
+    # carried ones come before all lines, in segment 0.
+    before = np.concatenate([[-1], np.maximum.accumulate(np.where(has, at, -1))[:-1]]) if n else at
+    known = np.where(before >= 0, segment[before] == segment, (segment == 0) & (carry.prior is not None))
+    start = np.array(carry.prior or [0] * 5, np.int64)
+    prior = np.where(known[:, None], np.where((before >= 0)[:, None], cur[before], start), 0)
+    fell = cur[:, TOTAL] < prior[:, TOTAL]
+    base = np.where((known & ~fell)[:, None], prior, 0)
+    delta, fits = _difference(cur, base)
+    from_last = ~has & rows["has_last"].to_numpy(bool)
+    delta = np.where(has[:, None], delta, last)
+    fits = np.where(has[:, None], fits, True)
+    added = prior[:, TOTAL] + last[:, TOTAL]
+    cumulative = np.where(has, cur[:, TOTAL], added)
+    summed = has | (((prior[:, TOTAL] ^ added) & (last[:, TOTAL] ^ added)) >= 0)
+    live = (rows["is_tok"].to_numpy(bool) & (has | from_last) & fits[:, TOTAL] & (delta[:, TOTAL] > 0)
+            & rows["ts"].notna().to_numpy() & (model != "").to_numpy())
+    number = carry.fallbacks + np.cumsum(live & from_last)
+    events = pd.DataFrame({"ln": rows["ln"], "live": live, "ts": rows["ts"], "model": model, "project": cwd,
+                           "session_id": sid.where(sid != "", file_session)})
+    events["dedup_key"] = [":".join([s, t, *([str(c)] if ok else []), *([str(k - 1)] if f else [])]) for s, t, c, ok, f, k in zip(
+        events["session_id"], rows["timestamp"].fillna(""), cumulative.tolist(), summed.tolist(), from_last.tolist(),
+        number.tolist(), strict=True)]
+
+    def tokens(name: str, less: str | None = None) -> np.ndarray:
+        """A delta, or the difference of two; what is negative or beyond 64 bits counts as 0."""
+        i = COUNTERS.index(name)
+        value, ok = delta[:, i], fits[:, i]
+        if less is not None:
+            j = COUNTERS.index(less)
+            value, small = _difference(value, delta[:, j])
+            ok = ok & fits[:, j] & small
+        return np.where(ok, np.maximum(value, 0), 0)
+
+    events["input"] = tokens("input_tokens", "cached_input_tokens")
+    events["output"] = tokens("output_tokens", "reasoning_output_tokens")
+    events["cache_read"] = tokens("cached_input_tokens")
+    events["cache_write"] = np.int64(0)
+    events["reasoning"] = tokens("reasoning_output_tokens")
+    if n:
+        final = np.flatnonzero(has)
+        if len(final) and segment[final[-1]] == segment[-1]:
+            after = tuple(cur[final[-1]].tolist())
+        else:
+            after = carry.prior if not len(final) and segment[-1] == 0 else None
+        carry = replace(carry, sid=sid.iloc[-1], cwd=cwd.iloc[-1], model=model.iloc[-1], prior=after,
+                        fallbacks=int(number[-1]))
+    return events[rows["is_tok"].to_numpy(bool)], carry
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    out = io.BytesIO()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return out.getvalue()
+
 
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
 
-def decode_batch(batch: DataFrame, batch_id: int, state: str) -> None:
-    """Add a micro-batch's lines to the state folder and decode the files that it touches."""
-    spark = batch.sparkSession
-    marked = batch.filter(F.greatest(*[F.col("line").contains(m) for m in codex.MARKERS]))
-    marked.select("path", "ln", "line").write.mode("overwrite").parquet(f"{state}/lines/batch={batch_id}")
-    touched = spark.read.parquet(f"{state}/lines/batch={batch_id}").select("path").distinct()
-    touched.write.mode("overwrite").parquet(f"{state}/touched/batch={batch_id}")
-    touched = checked_broadcast(spark.read.parquet(f"{state}/touched/batch={batch_id}"))
-    known = (spark.read.schema(f"{LINES}, batch long").parquet(f"{state}/lines")
-             .where(F.col("batch") <= batch_id).join(touched, "path", "left_semi"))
-    lines = known.groupBy("path", "ln").agg(F.min("line").alias("line"))  # delivered again: the same line
-    codex.decode(lines).select(*EVENTS).write.mode("overwrite").parquet(f"{state}/events/batch={batch_id}")
+
+def _carry_of(text: str) -> Carry:
+    found = json.loads(text)
+    return Carry(**{**found, "prior": None if found["prior"] is None else tuple(found["prior"])})
+
+
+class CounterProcessor(StatefulProcessor):
+    """State of a file: chunk number -> (carry into the chunk, its rows), and the carry after the last chunk."""
+
+    def init(self, handle) -> None:
+        self.chunks = handle.getMapState("chunks", "chunk long", "carry string, rows binary")
+        self.after = handle.getValueState("after", "last_chunk long, carry string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        path = key[0]
+        new = pd.concat(list(rows), ignore_index=True).drop(columns="path").drop_duplicates("ln")
+        new["chunk"] = new["ln"] // CHUNK
+        todo = {int(c): part.drop(columns="chunk") for c, part in new.groupby("chunk")}
+        last_chunk, carry = -1, Carry()
+        if self.after.exists():
+            last_chunk, text = self.after.get()
+            carry = _carry_of(text)
+        first = min(todo)
+        stored = []
+        if first <= last_chunk:
+            stored = sorted(c for (c,) in self.chunks.keys() if c >= first)
+        changes, session = [], self._session(path)
+        changed_from, started = None, False
+        for chunk in sorted({*todo, *stored}):
+            known = self.chunks.getValue((chunk,)) if chunk in stored else None
+            old = _unpacked(known[1]) if known is not None else None
+            if known is not None and not started:
+                carry = _carry_of(known[0])
+            elif not started and chunk < last_chunk:
+                # A late chunk between stored ones: it begins with what is carried into the next one.
+                carry = _carry_of(self.chunks.getValue((min(c for c in stored if c > chunk),))[0])
+            started, into = True, carry
+            part = todo.get(chunk)
+            if old is not None and part is not None:
+                part = part[~part["ln"].isin(old["ln"])]
+            if part is not None and len(part):
+                whole = (part if old is None else pd.concat([old, part])).sort_values("ln", ignore_index=True)
+                if changed_from is None:
+                    changed_from = int(part["ln"].min())
+            else:
+                whole = old
+            if changed_from is None and not any(c > chunk for c in todo):
+                return  # nothing but lines that are known already
+            events, carry = replay(whole, carry, session)
+            carried = json.dumps(asdict(into))
+            if whole is not old or known[0] != carried:
+                self.chunks.updateValue((chunk,), (carried, _packed(whole)))
+            if changed_from is not None:
+                changes.append(events[events["ln"] >= changed_from])
+        self.after.update((max(last_chunk, max(todo)), json.dumps(asdict(carry))))
+        if changes:
+            yield self._output(path, pd.concat(changes, ignore_index=True))
+
+    @staticmethod
+    def _session(path: str) -> str:
+        name = path.rsplit("/", 1)[-1]
+        name = name.removesuffix(".jsonl")
+        return name[-36:] if len(name) >= 36 else name
+
+    @staticmethod
+    def _output(path: str, events: pd.DataFrame) -> pd.DataFrame:
+        events["path"], events["source"], events["raw_cost"] = path, codex.SOURCE, np.nan
+        out = events[["path", "ln", "live", *USAGE_COLUMNS]]
+        gone = ~out["live"]
+        text = ["model", "session_id", "project", "source", "dedup_key"]
+        out.loc[gone, text] = ""
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def typed(lines: DataFrame) -> DataFrame:
+    """(path, ln, ...) rows of ``codex.marks`` in the shape that the state holds."""
+    counters = lambda c: F.array(*[F.coalesce(F.col(f"{c}.{f}"), F.lit(0).cast("long")) for f in COUNTERS])
+    return codex.marks(lines).select(
+        "path", "ln", "timestamp", rfc3339_to_ntz(F.col("timestamp")).alias("ts"), "is_tok", "is_meta", "meta_id", "meta_cwd",
+        "turn_model", F.col("cur").isNotNull().alias("has_cur"), counters("cur").alias("cur"),
+        F.col("last").isNotNull().alias("has_last"), counters("last").alias("last")).where(
+        "is_tok OR is_meta OR turn_model IS NOT NULL")
+
+
+def changes_of(lines: DataFrame) -> DataFrame:
+    """The stream of changed events (CHANGES) of a stream of (path, ln, line) rows."""
+    return typed(lines).groupBy("path").transformWithStateInPandas(
+        CounterProcessor(), CHANGES, outputMode="Update", timeMode="None")
 
 
 def start_decode(lines: DataFrame, state: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Run ``decode_batch`` for every micro-batch of a stream of (path, ln, line) rows."""
-    writer = lines.writeStream.foreachBatch(lambda batch, batch_id: decode_batch(batch, batch_id, state)).option(
-        "checkpointLocation", checkpoint)
+    """Write the changed events of every micro-batch of a stream of (path, ln, line) rows to ``state``."""
+    spark = lines.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+
+    writer = changes_of(lines).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
 
 
+def _latest(changes: DataFrame) -> DataFrame:
+    rest = [c for c in changes.columns if c not in ("path", "ln")]
+    return changes.groupBy("path", "ln").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("path", "ln", "r.*")
+
+
 def current_events(spark: SparkSession, state: str) -> DataFrame:
-    """The events of every file as of the latest batch that touched it (USAGE columns plus path, ln)."""
-    touched = spark.read.schema("path string, batch long").parquet(f"{state}/touched")
-    latest = touched.groupBy("path").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{state}/events").join(latest, ["path", "batch"], "left_semi").select(*EVENTS)
+    """The events of every file (USAGE columns plus path, ln): of each line, the latest batch counts."""
+    return _latest(read_generations(spark, state, STORED)).where("live").select(*EVENTS)
+
+
+def compact(spark: SparkSession, state: str) -> int | None:
+    """Merge all batches so far into one generation without superseded rows; returns its last batch."""
+    return compact_folder(spark, state, STORED, lambda changes: _latest(changes).where("live"))

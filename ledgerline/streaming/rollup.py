@@ -1,7 +1,9 @@
 """Streaming daily rollup of usage that accepts data of any lateness.
 
 Every micro-batch is reduced to its own sums per (day, tool) and written under
-its batch id; the current rollup adds these partial sums up. There is no
+its batch id; the current rollup adds these partial sums up, and ``compact``
+merges them into one generation now and then, so that a read doesn't grow with
+the number of batches. There is no
 watermark, so no late event is lost, and no state in memory. A replayed
 micro-batch overwrites its own folder (exactly-once effect).
 """
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.schema import USAGE
+from ledgerline.streaming.generations import compact_folder, read_generations
 
-SUMS = "day date, source string, total long, events long"
+SUMS = "day date, source string, total long, events long, batch long"
 
 
 def usage_stream(spark: SparkSession, landing: str) -> DataFrame:
@@ -37,8 +40,17 @@ def start_daily(spark: SparkSession, landing: str, sums_path: str, checkpoint: s
     return writer.start()
 
 
+def _added(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("day", "source").agg(F.sum("total").alias("total"), F.sum("events").alias("events"),
+                                             F.max("batch").alias("batch"))
+
+
 def current_rollup(spark: SparkSession, sums_path: str) -> DataFrame:
     """The sums over all batches so far."""
-    sums = spark.read.schema(SUMS).parquet(sums_path)
-    return sums.groupBy("day", "source").agg(F.sum("total").alias("total"), F.sum("events").alias("events")).select(
+    return _added(read_generations(spark, sums_path, SUMS)).select(
         F.date_format("day", "yyyy-MM-dd").alias("day"), "source", "total", "events")
+
+
+def compact(spark: SparkSession, sums_path: str) -> int | None:
+    """Merge the sums of all batches so far into one generation; returns its last batch."""
+    return compact_folder(spark, sums_path, SUMS, _added)
