@@ -95,7 +95,3 @@ def duration_text(seconds: Column | str) -> Column:
         .otherwise(F.format_string("%dh%dm%ds", h, m, sec))
     )
 
-
-def period_text(since: Column | str) -> Column:
-    """'all-time' for no bound, else the bound's date."""
-    return F.coalesce(F.date_format(_c(since), "yyyy-MM-dd"), F.lit("all-time"))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OPTIONS = {
+OPTIONS = {
     "mode": "PERMISSIVE",
     "columnNameOfCorruptRecord": "_corrupt_record",
     "allowSingleQuotes": "false",
@@ -29,7 +29,7 @@ def parse_line(line: Column, fields: str) -> Column:
     """Struct with ``object`` (the line's object, null unless the line is exactly one that fits ``fields``)."""
     text = F.trim(line, F.lit(" \t\r\n"))
     wrapped = F.when(text.startswith("{") & text.endswith("}"), F.concat(F.lit('{"r":['), text, F.lit("]}")))
-    return F.from_json(wrapped, f"r array<struct<{fields}>>, _corrupt_record string", _OPTIONS)
+    return F.from_json(wrapped, f"r array<struct<{fields}>>, _corrupt_record string", OPTIONS)
 
 
 def object_of(parsed: Column) -> Column:

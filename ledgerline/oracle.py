@@ -322,6 +322,17 @@ SELECT session_id, source, project, models, input, output, cache_read, cache_wri
   strftime(first_ts, '%Y-%m-%dT%H:%M:%SZ') AS first_ts, strftime(last_ts, '%Y-%m-%dT%H:%M:%SZ') AS last_ts,
   CAST(duration_s * 1000000000 AS BIGINT) AS duration
 FROM sess"""
+    out["sessions_order"] = f"""{session_rows_cte()}
+SELECT session_id, source, ROW_NUMBER() OVER (ORDER BY last_ts DESC, session_id, source) AS place FROM sess"""
+    out["dashboard_tools"] = f"""WITH {USAGE_CTE.strip()}
+SELECT source, ROW_NUMBER() OVER (ORDER BY source) AS place FROM (SELECT DISTINCT source FROM usage)"""
+    out["dashboard_lines"] = " UNION ALL ".join(
+        f"SELECT *, '{by}' AS panel FROM ({report_sql(by, 'TRUE' if by == 'day' else f'ts >= {w7}')})"
+        for by in ("tool", "model", "project", "day"))
+    out["export_json"] = f"""{lines_cte("model")}
+SELECT key, input, output, cache_read, cache_write, reasoning, total, events, NULLIF(raw_cost, 0.0) AS raw_cost, cost,
+  NULLIF(unpriced_events, 0) AS unpriced_events
+FROM lines"""
     out["session_unpriced"] = f"""{session_rows_cte()}
 SELECT DISTINCT model FROM pr WHERE NOT priced AND est_events > 0"""
     for key, by, order in (("tool", "tool", "total DESC, key"), ("day", "day", "key"),
@@ -452,7 +463,7 @@ SELECT (SELECT key FROM lines ORDER BY total DESC, key LIMIT 1) AS top_by_tokens
     out["tool_status"] = f"""WITH {USAGE_CTE.strip()},
 known(tool) AS (VALUES ('antigravity'), ('claude-code'), ('codex'), ('opencode')),
 st AS (SELECT source, COUNT(*) AS events, MIN(ts) AS first_ts, MAX(ts) AS last_ts FROM usage GROUP BY source)
-SELECT k.tool, COALESCE(st.events, 0) > 0 AS detected, CAST(COALESCE(st.events, 0) AS BIGINT) AS events,
+SELECT k.tool, k.tool = 'claude-code' AS detected, CAST(COALESCE(st.events, 0) AS BIGINT) AS events,
        st.first_ts, st.last_ts
 FROM known k LEFT JOIN st ON k.tool = st.source"""
     out["trend_30d"] = f"""WITH {USAGE_CTE.strip()},

@@ -23,6 +23,7 @@ from ledgerline.functions.names import model_candidates, normalize_model
 from ledgerline.operators import aggregate as agg
 from ledgerline.operators import calendar as cal
 from ledgerline.operators.joins import checked_broadcast
+from ledgerline.operators.places import with_places
 from ledgerline.operators.pricing import attach_rates, norm_index, price_rows, resolve_models
 from ledgerline.plans import insights as ins
 from ledgerline.plans.report import build_report, report_by_cost, unpriced_models
@@ -226,7 +227,41 @@ def q_top_models(spark, sf_dir):
 
 
 def q_tool_status(spark, sf_dir):
-    return ins.tool_status(usage_table(spark, sf_dir))
+    """Tools as discovery finds them: one has log files, one an empty file only, two have no folder."""
+    roots = {n: scratch_path(spark, f"status-{n}") for n in (claude.SOURCE, codex.SOURCE)}
+    _land_lines(fixtures.claude_lines(_events(spark, sf_dir)), roots[claude.SOURCE])
+    nothing = spark.createDataFrame([("/empty.jsonl", 0, "", True)], "path string, ln long, line string, torn boolean")
+    fixtures.write_files(nothing, roots[codex.SOURCE])
+    found = listing.list_files(spark, roots[claude.SOURCE], "*.txt", source=claude.SOURCE).unionByName(
+        listing.list_files(spark, roots[codex.SOURCE], "*.jsonl", source=codex.SOURCE))
+    return ins.tool_status(usage_table(spark, sf_dir), found=listing.detect(found))
+
+
+def q_sessions_order(spark, sf_dir):
+    """The session listing's order: newest first, then by id and tool."""
+    usage, prices = _inputs(spark, sf_dir)
+    placed = with_places(build_sessions(usage, prices).select("session_id", "source", "last_ts"),
+                         [F.desc("last_ts"), F.asc("session_id"), F.asc("source")])
+    return placed.select("session_id", "source", F.col("place").cast("long").alias("place"))
+
+
+def q_dashboard_tools(spark, sf_dir):
+    """The dashboard's list of tools with their places, as its rows come (few rows)."""
+    from ledgerline.plans.dashboard import dashboard
+
+    usage, prices = _inputs(spark, sf_dir)
+    rows = dashboard(usage, prices, NOW)["tools"].select("source", F.monotonically_increasing_id().alias("at"))
+    return rows.select("source", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+
+
+def q_dashboard_lines(spark, sf_dir):
+    """The lines of the dashboard's tool, model, project and day panels, out of one scan."""
+    from ledgerline.plans import panels
+
+    usage, prices = _inputs(spark, sf_dir)
+    lines = panels.panel_lines(panels.usage_grain(usage, WINDOW_SINCE), prices)
+    found = [panels.panel(lines, name).withColumn("panel", F.lit(name)) for name in panels.PANELS]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def q_daily_from(spark, sf_dir):
@@ -471,10 +506,12 @@ def q_export_csv(spark, sf_dir):
 
 
 def q_export_json(spark, sf_dir):
+    """The report's JSON, written out and read back into typed columns."""
     usage, prices = _inputs(spark, sf_dir)
     out = scratch_path(spark, "report-json")
     export.write_json(build_report(usage, prices, by="model"), out)
-    return spark.read.text(out)
+    counts = ", ".join(f"{c} long" for c in [*TOKEN_CLASSES, "total", "events"])
+    return spark.read.schema(f"key string, {counts}, raw_cost double, cost double, unpriced_events long").json(out)
 
 
 def q_tail_lines(spark, sf_dir):
@@ -700,6 +737,9 @@ def registry() -> dict[str, Query]:
         "budget_check": q_budget_check,
         "top_models": q_top_models,
         "tool_status": q_tool_status,
+        "sessions_order": q_sessions_order,
+        "dashboard_tools": q_dashboard_tools,
+        "dashboard_lines": q_dashboard_lines,
         "daily_from": q_daily_from,
         "trend_30d": q_trend_30d,
         "streak_days": q_streak_days,

@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.functions.strict_json import OPTIONS
 from ledgerline.schema import PRICE_ENTRY_FIELDS, RATE_COLUMNS
 from ledgerline.session import cached_handle
 
@@ -32,14 +33,12 @@ def parse_price_documents(docs: DataFrame, column: str = "value") -> DataFrame:
     """Price rows from a DataFrame whose ``column`` holds whole JSON documents."""
     # A key that a document repeats counts once, with its last body.
     entries = docs.select(
-        F.posexplode(F.from_json(F.col(column), "map<string,string>")).alias("pos", "key", "body")
+        F.posexplode(F.from_json(F.col(column), "map<string,string>", {k: v for k, v in OPTIONS.items() if k.startswith("allow")})).alias("pos", "key", "body")
     ).filter(F.col("key") != F.lit("sample_spec"))
     entries = entries.groupBy("key").agg(F.max_by("body", "pos").alias("body"))
     decoded = entries.select(
         "key",
-        F.from_json(
-            "body", _ENTRY_DDL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-        ).alias("p"),
+        F.from_json("body", _ENTRY_DDL, OPTIONS).alias("p"),
     )
     rates = [F.coalesce(F.col(f"p.{src}"), F.lit(0.0)).alias(dst) for src, dst in PRICE_ENTRY_FIELDS.items()]
     # A JSON null entry decodes to all-zero rates and falls to the filter below.

@@ -146,15 +146,14 @@ def growing_lines(spark: SparkSession, root: str, glob: str = "*", **options) ->
 
 
 def start_growing_ingest(spark: SparkSession, root: str, decoder, table_path: str, checkpoint: str, glob: str = "*",
-                         available_now: bool = False, interval: str = "30 seconds", key_horizon_days: int | None = None,
-                         **options) -> StreamingQuery:
+                         available_now: bool = False, interval: str = "30 seconds", **options) -> StreamingQuery:
     """Decode appended lines and load their events; lines read again insert nothing.
 
     ``available_now``: one batch of what there is, then stop (a data source in
     Python has no admission control, so Spark runs it as one batch).
     """
     def load_batch(batch: DataFrame, batch_id: int) -> None:
-        insert_events(batch.sparkSession, decoder(batch), table_path, key_horizon_days=key_horizon_days)
+        insert_events(batch.sparkSession, decoder(batch), table_path, key_index=True)
 
     writer = growing_lines(spark, root, glob, **options).writeStream.foreachBatch(load_batch).option(
         "checkpointLocation", checkpoint)

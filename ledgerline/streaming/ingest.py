@@ -2,7 +2,8 @@
 
 ``start_ingest``: a file stream over a landing directory of immutable JSONL
 files -> per micro-batch (``foreachBatch``) line numbering, decoding and the
-idempotent load (first-wins + anti join + append). A replayed micro-batch
+idempotent load (first-wins + anti join + append; stored keys are looked up in
+the table's key index, not in its key columns). A replayed micro-batch
 finds its keys already loaded and inserts nothing, so the at-least-once
 ``foreachBatch`` contract gives exactly-once rows. ``trigger='30 seconds'``
 polls like a watcher; ``available_now=True`` is the one-shot scan.
@@ -54,7 +55,7 @@ def start_ingest(spark: SparkSession, landing: str, decoder: Decoder, table_path
                  glob: str = "*", available_now: bool = False, interval: str = "30 seconds",
                  files_per_trigger: int | None = None) -> StreamingQuery:
     def load_batch(batch: DataFrame, epoch_id: int) -> None:
-        insert_events(batch.sparkSession, decoder(number_lines(batch)), table_path)
+        insert_events(batch.sparkSession, decoder(number_lines(batch)), table_path, key_index=True)
 
     writer = line_stream(spark, landing, glob, files_per_trigger).writeStream.foreachBatch(load_batch).option(
         "checkpointLocation", checkpoint)
