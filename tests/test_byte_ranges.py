@@ -197,3 +197,17 @@ def test_each_batch_has_only_new_lines(spark, scratch):
             "checkpointLocation", f"{scratch}/ckpt").trigger(availableNow=True).start()
         query.awaitTermination()
     assert seen == [["n0", "n1", "n2"], ["n3"], ["n4"]]
+
+
+def test_listing_by_depth_runs_on_the_executors(spark, scratch):
+    from ledgerline.sources import listing
+
+    for name in ("a.jsonl", "p/b.jsonl", "p/c.txt", "q r/d.jsonl", "q r/.hidden.jsonl", "_tmp/e.jsonl", "p/deep/f.jsonl"):
+        put(f"{scratch}/root/{name}", b"x" * len(name))
+    found = listing.list_files(spark, f"{scratch}/root", "*.jsonl", source="s", depth=2)
+    assert sorted((r.path.rsplit("/root/", 1)[1], r.source, r.size) for r in found.collect()) == [
+        ("p/b.jsonl", "s", 9), ("q r/d.jsonl", "s", 11)]
+    whole = {r.path: (r.size, r.mtime) for r in listing.list_files(spark, f"{scratch}/root", "*.jsonl").collect()}
+    assert all(whole[r.path] == (r.size, r.mtime) for r in found.collect())
+    assert [r.path.rsplit("/", 1)[1] for r in listing.list_files(spark, f"{scratch}/root", "*", depth=1).collect()] == ["a.jsonl"]
+    assert listing.list_files(spark, f"{scratch}/none", "*", depth=3).collect() == []
