@@ -1,10 +1,14 @@
 """Secret detection: broad candidates, then a random forest that removes the false positives.
 
-Candidates, anywhere in a text, are runs of at least ``LEAST_LENGTH`` characters of ``[A-Za-z0-9+/_-]`` with a digit or
-with capitals among small letters in them, what has a known key format, and what is assigned to a name like
-password, of any length and with any signs (to the closing quote, or to white space). Spans that two of these give
-count once. Runs without digits that are all small or all capital letters, in no key format and assigned to no such name, are
-no candidates. The features of a candidate are its length and make-up, how often
+Candidates, anywhere in a text, are
+
+* runs of at least ``LEAST_LENGTH`` characters of ``[A-Za-z0-9+/_-]`` with a digit or with capitals among small letters;
+* such runs without either, if their letters cost ``UNLIKELY`` or more under the corpus's character model;
+* what has a known key format, or a prefix like name_pat_ or name_live_;
+* the password in an address (``://user:password@``), and a private key block as a whole, in place of its lines;
+* what is assigned to a name like password, of any length and with any signs (to the closing quote, or to white space).
+
+Spans that two of these give count once. The features of a candidate are its length and make-up, how often
 its characters change class, the mean cost of its letters' transitions under a
 character model of the corpus, the share of it that dictionary words cover, the
 path (source) that the text comes from, and the words and signs around it. A
@@ -17,8 +21,11 @@ table of labels is given, ``label_findings`` labels the sure cases by rule: know
 key formats and values assigned to a name like api_key are secrets; card-like
 numbers, parts of addresses, checksums called so and readable compounds are
 not; all others stay open, and only the forest decides on them. Words and transitions
-are counted over all documents; the dictionary is the ``DICTIONARY_WORDS`` most
-frequent words, a fixed size.
+are counted over all documents. The dictionary has every word of 4 to
+``LONGEST_WORD`` letters that stands in ``DICTIONARY_SHARE`` of the documents at
+least, copies included: no word is pushed out by others,
+and as a document has a limited number of words, their number is at most the mean
+number of words of a document divided by that share.
 
 Defined results: null and empty texts have no findings. Without labelled findings
 of both kinds no forest can be fitted: the score is the share of secrets among
@@ -32,6 +39,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -40,12 +48,15 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import text_of, written
 from ledgerline.llm.language_spans import CELLS, _cells, _codes, held_out
-from ledgerline.llm.toxicity_decode import CharacterModel
+from ledgerline.llm.toxicity_decode import SMOOTHING, CharacterModel
 
 LEAST_LENGTH = 12
 LABELLED_ROWS = 20_000
-DICTIONARY_WORDS = 20_000
-LEAST_WORD = 4
+DICTIONARY_SHARE = 1 / 2000
+LEAST_WORD, LONGEST_WORD = 4, 32
+# Mean cost of a letter, in nats, from which a run is no word of the corpus: three quarters of what a letter costs under a
+# model that knows nothing but the alphabet.
+UNLIKELY = 0.75 * math.log(26)
 TREES, DEPTH, SEED = 40, 8, 11
 KEEP_FROM = 0.5
 
@@ -55,6 +66,7 @@ _SMALL, _CAPITAL_WITHIN = re.compile(r"[a-z]"), re.compile(r"[A-Za-z][A-Z]")
 _NAME = re.compile(r"([\w\-]+)\W*$")
 _NEXT = re.compile(r"\W*([\w\-]+)")
 _LETTERS = re.compile(r"[a-z]+")
+_MARKS = ".,;:!?\"'()"
 
 # Names that secrets are given to, names of harmless values, and path words of samples.
 SECRET_NAMES = ("key", "token", "secret", "password", "passwd", "pwd", "auth", "credential", "bearer", "access", "private")
@@ -66,6 +78,11 @@ KEY_FORMATS = re.compile(
     r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{35}"
     r"|sk_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_\-]{20}|npm_[A-Za-z0-9]{36}|SK[0-9a-f]{32}")
 
+_PREFIXED = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2,12}_(?:pat|key|live|test|prod|secret|token|tok|sk|pk)_[A-Za-z0-9_\-]{8,}")
+_CREDENTIAL = re.compile(r"://[^\s/:@\"'<>]{0,256}:([^\s/@\"'<>]{1,256})@")
+_BLOCK_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+_BLOCK_END = re.compile(r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+
 # A name, what assigns, and the opening quote; the value begins where the match ends.
 _ASSIGNED = re.compile(rf"(?:{'|'.join(SECRET_NAMES)})[\w\-]{{0,64}}[\"'`\])]{{0,2}}\s{{0,8}}(?::=|=>|={{1,3}}|:)\s{{0,8}}"
                        r"(?:(?:bearer|basic|token)\s{1,8})?([\"'`]?)", re.IGNORECASE)
@@ -90,6 +107,7 @@ def _kind(c: str) -> int:
 def coverage(text: str, dictionary: frozenset[str], longest: int) -> float:
     """Largest share of the text that dictionary words can cover without overlap."""
     best = [0] * (len(text) + 1)
+    longest = min(longest, LONGEST_WORD)
     for end in range(1, len(text) + 1):
         best[end] = best[end - 1]
         for size in range(LEAST_WORD, min(longest, end) + 1):
@@ -98,15 +116,30 @@ def coverage(text: str, dictionary: frozenset[str], longest: int) -> float:
     return best[-1] / len(text)
 
 
-def spans(text: str) -> list[tuple[int, int]]:
-    """Where the candidates of a text are, in order of place."""
-    found = {m.span() for m in _CANDIDATE.finditer(text)
-             if _DIGIT.search(m[0]) or _SMALL.search(m[0]) and _CAPITAL_WITHIN.search(m[0])}
-    runs = sorted(found)
-    for m in KEY_FORMATS.finditer(text):  # in a run that is a candidate it isn't one of its own
-        at = bisect_right(runs, (m.start(), len(text))) - 1
-        if at < 0 or runs[at][1] < m.end():
+def _key_blocks(text: str) -> list[tuple[int, int]]:
+    """Private key blocks: each begins at the last beginning before an end."""
+    begins = [m.start() for m in _BLOCK_BEGIN.finditer(text)] if "PRIVATE KEY" in text else []
+    blocks, after = [], 0
+    for m in _BLOCK_END.finditer(text) if begins else ():
+        at = bisect_right(begins, m.start()) - 1
+        if at >= 0 and begins[at] >= after:
+            blocks.append((begins[at], m.end()))
+            after = m.end()
+    return blocks
+
+
+def spans(text: str, unlikely: Callable[[str], bool] = lambda run: False) -> list[tuple[int, int]]:
+    """Where the candidates of a text are, in order of place; ``unlikely`` decides on plain runs of letters."""
+    found = set()
+    for m in _CANDIDATE.finditer(text):
+        if _DIGIT.search(m[0]) or _SMALL.search(m[0]) and _CAPITAL_WITHIN.search(m[0]) or unlikely(m[0]):
             found.add(m.span())
+    runs = sorted(found)
+    for known in (KEY_FORMATS, _PREFIXED):
+        for m in known.finditer(text):  # in a run that is a candidate it isn't one of its own
+            at = bisect_right(runs, (m.start(), len(text))) - 1
+            if at < 0 or runs[at][1] < m.end():
+                found.add(m.span())
     for m in _ASSIGNED.finditer(text):
         quoted = m[1] and _UNTIL_QUOTE[m[1]].match(text, m.end())
         if quoted:
@@ -114,9 +147,43 @@ def spans(text: str) -> list[tuple[int, int]]:
         elif plain := _UNTIL_BLANK.match(text, m.end()):
             if value := plain[0].rstrip(",;.)]}>"):
                 found.add((plain.start(), plain.start() + len(value)))
+    if "://" in text:
+        found.update(m.span(1) for m in _CREDENTIAL.finditer(text))
+    if blocks := _key_blocks(text):
+        starts = [start for start, _ in blocks]
+        within = lambda span: (i := bisect_right(starts, span[0]) - 1) >= 0 and span[1] <= blocks[i][1]
+        found = {span for span in found if not within(span)} | set(blocks)
     return sorted(found)
 
 
+def plain_runs(text: str) -> list[str]:
+    """Runs of candidate length without digits or capitals among small letters."""
+    return [m[0] for m in _CANDIDATE.finditer(text)
+            if not (_DIGIT.search(m[0]) or _SMALL.search(m[0]) and _CAPITAL_WITHIN.search(m[0]))]
+
+
+def unlikely_runs(runs: list[str], model: CharacterModel) -> set[str]:
+    """Those of the runs whose letters cost more than ``UNLIKELY`` in the mean, all at once."""
+    words, owner = [], []
+    for i, run in enumerate(runs):
+        for word in _LETTERS.findall(run.lower()):
+            words.append(word)
+            owner.append(i)
+    if not words:
+        return set()
+    triple, context, word = _cells(*_codes(words))
+    at = np.array(owner)[word]
+
+    def others(cells: np.ndarray, logs: np.ndarray, least: float) -> np.ndarray:
+        """Logarithms of the corpus's counts without those of the run itself."""
+        _, place, own = np.unique(at * CELLS + cells, return_inverse=True, return_counts=True)
+        return np.log(np.maximum(np.exp(logs[cells]) - own[place], least))
+
+    cost = others(context, model.contexts, 40 * SMOOTHING) - others(triple, model.triples, SMOOTHING)
+    total, letters = np.bincount(at, cost, len(runs)), np.bincount(at, minlength=len(runs))
+    return {run for run, high in zip(runs, total > UNLIKELY * letters, strict=True) if high}
+
+
 def candidate_features(text: str, start: int, end: int, path: str, model: CharacterModel,
                        dictionary: frozenset[str], longest: int) -> list[float]:
     value, n = text[start:end], end - start
@@ -147,14 +214,18 @@ def _word_counter(batches):
 
     for batch in batches:
         counts: Counter = Counter()
+        documents: Counter = Counter()
         for text in batch.column("text").to_pylist():
-            counts.update(text.lower().split())
+            tokens = text.lower().split()
+            counts.update(tokens)
+            documents.update({token.strip(_MARKS) for token in set(tokens)})
         words: Counter = Counter()
         for token, n in counts.items():
-            if (word := token.strip(".,;:!?\"'()")).isalpha():
+            if (word := token.strip(_MARKS)).isalpha():
                 words[word] += n
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())],
-                                         names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()),
+                                          pa.array([documents[w] for w in words], pa.int64())],
+                                         names=["word", "n", "documents"])
 
 
 def _cell_counter(batches):
@@ -175,14 +246,16 @@ def _cell_counter(batches):
 
 
 def corpus_models(docs: DataFrame) -> tuple[CharacterModel, frozenset[str]]:
-    """Character transitions over the words of all documents, and the most frequent words."""
-    words = docs.select(text_of(docs).alias("text")).mapInArrow(_word_counter, "word string, n long")
-    words = written(words.groupBy("word").agg(F.sum("n").alias("n")), "secret-words")
+    """Character transitions over the words of all documents, and the words that many documents have."""
+    texts = docs.select(text_of(docs).alias("text"))
+    words = texts.mapInArrow(_word_counter, "word string, n long, documents long")
+    words = written(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents")), "secret-words")
     counts = words.mapInArrow(_cell_counter, "kind int, cell int, n long").groupBy("kind", "cell")
     model = CharacterModel.of(counts.agg(F.sum("n").alias("n")).collect())  # 2 * CELLS rows at most
-    top = (words.where(F.length("word") >= LEAST_WORD).orderBy(F.desc("n"), "word").limit(DICTIONARY_WORDS)
-           .select("word").collect())
-    return model, frozenset(r["word"] for r in top)
+    least = max(1, math.ceil(DICTIONARY_SHARE * docs.count()))
+    # Bounded: a document has so many words, and each of these stands in a share of all documents.
+    common = words.where(F.length("word").between(LEAST_WORD, LONGEST_WORD) & (F.col("documents") >= least))
+    return model, frozenset(r["word"] for r in common.select("word").collect())
 
 
 def _finder(shared, batches):
@@ -192,8 +265,10 @@ def _finder(shared, batches):
     longest = max(map(len, dictionary), default=0)
     for batch in batches:
         rows: list[tuple] = []
-        for doc_id, text, path in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "path")), strict=True):
-            for start, end in spans(text):
+        texts = batch.column("text").to_pylist()
+        unlikely = unlikely_runs(sorted({run for text in texts for run in plain_runs(text)}), model)
+        for doc_id, text, path in zip(batch.column("doc_id").to_pylist(), texts, batch.column("path").to_pylist(), strict=True):
+            for start, end in spans(text, unlikely.__contains__):
                 rows.append((doc_id, start, end, text[start:end], text[max(0, start - 80):start], text[end:end + 40],
                              candidate_features(text, start, end, path, model, dictionary, longest)))
         columns = list(zip(*rows, strict=True)) or [[]] * 7
@@ -218,7 +293,8 @@ def label_findings(found: DataFrame) -> Column:
     mixed = (feature("digits") > 0) & (feature("digits") < 1)
     named = F.lower(before).rlike(rf"({'|'.join(SECRET_NAMES)})[\w\-]*\s*[=:]\s*[\"'`]?$")
     harmless = F.lower(before).rlike(rf"\b({'|'.join(HARMLESS_NAMES)})\W{{0,3}}$")
-    return (F.when(value.rlike(rf"^({KEY_FORMATS.pattern})$"), 1)
+    return (F.when(value.rlike(rf"^({KEY_FORMATS.pattern})$") | value.startswith("-----BEGIN "), 1)
+            .when(before.rlike(r"://[^\s/:@]*:$") & after.startswith("@"), 1)
             .when(named & mixed, 1)
             .when(feature("digits") == 1, 0)
             .when((feature("address") == 1) | after.startswith("@") | before.endswith("@"), 0)
