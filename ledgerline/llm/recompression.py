@@ -412,6 +412,8 @@ def covered(places: np.ndarray, n: int, window: int = WINDOW) -> np.ndarray:
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The results of texts whose windows at ``places`` go."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         rows = []
         for doc_id, n, text, places in zip(*[batch[c] for c in ("doc_id", "n_words", "text", "places")], strict=True):
             n = n.as_py()
