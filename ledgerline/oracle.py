@@ -530,7 +530,21 @@ FROM lines"""
     out["since_bounds"] = f"""WITH {USAGE_CTE.strip()}
 {" UNION ALL ".join(parts)}"""
     out.update(decoder_statements())
-    out["counter_diff"] = out["decode_codex"]
+    out["counter_diff"] = f"""WITH {USAGE_CTE.strip()},
+b AS (SELECT *, floor((dayofmonth(event_ts) - 1) / 7) AS week FROM usage),
+c AS (
+  SELECT *, MIN(week) OVER (PARTITION BY user_id) AS first_week, input + cache_read + output + reasoning AS own,
+    ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_ts, event_id) AS place,
+    SUM(input + cache_read + output + reasoning) OVER (PARTITION BY user_id, week ORDER BY event_ts, event_id
+                                                      ROWS UNBOUNDED PRECEDING) AS cum_total
+  FROM b
+)
+SELECT printf('/logs/codex/2024/01/01/rollout-2024-01-01T00-00-00-%08d-0000-4000-8000-%012d.jsonl', user_id, user_id) AS path,
+  place * 100 + 3 AS ln, CASE WHEN user_id % 4 = 0 AND week >= 2 THEN 2 ELSE 1 END AS segment,
+  CAST(cum_total - own AS BIGINT) AS prev_total, CAST(cum_total AS BIGINT) AS cur_total,
+  input + cache_read AS delta_input_tokens, cache_read AS delta_cached_input_tokens,
+  output + reasoning AS delta_output_tokens, reasoning AS delta_reasoning_output_tokens, own AS delta_total_tokens
+FROM c WHERE event_id % 19 <> 0 AND (CASE WHEN user_id % 5 = 0 AND week > first_week THEN 'gpt-5' ELSE model END) <> ''"""
     out.update(load_statements(out))
     return out
 

@@ -347,6 +347,11 @@ def q_decode_codex(spark, sf_dir):
     return _strip(codex.decode(fixtures.codex_lines(_events(spark, sf_dir))))
 
 
+def q_counter_diff(spark, sf_dir):
+    """Previous and current cumulative totals, segment and deltas of every event from cumulative counters."""
+    return codex.counter_diffs(fixtures.codex_lines(_events(spark, sf_dir)))
+
+
 def q_decode_opencode(spark, sf_dir):
     return _strip(opencode.decode(fixtures.opencode_messages(_events(spark, sf_dir))))
 
@@ -751,7 +756,7 @@ def registry() -> dict[str, Query]:
         "since_bounds": q_since_bounds,
         "decode_claude": q_decode_claude,
         "decode_codex": q_decode_codex,
-        "counter_diff": q_decode_codex,
+        "counter_diff": q_counter_diff,
         "decode_opencode": q_decode_opencode,
         "cursor_advance": q_cursor_advance,
         "decode_antigravity": q_decode_antigravity,

@@ -28,7 +28,8 @@ def main() -> None:
     from ledgerline.plans.sessions import build_sessions
     from ledgerline.session import local_session
     from ledgerline.sampledata import tool_logs as fixtures
-    from ledgerline.sources import codex
+    from ledgerline.plans.panels import usage_grain
+    from ledgerline.sources import byte_ranges, codex
     from ledgerline.sources.eventlog import read_events, usage_table
     from ledgerline.sources.prices import read_price_list
 
@@ -45,8 +46,13 @@ def main() -> None:
         "Session report (stored table)": build_sessions(stored, prices),
         "Idempotent insert: first-wins + semi-join-narrowed anti join": load.not_loaded(
             load.first_wins(batch), stored.drop("dt")),
-        "Cumulative-counter decoder (chunked replay; input checkpointed)": codex.decode(
+        "Cumulative-counter decoder (chunked replay of typed lines, written once)": codex.decode(
             fixtures.codex_lines(read_events(spark, sf))),
+        "Panels: one scan, GROUPING SETS over the grain (before pricing)": usage_grain(stored, tz="UTC").groupingSets(
+            [[F.col("tool"), F.col("model")], [F.col("model")], [F.col("day"), F.col("model")]],
+            F.col("tool"), F.col("model"), F.col("day")).agg(F.sum("events").alias("events")),
+        "Lines of byte ranges (a plan row per file, a task row per range)": byte_ranges.lines_of(byte_ranges.read_splits(
+            spark.createDataFrame([("/logs/a.jsonl", 1 << 20, 200 << 20)], "path string, offset long, size long"))),
     }
     print("# Physical plans\n")
     print("Generated by `tools/show_plans.py` (initial adaptive plans; AQE may still turn shuffle joins "
