@@ -46,7 +46,8 @@ def with_object(rows: DataFrame, line: Column, fields: str, out: str) -> DataFra
     the Generate, each mention of the parse would be a parse of its own.
     """
     parsed = rows.select("*", F.inline(F.array(F.struct(parse_line(line, fields).alias("__parsed")))))
-    return parsed.withColumn(out, object_of(F.col("__parsed"))).drop("__parsed")
+    # A second Generate, so that what reads the object doesn't repeat the look at the parse for each of its fields.
+    return parsed.select("*", F.inline(F.array(F.struct(object_of(F.col("__parsed")).alias(out))))).drop("__parsed")
 
 
 def members(value: Column, names: list[str], path: str = "$") -> Column:
