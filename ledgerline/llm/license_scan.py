@@ -34,7 +34,7 @@ from ledgerline.llm.common import text_of
 
 # Phrases that always count, with their labels.
 BASE_PHRASES = [
-    ("mit license", "mit"),
+    ("under the mit license", "mit"),
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 ]
@@ -172,7 +172,7 @@ def _family(label: str, keyword: str, title: str, short: str, address: str, noti
 
 def signature_rules() -> list[Rule]:
     """All rules, in order: base phrases, families, GNU versions, Creative Commons kinds and versions."""
-    rules = [_rule(label, phrase.split()[0], BASE, phrase, True) for phrase, label in BASE_PHRASES]
+    rules = [_rule(label, label.split("-")[0], BASE, phrase, True) for phrase, label in BASE_PHRASES]
     for family in FAMILIES:
         rules += _family(*family)
     for label, keyword, title, versions in GNU:

@@ -112,6 +112,16 @@ def test_base_columns_match_brute_force(spark):
     assert s.scan_licenses(docs.limit(0)).collect() == []
 
 
+def test_only_the_whole_base_phrase_counts(spark):
+    docs = documents(spark, [(1, "The MIT License"), (2, "Use it under the MIT-License, under the mit license."),
+                             (3, "under the MITs license")])
+    got = {r.doc_id: tuple(r) for r in s.summarise(s.scan_licenses(docs)).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels").collect()}
+    assert got[1] == (1, 3, 0, None, None, "", "mit")
+    assert got[2] == (2, 10, 2, 2, 6, "mit", "mit")
+    assert got[3] == (3, 4, 0, None, None, "", "")
+
+
 def test_resolving_matches_brute_force():
     rng = random.Random(8)
     rules = [s.Rule(f"l{i % 3}", b"x", p, False, re.compile(b"x")) for i, p in enumerate((10, 40, 40, 90, 90, 70))]
