@@ -3,7 +3,8 @@
 ``GrowingLines`` is a streaming data source whose offset is a map from path to
 byte. Each trigger lists the folder; a file's new bytes up to its last whole
 line (or its last line, if that is one JSON object) are the next batch's, cut
-into splits that executors read in parallel from their first byte on. A file
+into splits that executors read in parallel from their first byte on; splits of
+small files go many to a task. A file
 that shrank below its offset is read from its start. Rows are (path, ln,
 line) with the line's first byte as ``ln``, so a batch that is run again gives
 the same rows.
@@ -20,7 +21,8 @@ import fnmatch
 import logging
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 import pyarrow.fs
@@ -29,9 +31,11 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline.operators.load import insert_events
-from ledgerline.sources.byte_ranges import CHUNK, SPLIT, Split, is_object, store_of
+from ledgerline.sources.byte_ranges import CHUNK, OPEN_SHARE, SPLIT, Split, is_object, store_of
 
 MAX_LINE = 10 << 20
+# Files that the driver looks at together, and tasks that many small ranges are dealt to at least.
+READERS, FEWEST = 16, 64
 LINES = "path string, ln long, line string"
 _ARROW = pa.schema([("path", pa.string()), ("ln", pa.int64()), ("line", pa.string())])
 _log = logging.getLogger(__name__)
@@ -39,11 +43,14 @@ _log = logging.getLogger(__name__)
 
 @dataclass
 class Range(InputPartition):
+    """Bytes of one file, and further ranges that the same task reads after them."""
+
     path: str
     offset: int
     start: int
     stop: int
     size: int
+    more: tuple[Range, ...] = ()
 
 
 def last_line_end(path: str, offset: int, size: int, max_line: int) -> int:
@@ -87,17 +94,22 @@ class GrowingReader(DataSourceStreamReader):
 
     def latestOffset(self) -> dict:
         ends = {}
-        for path, size in sorted(self._files().items()):
-            looked, end = self.seen.get(path, [-1, 0])
-            if size != looked:
-                try:
-                    end = last_line_end(path, end if size >= end else 0, size, self.max_line)
-                except OSError:  # gone, or not readable now: later
-                    continue
-                self.seen[path] = [size, end]
-            ends[path] = end
+        with ThreadPoolExecutor(READERS) as pool:  # waits for the store, not for Python
+            for path, size, end in pool.map(self._ended, sorted(self._files().items()), chunksize=64):
+                if end is not None:
+                    self.seen[path], ends[path] = [size, end], end
         return ends
 
+    def _ended(self, file: tuple[str, int]) -> tuple[str, int, int | None]:
+        path, size = file
+        looked, end = self.seen.get(path, [-1, 0])
+        if size != looked:
+            try:
+                end = last_line_end(path, end if size >= end else 0, size, self.max_line)
+            except OSError:  # gone, or not readable now: later
+                end = None
+        return path, size, end
+
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         parts = []
         for path, size in end.items():
@@ -105,15 +117,32 @@ class GrowingReader(DataSourceStreamReader):
             if size < offset:  # the file was cut: all of it is new
                 offset = 0
             parts += [Range(path, offset, at, min(at + self.split, size), size) for at in range(offset, size, self.split)]
-        return parts or [Range("", 0, 0, 0, 0)]
+        return self._packed(parts) or [Range("", 0, 0, 0, 0)]
+
+    def _packed(self, parts: list[Range]) -> list[Range]:
+        """The ranges by task: together no more than a split's bytes, what it costs to open a file included.
+
+        Few ranges get a task each, and more of them at least ``FEWEST`` tasks.
+        """
+        cost = [p.stop - p.start + max(self.split // OPEN_SHARE, 1) for p in parts]
+        room = min(self.split, max(1, sum(cost) // FEWEST))
+        tasks: list[list[Range]] = []
+        held = 0
+        for part, size in zip(parts, cost, strict=True):
+            if not tasks or held + size > room:
+                tasks.append([])
+                held = 0
+            tasks[-1].append(part)
+            held += size
+        return [replace(first, more=tuple(more)) for first, *more in tasks]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[str, int, str]] = []
         held = 0
-        if partition.path:
-            split = Split(partition.path, partition.offset, partition.start, partition.stop, partition.size, None)
+        for part in (partition, *partition.more) if partition.path else ():
+            split = Split(part.path, part.offset, part.start, part.stop, part.size, None)
             for at, line in split.lines():
-                rows.append((partition.path, at, line.decode("utf-8", "replace")))
+                rows.append((part.path, at, line.decode("utf-8", "replace")))
                 held += len(line)
                 if held >= CHUNK:
                     yield _batch(rows)

@@ -146,6 +146,19 @@ def test_splits_are_spread_over_tasks(spark, scratch):
     assert "line" not in plan_text.split("MapInArrow")[1].split("Exchange", 1)[1]  # the shuffle has no lines
 
 
+def test_small_files_share_tasks(spark, scratch):
+    sizes = {f"{scratch}/f/{i}.jsonl": put(f"{scratch}/f/{i}.jsonl", b'{"i": %d}\n' % i) for i in range(300)}
+    plan = spark.createDataFrame([(p, 0, n) for p, n in sizes.items()], "path string, offset long, size long")
+    rows = byte_ranges.read_splits(plan)
+    assert rows.rdd.getNumPartitions() <= 8
+    assert sorted(r.line for r in byte_ranges.lines_of(rows).collect()) == sorted('{"i": %d}' % i for i in range(300))
+    reader = GrowingReader({"path": f"{scratch}/f", "glob": "*.jsonl"})
+    parts = reader.partitions({}, reader.latestOffset())
+    assert len(parts) <= 128
+    lines = [line for p in parts for b in reader.read(p) for line in b["line"].to_pylist()]
+    assert sorted(lines) == sorted('{"i": %d}' % i for i in range(300))
+
+
 def test_stream_offsets_follow_whole_lines(scratch):
     root = f"{scratch}/s"
     put(f"{root}/a.jsonl", b'{"a": 1}\n{"b"')
