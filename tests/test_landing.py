@@ -35,3 +35,10 @@ def test_a_listing_without_a_depth_is_sparks(spark, scratch):
     assert sorted((r.path, r.size) for r in listed.collect()) == sorted((r.path, r.length) for r in whole.collect())
     assert "binaryFile" not in listed._jdf.queryExecution().toString()
     assert listing.list_files(spark, f"{scratch}/r/a.txt").first().size == 5
+
+
+def test_a_larger_backlog_has_no_more_batches():
+    from ledgerline.queries import _per_trigger
+
+    assert [_per_trigger(n) for n in (0, 150, 1500)] == [64, 64, 64]
+    assert all(-(-n // _per_trigger(n)) <= 24 for n in (1_536, 1_537, 9_000, 90_000))
