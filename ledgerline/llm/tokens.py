@@ -15,20 +15,22 @@ gets the id that the file gives it.
 from __future__ import annotations
 
 import re
-from itertools import chain, islice, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 
 TOKENIZER = "byte_bpe_50k.json"
-# Pieces whose ids a worker keeps; beyond it, the half that it met last goes.
-KEPT_PIECES = 400_000
+# Pieces whose ids a worker keeps; beyond it, the half that it met in the fewest runs of texts goes.
+KEPT_PIECES = 800_000
 # Texts are encoded together up to this many characters.
 BATCH_CHARS = 4_000_000
-# Words that go to the tokenizer as one text (its working memory is many times the text).
-JOINED_WORDS = 5_000
+# Words that go to the tokenizer as one text (its working memory is many times the text, and should stay in the cache).
+JOINED_WORDS = 200
 
 # Marks the first piece of a text, which has no blank before it.
 _FIRST = "\0"
+_FIRST_OR_LINE = (_FIRST, "\n")
+_EMPTY = ("", _FIRST, "\n")
 _encoders: dict[tuple[str, int | None], TextEncoder] = {}
 
 
@@ -38,6 +40,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+# The part of a count of runs that is left when others go: what was met long ago makes room.
+FADE = 0.75
+
+# White space other than blanks and line feeds.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 # White space to Python, not to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -67,6 +74,7 @@ class TextEncoder:
         self.sizes = np.zeros(0, dtype=np.int64)  # ids of a piece; -1: not to be encoded on its own
         self.starts = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype="<u4")
+        self.met = np.zeros(0, dtype=np.float32)  # runs of texts that had the piece
 
     def _has_added(self, text: str) -> bool:
         return any(a in text for a in self.added)
@@ -93,17 +101,28 @@ class TextEncoder:
                 sizes.append(own)
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def _forget(self) -> np.ndarray:
+        """Keeps the half of the room that was met in most runs; the new row of each row, -1 for those that go."""
+        rows = np.sort(np.argsort(-self.met, kind="stable")[:self.kept // 2])
+        moved = np.full(len(self.met), -1, dtype=np.int64)
+        moved[rows] = np.arange(len(rows))
+        self.place = dict(zip(compress(self.place, (moved >= 0).tolist()), range(len(rows)), strict=True))
+        sizes = np.maximum(self.sizes[rows], 0)
+        starts = np.cumsum(sizes) - sizes
+        self.ids = self.ids[np.repeat(self.starts[rows] - starts, sizes) + np.arange(int(sizes.sum()))]
+        self.sizes, self.starts, self.met = self.sizes[rows], starts, self.met[rows] * np.float32(FADE)
+        return moved
+
     def _learn(self, new: list[str]) -> np.ndarray:
         """Rows of the tables for new pieces."""
-        if len(self.place) + len(new) > self.kept:  # what was met first is met most: the older half stays
-            keep = min(len(self.place), self.kept // 2)
-            self.place = dict(islice(self.place.items(), keep))
-            used = int(self.starts[keep]) if keep < len(self.starts) else len(self.ids)
-            self.sizes, self.starts, self.ids = self.sizes[:keep], self.starts[:keep], self.ids[:used]
         # Those after a blank, then those after a line feed or nothing, then those not to be encoded alone.
-        kind = np.array([0 if p.isalpha() else 2 if not _plain(p.removeprefix(_FIRST)) else int(p[0] in "\0\n")
-                         for p in new], dtype=np.int8)
-        if self._has_added(" ".join(new)):  # one look for all of them
+        joined = " ".join(new)  # one look for all of them
+        if _OTHER_SPACE.search(joined):
+            kind = np.array([0 if p.isalpha() else 2 if not _plain(p.removeprefix(_FIRST)) else int(p[0] in "\0\n")
+                             for p in new], dtype=np.int8)
+        else:  # a line feed stands first in a piece or nowhere, so all but empty ones are plain
+            kind = np.fromiter([2 if p in _EMPTY else p[0] in _FIRST_OR_LINE for p in new], np.int8, len(new))
+        if self._has_added(joined):
             kind[[self._has_added(p) for p in new]] = 2
         order = np.argsort(kind, kind="stable")
         ordered = [new[i] for i in order]
@@ -117,6 +136,7 @@ class TextEncoder:
         self.sizes = np.concatenate([self.sizes, sizes])
         self.starts = np.concatenate([self.starts, ends - np.maximum(sizes, 0)])
         self.ids = np.concatenate([self.ids, words, rest])
+        self.met = np.concatenate([self.met, np.ones(len(new), dtype=np.float32)])
         rows = np.empty(len(new), dtype=np.int64)
         rows[order] = np.arange(first, first + len(new))
         return rows
@@ -143,9 +163,10 @@ class TextEncoder:
         coded = split.flatten().dictionary_encode()
         pieces = coded.dictionary.to_pylist()
         known = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        self.met[known[known >= 0]] += 1
         new = np.flatnonzero(known < 0)
-        if len(self.place) + len(new) > self.kept:  # the older half stays: the others are learned anew
-            known[known >= min(len(self.place), self.kept // 2)] = -1
+        if len(self.place) + len(new) > self.kept and len(self.place):  # those that go are learned anew
+            known = np.where(known < 0, -1, self._forget()[known])
             new = np.flatnonzero(known < 0)
         known[new] = self._learn([pieces[i] for i in new])
         rows = known[coded.indices.to_numpy()]

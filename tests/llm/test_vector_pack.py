@@ -85,3 +85,15 @@ def test_awkward_and_empty(spark):
     got = v.pack_documents(docs)
     assert got.where("start = 0").count() == docs.count()
     assert v.pack_documents(docs.limit(0)).collect() == []
+
+
+def test_encoder_keeps_what_is_met_in_most_runs(monkeypatch):
+    e, learned = tokens.TextEncoder(tokens.tokenizer_path(), 100), []
+    learn = e._learn
+    monkeypatch.setattr(e, "_learn", lambda new: learned.append(set(new)) or learn(new))
+    often = [f"often{k}" for k in range(20)]
+    e.encode([" ".join(f"first{k}" for k in range(80))])
+    for run in range(12):
+        text = " ".join(["x", *often, *(f"once{run}n{k}" for k in range(30))])
+        assert e.encode([text]) == [np.array(e.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert sum(len(new & set(often)) for new in learned[3:]) == 0 and len(e.place) <= 100
