@@ -117,3 +117,14 @@ def test_encoder_forgets_and_stays_right(monkeypatch):
     for seed in range(6):
         texts = [prose(seed * 10 + i, 60, 90) for i in range(4)]
         assert e.encode(texts) == [as_bytes(e.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_pieces_of_plain_texts_are_not_looked_at_one_by_one(monkeypatch):
+    import random
+
+    monkeypatch.setattr(tokens, "_plain", lambda piece: pytest.fail("a look at one piece"))
+    rng, e = random.Random(6), tokens.TextEncoder(tokens.tokenizer_path())
+    parts = ["a", "The", " ", "  ", "\n", "\n\n", "é", "漢字", "1", "23", ".", "!!", "'s", " x", "\0", "-", "½", "😀", "\u200b"]
+    texts = ["", " ", "\n", "a ", "\na", "\0", "\0\n"] + [
+        "".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    assert e.encode(texts) == [as_bytes(e.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
