@@ -42,3 +42,29 @@ def test_a_larger_backlog_has_no_more_batches():
 
     assert [_per_trigger(n) for n in (0, 150, 1500)] == [64, 64, 64]
     assert all(-(-n // _per_trigger(n)) <= 24 for n in (1_536, 1_537, 9_000, 90_000))
+
+
+def test_a_folder_that_cannot_be_listed_fails_the_listing(spark, scratch, monkeypatch):
+    import pyarrow as pa
+    import pyarrow.fs
+    import pytest
+
+    def children(path):
+        return [b["path"].to_pylist() for b in listing._children(iter([pa.record_batch({"path": [path]})]), None, "*")]
+
+    with open(f"{scratch}/no-folder", "w") as f:
+        f.write("x")
+    with pytest.raises(OSError):
+        children(f"{scratch}/no-folder")
+    assert children(f"{scratch}/gone") == [[]]
+
+    class Refused:
+        def get_file_info(self, selector):
+            raise PermissionError(selector.base_dir)
+
+    monkeypatch.setattr(listing, "store_of", lambda path: (Refused(), path))
+    with pytest.raises(PermissionError):
+        children(scratch)
+    kind = pyarrow.fs.FileType.File
+    with pytest.raises(PermissionError):
+        list(listing._children(iter([pa.record_batch({"path": [scratch]})]), kind, "*"))
