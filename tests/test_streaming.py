@@ -157,3 +157,33 @@ def test_an_append_reads_the_last_chunk_and_a_late_line_those_from_its_own():
         want = {r["ln"]: tuple(r[c] for c in counters.EVENTS if c != "ts") for r in out.to_dict("records") if r["live"]}
     same = lambda found: {k: str(v) for k, v in found.items() if v is not None}
     assert same(seen) == same(want) and len(want) > 100
+
+
+def test_files_come_to_the_state_and_leave_it_packed():
+    import pandas as pd
+    import pyarrow as pa
+
+    from ledgerline.streaming import counters
+
+    files = {f"/a/{i}.jsonl": counter_lines(i, 40, 300) for i in range(3)}
+    rows = pd.concat([rows.assign(path=path) for path, rows in files.items()]).sort_values("ln", ignore_index=True)
+    whole = pa.RecordBatch.from_pandas(rows.assign(ts=rows["ts"].astype("datetime64[us]")), preserve_index=False)
+    packed = pa.Table.from_batches(counters.pack(iter([whole.slice(0, 70), whole.slice(70), whole.slice(0, 0)]))).to_pandas()
+    assert len(packed) == 6  # one row per file and batch
+    for path, lines in files.items():
+        found = []
+        for kind, parts in ((counters.PackedProcessor, packed[packed["path"] == path]), (counters.CounterProcessor, lines)):
+            processor = kind()
+            processor.chunks, processor.after = Kept(), Kept()
+            out, = processor.handleInputRows((path,), iter([parts.iloc[:1], parts.iloc[1:]]), None)
+            if kind is counters.PackedProcessor:
+                assert out.columns.tolist() == ["path", "events"] and len(out) == 1
+                out = pa.Table.from_batches(counters.unpack(iter([pa.RecordBatch.from_pandas(out)]))).to_pandas()
+            found.append((out.astype(str).values.tolist(), processor.chunks.held, processor.after.held))
+        assert found[0] == found[1] and len(found[0][0]) > 20
+    # A checkpoint of before has a chunk's lines as an Arrow stream.
+    lines = files["/a/0.jsonl"]
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, (table := pa.Table.from_pandas(lines, preserve_index=False)).schema) as writer:
+        writer.write_table(table)
+    assert counters._stored(out.getvalue().to_pybytes()) == counters._lines_of(lines)
