@@ -224,3 +224,73 @@ def test_listing_by_depth_runs_on_the_executors(spark, scratch):
     assert all(whole[r.path] == (r.size, r.mtime) for r in found.collect())
     assert [r.path.rsplit("/", 1)[1] for r in listing.list_files(spark, f"{scratch}/root", "*", depth=1).collect()] == ["a.jsonl"]
     assert listing.list_files(spark, f"{scratch}/none", "*", depth=3).collect() == []
+
+
+def lines_of_batch(reader, start, end):
+    return sorted((p.rsplit("/s/", 1)[1], ln, line) for part in reader.partitions(start, end) for b in reader.read(part)
+                  for p, ln, line in zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+
+def test_offsets_of_a_stream_do_not_grow_with_its_files(scratch):
+    from ledgerline.streaming.growing import SnapshotReader
+
+    root = f"{scratch}/s"
+    names = [f"{f}{i}.jsonl" for f in ("", "a/", "a.b/", "a/deep/", "b/") for i in range(60)]
+    for n in names:
+        put(f"{root}/{n}", b'{"i": 1}\n')
+    put(f"{root}/b/x.txt", b"ignored\n")
+    options = {"path": root, "glob": "*.jsonl", "snapshots": f"{scratch}/snaps", "own": "true"}
+    reader = SnapshotReader(options)
+    begin, first = reader.initialOffset(), reader.latestOffset()
+    assert len(json.dumps(first)) < 500  # a map of 300 paths before
+    assert lines_of_batch(reader, begin, first) == sorted((n, 0, '{"i": 1}') for n in names)
+    assert reader.latestOffset() == first  # nothing new: no batch
+    put(f"{root}/a/0.jsonl", b'{"i": 2}\n{"torn', "ab")
+    put(f"{root}/a/1.jsonl", b'{}\n')  # cut
+    put(f"{root}/a-new/0.jsonl", b"new\n")
+    os.remove(f"{root}/b/3.jsonl")
+    second = reader.latestOffset()
+    want = [("a-new/0.jsonl", 0, "new"), ("a/0.jsonl", 9, '{"i": 2}'), ("a/1.jsonl", 0, "{}")]
+    assert lines_of_batch(reader, first, second) == want
+    assert lines_of_batch(SnapshotReader(options), first, second) == want  # again, after a restart
+    # The same as with the map of paths, also from a checkpoint that holds one.
+    plain = GrowingReader(options)
+    assert lines_of_batch(reader, {f"{root}/{n}": 9 for n in names}, second) == lines_of_batch(
+        plain, {f"{root}/{n}": 9 for n in names}, plain.latestOffset()) == want
+    put(f"{root}/a/0.jsonl", b'": 3}\n', "ab")
+    later = SnapshotReader(options)
+    third = later.latestOffset()
+    assert lines_of_batch(later, second, third) == [("a/0.jsonl", 18, '{"torn": 3}')]
+    kept = [f for _, _, files in os.walk(f"{scratch}/snaps") for f in files]
+    assert sorted(f.rsplit(".", 1)[1] for f in kept) == ["files", "files", "plan"]
+    os.remove(f"{root}/a/0.jsonl")
+    assert lines_of_batch(later, third, later.latestOffset()) == []
+
+
+def test_a_folder_that_cannot_be_listed_stops_the_stream(scratch, monkeypatch):
+    import pytest
+
+    from ledgerline.streaming import growing
+
+    put(f"{scratch}/s/a.jsonl", b"{}\n")
+    reader = growing.SnapshotReader({"path": f"{scratch}/s", "snapshots": f"{scratch}/snaps"})
+
+    class Refused:
+        def get_file_info(self, selector):
+            raise PermissionError(selector.base_dir)
+
+    monkeypatch.setattr(growing, "store_of", lambda path, known=growing.store_of: (
+        Refused(), path) if path == f"{scratch}/s" else known(path))
+    with pytest.raises(PermissionError):
+        reader.latestOffset()
+
+
+def test_whole_files_are_not_opened_to_plan(scratch, monkeypatch):
+    from ledgerline.streaming import growing
+
+    for name, data in (("a.txt", b"one\ntwo"), ("d/b.txt", b"three\n"), ("_h/c.txt", b"x\n"), (".d.txt", b"x\n"), ("e.txt", b"")):
+        put(f"{scratch}/s/{name}", data)
+    monkeypatch.setattr(growing, "last_line_end", None)
+    reader = growing.SnapshotReader({"path": f"{scratch}/s", "glob": "*.txt", "snapshots": f"{scratch}/snaps", "whole": "true"})
+    assert lines_of_batch(reader, reader.initialOffset(), reader.latestOffset()) == [
+        ("a.txt", 0, "one"), ("a.txt", 4, "two"), ("d/b.txt", 0, "three")]
