@@ -10,7 +10,8 @@ polls like a watcher; ``available_now=True`` is the one-shot scan.
 
 ``start_dedup``: the stateless variant - decode on the stream and drop
 repeated (source, dedup_key) with streaming deduplication into a Parquet
-sink. Without a watermark the key state grows with the key count; with
+sink. Its files come through ``growing.SnapshotReader``, whose offsets don't
+grow with their number, and its keys lie in RocksDB. Without a watermark the key state grows with the key count; with
 ``within`` set, ``dropDuplicatesWithinWatermark`` bounds it to that lateness.
 """
 
@@ -26,6 +27,8 @@ from ledgerline.functions.timecols import raw_file_path
 from ledgerline.operators.load import insert_events
 from ledgerline.sources.lines import number_splits
 from ledgerline.schema import USAGE_COLUMNS
+from ledgerline.streaming.counters import STATE_STORE
+from ledgerline.streaming.growing import growing_lines
 
 Decoder = Callable[[DataFrame], DataFrame]
 
@@ -65,7 +68,8 @@ def start_ingest(spark: SparkSession, landing: str, decoder: Decoder, table_path
 
 def start_dedup(spark: SparkSession, landing: str, decoder: Decoder, out_path: str, checkpoint: str,
                 glob: str = "*", within: str | None = None, available_now: bool = True) -> StreamingQuery:
-    lines = line_stream(spark, landing, glob).select("path", F.col("block").alias("ln"), "line")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    lines = growing_lines(spark, landing, glob, checkpoint, whole="true")
     events = decoder(lines).select(*USAGE_COLUMNS)
     if within:
         events = events.withWatermark("ts", within).dropDuplicatesWithinWatermark(["source", "dedup_key"])

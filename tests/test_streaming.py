@@ -38,6 +38,25 @@ def test_stream_dedup_keeps_one_row_per_key(spark, scratch):
     assert sorted(keys) == ["m-alpha:r-one", "m-beta:r-two"]
 
 
+def test_the_offsets_of_a_stream_dedup_do_not_name_its_files(spark, scratch):
+    landing, out, ckpt = f"{scratch}/landing", f"{scratch}/out", f"{scratch}/ck"
+    for i in range(20):
+        land(f"{landing}/{i % 3}", f"{i}.jsonl", [dict(CLAUDE_LINES[5], uuid=f"k-{i}", message=dict(
+            CLAUDE_LINES[5]["message"], id=f"m-{i // 2}"))])
+    with open(f"{landing}/2/last.jsonl", "w") as f:  # without a line end
+        f.write(json.dumps(dict(CLAUDE_LINES[5], message=dict(CLAUDE_LINES[5]["message"], id="m-last"))))
+    land(landing, "_hidden.jsonl", [dict(CLAUDE_LINES[5], message=dict(CLAUDE_LINES[5]["message"], id="m-hidden"))])
+    for n in (11, 12):
+        start_dedup(spark, landing, claude.decode, out, ckpt).awaitTermination()
+        keys = [r.dedup_key.split(":")[0] for r in spark.read.parquet(out).collect()]
+        assert len(keys) == n and set(keys) >= {"m-last", *(f"m-{i}" for i in range(10))}
+        land(landing, "new.jsonl", [dict(CLAUDE_LINES[5], message=dict(CLAUDE_LINES[5]["message"], id=f"m-{i}")) for i in (3, 99)])
+    for name in os.listdir(f"{ckpt}/offsets"):
+        with open(f"{ckpt}/offsets/{name}", "rb") as f:
+            assert b".jsonl" not in f.read()
+    assert not os.path.exists(f"{ckpt}/sources")  # where Spark's file source notes each file
+
+
 def test_daily_rollup_keeps_data_of_any_lateness(spark, scratch):
     from datetime import datetime
 
