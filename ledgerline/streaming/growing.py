@@ -269,17 +269,12 @@ class SnapshotReader(GrowingReader):
         return {"files": self.last}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        # A start of a checkpoint from before is the map itself.
-        old = None if set(start) == {"files"} else start
-
         def parts() -> Iterator[Range]:
-            known = _read_entries("" if old is not None else start["files"])
-            for (path, _, size), entry in _side_by_side(_read_entries(end["files"]), known):
-                offset = old.get(path, 0) if old is not None else entry[2] if entry else 0
-                yield from self._ranges(path, offset, size)
+            for (path, _, size), entry in _side_by_side(_entries_of(end), _entries_of(start)):
+                yield from self._ranges(path, entry[2] if entry else 0, size)
 
-        self._tidy({start.get("files", ""), end["files"], self.last})
-        plan = f"{end['files']}.{uuid.uuid4().hex[:12]}.plan"
+        self._tidy({start.get("files", ""), end.get("files", ""), self.last})
+        plan = f"{self.folder}/{uuid.uuid4().hex[:12]}.plan"
         tasks = self._dealt(parts(), sum(self._cost(part) for part in parts()))
         n = _write(plan, _RANGE, ([(p.path, p.offset, p.start, p.stop, p.size) for p in task] for task in tasks), pa.ipc.new_file)
         return [Task(plan, i) for i in range(n)] or [Range("", 0, 0, 0, 0)]
@@ -323,6 +318,13 @@ def _read_entries(path: str) -> Iterator[Entry]:
                 yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
 
 
+def _entries_of(offset: dict) -> Iterable[Entry]:
+    """What an offset stands for; in checkpoints of before it is the map of paths to bytes."""
+    if set(offset) == {"files"}:
+        return _read_entries(offset["files"])
+    return sorted(((path, end, end) for path, end in offset.items() if "/" in path), key=lambda entry: _place(entry[0]))
+
+
 def _remove(path: str) -> None:
     store, name = store_of(path)
     store.delete_file(name)

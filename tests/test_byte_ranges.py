@@ -257,6 +257,8 @@ def test_offsets_of_a_stream_do_not_grow_with_its_files(scratch):
     plain = GrowingReader(options)
     assert lines_of_batch(reader, {f"{root}/{n}": 9 for n in names}, second) == lines_of_batch(
         plain, {f"{root}/{n}": 9 for n in names}, plain.latestOffset()) == want
+    assert lines_of_batch(reader, {f"{root}/{n}": 9 for n in names}, plain.latestOffset()) == want
+    assert len(lines_of_batch(reader, {"logOffset": 0}, second)) == 301  # of Spark's file source: all files are new
     put(f"{root}/a/0.jsonl", b'": 3}\n', "ab")
     later = SnapshotReader(options)
     third = later.latestOffset()
